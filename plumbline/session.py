@@ -16,6 +16,18 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+# Settings fixed once a session exists. Extraction builds large expressions, and recording a
+# call site for every column call would take longer than planning the query.
+STATIC_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
+
+def builder(master: str, app: str = "plumbline") -> SparkSession.Builder:
+    """A session builder with all settings applied."""
+    b = SparkSession.builder.master(master).appName(app)
+    for key, value in {**RUNTIME_CONF, **STATIC_CONF}.items():
+        b = b.config(key, value)
+    return b
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""

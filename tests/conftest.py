@@ -3,7 +3,6 @@ import sys
 import tempfile
 
 import pytest
-from pyspark.sql import SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
@@ -11,11 +10,10 @@ sys.path.insert(0, ROOT)
 
 @pytest.fixture(scope="session")
 def spark():
-    from plumbline.session import tune
+    from plumbline.session import builder
 
     session = (
-        SparkSession.builder.master("local[8]")
-        .appName("plumbline-tests")
+        builder("local[8]", "plumbline-tests")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
@@ -24,7 +22,6 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    tune(session)
     yield session
     session.stop()
 
