@@ -11,6 +11,7 @@ from plumbline.functions.prompts import as_json, fill_template, opening_messages
 from plumbline.functions.replies import GRADINGS, parse_gradings
 from plumbline.operators.inference import ChatClient, chat_complete, is_grading, materialise
 from plumbline.operators.nesting import PART_ROWS, nest_ordered
+from plumbline.operators.scenegraph import listed
 from plumbline.operators.transcripts import evaluatee_turns, explode_transcripts
 
 SYSTEM = "You judge whether statements about an image are supported by its description."
@@ -51,7 +52,7 @@ def concat_gradings(gradings: DataFrame, keys: list[str], *, turn: str = "turn",
 
 def grading_table(gradings: DataFrame, *keys: str, results: str = "gradings") -> DataFrame:
     """One row per graded sentence."""
-    return gradings.select(*keys, F.posexplode(results).alias("ord", "_g")).select(*keys, "ord", "_g.*")
+    return listed(gradings, keys, results, "ord")
 
 
 def grade_samples(

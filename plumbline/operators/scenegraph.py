@@ -224,7 +224,6 @@ def _candidates(
 
 def _entity(c: Column, tokens: Column, members: Column, conjuncts: Column, scene_nouns: list[str]) -> Column:
     own = F.coalesce(F.get(members, c["root_i"]), F.array().cast(_MEMBERS))
-    root = F.get(tokens, c["root_i"])
 
     def modifier(dep: Column, t: Column) -> Column:
         return F.struct(dep.alias("dep"), t["text"].alias("span"), t["lemma"].alias("lemma_span"))
@@ -237,28 +236,43 @@ def _entity(c: Column, tokens: Column, members: Column, conjuncts: Column, scene
             F.coalesce(F.transform(more, lambda y: modifier(m["dep"], y)), F.array().cast(f"array<{MODIFIER}>")),
         )
 
-    def name(mine: Column, field: str) -> Column:
+    def modifiers(plain: Column) -> Column:
+        return F.when(
+            F.size(conjuncts) == 0, F.transform(plain, lambda m: modifier(m["dep"], m))
+        ).otherwise(F.flatten(F.transform(plain, expanded)))
+
+    def name(compounds: Column, root: Column, field: str) -> Column:
         # each compound is put in front of what is there, so they end up reversed
-        compounds = F.transform(F.filter(mine, lambda m: m["dep"] == "compound"), lambda m: m[field])
-        return F.array_join(F.concat(F.reverse(compounds), F.array(root[field])), " ")
+        texts = F.transform(compounds, lambda m: m[field])
+        return F.when(F.size(compounds) == 0, root[field]).otherwise(
+            F.array_join(F.concat(F.reverse(texts), F.array(root[field])), " ")
+        )
 
-    def build(mine: Column) -> Column:
+    def build(mine: Column, compounds: Column, root: Column) -> Column:
         return let(
-            name(mine, "lemma"),
+            name(compounds, root, "lemma"),
             lambda lemma_head: F.struct(
                 c["text"].alias("span"),
                 c["lemma"].alias("lemma_span"),
-                name(mine, "text").alias("head"),
+                name(compounds, root, "text").alias("head"),
                 lemma_head.alias("lemma_head"),
                 F.struct(c["start"].alias("start"), c["end"].alias("end")).alias("span_bounds"),
-                F.flatten(F.transform(F.filter(mine, lambda m: m["dep"] != "compound"), expanded)).alias("modifiers"),
+                F.when(F.size(compounds) == 0, modifiers(mine))
+                .otherwise(modifiers(F.filter(mine, lambda m: m["dep"] != "compound")))
+                .alias("modifiers"),
                 F.when(is_scene_noun(lemma_head, scene_nouns), F.lit("scene"))
                 .otherwise(F.lit("unknown"))
                 .alias("type"),
             ),
         )
 
-    return let(own, build)
+    return let(
+        own,
+        lambda mine: let(
+            F.filter(mine, lambda m: m["dep"] == "compound"),
+            lambda compounds: let(F.get(tokens, c["root_i"]), lambda root: build(mine, compounds, root)),
+        ),
+    )
 
 
 def is_scene_noun(noun: Column, scene_nouns: list[str]) -> Column:
@@ -268,6 +282,25 @@ def is_scene_noun(noun: Column, scene_nouns: list[str]) -> Column:
 
 def _locations(kept: Column) -> Column:
     """Per token position, the index of the first kept chunk that covers it."""
+    nowhere = F.array().cast("array<int>")
+
+    def previous_end(n: Column) -> Column:
+        return F.coalesce(F.get(kept, n - 1)["end"], F.lit(0))
+
+    def in_order(n: Column) -> Column:
+        return let(F.get(kept, n), lambda c: (c["start"] >= previous_end(n)) & (c["end"] >= c["start"]))
+
+    # noun chunks follow each other without overlap: lay their indexes out side by side
+    side_by_side = F.flatten(
+        F.transform(
+            kept,
+            lambda c, n: F.concat(
+                F.array_repeat(F.lit(None).cast("int"), c["start"] - previous_end(n)),
+                F.array_repeat(n, c["end"] - c["start"]),
+            ),
+        )
+    )
+
     covered = F.flatten(
         F.transform(
             kept,
@@ -279,7 +312,12 @@ def _locations(kept: Column) -> Column:
             ).otherwise(F.array().cast("array<struct<k:int,n:int>>")),
         )
     )
-    return F.transform(positional(F.sort_array(covered)), lambda same: first(same)["n"])
+    first_cover = F.transform(positional(F.sort_array(covered)), lambda same: first(same)["n"])
+    return (
+        F.when(F.size(kept) == 0, nowhere)
+        .when(F.forall(indices(kept), in_order), side_by_side)
+        .otherwise(first_cover)
+    )
 
 
 def _located(found: Column, conjuncts: Column, where: Column) -> Column:
@@ -311,6 +349,67 @@ def _located(found: Column, conjuncts: Column, where: Column) -> Column:
     )
 
 
+def scene_graph(
+    tokens: Column,
+    chunks: Column,
+    phrasal_verbs: list[str],
+    phrasal_preps: list[str],
+    scene_nouns: list[str],
+    drop_pronouns: bool = False,
+) -> Column:
+    """struct<entities, relations> of one document.
+
+    The intermediate arrays are bound inside one expression instead of being columns of their
+    own: a predicate on the result that Catalyst pushes down then repeats the extraction once,
+    not once for every reference at every stage.
+    """
+
+    def is_pronoun(t: Column, chunk: Column) -> Column:
+        root = F.get(t, chunk["root_i"])
+        hit = root["lemma"] == _PRONOUN_LEMMA
+        if drop_pronouns:
+            hit = hit | (root["pos"] == "PRON")
+        return F.coalesce(hit, F.lit(False))
+
+    def result(t: Column, found: Column, kept: Column) -> Column:
+        return let(
+            _conjuncts(t),
+            lambda conjuncts: F.struct(
+                let(
+                    _phrase_members(t),
+                    lambda members: F.transform(kept, lambda c: _entity(c, t, members, conjuncts, scene_nouns)),
+                ).alias("entities"),
+                let(_locations(kept), lambda where: _located(found, conjuncts, where)).alias("relations"),
+            ),
+        )
+
+    def kept_chunks(t: Column, c: Column, found: Column) -> Column:
+        fake = F.filter(F.transform(found, lambda x: x["fake"]), lambda x: x.isNotNull())
+        return let(
+            fake,
+            lambda marks: F.filter(c, lambda x: ~is_pronoun(t, x) & ~F.array_contains(marks, x["root_i"])),
+        )
+
+    def relations_found(t: Column, c: Column) -> Column:
+        return let(
+            _subjects(t),
+            lambda subjects: F.filter(
+                _candidates(t, c, subjects, phrasal_verbs, phrasal_preps), lambda x: x.isNotNull()
+            ),
+        )
+
+    return let(
+        tokens,
+        lambda t: let(
+            chunks,
+            lambda c: let(
+                relations_found(t, c),
+                lambda found: let(kept_chunks(t, c, found), lambda kept: result(t, found, kept)),
+            ),
+        ),
+    )
+
+
 def extract_scene_graph(
     df: DataFrame,
     *,
@@ -327,53 +426,36 @@ def extract_scene_graph(
     Pronoun chunks are dropped when their root has the placeholder lemma of older parsers;
     ``drop_pronouns`` also drops those tagged PRON. ``keep_tokens=False`` drops the parse.
     """
-    verbs, preps, scenes = (lexicon_values(x) for x in (phrasal_verbs, phrasal_preps, scene_nouns))
-    t, c = F.col(tokens), F.col(chunks)
-
-    def is_pronoun(chunk: Column) -> Column:
-        root = F.get(t, chunk["root_i"])
-        hit = root["lemma"] == _PRONOUN_LEMMA
-        if drop_pronouns:
-            hit = hit | (root["pos"] == "PRON")
-        return F.coalesce(hit, F.lit(False))
-
+    lexicons = [lexicon_values(x) for x in (phrasal_verbs, phrasal_preps, scene_nouns)]
     graph = (
-        df.withColumns({"_conj": _conjuncts(t), "_members": _phrase_members(t), "_subj": _subjects(t)})
-        .withColumn("_found", F.filter(_candidates(t, c, F.col("_subj"), verbs, preps), lambda x: x.isNotNull()))
-        .withColumn(
-            "_fake",
-            F.filter(F.transform("_found", lambda x: x["fake"]), lambda x: x.isNotNull()),
-        )
-        .withColumn(
-            "_kept",
-            F.filter(c, lambda x: ~is_pronoun(x) & ~F.array_contains(F.col("_fake"), x["root_i"])),
-        )
-        .withColumn("_where", _locations(F.col("_kept")))
-        .withColumns(
-            {
-                "entities": F.transform(
-                    "_kept", lambda x: _entity(x, t, F.col("_members"), F.col("_conj"), scenes)
-                ),
-                "relations": _located(F.col("_found"), F.col("_conj"), F.col("_where")),
-            }
-        )
-        .drop("_conj", "_members", "_subj", "_found", "_fake", "_kept", "_where")
+        df.withColumn("_graph", scene_graph(F.col(tokens), F.col(chunks), *lexicons, drop_pronouns))
+        .withColumns({"entities": F.col("_graph.entities"), "relations": F.col("_graph.relations")})
+        .drop("_graph")
     )
     return graph if keep_tokens else graph.drop(tokens, chunks)
 
 
+def listed(df: DataFrame, keys: tuple[str, ...], array: Column | str, position: str) -> DataFrame:
+    """One row per element of a computed array: keys, its position, its fields.
+
+    The outer form with the test behind it keeps Catalyst from adding a "not empty" filter
+    below the generator, which would compute the array a second time.
+    """
+    return (
+        df.select(*keys, F.posexplode_outer(array).alias(position, "_x"))
+        .where(F.col(position).isNotNull())
+        .select(*keys, position, "_x.*")
+    )
+
+
 def entity_table(graphs: DataFrame, *keys: str) -> DataFrame:
     """One row per entity; ``entity_id`` is its index in the document's entity list."""
-    return graphs.select(*keys, F.posexplode("entities").alias("entity_id", "e")).select(
-        *keys, "entity_id", "e.*"
-    )
+    return listed(graphs, keys, "entities", "entity_id")
 
 
 def relation_table(graphs: DataFrame, *keys: str) -> DataFrame:
     """One row per relation; the ends are entity indexes."""
-    return graphs.select(*keys, F.posexplode("relations").alias("relation_id", "r")).select(
-        *keys, "relation_id", "r.*"
-    )
+    return listed(graphs, keys, "relations", "relation_id")
 
 
 def graph_view(graphs: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
@@ -385,9 +467,8 @@ def graph_view(graphs: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
         F.lower("span").alias("span"),
         F.array_join(F.transform("modifiers", lambda m: F.lower(m["span"])), ",").alias("modifiers"),
     )
-    relations = graphs.select(
-        *keys, F.posexplode(named_relations(F.col("entities"), F.col("relations"))).alias("relation_id", "r")
-    ).select(*keys, "relation_id", "r.*")
+    named = named_relations(F.col("entities"), F.col("relations"))
+    relations = listed(graphs, keys, named, "relation_id")
     return entities, relations
 
 

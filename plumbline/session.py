@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings. Skewed joins are split by AQE even when that costs one more exchange.
 RUNTIME_CONF = {
@@ -50,3 +50,13 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="plumbline-")
     return f"{base.rstrip('/')}/plumbline-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a small scan over all cores before heavy column work.
+
+    A table in a handful of splits would keep most cores idle. A scan with enough splits - any
+    large table - is returned as it is, without an exchange.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

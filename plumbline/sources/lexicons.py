@@ -13,14 +13,14 @@ from plumbline.functions.text import last_word, strip
 MAX_INLINE_ENTRIES = 50_000
 
 
+def lexicon_entries(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Stripped lines without the empty ones, each once."""
+    return lines.select(strip(column).alias("entry")).where(F.length("entry") > 0).distinct()
+
+
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
-    """One entry per line: stripped, empty lines dropped, each entry once."""
-    return (
-        spark.read.text(path)
-        .select(strip("value").alias("entry"))
-        .where(F.length("entry") > 0)
-        .distinct()
-    )
+    """A word list from text files, one entry per line."""
+    return lexicon_entries(spark.read.text(path))
 
 
 def lexicon_values(lexicon: DataFrame | Iterable[str]) -> list[str]:
