@@ -93,12 +93,18 @@ def load_sample(
 
 
 def sample_stats(images: DataFrame, instances: DataFrame, captions: DataFrame) -> DataFrame:
-    """Per image the number of instances and captions and the total instance area."""
-    counted = instances.select("image_id", F.col("area").cast("double").alias("area"), F.lit(1).alias("i"), F.lit(0).alias("c")).unionByName(
-        captions.select("image_id", F.lit(0.0).alias("area"), F.lit(0).alias("i"), F.lit(1).alias("c"))
+    """Per image the number of instances and captions and the total instance area.
+
+    Areas are added as decimals, so the total does not depend on how the rows were split.
+    """
+    exact = "decimal(28,10)"
+    counted = instances.select(
+        "image_id", F.col("area").cast(exact).alias("area"), F.lit(1).alias("i"), F.lit(0).alias("c")
+    ).unionByName(
+        captions.select("image_id", F.lit(0).cast(exact).alias("area"), F.lit(0).alias("i"), F.lit(1).alias("c"))
     )
     totals = counted.groupBy("image_id").agg(
-        F.sum("i").alias("n_instances"), F.sum("c").alias("n_captions"), F.sum("area").alias("total_area")
+        F.sum("i").alias("n_instances"), F.sum("c").alias("n_captions"), F.sum("area").cast("double").alias("total_area")
     )
     return images.join(totals, "image_id", "left").select(
         "image_id",

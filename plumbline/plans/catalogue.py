@@ -205,8 +205,7 @@ def caption_texts(spark, sf_dir):
 
 def sample_stats(spark, sf_dir):
     tables = annotation_tables(spark, sf_dir)
-    stats = samples.sample_stats(tables["images"], tables["instances"], tables["captions"])
-    return stats.withColumn("total_area", F.round("total_area", 1))
+    return samples.sample_stats(tables["images"], tables["instances"], tables["captions"])
 
 
 def unknown_categories(spark, sf_dir):

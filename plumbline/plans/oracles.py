@@ -149,7 +149,7 @@ conj AS MATERIALIZED (
   SELECT doc_id, head AS of, i, text, lemma FROM tok WHERE dep = 'conj' AND head <> i
 ),
 x AS (
-  SELECT c.doc_id, c.root, r.dep AS rdep, h1.i AS i1, h1.text AS t1, h1.lemma AS l1, h1.dep AS d1,
+  SELECT c.doc_id, c.root, d.ws, r.dep AS rdep, h1.i AS i1, h1.text AS t1, h1.lemma AS l1, h1.dep AS d1,
     h2.i AS i2, h2.text AS t2, h2.lemma AS l2, h2.dep AS d2, h2.pos AS p2,
     h3.i AS i3, h3.pos AS p3, h3.head AS i4, s1.subject AS s1, s2.subject AS s2, s3.subject AS s3,
     CASE WHEN h3.i <= h1.i THEN array_to_string(d.ws[h3.i + 1 : h1.i + 1], ' ') ELSE '' END AS phrase
@@ -185,7 +185,9 @@ rel AS MATERIALIZED (
       WHEN b.rule = 'phrasal preposition' THEN phrase ELSE t1 END AS relation,
     CASE WHEN b.rule IN ('phrasal verb', 'modifier of noun', 'modifier of verb') THEN l2 || ' ' || l1
       WHEN b.rule = 'phrasal preposition' THEN
-        coalesce((SELECT string_agg(t.lemma, ' ' ORDER BY t.i) FROM tok t WHERE t.doc_id = b.doc_id AND t.i >= b.i3 AND t.i < b.i1), '')
+        CASE WHEN i3 < i1 THEN array_to_string(
+          list_transform(ws[i3 + 1 : i1], lambda x: CASE WHEN x = 'it' THEN '-PRON-' ELSE regexp_replace(x, 's$', '') END), ' ')
+        ELSE '' END
       ELSE l1 END AS lemma_relation
   FROM b WHERE rule IS NOT NULL
 ),
@@ -269,10 +271,10 @@ c AS (SELECT conv_id AS image_id, string_agg(content, ' ' ORDER BY turn) AS capt
 SELECT o_orderkey AS image_id, coalesce(captions, '') AS ground_truth
 FROM orders LEFT JOIN c ON c.image_id = o_orderkey""",
     "sample_stats": f"""WITH {_TURNS},
-i AS (SELECT l_orderkey AS image_id, count(*) AS n, sum(l_extendedprice) AS a FROM lineitem GROUP BY 1),
+i AS (SELECT l_orderkey AS image_id, count(*) AS n, sum(l_extendedprice::DECIMAL(28, 10))::DOUBLE AS a FROM lineitem GROUP BY 1),
 c AS (SELECT conv_id AS image_id, count(*) AS n FROM turns GROUP BY 1)
 SELECT o_orderkey AS image_id, o_orderkey || '.jpg' AS file_name, coalesce(i.n, 0)::BIGINT AS n_instances,
-  coalesce(c.n, 0)::BIGINT AS n_captions, round(coalesce(i.a, 0.0), 1) AS total_area
+  coalesce(c.n, 0)::BIGINT AS n_captions, coalesce(i.a, 0.0) AS total_area
 FROM orders LEFT JOIN i ON i.image_id = o_orderkey LEFT JOIN c ON c.image_id = o_orderkey""",
     "unknown_categories": """
 SELECT l_partkey AS category_id, count(*) AS instances FROM lineitem
@@ -346,13 +348,17 @@ SELECT *, CASE WHEN lemma_head IN ({_list(SCENE_WORDS)}) OR list_last(string_spl
   THEN 'scene' ELSE 'unknown' END AS type FROM named""",
     "rule_relations": _HASHED
     + """,
-ends AS (SELECT doc_id, i AS of, i FROM tok UNION ALL SELECT doc_id, of, i FROM conj)
+ends AS (SELECT doc_id, i AS of, i FROM tok UNION ALL SELECT doc_id, of, i FROM conj),
+cover AS (
+  SELECT doc_id, entity_id, root AS i FROM entity
+  UNION ALL SELECT doc_id, entity_id, start FROM entity WHERE start < root
+)
 SELECT r.doc_id, se.entity_id::INT AS subject, oe.entity_id::INT AS object, r.relation, r.lemma_relation
 FROM rel r
 JOIN ends s ON s.doc_id = r.doc_id AND s.of = r.subject
 JOIN ends o ON o.doc_id = r.doc_id AND o.of = r.object
-JOIN entity se ON se.doc_id = r.doc_id AND (se.root = s.i OR (se.start = s.i AND se.start < se.root))
-JOIN entity oe ON oe.doc_id = r.doc_id AND (oe.root = o.i OR (oe.start = o.i AND oe.start < oe.root))""",
+JOIN cover se ON se.doc_id = r.doc_id AND se.i = s.i
+JOIN cover oe ON oe.doc_id = r.doc_id AND oe.i = o.i""",
     "merged_entities": _DOCUMENT
     + """
 SELECT doc_id, head, coalesce(string_agg(adj, ',' ORDER BY k), '') AS attributes FROM chunk GROUP BY doc_id, head""",
