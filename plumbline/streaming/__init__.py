@@ -1,0 +1,10 @@
+"""Streams.
+
+There are no streaming operators. The stateless ones - everything in ``functions``,
+``extract_scene_graph``, ``graph_facts``, ``evaluatee_turns``, ``explode_transcripts``,
+``batch_infer``, ``chat_complete`` and ``annotate`` - take a streaming DataFrame as it is, so
+results can be processed as they arrive:
+
+    turns = spark.readStream.schema(TURNS).parquet(path)
+    evaluatee_turns(turns).withColumn("output", normalise_answer("content")).writeStream...
+"""
