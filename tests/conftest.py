@@ -18,6 +18,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
         .config("spark.driver.bindAddress", "127.0.0.1")
+        .config("spark.driver.host", "127.0.0.1")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="plumbline-tests-"))
         .getOrCreate()
     )
