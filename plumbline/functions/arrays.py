@@ -1,23 +1,41 @@
 """Array helpers that keep per-document work linear and inside one row.
 
-A document's tokens sit in one array, so a lookup "all entries with key k" must not scan
-the array again for every k. ``positional`` turns a sorted entry list into an array whose
-k-th element holds the entries with key k; from then on every lookup is one ``get``.
+A document's tokens sit in one array, so a look-up "all entries with key k" must not scan the
+array for every k. ``keyed`` sorts the entries by key and notes where each key starts; from
+then on a look-up is two ``get`` calls and a slice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body``."""
+    """Evaluate ``value`` once and use it several times in ``body``.
+
+    Spark copies what a lambda returns, so this is for small results; see ``computed``.
+    """
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are computed exactly once per row.
+
+    A plain ``withColumn`` may be repeated by the optimizer wherever the column is used - a
+    filter above, say, is pushed down with the whole expression in place of the column, and in
+    a chain of array columns that multiplies. Nothing is pushed or merged through a generator,
+    and the generator here makes one row of one: no shuffle, no extra rows.
+    """
+    packed = F.struct(*[c.alias(name) for name, c in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.explode_outer(F.array(packed)).alias("_computed")).select(
+        *kept, *[F.col(f"_computed.{name}").alias(name) for name in columns]
+    )
+
+
 def indices(array: Column) -> Column:
     """0-based positions of an array (empty for an empty array)."""
     return F.when(F.size(array) > 0, F.sequence(F.lit(0), F.size(array) - 1)).otherwise(
@@ -25,47 +43,41 @@ def indices(array: Column) -> Column:
     )
 
 
-def positional(entries: Column) -> Column:
-    """array<struct<k,...>> sorted by ``k`` -> array whose element k lists the entries with that key.
-
-    Keys are non-negative ints. Missing keys hold an empty list; keys past the last one are
-    simply absent, so read the result with ``get`` and treat NULL as empty.
+def keyed(entries: Column) -> Column:
+    """array<struct<k,...>> -> struct<entries, starts>: the entries sorted, and per key from 0
+    to one past the last the place where its entries start. Keys are non-negative ints.
     """
 
-    def grouped(e: Column) -> Column:
-        starts = F.filter(
-            indices(e),
-            lambda j: (j == 0) | (F.get(e, j)["k"] != F.get(e, j - 1)["k"]),
-        )
-        return let(
-            starts,
-            lambda s: F.transform(
-                s,
-                lambda at, g: F.struct(
-                    F.get(e, at)["k"].alias("k"),
-                    F.slice(e, at + 1, F.coalesce(F.get(s, g + 1), F.size(e)) - at).alias("items"),
-                ),
-            ),
+    def starts(e: Column) -> Column:
+        # entry j opens every key above its predecessor's up to its own
+        opened = F.transform(
+            e, lambda x, j: F.array_repeat(j, x["k"] - F.coalesce(F.get(e, j - 1)["k"], F.lit(-1)))
         )
+        return F.concat(F.flatten(opened), F.array(F.size(e)))
 
-    def filled(e: Column, groups: Column) -> Column:
-        nothing = F.slice(e, 1, 0)
-        return F.flatten(
-            F.transform(
-                groups,
-                lambda x, g: F.concat(
-                    F.array_repeat(nothing, x["k"] - F.coalesce(F.get(groups, g - 1)["k"], F.lit(-1)) - 1),
-                    F.array(x["items"]),
-                ),
-            )
-        )
+    return let(F.sort_array(entries), lambda e: F.struct(e.alias("entries"), starts(e).alias("starts")))
 
-    return let(entries, lambda e: let(grouped(e), lambda groups: filled(e, groups)))
 
+def _bounds(index: Column, key: Column) -> tuple[Column, Column]:
+    begin = F.coalesce(F.get(index["starts"], key), F.size(index["entries"]))
+    return begin, F.coalesce(F.get(index["starts"], key + 1), begin)
 
-def last(array: Column) -> Column:
-    return F.get(array, F.size(array) - 1)
+
+def entries_of(index: Column, key: Column) -> Column:
+    """All entries of a key, in order."""
+    begin, end = _bounds(index, key)
+    return F.slice(index["entries"], begin + 1, end - begin)
+
+
+def first_of(index: Column, key: Column) -> Column:
+    begin, end = _bounds(index, key)
+    return F.when(end > begin, F.get(index["entries"], begin))
 
 
-def first(array: Column) -> Column:
-    return F.get(array, F.lit(0))
+def last_of(index: Column, key: Column) -> Column:
+    begin, end = _bounds(index, key)
+    return F.when(end > begin, F.get(index["entries"], end - 1))
+
+
+def last(array: Column) -> Column:
+    return F.get(array, F.size(array) - 1)

@@ -45,9 +45,10 @@ def grader_messages(
 
 def concat_gradings(gradings: DataFrame, keys: list[str], *, turn: str = "turn", results: str = "gradings", part_rows: int = PART_ROWS) -> DataFrame:
     """All result lists of a sample joined in turn order (unparsed replies add nothing)."""
-    return nest_ordered(
-        gradings.where(F.col(results).isNotNull()), keys, [turn], F.col(results), "grading_results", part_rows
-    ).withColumn("grading_results", F.flatten("grading_results"))
+    lists = F.coalesce(F.col(results), F.array().cast(GRADINGS))
+    return nest_ordered(gradings, keys, [turn], lists, "grading_results", part_rows).withColumn(
+        "grading_results", F.flatten("grading_results")
+    )
 
 
 def grading_table(gradings: DataFrame, *keys: str, results: str = "gradings") -> DataFrame:

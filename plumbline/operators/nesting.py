@@ -41,6 +41,7 @@ def nest_ordered(
     """(keys, part, out) with ``out`` the items of the key in the given order.
 
     Sizes are counted by an action over the key columns only (combined before the shuffle).
+    Where the keys themselves are expensive to compute, write ``df`` first.
     """
     rows = df.select(*keys, *order, item.alias("_item"))
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > part_rows)

@@ -7,8 +7,8 @@ Input: one row per document with two arrays
 
 Output: the same rows with ``entities`` and ``relations`` arrays. A document never needs
 another document's rows, so the whole extraction is column work: no exchange, no join, no
-Python. Look-ups by token position go through ``positional`` arrays, which keeps the cost
-per document linear (times a log for sorting) however long the text is.
+Python. Look-ups by token position go through ``keyed`` arrays, which keeps the cost per
+document linear (times a log for sorting) however long the text is.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.arrays import first, indices, last, let, positional
+from plumbline.functions.arrays import computed, entries_of, first_of, indices, keyed, last, last_of, let
 from plumbline.functions.text import last_word
 from plumbline.sources.lexicons import lexicon_values
 
@@ -33,8 +33,6 @@ ENTITY = (
 )
 RELATION = "struct<subject:int,object:int,relation:string,lemma_relation:string>"
 
-_MEMBERS = "array<struct<k:int,path:array<int>,dep:string,text:string,lemma:string>>"
-
 # Labels of the dependency scheme the rules look at.
 _MODIFIER_DEPS = ("det", "nummod", "amod")
 _PRONOUN_LEMMA = "-PRON-"
@@ -60,12 +58,9 @@ def _children(tokens: Column, deps: tuple[str, ...]) -> Column:
 
 def _conjuncts(tokens: Column) -> Column:
     """Per head position, the tokens directly coordinated with it (one level)."""
-    return positional(
-        F.sort_array(
-            F.transform(
-                _children(tokens, ("conj",)),
-                lambda t: F.struct(t["head_i"].alias("k"), t["i"].alias("i"), t["text"].alias("text"), t["lemma"].alias("lemma")),
-            )
+    return keyed(
+        F.transform(
+            _children(tokens, ("conj",)), lambda t: F.struct(t["head_i"].alias("k"), t["i"].alias("i"))
         )
     )
 
@@ -80,7 +75,8 @@ def _phrase_members(tokens: Column) -> Column:
     relevant = _children(tokens, (*_MODIFIER_DEPS, "compound"))
 
     def is_compound(i: Column) -> Column:
-        return let(F.get(tokens, i), lambda t: (t["dep"] == "compound") & (t["head_i"] != t["i"]))
+        t = F.get(tokens, i)
+        return (t["dep"] == "compound") & (t["head_i"] != i)
 
     # the longest possible chain of compounds above compounds bounds the climb
     chained = F.size(
@@ -88,42 +84,41 @@ def _phrase_members(tokens: Column) -> Column:
     )
 
     def climb(t: Column, bound: Column) -> Column:
-        start = F.array(t["head_i"])
-        return F.when(
-            is_compound(t["head_i"]),
-            F.aggregate(
-                F.array_repeat(F.lit(0), bound + 1),
-                start,
-                lambda way, _: F.when(
-                    is_compound(last(way)), F.concat(way, F.array(F.get(tokens, last(way))["head_i"]))
-                ).otherwise(way),
-            ),
-        ).otherwise(start)
+        return F.aggregate(
+            F.array_repeat(F.lit(0), bound + 1),
+            F.array(t["head_i"]),
+            lambda way, _: F.when(
+                is_compound(last(way)), F.concat(way, F.array(F.get(tokens, last(way))["head_i"]))
+            ).otherwise(way),
+        )
 
-    def entries(t: Column, way: Column) -> Column:
+    def entry(t: Column, key: Column, path: Column) -> Column:
+        return F.struct(key.alias("k"), path.alias("path"), (t["dep"] == "compound").alias("compound"))
+
+    def passed(t: Column, way: Column) -> Column:
         return F.transform(
-            way,
-            lambda a, j: F.struct(
-                a.alias("k"),
-                F.concat(F.reverse(F.slice(way, F.lit(1), j)), F.array(t["i"])).alias("path"),
-                t["dep"].alias("dep"),
-                t["text"].alias("text"),
-                t["lemma"].alias("lemma"),
-            ),
+            way, lambda a, j: entry(t, a, F.concat(F.reverse(F.slice(way, F.lit(1), j)), F.array(t["i"])))
         )
 
-    return let(
+    # nearly all hang on their phrase's root directly
+    direct = F.transform(
+        F.filter(relevant, lambda t: ~is_compound(t["head_i"])),
+        lambda t: entry(t, t["head_i"], F.array(t["i"])),
+    )
+    through_compounds = let(
         chained,
-        lambda bound: positional(
-            F.sort_array(
-                F.flatten(F.transform(relevant, lambda t: let(climb(t, bound), lambda way: entries(t, way))))
+        lambda bound: F.flatten(
+            F.transform(
+                F.filter(relevant, lambda t: is_compound(t["head_i"])),
+                lambda t: let(climb(t, bound), lambda way: passed(t, way)),
             )
         ),
     )
+    return keyed(F.concat(direct, through_compounds))
 
 
 def _subjects(tokens: Column) -> Column:
-    """Per verb position, the position of its subject; of several the latest token decides."""
+    """Per verb position, its subjects by the token that names them."""
 
     def entry(t: Column) -> Column:
         head = F.get(tokens, t["head_i"])
@@ -137,146 +132,161 @@ def _subjects(tokens: Column) -> Column:
             .when(t["dep"] == "acl", row(t["i"], t["head_i"]))
             .when(
                 (t["dep"] == "pobj") & (head["dep"] == "agent") & (above["pos"] == "VERB"),
-                row(above["i"], t["i"]),
+                row(head["head_i"], t["i"]),
             )
         )
 
     triggers = F.filter(tokens, lambda t: t["dep"].isin("nsubj", "acl", "pobj"))
-    found = F.filter(F.transform(triggers, entry), lambda e: e.isNotNull())
-    return F.transform(positional(F.sort_array(found)), lambda same: last(same)["subject"])
+    return keyed(F.filter(F.transform(triggers, entry), lambda e: e.isNotNull()))
 
 
-def _candidates(
+def _found(
     tokens: Column, chunks: Column, subjects: Column, phrasal_verbs: list[str], phrasal_preps: list[str]
 ) -> Column:
-    """One relation (or NULL) per chunk, by token position. The order of the branches matters."""
+    """The relation each chunk's root takes part in as object, by token position.
 
-    def relation(subject: Column, r: Column, text: Column, lemma: Column, fake: Column | None = None) -> Column:
+    The order of the branches matters.
+    """
+
+    def relation(subject: Column, object_: Column, text: Column, lemma: Column, fake: Column | None = None) -> Column:
         return F.struct(
             subject.alias("subject"),
-            r["i"].alias("object"),
+            object_.alias("object"),
             text.alias("relation"),
             lemma.alias("lemma_relation"),
             (F.lit(None).cast("int") if fake is None else fake).alias("fake"),
         )
 
-    def subject_of(t: Column) -> Column:
-        return F.get(subjects, t["i"])
+    def subject_of(i: Column) -> Column:
+        # of several subjects the latest token decides
+        return last_of(subjects, i)["subject"]
+
+    def of_root(up: Column) -> Column:
+        r, h1, h2, h3 = (F.get(tokens, up[name]) for name in ("i0", "i1", "i2", "i3"))
+        subject = subject_of(up["i2"])
 
-    def both(a: Column, b: Column, field: str) -> Column:
-        return F.concat(a[field], F.lit(" "), b[field])
+        def by(who: Column, text: Column, lemma: Column, fake: Column | None = None) -> Column:
+            return relation(who, up["i0"], text, lemma, fake)
+
+        def both(field: str) -> Column:
+            return F.concat(h2[field], F.lit(" "), h1[field])
 
-    def of_object_of_preposition(r: Column, h1: Column, h2: Column, h3: Column) -> Column:
-        phrase = span_text(tokens, h3["i"], h1["i"] + 1)
         by_preposition = (h1["text"], h1["lemma"])
-        by_modifier = (both(h2, h1, "text"), both(h2, h1, "lemma"))
+        by_two_words = (both("text"), both("lemma"))
+        phrase = span_text(tokens, up["i3"], up["i1"] + 1)
         modifier = h2["dep"].isin("amod", "advmod")
         return (
-            F.when(h1["dep"] == "agent", F.lit(None))
+            F.when(
+                r["dep"] != "pobj",
+                F.when(subject_of(up["i1"]).isNotNull(), by(subject_of(up["i1"]), *by_preposition)),
+            )
+            .when(h1["dep"] == "agent", F.lit(None))
             .when(
                 (h2["pos"] == "VERB")
-                & (h2["i"] + 1 == h1["i"])
-                & both(h2, h1, "lemma").isin(phrasal_verbs)
-                & subject_of(h2).isNotNull(),
-                relation(subject_of(h2), r, both(h2, h1, "text"), both(h2, h1, "lemma")),
+                & (up["i2"] + 1 == up["i1"])
+                & both("lemma").isin(phrasal_verbs)
+                & subject.isNotNull(),
+                by(subject, *by_two_words),
             )
             .when(
-                ((h2["pos"] == "VERB") | (h2["dep"] == "acl")) & subject_of(h2).isNotNull(),
-                relation(subject_of(h2), r, *by_preposition),
+                ((h2["pos"] == "VERB") | (h2["dep"] == "acl")) & subject.isNotNull(),
+                by(subject, *by_preposition),
             )
             .when(
                 (h2["dep"] == "pobj") & F.lower(phrase).isin(phrasal_preps),
                 # the lemma stops one token short of the text
-                relation(h3["head_i"], r, phrase, span_text(tokens, h3["i"], h1["i"], "lemma"), fake=h2["i"]),
-            )
-            .when(h2["pos"] == "NOUN", relation(h2["i"], r, *by_preposition))
-            .when(modifier & (h3["pos"] == "NOUN"), relation(h3["i"], r, *by_modifier))
-            .when(
-                modifier & (h3["pos"] == "VERB") & subject_of(h3).isNotNull(),
-                relation(subject_of(h3), r, *by_modifier),
+                by(h3["head_i"], phrase, span_text(tokens, up["i3"], up["i1"], "lemma"), fake=up["i2"]),
             )
+            .when(h2["pos"] == "NOUN", by(up["i2"], *by_preposition))
+            .when(modifier & (h3["pos"] == "NOUN"), by(up["i3"], *by_two_words))
             .when(
-                (h2["pos"] == "AUX") & subject_of(h2).isNotNull(),
-                relation(subject_of(h2), r, *by_preposition),
+                modifier & (h3["pos"] == "VERB") & subject_of(up["i3"]).isNotNull(),
+                by(subject_of(up["i3"]), *by_two_words),
             )
+            .when((h2["pos"] == "AUX") & subject.isNotNull(), by(subject, *by_preposition))
         )
 
-    def of_root(r: Column) -> Column:
-        def with_head(h1: Column) -> Column:
-            direct = relation(subject_of(h1), r, h1["text"], h1["lemma"])
-            return (
-                F.when(r["dep"].isin("dobj", "attr", "nsubjpass") & subject_of(h1).isNotNull(), direct)
-                .when(
-                    r["dep"] == "pobj",
-                    let(
-                        F.get(tokens, h1["head_i"]),
-                        lambda h2: let(
-                            F.get(tokens, h2["head_i"]), lambda h3: of_object_of_preposition(r, h1, h2, h3)
-                        ),
-                    ),
-                )
-            )
+    def ancestors(c: Column) -> Column:
+        def above(i: Column) -> Column:
+            return F.get(tokens, i)["head_i"]
+
+        i1 = above(c["root_i"])
+        return F.struct(
+            c["root_i"].alias("i0"), i1.alias("i1"), above(i1).alias("i2"), above(above(i1)).alias("i3")
+        )
+
+    objects = F.filter(
+        chunks, lambda c: F.get(tokens, c["root_i"])["dep"].isin("dobj", "attr", "nsubjpass", "pobj")
+    )
+    return F.filter(F.transform(F.transform(objects, ancestors), of_root), lambda x: x.isNotNull())
+
+
+def _kept(tokens: Column, chunks: Column, found: Column, drop_pronouns: bool) -> Column:
+    """Chunks that are entities: no pronouns, no nouns used up by a phrasal preposition."""
 
-        return let(F.get(tokens, r["head_i"]), with_head)
+    def is_pronoun(chunk: Column) -> Column:
+        root = F.get(tokens, chunk["root_i"])
+        hit = root["lemma"] == _PRONOUN_LEMMA
+        if drop_pronouns:
+            hit = hit | (root["pos"] == "PRON")
+        return F.coalesce(hit, F.lit(False))
+
+    def fake(marks: Column) -> Column:
+        return F.filter(chunks, lambda x: ~is_pronoun(x) & ~F.array_contains(marks, x["root_i"]))
 
-    return F.transform(chunks, lambda c: let(F.get(tokens, c["root_i"]), of_root))
+    marks = F.filter(F.transform(found, lambda x: x["fake"]), lambda x: x.isNotNull())
+    return let(marks, fake)
 
 
 def _entity(c: Column, tokens: Column, members: Column, conjuncts: Column, scene_nouns: list[str]) -> Column:
-    own = F.coalesce(F.get(members, c["root_i"]), F.array().cast(_MEMBERS))
+    root = F.get(tokens, c["root_i"])
 
-    def modifier(dep: Column, t: Column) -> Column:
+    def modifier(i: Column, dep: Column) -> Column:
+        t = F.get(tokens, i)
         return F.struct(dep.alias("dep"), t["text"].alias("span"), t["lemma"].alias("lemma_span"))
 
-    def expanded(m: Column) -> Column:
+    def with_conjuncts(i: Column) -> Column:
         # an adjective brings the adjectives coordinated with it along
-        more = F.when(m["dep"] == "amod", F.get(conjuncts, last(m["path"])))
-        return F.concat(
-            F.array(modifier(m["dep"], m)),
-            F.coalesce(F.transform(more, lambda y: modifier(m["dep"], y)), F.array().cast(f"array<{MODIFIER}>")),
-        )
+        dep = F.get(tokens, i)["dep"]
+        more = F.when(dep == "amod", F.transform(entries_of(conjuncts, i), lambda y: modifier(y["i"], dep)))
+        return F.concat(F.array(modifier(i, dep)), F.coalesce(more, F.array().cast(f"array<{MODIFIER}>")))
 
-    def modifiers(plain: Column) -> Column:
+    def modifiers(mine: Column) -> Column:
+        plain = F.filter(mine, lambda m: ~m["compound"])
         return F.when(
-            F.size(conjuncts) == 0, F.transform(plain, lambda m: modifier(m["dep"], m))
-        ).otherwise(F.flatten(F.transform(plain, expanded)))
+            F.size(conjuncts["entries"]) == 0,
+            F.transform(plain, lambda m: modifier(last(m["path"]), F.get(tokens, last(m["path"]))["dep"])),
+        ).otherwise(F.flatten(F.transform(plain, lambda m: with_conjuncts(last(m["path"])))))
 
-    def name(compounds: Column, root: Column, field: str) -> Column:
+    def name(mine: Column, field: str) -> Column:
         # each compound is put in front of what is there, so they end up reversed
-        texts = F.transform(compounds, lambda m: m[field])
-        return F.when(F.size(compounds) == 0, root[field]).otherwise(
-            F.array_join(F.concat(F.reverse(texts), F.array(root[field])), " ")
-        )
+        compounds = F.filter(mine, lambda m: m["compound"])
+        texts = F.transform(compounds, lambda m: F.get(tokens, last(m["path"]))[field])
+        return F.when(
+            F.exists(mine, lambda m: m["compound"]),
+            F.array_join(F.concat(F.reverse(texts), F.array(root[field])), " "),
+        ).otherwise(root[field])
 
-    def build(mine: Column, compounds: Column, root: Column) -> Column:
-        return let(
-            name(compounds, root, "lemma"),
-            lambda lemma_head: F.struct(
-                c["text"].alias("span"),
-                c["lemma"].alias("lemma_span"),
-                name(compounds, root, "text").alias("head"),
-                lemma_head.alias("lemma_head"),
-                F.struct(c["start"].alias("start"), c["end"].alias("end")).alias("span_bounds"),
-                F.when(F.size(compounds) == 0, modifiers(mine))
-                .otherwise(modifiers(F.filter(mine, lambda m: m["dep"] != "compound")))
-                .alias("modifiers"),
-                F.when(is_scene_noun(lemma_head, scene_nouns), F.lit("scene"))
-                .otherwise(F.lit("unknown"))
-                .alias("type"),
-            ),
+    def build(mine: Column) -> Column:
+        return F.struct(
+            c["text"].alias("span"),
+            c["lemma"].alias("lemma_span"),
+            name(mine, "text").alias("head"),
+            name(mine, "lemma").alias("lemma_head"),
+            F.struct(c["start"].alias("start"), c["end"].alias("end")).alias("span_bounds"),
+            modifiers(mine).alias("modifiers"),
+            F.when(is_scene_noun(name(mine, "lemma"), scene_nouns), F.lit("scene"))
+            .otherwise(F.lit("unknown"))
+            .alias("type"),
         )
 
-    return let(
-        own,
-        lambda mine: let(
-            F.filter(mine, lambda m: m["dep"] == "compound"),
-            lambda compounds: let(F.get(tokens, c["root_i"]), lambda root: build(mine, compounds, root)),
-        ),
-    )
+    return let(entries_of(members, c["root_i"]), build)
 
 
 def is_scene_noun(noun: Column, scene_nouns: list[str]) -> Column:
     """The whole noun or its last word is listed; case matters."""
+    if not scene_nouns:
+        return F.lit(False)
     return F.coalesce(noun.isin(scene_nouns) | last_word(noun).isin(scene_nouns), F.lit(False))
 
 
@@ -288,7 +298,8 @@ def _locations(kept: Column) -> Column:
         return F.coalesce(F.get(kept, n - 1)["end"], F.lit(0))
 
     def in_order(n: Column) -> Column:
-        return let(F.get(kept, n), lambda c: (c["start"] >= previous_end(n)) & (c["end"] >= c["start"]))
+        c = F.get(kept, n)
+        return (c["start"] >= previous_end(n)) & (c["end"] >= c["start"])
 
     # noun chunks follow each other without overlap: lay their indexes out side by side
     side_by_side = F.flatten(
@@ -301,22 +312,19 @@ def _locations(kept: Column) -> Column:
         )
     )
 
-    covered = F.flatten(
-        F.transform(
-            kept,
-            lambda c, n: F.when(
-                c["end"] > c["start"],
-                F.transform(
-                    F.sequence(c["start"], c["end"] - 1), lambda p: F.struct(p.alias("k"), n.alias("n"))
-                ),
-            ).otherwise(F.array().cast("array<struct<k:int,n:int>>")),
-        )
-    )
-    first_cover = F.transform(positional(F.sort_array(covered)), lambda same: first(same)["n"])
+    def cover(c: Column, n: Column) -> Column:
+        positions = F.sequence(c["start"], c["end"] - 1)
+        return F.when(
+            c["end"] > c["start"], F.transform(positions, lambda p: F.struct(p.alias("k"), n.alias("n")))
+        ).otherwise(F.array().cast("array<struct<k:int,n:int>>"))
+
+    def first_cover(index: Column) -> Column:
+        return F.transform(indices(index["starts"]), lambda p: first_of(index, p)["n"])
+
     return (
         F.when(F.size(kept) == 0, nowhere)
         .when(F.forall(indices(kept), in_order), side_by_side)
-        .otherwise(first_cover)
+        .otherwise(let(keyed(F.flatten(F.transform(kept, cover))), first_cover))
     )
 
 
@@ -324,8 +332,7 @@ def _located(found: Column, conjuncts: Column, where: Column) -> Column:
     """Spread each relation over the conjuncts of its ends and map positions to entities."""
 
     def with_conjuncts(i: Column) -> Column:
-        others = F.coalesce(F.transform(F.get(conjuncts, i), lambda y: y["i"]), F.array().cast("array<int>"))
-        return F.concat(F.array(i), others)
+        return F.concat(F.array(i), F.transform(entries_of(conjuncts, i), lambda y: y["i"]))
 
     def spread(x: Column) -> Column:
         return F.flatten(
@@ -349,67 +356,6 @@ def _located(found: Column, conjuncts: Column, where: Column) -> Column:
     )
 
 
-def scene_graph(
-    tokens: Column,
-    chunks: Column,
-    phrasal_verbs: list[str],
-    phrasal_preps: list[str],
-    scene_nouns: list[str],
-    drop_pronouns: bool = False,
-) -> Column:
-    """struct<entities, relations> of one document.
-
-    The intermediate arrays are bound inside one expression instead of being columns of their
-    own: a predicate on the result that Catalyst pushes down then repeats the extraction once,
-    not once for every reference at every stage.
-    """
-
-    def is_pronoun(t: Column, chunk: Column) -> Column:
-        root = F.get(t, chunk["root_i"])
-        hit = root["lemma"] == _PRONOUN_LEMMA
-        if drop_pronouns:
-            hit = hit | (root["pos"] == "PRON")
-        return F.coalesce(hit, F.lit(False))
-
-    def result(t: Column, found: Column, kept: Column) -> Column:
-        return let(
-            _conjuncts(t),
-            lambda conjuncts: F.struct(
-                let(
-                    _phrase_members(t),
-                    lambda members: F.transform(kept, lambda c: _entity(c, t, members, conjuncts, scene_nouns)),
-                ).alias("entities"),
-                let(_locations(kept), lambda where: _located(found, conjuncts, where)).alias("relations"),
-            ),
-        )
-
-    def kept_chunks(t: Column, c: Column, found: Column) -> Column:
-        fake = F.filter(F.transform(found, lambda x: x["fake"]), lambda x: x.isNotNull())
-        return let(
-            fake,
-            lambda marks: F.filter(c, lambda x: ~is_pronoun(t, x) & ~F.array_contains(marks, x["root_i"])),
-        )
-
-    def relations_found(t: Column, c: Column) -> Column:
-        return let(
-            _subjects(t),
-            lambda subjects: F.filter(
-                _candidates(t, c, subjects, phrasal_verbs, phrasal_preps), lambda x: x.isNotNull()
-            ),
-        )
-
-    return let(
-        tokens,
-        lambda t: let(
-            chunks,
-            lambda c: let(
-                relations_found(t, c),
-                lambda found: let(kept_chunks(t, c, found), lambda kept: result(t, found, kept)),
-            ),
-        ),
-    )
-
-
 def extract_scene_graph(
     df: DataFrame,
     *,
@@ -426,17 +372,29 @@ def extract_scene_graph(
     Pronoun chunks are dropped when their root has the placeholder lemma of older parsers;
     ``drop_pronouns`` also drops those tagged PRON. ``keep_tokens=False`` drops the parse.
     """
-    lexicons = [lexicon_values(x) for x in (phrasal_verbs, phrasal_preps, scene_nouns)]
-    graph = (
-        df.withColumn("_graph", scene_graph(F.col(tokens), F.col(chunks), *lexicons, drop_pronouns))
-        .withColumns({"entities": F.col("_graph.entities"), "relations": F.col("_graph.relations")})
-        .drop("_graph")
+    verbs, preps, scenes = (lexicon_values(x) for x in (phrasal_verbs, phrasal_preps, scene_nouns))
+    t, c = F.col(tokens), F.col(chunks)
+    subjects, conjuncts, members, found, kept, where = (
+        F.col(n) for n in ("_subjects", "_conjuncts", "_members", "_found", "_kept", "_where")
+    )
+    steps = computed(
+        df, {"_subjects": _subjects(t), "_conjuncts": _conjuncts(t), "_members": _phrase_members(t)}
     )
+    steps = computed(steps, {"_found": _found(t, c, subjects, verbs, preps)}).drop("_subjects")
+    steps = computed(steps, {"_kept": _kept(t, c, found, drop_pronouns)})
+    steps = computed(steps, {"_where": _locations(kept)})
+    graph = computed(
+        steps,
+        {
+            "entities": F.transform(kept, lambda x: _entity(x, t, members, conjuncts, scenes)),
+            "relations": _located(found, conjuncts, where),
+        },
+    ).drop("_conjuncts", "_members", "_found", "_kept", "_where")
     return graph if keep_tokens else graph.drop(tokens, chunks)
 
 
 def listed(df: DataFrame, keys: tuple[str, ...], array: Column | str, position: str) -> DataFrame:
-    """One row per element of a computed array: keys, its position, its fields.
+    """One row per element of an array of structs: keys, its position, its fields.
 
     The outer form with the test behind it keeps Catalyst from adding a "not empty" filter
     below the generator, which would compute the array a second time.

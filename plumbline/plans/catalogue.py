@@ -79,13 +79,13 @@ def annotation_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def document_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return scenegraph.extract_scene_graph(shallow_tokens(docs, "text").drop("text"), keep_tokens=False)
+    return scenegraph.extract_scene_graph(shallow_tokens(docs, "text"), keep_tokens=False)
 
 
 def hashed_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return scenegraph.extract_scene_graph(
-        hashed_tokens(docs, "text", "doc_id").drop("text"),
+        hashed_tokens(docs, "text", "doc_id"),
         phrasal_verbs=PHRASAL_VERBS,
         phrasal_preps=PHRASAL_PREPS,
         scene_nouns=SCENE_WORDS,
@@ -100,7 +100,7 @@ def conversation_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     side = F.when(F.col("role") == transcripts.EVALUATOR, scoring.TRUTH).otherwise(scoring.MODEL)
     said = spread(turns(spark, sf_dir)).select("conv_id", side.alias("side"), "content")
-    graphs = scenegraph.extract_scene_graph(shallow_tokens(said, "content").drop("content"), keep_tokens=False)
+    graphs = scenegraph.extract_scene_graph(shallow_tokens(said, "content"), keep_tokens=False)
     return scoring.graph_facts(graphs, "conv_id", "side")
 
 
@@ -117,7 +117,7 @@ def normalise_answers(spark, sf_dir):
 
 
 def text_edges(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select(
         "doc_id",
         tx.cut_at("text", " the ").alias("before_marker"),
@@ -170,7 +170,7 @@ def vqa_prompts(spark, sf_dir):
 
 
 def lexicon_scan(spark, sf_dir):
-    lines = read(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
+    lines = spread(read(spark, sf_dir, "documents").select("text")).select(F.explode(F.split("text", "\n")).alias("line"))
     return lexicons.lexicon_entries(lines, "line")
 
 
@@ -316,7 +316,8 @@ def rule_relations(spark, sf_dir):
 
 def merged_entities(spark, sf_dir):
     entities = scenegraph.entity_table(document_graphs(spark, sf_dir), "doc_id")
-    merged = scoring.merge_entities(entities, ["doc_id"])
+    rows = inference.materialise(entities.select("doc_id", "entity_id", "head", "modifiers"))
+    merged = scoring.merge_entities(rows, ["doc_id"])
     return merged.select("doc_id", "head", F.array_join("attributes", ",").alias("attributes"))
 
 
@@ -352,7 +353,7 @@ def probe_scores(spark, sf_dir):
 
 
 def batch_inference(spark, sf_dir):
-    docs = spread(read(spark, sf_dir, "documents")).select(
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(
         "doc_id", "source", F.concat("doc_id", F.lit(".jpg")).alias("image"), F.col("text").alias("question")
     )
     answered = inference.batch_infer(docs, stubs.word_count_model)
@@ -379,7 +380,7 @@ def chat_replies(spark, sf_dir):
 
 
 def annotated_turns(spark, sf_dir):
-    parsed = inference.annotate(turns(spark, sf_dir), "content", stubs.long_word_annotator)
+    parsed = inference.annotate(spread(turns(spark, sf_dir)), "content", stubs.long_word_annotator)
     graphs = scenegraph.extract_scene_graph(parsed)
     heads = F.array_join(F.transform("entities", lambda e: e["head"]), " ")
     return graphs.select("conv_id", "turn", F.size("tokens").alias("n_tokens"), heads.alias("heads"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.arrays import indices, let
+from plumbline.functions.arrays import computed, indices
 
 # The word classes of the shallow rule; every other word is a noun-like N.
 DETERMINERS = ["a", "an", "the"]
@@ -48,161 +48,128 @@ def _chunk(k: Column, start: Column, end: Column, root: Column, texts: Column, l
     )
 
 
-def shallow_parse(text: Column) -> Column:
-    """struct<tokens, chunks>.
+def shallow_tokens(df: DataFrame, text: str) -> DataFrame:
+    """Add ``tokens`` and ``chunks``; the text is dropped.
 
     A run of N words is a chunk: its last word the root, the others adjectives of it, an article
     just before its determiner. A preposition directly between two chunks hangs on the first
     root and governs the second.
     """
+    w, c, starts, ends, run = (F.col(n) for n in ("_w", "_c", "_starts", "_ends", "_run"))
 
-    def classes(w: Column) -> Column:
-        return F.transform(
-            w, lambda x: F.when(x.isin(DETERMINERS), "D").when(x.isin(PREPOSITIONS), "P").otherwise("N")
-        )
-
-    def runs(starts: Column, ends: Column) -> Column:
-        # per position up to the last N, the number of its run
-        return F.flatten(
-            F.transform(
-                starts,
-                lambda s, k: F.concat(
-                    F.array_repeat(F.lit(None).cast("int"), s - F.coalesce(F.get(ends, k - 1), F.lit(-1)) - 1),
-                    F.array_repeat(k, F.get(ends, k) - s + 1),
-                ),
-            )
-        )
-
-    def parse(w: Column, c: Column, starts: Column, ends: Column, run: Column) -> Column:
-        def is_n(i: Column) -> Column:
-            return F.coalesce(F.get(c, i) == "N", F.lit(False))
-
-        def is_d(i: Column) -> Column:
-            return F.coalesce(F.get(c, i) == "D", F.lit(False))
+    def is_n(i: Column) -> Column:
+        return F.coalesce(F.get(c, i) == "N", F.lit(False))
 
-        def governs(i: Column) -> Column:
-            chunk_follows = is_n(i + 1) | (is_d(i + 1) & is_n(i + 2))
-            return F.coalesce(F.get(c, i) == "P", F.lit(False)) & is_n(i - 1) & chunk_follows
+    def is_d(i: Column) -> Column:
+        return F.coalesce(F.get(c, i) == "D", F.lit(False))
 
-        def start_of(k: Column) -> Column:
-            s = F.get(starts, k)
-            return s - F.when(is_d(s - 1), 1).otherwise(0)
+    def governs(i: Column) -> Column:
+        chunk_follows = is_n(i + 1) | (is_d(i + 1) & is_n(i + 2))
+        return F.coalesce(F.get(c, i) == "P", F.lit(False)) & is_n(i - 1) & chunk_follows
 
-        def token(text: Column, i: Column) -> Column:
-            before = start_of(F.get(run, i)) - 1
-            root = F.get(ends, F.get(run, i))
+    def start_of(k: Column) -> Column:
+        s = F.get(starts, k)
+        return s - F.when(is_d(s - 1), 1).otherwise(0)
 
-            def labelled(pos: str, dep: str, head: Column) -> Column:
-                return _token(i, text, text, F.lit(pos), F.lit(dep), head)
+    def token(text: Column, i: Column) -> Column:
+        before = start_of(F.get(run, i)) - 1
+        root = F.get(ends, F.get(run, i))
 
-            return (
-                F.when(is_n(i) & (i != root), labelled("ADJ", "amod", root))
-                .when(is_n(i) & governs(before), labelled("NOUN", "pobj", before))
-                .when(is_n(i), labelled("NOUN", "ROOT", i))
-                .when(is_d(i) & is_n(i + 1), labelled("DET", "det", F.get(ends, F.get(run, i + 1))))
-                .when(is_d(i), labelled("DET", "ROOT", i))
-                .when(governs(i), labelled("ADP", "prep", i - 1))
-                .otherwise(labelled("ADP", "ROOT", i))
-            )
+        def labelled(pos: str, dep: str, head: Column) -> Column:
+            return _token(i, text, text, F.lit(pos), F.lit(dep), head)
 
-        def chunk(_: Column, k: Column) -> Column:
-            return _chunk(k, start_of(k), F.get(ends, k) + 1, F.get(ends, k), w, w)
-
-        return F.struct(F.transform(w, token).alias("tokens"), F.transform(starts, chunk).alias("chunks"))
-
-    def edges(c: Column, step: int) -> Column:
-        return F.filter(
-            indices(c), lambda i: (F.get(c, i) == "N") & F.coalesce(F.get(c, i + step) != "N", F.lit(True))
+        return (
+            F.when(is_n(i) & (i != root), labelled("ADJ", "amod", root))
+            .when(is_n(i) & governs(before), labelled("NOUN", "pobj", before))
+            .when(is_n(i), labelled("NOUN", "ROOT", i))
+            .when(is_d(i) & is_n(i + 1), labelled("DET", "det", F.get(ends, F.get(run, i + 1))))
+            .when(is_d(i), labelled("DET", "ROOT", i))
+            .when(governs(i), labelled("ADP", "prep", i - 1))
+            .otherwise(labelled("ADP", "ROOT", i))
         )
 
-    return let(
-        words(text),
-        lambda w: let(
-            classes(w),
-            lambda c: let(
-                edges(c, -1),
-                lambda starts: let(
-                    edges(c, 1),
-                    lambda ends: let(runs(starts, ends), lambda run: parse(w, c, starts, ends, run)),
-                ),
+    def chunk(_: Column, k: Column) -> Column:
+        return _chunk(k, start_of(k), F.get(ends, k) + 1, F.get(ends, k), w, w)
+
+    classes = F.transform(
+        w, lambda x: F.when(x.isin(DETERMINERS), "D").when(x.isin(PREPOSITIONS), "P").otherwise("N")
+    )
+    # per position up to the last N, the number of its run
+    runs = F.flatten(
+        F.transform(
+            starts,
+            lambda s, k: F.concat(
+                F.array_repeat(F.lit(None).cast("int"), s - F.coalesce(F.get(ends, k - 1), F.lit(-1)) - 1),
+                F.array_repeat(k, F.get(ends, k) - s + 1),
             ),
-        ),
+        )
     )
-
-
-def _with_parse(df: DataFrame, parse: Column) -> DataFrame:
-    return (
-        df.withColumn("_parse", parse)
-        .withColumns({"tokens": F.col("_parse.tokens"), "chunks": F.col("_parse.chunks")})
-        .drop("_parse")
+    steps = computed(df, {"_w": words(text)}).drop(text)
+    steps = computed(steps, {"_c": classes})
+    steps = computed(
+        steps,
+        {
+            "_starts": F.filter(indices(c), lambda i: is_n(i) & ~is_n(i - 1)),
+            "_ends": F.filter(indices(c), lambda i: is_n(i) & ~is_n(i + 1)),
+        },
+    )
+    steps = computed(steps, {"_run": runs})
+    return computed(steps, {"tokens": F.transform(w, token), "chunks": F.transform(starts, chunk)}).drop(
+        "_w", "_c", "_starts", "_ends", "_run"
     )
 
 
-def shallow_tokens(df: DataFrame, text: str) -> DataFrame:
-    """Add ``tokens`` and ``chunks`` by the shallow rule."""
-    return _with_parse(df, shallow_parse(F.col(text)))
-
-
-def hashed_parse(text: Column, key: Column) -> Column:
-    """struct<tokens, chunks> of a made-up parse in which every rule occurs.
+def hashed_tokens(df: DataFrame, text: str, key: str) -> DataFrame:
+    """Add ``tokens`` and ``chunks`` of a made-up parse in which every rule occurs; the text is dropped.
 
     Tags, labels and heads are drawn by a hash of word and place. Every stretch of WINDOW words
     is one tree around its centre word: words before it hang on a later word, words behind it
     on an earlier one.
     """
+    w, lemmas, draws = F.col("_w"), F.col("_l"), F.col("_d")
 
-    def parse(w: Column, lemmas: Column) -> Column:
-        def drawn(i: Column, by_place: int, by_letter: int, by_length: int, by_key: int, modulus: int) -> Column:
-            word = F.get(w, i)
-            return (i * by_place + F.ascii(word) * by_letter + F.length(word) * by_length + key * by_key) % modulus
-
-        def dep_draw(i: Column) -> Column:
-            return drawn(i, 31, 17, 7, 1, 101)
-
-        def pos_draw(i: Column) -> Column:
-            return drawn(i, 57, 5, 29, 3, 103)
-
-        def chunk_draw(i: Column) -> Column:
-            return drawn(i, 11, 41, 3, 7, 107)
-
-        def head(i: Column) -> Column:
-            base = i - i % WINDOW
-            centre = base + (key + base) % F.least(F.lit(WINDOW), F.size(w) - base)
-            return let(
-                centre,
-                lambda c: F.when(i < c, i + 1 + pos_draw(i) % (c - i))
-                .when(i > c, i - 1 - pos_draw(i) % (i - c))
-                .otherwise(i),
-            )
-
-        def token(text: Column, i: Column) -> Column:
-            deps, tags = F.array(*map(F.lit, HASHED_DEPS)), F.array(*map(F.lit, HASHED_POS))
-            return _token(
-                i, text, F.get(lemmas, i),
-                F.get(tags, (pos_draw(i) % len(HASHED_POS)).cast("int")),
-                F.get(deps, (dep_draw(i) % len(HASHED_DEPS)).cast("int")),
-                head(i),
-            )
-
-        def is_root(i: Column) -> Column:
-            return F.coalesce(chunk_draw(i) % 3 == 0, F.lit(False))
-
-        def chunk(r: Column, k: Column) -> Column:
-            two_words = (r > 0) & ~is_root(r - 1) & (pos_draw(r) % 2 == 0)
-            start = r - F.when(two_words, 1).otherwise(0)
-            return _chunk(k, start, r + 1, r, w, lemmas)
+    def drawn(word: Column, i: Column, by_place: int, by_letter: int, by_length: int, by_key: int, modulus: int) -> Column:
+        number = i * by_place + F.ascii(word) * by_letter + F.length(word) * by_length + F.col(key) * by_key
+        return (number % modulus).cast("int")
 
+    def draw(word: Column, i: Column) -> Column:
         return F.struct(
-            F.transform(w, token).alias("tokens"),
-            F.transform(F.filter(indices(w), is_root), chunk).alias("chunks"),
+            drawn(word, i, 31, 17, 7, 1, 101).alias("dep"),
+            drawn(word, i, 57, 5, 29, 3, 103).alias("pos"),
+            drawn(word, i, 11, 41, 3, 7, 107).alias("chunk"),
         )
 
     def lemma(x: Column) -> Column:
         return F.when(x == "it", "-PRON-").when(x.endswith("s"), F.substr(x, F.lit(1), F.length(x) - 1)).otherwise(x)
 
-    return let(words(text), lambda w: let(F.transform(w, lemma), lambda lemmas: parse(w, lemmas)))
+    def head(i: Column) -> Column:
+        base = i - i % WINDOW
+        centre = base + (F.col(key) + base) % F.least(F.lit(WINDOW), F.size(w) - base)
+        turn = F.get(draws, i)["pos"]
+        return (
+            F.when(i < centre, i + 1 + turn % (centre - i))
+            .when(i > centre, i - 1 - turn % (i - centre))
+            .otherwise(i)
+        )
 
+    def token(text: Column, i: Column) -> Column:
+        deps, tags = F.array(*map(F.lit, HASHED_DEPS)), F.array(*map(F.lit, HASHED_POS))
+        d = F.get(draws, i)
+        return _token(
+            i, text, F.get(lemmas, i),
+            F.get(tags, d["pos"] % len(HASHED_POS)), F.get(deps, d["dep"] % len(HASHED_DEPS)), head(i),
+        )
 
-def hashed_tokens(df: DataFrame, text: str, key: str) -> DataFrame:
-    """Add ``tokens`` and ``chunks`` of the made-up parse."""
-    return _with_parse(df, hashed_parse(F.col(text), F.col(key)))
+    def is_root(i: Column) -> Column:
+        return F.coalesce(F.get(draws, i)["chunk"] % 3 == 0, F.lit(False))
+
+    def chunk(r: Column, k: Column) -> Column:
+        two_words = (r > 0) & ~is_root(r - 1) & (F.get(draws, r)["pos"] % 2 == 0)
+        start = r - F.when(two_words, 1).otherwise(0)
+        return _chunk(k, start, r + 1, r, w, lemmas)
+
+    steps = computed(df, {"_w": words(text)}).drop(text)
+    steps = computed(steps, {"_l": F.transform(w, lemma), "_d": F.transform(w, draw)})
+    return computed(
+        steps, {"tokens": F.transform(w, token), "chunks": F.transform(F.filter(indices(w), is_root), chunk)}
+    ).drop("_w", "_l", "_d")

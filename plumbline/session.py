@@ -56,7 +56,8 @@ def spread(df: DataFrame) -> DataFrame:
     """Spread a small scan over all cores before heavy column work.
 
     A table in a handful of splits would keep most cores idle. A scan with enough splits - any
-    large table - is returned as it is, without an exchange.
+    large table - is returned as it is, without an exchange. Texts differ much in length, so
+    there are a few tasks per core.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(3 * cores) if df.rdd.getNumPartitions() < cores else df

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import prompts, replies
 from plumbline.functions import text as tx
-from plumbline.functions.arrays import indices, positional
+from plumbline.functions.arrays import computed, entries_of, first_of, indices, keyed, last_of
 
 
 def values(spark, expression, inputs, schema="v string"):
@@ -97,14 +97,24 @@ def test_parse_gradings(spark, reply, want):
     assert got is None if want is None else [tuple(g) for g in got] == want
 
 
-def test_positional(spark):
+def test_keyed(spark):
     entries = "array<struct<k:int,v:string>>"
-    rows = [([(1, "a"), (1, "b"), (4, "c")],), ([],), ([(0, "x")],)]
-    got = values(spark, positional(F.col("e")), rows, f"e {entries}")
-    assert [[[x.v for x in g] for g in r] for r in got] == [[[], ["a", "b"], [], [], ["c"]], [], [["x"]]]
+    rows = [([(4, "c"), (1, "b"), (1, "a")],), ([],), ([(0, "x")],)]
+    found = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.transform(entries_of(F.col("i"), k), lambda e: e["v"]))
+    df = computed(spark.createDataFrame(rows, f"e {entries}"), {"i": keyed(F.col("e"))})
+    got = [r.f for r in df.select(found.alias("f")).collect()]
+    assert got == [[[], ["a", "b"], [], [], ["c"], []], [[]] * 6, [["x"], [], [], [], [], []]]
+    ends = df.select(first_of(F.col("i"), F.lit(1))["v"], last_of(F.col("i"), F.lit(1))["v"], last_of(F.col("i"), F.lit(2))["v"]).collect()
+    assert tuple(ends[0]) == ("a", "b", None)
     assert values(spark, indices(F.col("a")), [([5, 6],), ([],)], "a array<int>") == [[0, 1], []]
 
 
+def test_computed_is_not_repeated(spark):
+    df = computed(spark.range(3), {"a": F.transform(F.array("id"), lambda x: x + 1)})
+    plan = df.where(F.size("a") > 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("transform") == 1
+
+
 def test_stateless_over_stream(spark, tmp_path):
     from plumbline.operators.transcripts import evaluatee_turns
 
