@@ -43,7 +43,7 @@ def grader_messages(
     )
 
 
-def concat_gradings(gradings: DataFrame, keys: list[str], *, turn: str = "turn", results: str = "gradings", part_rows: int = PART_ROWS) -> DataFrame:
+def concat_gradings(gradings: DataFrame, keys: list[str], *, turn: str = "turn", results: str = "gradings", part_rows: int | None = PART_ROWS) -> DataFrame:
     """All result lists of a sample joined in turn order (unparsed replies add nothing)."""
     lists = F.coalesce(F.col(results), F.array().cast(GRADINGS))
     return nest_ordered(gradings, keys, [turn], lists, "grading_results", part_rows).withColumn(
@@ -84,7 +84,8 @@ def grade_samples(
     ).select(key, "turn", parse_gradings("reply").alias("gradings"), "reply_error")
     graded = materialise(asked, work_dir)
 
-    lists = concat_gradings(graded, [key]).drop("part")
+    # a sample's answers came out of its one row
+    lists = concat_gradings(graded, [key], part_rows=None).drop("part")
     open_answers = graded.groupBy(key).agg(F.count_if(F.col("gradings").isNull()).alias("ungraded"))
     return (
         samples.join(lists, key, "left")

@@ -36,15 +36,20 @@ def nest_ordered(
     order: list[str],
     item: Column,
     out: str,
-    part_rows: int = PART_ROWS,
+    part_rows: int | None = PART_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """(keys, part, out) with ``out`` the items of the key in the given order.
 
     Sizes are counted by an action over the key columns only (combined before the shuffle).
-    Where the keys themselves are expensive to compute, write ``df`` first.
+    Where the keys themselves are expensive to compute, write ``df`` first, or name in
+    ``counted`` a cheaper DataFrame with the same keys row by row. ``part_rows=None`` leaves
+    the check out, for lists that came out of single rows and so fit into single rows.
     """
     rows = df.select(*keys, *order, item.alias("_item"))
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > part_rows)
+    if part_rows is None:
+        return _collected(rows, keys, order, out).withColumn("part", F.lit(0)).select(*keys, "part", out)
+    sizes = (df if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > part_rows)
     hot = sizes.limit(MAX_LISTED_KEYS + 1).collect()
 
     if not hot:

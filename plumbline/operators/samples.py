@@ -69,6 +69,7 @@ def assemble_samples(
         F.struct("is_caption", "instance", "caption"),
         "annotations",
         part_rows,
+        counted=instances.select("image_id").unionByName(captions.select("image_id")),
     )
 
     def of_kind(is_caption: bool, field: str) -> Column:
