@@ -57,15 +57,18 @@ def shallow_tokens(df: DataFrame, text: str) -> DataFrame:
     """
     w, c, starts, ends, run = (F.col(n) for n in ("_w", "_c", "_starts", "_ends", "_run"))
 
+    # classes as numbers: they are compared several times for every word
+    n_word, d_word, p_word = 0, 1, 2
+
     def is_n(i: Column) -> Column:
-        return F.coalesce(F.get(c, i) == "N", F.lit(False))
+        return F.coalesce(F.get(c, i) == n_word, F.lit(False))
 
     def is_d(i: Column) -> Column:
-        return F.coalesce(F.get(c, i) == "D", F.lit(False))
+        return F.coalesce(F.get(c, i) == d_word, F.lit(False))
 
     def governs(i: Column) -> Column:
         chunk_follows = is_n(i + 1) | (is_d(i + 1) & is_n(i + 2))
-        return F.coalesce(F.get(c, i) == "P", F.lit(False)) & is_n(i - 1) & chunk_follows
+        return F.coalesce(F.get(c, i) == p_word, F.lit(False)) & is_n(i - 1) & chunk_follows
 
     def start_of(k: Column) -> Column:
         s = F.get(starts, k)
@@ -91,8 +94,13 @@ def shallow_tokens(df: DataFrame, text: str) -> DataFrame:
     def chunk(_: Column, k: Column) -> Column:
         return _chunk(k, start_of(k), F.get(ends, k) + 1, F.get(ends, k), w, w)
 
+    # function words are short; the lists need not be searched for longer words
     classes = F.transform(
-        w, lambda x: F.when(x.isin(DETERMINERS), "D").when(x.isin(PREPOSITIONS), "P").otherwise("N")
+        w,
+        lambda x: F.when(F.length(x) > max(map(len, DETERMINERS + PREPOSITIONS)), n_word)
+        .when(x.isin(DETERMINERS), d_word)
+        .when(x.isin(PREPOSITIONS), p_word)
+        .otherwise(n_word),
     )
     # per position up to the last N, the number of its run
     runs = F.flatten(
