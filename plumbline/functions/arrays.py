@@ -7,7 +7,7 @@ then on a look-up is two ``get`` calls and a slice.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +36,19 @@ def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     )
 
 
+def listed(df: DataFrame, keys: Sequence[str], array: Column | str, position: str) -> DataFrame:
+    """One row per element of an array of structs: keys, its position, its fields.
+
+    The outer form with the test behind it keeps Catalyst from adding a "not empty" filter
+    below the generator, which would compute the array a second time.
+    """
+    return (
+        df.select(*keys, F.posexplode_outer(array).alias(position, "_x"))
+        .where(F.col(position).isNotNull())
+        .select(*keys, position, "_x.*")
+    )
+
+
 def indices(array: Column) -> Column:
     """0-based positions of an array (empty for an empty array)."""
     return F.when(F.size(array) > 0, F.sequence(F.lit(0), F.size(array) - 1)).otherwise(

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.arrays import listed
 from plumbline.functions.prompts import as_json, fill_template, opening_messages
 from plumbline.functions.replies import GRADINGS, parse_gradings
 from plumbline.operators.inference import ChatClient, chat_complete, is_grading, materialise
 from plumbline.operators.nesting import PART_ROWS, nest_ordered
-from plumbline.operators.scenegraph import listed
 from plumbline.operators.transcripts import evaluatee_turns, explode_transcripts
 
 SYSTEM = "You judge whether statements about an image are supported by its description."

@@ -18,7 +18,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.arrays import computed, entries_of, first_of, indices, keyed, last, last_of, let
+from plumbline.functions.arrays import computed, entries_of, first_of, indices, keyed, last, last_of, let, listed
 from plumbline.functions.text import last_word
 from plumbline.sources.lexicons import lexicon_values
 
@@ -393,19 +393,6 @@ def extract_scene_graph(
     return graph if keep_tokens else graph.drop(tokens, chunks)
 
 
-def listed(df: DataFrame, keys: tuple[str, ...], array: Column | str, position: str) -> DataFrame:
-    """One row per element of an array of structs: keys, its position, its fields.
-
-    The outer form with the test behind it keeps Catalyst from adding a "not empty" filter
-    below the generator, which would compute the array a second time.
-    """
-    return (
-        df.select(*keys, F.posexplode_outer(array).alias(position, "_x"))
-        .where(F.col(position).isNotNull())
-        .select(*keys, position, "_x.*")
-    )
-
-
 def entity_table(graphs: DataFrame, *keys: str) -> DataFrame:
     """One row per entity; ``entity_id`` is its index in the document's entity list."""
     return listed(graphs, keys, "entities", "entity_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.arrays import listed
 from plumbline.operators.nesting import PART_ROWS, nest_ordered
 
 EVALUATOR, EVALUATEE = "evaluator", "evaluatee"
@@ -63,6 +64,4 @@ def nest_transcripts(
 def explode_transcripts(samples: DataFrame, conversation: str = "conversation") -> DataFrame:
     """Nested transcripts -> turns, every other column kept; no shuffle."""
     rest = [c for c in samples.columns if c != conversation]
-    return samples.select(*rest, F.posexplode(conversation).alias("turn", "_t")).select(
-        *rest, "turn", F.col("_t.role").alias("role"), F.col("_t.content").alias("content")
-    )
+    return listed(samples, rest, conversation, "turn").select(*rest, "turn", "role", "content")
