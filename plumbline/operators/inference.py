@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import normalise_answer
 from plumbline.operators.scenegraph import CHUNKS, TOKENS
-from plumbline.session import shared_dir
+from plumbline.session import shared_dir, ship_package
 
 # (images, questions) -> answers, for one batch of rows
 Predictor = Callable[[list, list[str]], list[str]]
@@ -62,6 +62,7 @@ def batch_infer(
         for images, questions in batches:
             yield pd.Series(predict(images.tolist(), questions.tolist()), dtype="object")
 
+    ship_package(df.sparkSession)
     rows = df if partitions is None else df.repartition(partitions)
     answered = rows.withColumn(out, answer.asNondeterministic()(image, question))
     return answered.withColumn(out, normalise_answer(out)) if normalise else answered
@@ -110,6 +111,7 @@ def chat_complete(
                     {"reply": "object", "error": "object", "attempts": "int32"}
                 )
 
+    ship_package(df.sparkSession)
     rows = df if partitions is None else df.repartition(partitions)
     return (
         rows.withColumn("_chat", call.asNondeterministic()(F.to_json(messages)))
@@ -135,6 +137,7 @@ def annotate(
             parsed = [([], []) if t is None else annotator(t) for t in texts]
             yield pd.DataFrame({"tokens": [p[0] for p in parsed], "chunks": [p[1] for p in parsed]})
 
+    ship_package(df.sparkSession)
     rows = df if partitions is None else df.repartition(partitions)
     return (
         rows.withColumn("_parse", parse.asNondeterministic()(text))
