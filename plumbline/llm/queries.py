@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, linededup, packing, secrets, simhash, toxicity
+from plumbline.llm import bpe, language, linededup, packing, quality, rules, secrets, simhash, toxicity, vectors
 from plumbline.llm.common import held_out, read
 
 TOXIC_FOLDS = (5, 0)
@@ -41,6 +41,25 @@ def op3_toxicity(spark, sf_dir):
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op4_compression_quality(spark, sf_dir):
+    docs, labels = (read(spark, sf_dir, t) for t in ("documents", "labels"))
+    model = quality.train(docs, labels, "quality", *QUALITY_FOLDS)
+    scored = docs.select("doc_id", held_out("doc_id", *QUALITY_FOLDS).alias("held_out"), quality.score("text", model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op5_divergence_rules(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    found = docs.select("doc_id", rules.measures("text", rules.references(docs)).alias("found"))
+    failed, kept = rules.verdict(F.col("found"))
+    shown = [F.col(f"found.{c}").alias(c) for c in (*rules.COUNTS, "class_distance", "word_distance")]
+    return found.select("doc_id", *shown, failed.alias("base_failed"), kept.alias("kept"))
+
+
+def op6_language_fusion(spark, sf_dir):
+    return language.identify(read(spark, sf_dir, "pages"), read(spark, sf_dir, "documents"))
+
+
 def op7_hilbert_packing(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN).drop("ids")
@@ -70,8 +89,12 @@ def op9_simhash(spark, sf_dir):
     return found.select("doc_id", simhash.as_hex("print").alias("fingerprint"), "component_id")
 
 
+def op10_pca_tiles(spark, sf_dir):
+    return vectors.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
-    f.__name__: f for f in (op1_byte_bpe, op2_line_dedup, op3_toxicity, op7_hilbert_packing, op8_secret_scan, op9_simhash)
+    f.__name__: f for f in (op1_byte_bpe, op2_line_dedup, op3_toxicity, op4_compression_quality, op5_divergence_rules, op6_language_fusion, op7_hilbert_packing, op8_secret_scan, op9_simhash, op10_pca_tiles)
 }
 
 # Counterparts in SQL, where SQL can express an operator over its whole table.
