@@ -10,9 +10,6 @@ from plumbline.functions.text import _col
 GRADING = "struct<sentence:string,result_type:int,reason:string>"
 GRADINGS = f"array<{GRADING}>"
 
-# What result_type stands for.
-RESULT_TYPES = {0: "hallucination", 1: "correct", 2: "uncertain"}
-
 _FENCE = r"(?s)```(?:json)?\s*(.*?)\s*```"
 # The code is read as text first: an int field turns a quoted "0" into NULL.
 _RAW = "array<struct<sentence:string,result_type:string,reason:string>>"
@@ -25,12 +22,20 @@ def fenced_body(c: Column | str) -> Column:
 
 
 def parse_gradings(c: Column | str) -> Column:
-    """Reply text -> list of sentence gradings, NULL when the text is no JSON."""
-    return F.transform(
-        F.from_json(fenced_body(c), _RAW),
+    """Reply text -> list of sentence gradings, NULL unless the reply is acceptable.
+
+    Acceptable is a JSON list of objects, or one object, and nothing around it but a fence; each has a
+    sentence and a whole number as code. The retry test of graders follows the same rule.
+    """
+    body = F.trim(fenced_body(c))
+    rows = F.transform(
+        F.from_json(body, _RAW, {"allowSingleQuotes": "false"}),
         lambda x: F.struct(
             x["sentence"].alias("sentence"),
             x["result_type"].try_cast("int").alias("result_type"),
             x["reason"].alias("reason"),
         ),
     )
+    whole = body.rlike(r"(?s)^\s*(\[.*\]|\{.*\})\s*$")
+    usable = F.forall(rows, lambda x: x["sentence"].isNotNull() & x["result_type"].isNotNull())
+    return F.when(whole & usable, rows)

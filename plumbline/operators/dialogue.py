@@ -36,7 +36,7 @@ def run_dialogues(
     system: str = SYSTEM,
     template: str = TEMPLATE,
     marker: str = END_MARKER,
-    max_turns: int = 20,
+    max_turns: int,
     work_dir: str | None = None,
     out: str = "conversation",
     partitions: int | None = None,

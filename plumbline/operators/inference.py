@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import normalise_answer
 from plumbline.operators.scenegraph import CHUNKS, TOKENS
-from plumbline.session import shared_dir, ship_package
+from plumbline.session import materialise as materialise
+from plumbline.session import ship_package
 
 # (images, questions) -> answers, for one batch of rows
 Predictor = Callable[[list, list[str]], list[str]]
@@ -34,13 +35,6 @@ REPLY = "struct<reply:string,error:string,attempts:int>"
 PARSE = f"struct<tokens:{TOKENS},chunks:{CHUNKS}>"
 
 
-def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Write a stage once and go on from the written table (lineage ends there)."""
-    path = path or shared_dir(df.sparkSession)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def batch_infer(
     df: DataFrame,
     make_predictor: Callable[[], Predictor],
@@ -50,17 +44,22 @@ def batch_infer(
     out: str = "output",
     normalise: bool = True,
     partitions: int | None = None,
+    batch_size: int | None = None,
 ) -> DataFrame:
     """Answer every (image, question) row; all columns are kept and ``out`` is added.
 
-    ``partitions`` spreads the rows evenly over that many model instances first.
+    ``partitions`` spreads the rows evenly over that many model instances first. The predictor gets
+    ``batch_size`` rows at a time (default: an Arrow batch); give one where images come as bytes.
     """
 
     @F.pandas_udf("string")
     def answer(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         predict = make_predictor()
         for images, questions in batches:
-            yield pd.Series(predict(images.tolist(), questions.tolist()), dtype="object")
+            step = batch_size or max(len(images), 1)
+            for at in range(0, len(images), step):
+                part = predict(images[at : at + step].tolist(), questions[at : at + step].tolist())
+                yield pd.Series(part, dtype="object")
 
     ship_package(df.sparkSession)
     rows = df if partitions is None else df.repartition(partitions)
@@ -75,7 +74,7 @@ def chat_complete(
     *,
     out: str = "reply",
     model: str = "gpt-4o",
-    max_retries: int = 5,
+    max_retries: int,
     backoff: float = 1.0,
     check: Callable[[str], bool] | None = None,
     concurrency: int = 1,
@@ -127,15 +126,31 @@ def annotate(
     make_annotator: Callable[[], Annotator],
     *,
     partitions: int | None = None,
+    slice_tokens: int = 50_000,
 ) -> DataFrame:
-    """Parse a text column into ``tokens`` and ``chunks``."""
+    """Parse a text column into ``tokens`` and ``chunks``.
+
+    Parses leave a task in slices of about ``slice_tokens`` tokens, so a batch of long texts is never
+    held as parses all at once.
+    """
+
+    def slices(texts: Iterator, annotator: Annotator) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for text in texts:
+            parsed = ([], []) if text is None else annotator(text)
+            held.append(parsed)
+            size += len(parsed[0])
+            if size >= slice_tokens:
+                yield pd.DataFrame(held, columns=["tokens", "chunks"])
+                held, size = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=["tokens", "chunks"])
 
     @F.pandas_udf(PARSE)
     def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         annotator = make_annotator()
         for texts in batches:
-            parsed = [([], []) if t is None else annotator(t) for t in texts]
-            yield pd.DataFrame({"tokens": [p[0] for p in parsed], "chunks": [p[1] for p in parsed]})
+            yield from slices(texts, annotator)
 
     ship_package(df.sparkSession)
     rows = df if partitions is None else df.repartition(partitions)
@@ -166,11 +181,15 @@ def spacy_annotator(nlp: Callable) -> Annotator:
 
 
 def is_grading(reply: str) -> bool:
-    """Retry test for graders: the reply holds JSON the parser will accept."""
+    """Retry test for graders, by the same rule as ``replies.parse_gradings``."""
     fence = re.search(r"```(?:json)?\s*(.*?)\s*```", reply, re.DOTALL)
     try:
         body = json.loads(fence.group(1) if fence and fence.group(1) else reply)
     except ValueError:
         return False
     rows = body if isinstance(body, list) else [body]
-    return all(isinstance(r, dict) for r in rows)
+    return all(isinstance(r, dict) and isinstance(r.get("sentence"), str) and _is_code(r.get("result_type")) for r in rows)
+
+
+def _is_code(value) -> bool:
+    return not isinstance(value, bool) and re.fullmatch(r"\s*[+-]?\d+\s*", str(value)) is not None

@@ -1,9 +1,12 @@
 """Ordered lists per key that survive a hot key.
 
-``collect_list`` brings all rows of a key into one task. That is right for ordinary keys and
-fatal for a key that holds a third of the table, so the size of every key is counted first.
-Keys within ``part_rows`` become one row each. A larger key becomes several rows, each with a
-consecutive stretch of its list: ``part`` ascends along the list, nothing is dropped.
+One path for all keys, whatever their sizes. Rows are sorted by key and order into as many ranges as
+there are shuffle partitions, so a key of any size is spread, and the stage is written: everything
+after it sees the same ranges. Each (range, key) is collected by itself. Only keys that a range boundary
+cuts need to know how many of their rows lie in earlier ranges; there is at most one such key at each
+boundary, so that table is bounded by the number of ranges.
+
+Lists are cut at fixed positions: part n holds positions n * part_rows to (n + 1) * part_rows - 1.
 """
 
 from __future__ import annotations
@@ -11,63 +14,64 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Longest list in one row.
-PART_ROWS = 100_000
-# Keys above part_rows that are listed by value; beyond, all rows take the range path.
-MAX_LISTED_KEYS = 1_000
-
-
-def _collected(rows: DataFrame, by: list[str], order: list[str], out: str) -> DataFrame:
-    listed = F.sort_array(F.collect_list(F.struct(*order, F.col("_item"))))
-    return rows.groupBy(*by).agg(listed.alias("_list")).withColumn(
-        out, F.transform("_list", lambda x: x["_item"])
-    ).drop("_list")
-
+from plumbline.session import materialise
 
-def _sliced(rows: DataFrame, keys: list[str], order: list[str], out: str, slices: int) -> DataFrame:
-    # the sort order runs through the middle of hot keys, so ranges split them evenly
-    ranged = rows.repartitionByRange(max(slices, 1), *keys, *order).withColumn("part", F.spark_partition_id())
-    return _collected(ranged, [*keys, "part"], order, out)
+# Longest list in one row: a layout parameter, the same for all keys.
+PART_ROWS = 10_000
 
 
 def nest_ordered(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    item: Column,
-    out: str,
-    part_rows: int | None = PART_ROWS,
-    counted: DataFrame | None = None,
+    df: DataFrame, keys: list[str], order: list[str], item: Column, out: str, part_rows: int = PART_ROWS
 ) -> DataFrame:
-    """(keys, part, out) with ``out`` the items of the key in the given order.
+    """(keys, part, first_position, out): ``out`` lists the items of the key in the given order.
 
-    Sizes are counted by an action over the key columns only (combined before the shuffle).
-    Where the keys themselves are expensive to compute, write ``df`` first, or name in
-    ``counted`` a cheaper DataFrame with the same keys row by row. ``part_rows=None`` leaves
-    the check out, for lists that came out of single rows and so fit into single rows.
+    A key of up to ``part_rows`` rows is one row with part 0. ``first_position`` is the place of the
+    part's first item in the whole list. Rows equal in keys and order are sorted by their items.
     """
-    rows = df.select(*keys, *order, item.alias("_item"))
-    if part_rows is None:
-        return _collected(rows, keys, order, out).withColumn("part", F.lit(0)).select(*keys, "part", out)
-    sizes = (df if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > part_rows)
-    hot = sizes.limit(MAX_LISTED_KEYS + 1).collect()
-
-    if not hot:
-        return _collected(rows, keys, order, out).withColumn("part", F.lit(0)).select(*keys, "part", out)
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(*keys, *order, item.alias("_item")).repartitionByRange(ranges, *keys, *order)
+    ranged = materialise(rows.withColumn("_range", F.spark_partition_id()))
 
-    if len(hot) > MAX_LISTED_KEYS:
-        slices = -(-df.count() // part_rows)
-        return _sliced(rows, keys, order, out, slices).select(*keys, "part", out)
+    listed = F.sort_array(F.collect_list(F.struct(*order, F.col("_item"))))
+    lists = ranged.groupBy(*keys, "_range").agg(F.transform(listed, lambda x: x["_item"]).alias("_list"))
 
-    # at most MAX_LISTED_KEYS rows: small enough to broadcast whatever the data size
+    # at most two (range, key) pairs for each boundary: bounded by the number of ranges
+    sizes = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("n"))
+    spread = sizes.groupBy(*keys).agg(F.collect_list(F.struct("_range", "n")).alias("ranges")).where(F.size("ranges") > 1)
     names = [f"_k{n}" for n in range(len(keys))]
-    listed = F.broadcast(
-        df.sparkSession.createDataFrame([tuple(r)[:-1] for r in hot], df.select(*keys).schema).toDF(*names)
+    before = F.transform(
+        "ranges",
+        lambda r: F.struct(
+            r["_range"].alias("r"),
+            F.aggregate(
+                F.filter("ranges", lambda o: o["_range"] < r["_range"]), F.lit(0).cast("long"), lambda s, o: s + o["n"]
+            ).alias("before"),
+        ),
     )
-    same = F.lit(True)
+    offsets = F.broadcast(spread.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.explode(before).alias("_b")))
+    same = F.col("_range") == F.col("_b.r")
     for key, name in zip(keys, names):
         same = same & F.col(key).eqNullSafe(F.col(name))
-    ordinary = _collected(rows.join(listed, same, "left_anti"), keys, order, out).withColumn("part", F.lit(0))
-    slices = -(-sum(r["_n"] for r in hot) // part_rows)
-    large = _sliced(rows.join(listed, same, "left_semi"), keys, order, out, slices)
-    return ordinary.select(*keys, "part", out).unionByName(large.select(*keys, "part", out))
+
+    def parts(lists: DataFrame, offset: Column) -> DataFrame:
+        """The lists cut at multiples of part_rows of the whole list."""
+        end = offset + F.size("_list")
+        numbers = F.sequence(F.floor(offset / part_rows), F.floor((end - 1) / part_rows))
+
+        def cut(part: Column) -> Column:
+            start = F.greatest(part * part_rows, offset)
+            stop = F.least((part + 1) * part_rows, end)
+            return F.struct(
+                part.cast("int").alias("part"), start.alias("at"), F.slice("_list", (start - offset + 1).cast("int"), (stop - start).cast("int")).alias("items")
+            )
+
+        return lists.select(*keys, F.explode(F.transform(numbers, cut)).alias("_p")).select(*keys, "_p.*")
+
+    whole = parts(lists.join(offsets, same, "left_anti"), F.lit(0).cast("long")).withColumnRenamed("items", out)
+    cut = (
+        parts(lists.join(offsets, same).drop(*names), F.col("_b.before"))
+        .groupBy(*keys, "part")
+        .agg(F.sort_array(F.collect_list(F.struct("at", "items"))).alias("_s"))
+        .select(*keys, "part", F.get("_s", F.lit(0))["at"].alias("at"), F.flatten(F.transform("_s", lambda s: s["items"])).alias(out))
+    )
+    return whole.unionByName(cut).select(*keys, "part", F.col("at").alias("first_position"), out)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.nesting import PART_ROWS, nest_ordered
+from plumbline.session import materialise
 
 INSTANCE = "struct<category:string,bbox:array<double>,pixel_area:double>"
 _ANNOTATION_ORDER = ["is_caption", "ord"]
@@ -48,8 +49,8 @@ def assemble_samples(
     """One row per image: file name, instances and captions in annotation order.
 
     Every image stays, with empty lists where it has no annotations. Both kinds of annotation
-    go through one shuffle by image. An image with more than ``part_rows`` annotations yields
-    several rows, told apart by ``part``.
+    are nested together. An image with more than ``part_rows`` annotations yields several rows,
+    told apart by ``part``.
     """
     instance = F.struct(
         "category", F.col("bbox").cast("array<double>").alias("bbox"), F.col("area").cast("double").alias("pixel_area")
@@ -69,7 +70,6 @@ def assemble_samples(
         F.struct("is_caption", "instance", "caption"),
         "annotations",
         part_rows,
-        counted=instances.select("image_id").unionByName(captions.select("image_id")),
     )
 
     def of_kind(is_caption: bool, field: str) -> Column:
@@ -85,6 +85,24 @@ def assemble_samples(
     )
 
 
+def debug_samples(
+    images: DataFrame, instances: DataFrame, captions: DataFrame, categories: DataFrame, n: int = 30, part_rows: int = PART_ROWS
+) -> DataFrame:
+    """Samples of the first n images; the annotations of all others leave before any shuffle."""
+    few = materialise(first_images(images, n))
+    ids = F.broadcast(few.select("image_id"))  # n rows
+    kept = [df.join(ids, "image_id", "left_semi") for df in (instances, captions)]
+    return assemble_samples(few, *kept, categories, part_rows)
+
+
+def caption_lists(images: DataFrame, captions: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """(image_id, part, captions): the captions of every image in order, without its instances."""
+    nested = nest_ordered(captions, ["image_id"], ["ord"], F.col("caption"), "captions", part_rows)
+    return images.select("image_id").join(nested, "image_id", "left").select(
+        "image_id", F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("captions", F.array().cast("array<string>")).alias("captions")
+    )
+
+
 def load_sample(
     image_id: int, images: DataFrame, instances: DataFrame, captions: DataFrame, categories: DataFrame
 ) -> DataFrame:

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.arrays import indices, let
 from plumbline.operators.nesting import PART_ROWS, nest_ordered
 from plumbline.operators.scenegraph import named_relations
 
@@ -168,10 +169,44 @@ def metric_report(scores: DataFrame) -> DataFrame:
     )
 
 
+def merged_in_row(entities: Column) -> Column:
+    """A document's entities, all in one row, merged by lower-cased head: array<struct<head, attributes>>.
+
+    Attribute lists are joined in entity order, duplicates kept. Sorted by head, so each head is one
+    stretch: the work is linear but for the sort, and nothing is shuffled.
+    """
+    by_head = F.sort_array(
+        F.transform(
+            entities,
+            lambda e, i: F.struct(F.lower(e["head"]).alias("head"), i.alias("i"), attributes(e["modifiers"]).alias("attrs")),
+        )
+    )
+
+    def merged(rows: Column) -> Column:
+        starts = F.filter(indices(rows), lambda i: (i == 0) | ~F.get(rows, i)["head"].eqNullSafe(F.get(rows, i - 1)["head"]))
+
+        def one(starts: Column) -> Column:
+            return F.transform(
+                starts,
+                lambda s, k: F.struct(
+                    F.get(rows, s)["head"].alias("head"),
+                    F.flatten(
+                        F.transform(
+                            F.slice(rows, s + 1, F.coalesce(F.get(starts, k + 1), F.size(rows)) - s), lambda r: r["attrs"]
+                        )
+                    ).alias("attributes"),
+                ),
+            )
+
+        return let(starts, one)
+
+    return let(by_head, merged)
+
+
 def merge_entities(entities: DataFrame, keys: list[str], part_rows: int = PART_ROWS) -> DataFrame:
-    """Entities with one lower-cased head merged: attribute lists joined in order, duplicates kept.
+    """The same for entities stored as a table: (keys, head, part, attributes).
 
-    Only for output; the scores need no such lists.
+    A head of more than ``part_rows`` entities comes in parts. The scores need no such lists.
     """
     rows = entities.select(
         *keys, F.lower("head").alias("head"), "entity_id", attributes(F.col("modifiers")).alias("attrs")

@@ -10,6 +10,8 @@ from plumbline.operators.nesting import PART_ROWS, nest_ordered
 
 EVALUATOR, EVALUATEE = "evaluator", "evaluatee"
 END_MARKER = "END"
+# Columns that say where a row's list lies in the whole one.
+LAYOUT = ("part", "first_position")
 TRANSCRIPT = "array<struct<role:string,content:string>>"
 
 
@@ -56,12 +58,18 @@ def nest_transcripts(
     out: str = "conversation",
     part_rows: int = PART_ROWS,
 ) -> DataFrame:
-    """Turns -> one ordered list per transcript (several rows for an oversized one)."""
+    """Turns -> (key, part, first_position, out): an ordered list per transcript, in parts if oversized."""
     item = F.struct(F.col(role).alias("role"), F.col(content).alias("content"))
     return nest_ordered(turns, [key], [turn], item, out, part_rows)
 
 
 def explode_transcripts(samples: DataFrame, conversation: str = "conversation") -> DataFrame:
-    """Nested transcripts -> turns, every other column kept; no shuffle."""
-    rest = [c for c in samples.columns if c != conversation]
-    return listed(samples, rest, conversation, "turn").select(*rest, "turn", "role", "content")
+    """Nested transcripts -> turns, every other column kept but those of the layout; no shuffle.
+
+    ``turn`` is the place in the whole transcript, also where it came in several parts.
+    """
+    rest = [c for c in samples.columns if c not in (conversation, *LAYOUT)]
+    first = "first_position" if "first_position" in samples.columns else None
+    turns = listed(samples, [*rest, *([first] if first else [])], conversation, "turn")
+    turn = (F.col("turn") + F.coalesce(first, F.lit(0))).cast("int") if first else F.col("turn")
+    return turns.select(*rest, turn.alias("turn"), "role", "content")

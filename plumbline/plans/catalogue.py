@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import prompts, replies
 from plumbline.functions import text as tx
+from plumbline.functions.arrays import computed, listed
 from plumbline.operators import dialogue, grading, inference, probes, samples, scenegraph, scoring, transcripts
 from plumbline.plans import stubs
 from plumbline.plans.tokens import hashed_tokens, shallow_tokens, words
@@ -44,15 +45,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as transcripts: the user evaluates, the assistant is evaluated."""
-    role = F.when(F.col("role") == "user", transcripts.EVALUATOR).when(
-        F.col("role") == "assistant", transcripts.EVALUATEE
-    )
-    return (
-        read(spark, sf_dir, "conversations")
-        .where(F.col("role").isin("user", "assistant"))
-        .select("conv_id", "turn", role.alias("role"), F.col("text").alias("content"))
+    """Conversations as transcripts: the user evaluates, the assistant is evaluated, others are others."""
+    role = (
+        F.when(F.col("role") == "user", transcripts.EVALUATOR)
+        .when(F.col("role") == "assistant", transcripts.EVALUATEE)
+        .otherwise(F.col("role"))
     )
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", role.alias("role"), F.col("text").alias("content"))
 
 
 def annotation_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -99,7 +98,8 @@ def conversation_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     Each turn is parsed by itself, so that a long conversation never has to be one text.
     """
     side = F.when(F.col("role") == transcripts.EVALUATOR, scoring.TRUTH).otherwise(scoring.MODEL)
-    said = spread(turns(spark, sf_dir)).select("conv_id", side.alias("side"), "content")
+    of_both = F.col("role").isin(transcripts.EVALUATOR, transcripts.EVALUATEE)
+    said = spread(turns(spark, sf_dir).where(of_both)).select("conv_id", side.alias("side"), "content")
     graphs = scenegraph.extract_scene_graph(shallow_tokens(said, "content"), keep_tokens=False)
     return scoring.graph_facts(graphs, "conv_id", "side")
 
@@ -199,7 +199,8 @@ def assemble_samples(spark, sf_dir):
 
 
 def caption_texts(spark, sf_dir):
-    rows = samples.assemble_samples(**annotation_tables(spark, sf_dir))
+    tables = annotation_tables(spark, sf_dir)
+    rows = samples.caption_lists(tables["images"], tables["captions"])
     return rows.select("image_id", samples.caption_text().alias("ground_truth"))
 
 
@@ -218,6 +219,11 @@ def debug_head(spark, sf_dir):
     return samples.first_images(annotation_tables(spark, sf_dir)["images"], 30)
 
 
+def debug_samples(spark, sf_dir):
+    rows = samples.debug_samples(**annotation_tables(spark, sf_dir), n=30)
+    return rows.select("image_id", "file_name", F.size("instances").alias("n_instances"), F.array_join("captions", "|").alias("captions"))
+
+
 # --- transcripts and grading ----------------------------------------------------------------
 
 
@@ -236,15 +242,15 @@ def transcript_lists(spark, sf_dir):
 
 
 def transcript_turns(spark, sf_dir):
-    """Nest, write, read back and explode."""
+    """Nest in parts of two turns, write, read back and explode."""
     path = shared_dir(spark)
-    nested = transcripts.nest_transcripts(turns(spark, sf_dir), "conv_id").drop("part")
+    nested = transcripts.nest_transcripts(turns(spark, sf_dir), "conv_id", part_rows=2)
     tasks.write_conversations(nested, path)
     return tasks.read_turns(spark, path, schema=nested.schema)
 
 
 def grader_prompts(spark, sf_dir):
-    nested = transcripts.nest_transcripts(turns(spark, sf_dir), "conv_id").drop("part")
+    nested = transcripts.nest_transcripts(turns(spark, sf_dir), "conv_id", part_rows=3)
     asked = grading.grader_messages(
         nested.withColumn("file_name", F.concat("conv_id", F.lit(".jpg"))), template="about {} {{exactly}}: {}"
     )
@@ -271,6 +277,26 @@ def event_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", "user_id", reply.alias("raw"))
 
 
+def nested_parts(spark, sf_dir):
+    """Every conversation in parts of three turns."""
+    nested = transcripts.nest_transcripts(turns(spark, sf_dir), "conv_id", part_rows=3)
+    said = F.transform("conversation", lambda m: F.concat_ws(": ", m["role"], m["content"]))
+    return nested.select("conv_id", "part", "first_position", F.array_join(said, "\n").alias("conversation"))
+
+
+def sample_parts(spark, sf_dir):
+    """Captions of the line items' images, in parts of two annotations: instances first."""
+    rows = samples.assemble_samples(**annotation_tables(spark, sf_dir), part_rows=2)
+    return rows.select("image_id", "part", F.size("instances").alias("n_instances"), F.array_join("captions", "|").alias("captions"))
+
+
+def grading_parts(spark, sf_dir):
+    parsed = event_replies(spark, sf_dir).withColumn("gradings", replies.parse_gradings("raw"))
+    lists = grading.concat_gradings(parsed, ["user_id"], turn="event_id", part_rows=4)
+    flat = F.transform("grading_results", lambda g: F.concat_ws(":", g["sentence"], g["result_type"], g["reason"]))
+    return lists.select("user_id", "part", F.array_join(flat, ",").alias("grading_results"))
+
+
 def grade_parse(spark, sf_dir):
     parsed = event_replies(spark, sf_dir).withColumn("gradings", replies.parse_gradings("raw"))
     return grading.grading_table(parsed, "event_id")
@@ -315,10 +341,16 @@ def rule_relations(spark, sf_dir):
 
 
 def merged_entities(spark, sf_dir):
+    merged = computed(document_graphs(spark, sf_dir).select("doc_id", "entities"), {"merged": scoring.merged_in_row(F.col("entities"))})
+    heads = listed(merged, ["doc_id"], "merged", "n")
+    return heads.select("doc_id", "head", F.array_join("attributes", ",").alias("attributes"))
+
+
+def merged_table(spark, sf_dir):
+    """The same from an entity table, in parts of three entities."""
     entities = scenegraph.entity_table(document_graphs(spark, sf_dir), "doc_id")
-    rows = inference.materialise(entities.select("doc_id", "entity_id", "head", "modifiers"))
-    merged = scoring.merge_entities(rows, ["doc_id"])
-    return merged.select("doc_id", "head", F.array_join("attributes", ",").alias("attributes"))
+    merged = scoring.merge_entities(entities, ["doc_id"], part_rows=3)
+    return merged.select("doc_id", "head", "part", F.array_join("attributes", ",").alias("attributes"))
 
 
 # --- scores ---------------------------------------------------------------------------------
@@ -341,12 +373,13 @@ def relation_hallucination(spark, sf_dir):
 
 
 def probe_scores(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    # the answer is read before the join, so no text is shuffled
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", probes.yes_no("text").alias("prediction"))
     labels = read(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "yes").otherwise("no").alias("label"))
     rows = docs.join(labels, "doc_id").select(
-        F.col("lang").alias("probe_set"), F.col("source").alias("model"), "label", F.col("text").alias("output")
+        F.col("lang").alias("probe_set"), F.col("source").alias("model"), "label", "prediction"
     )
-    return probes.score_probes(rows, ["probe_set", "model"])
+    return probes.score_probes(rows, ["probe_set", "model"], prediction=F.col("prediction"))
 
 
 # --- stages that call out -------------------------------------------------------------------
@@ -397,10 +430,36 @@ def dialogues(spark, sf_dir):
     return held.select("c_custkey", F.array_join(said, "\n").alias("conversation"), "status")
 
 
+def graded_repeats(spark, sf_dir):
+    """Samples of one file name each: every row is graded by itself."""
+    nested = transcripts.nest_transcripts(turns(spark, sf_dir), "conv_id").withColumn("file_name", F.concat(F.col("conv_id") % 3, F.lit(".jpg")))
+    path = shared_dir(spark)
+    graded = grading.grade_samples(nested.drop("conv_id"), stubs.length_grader, template="{}\x1f{}", model="g", max_retries=0, backoff=0.0)
+    tasks.write_gradings(graded, path, "parquet")
+    back = tasks.read_conversations(spark, path, "parquet", graded.schema)
+    return back.select(
+        "file_name", F.size("conversation").alias("turns"), F.size("grading_results").alias("gradings"), "ungraded",
+        F.array_join(F.transform("grading_results", lambda g: g["sentence"]), ",").alias("sentences"),
+    )
+
+
+def attached_images(spark, sf_dir):
+    """Bytes of the images each page shows; parts stand in for image files."""
+    pages = read(spark, sf_dir, "pages").select(
+        "page_id", F.concat(F.col("page_id") % 50, F.lit(".jpg,"), (F.col("page_id") * 7) % 90, F.lit(".jpg")).alias("image")
+    )
+    files = read(spark, sf_dir, "part").where("p_partkey < 60").select(
+        F.concat(F.lit("img/"), "p_partkey", F.lit(".jpg")).alias("path"), F.col("p_name").cast("binary").alias("content")
+    )
+    shown = image_files.attach_images(pages, files, "img")
+    contents = F.transform("contents", lambda c: F.coalesce(c.cast("string"), F.lit("-")))
+    return shown.select("page_id", F.array_join(contents, "|").alias("contents"))
+
+
 def graded_samples(spark, sf_dir):
-    nested = transcripts.nest_transcripts(turns(spark, sf_dir), "conv_id").drop("part")
+    nested = transcripts.nest_transcripts(turns(spark, sf_dir), "conv_id")
     graded = grading.grade_samples(
-        nested, "conv_id", stubs.length_grader, template="{}\x1f{}", model="g", max_retries=1, backoff=0.0
+        nested, stubs.length_grader, template="{}\x1f{}", model="g", max_retries=1, backoff=0.0
     )
     flat = F.transform("grading_results", lambda g: F.concat_ws(":", g["sentence"], g["result_type"], g["reason"]))
     return graded.select("conv_id", F.array_join(flat, ",").alias("grading_results"), "ungraded")
@@ -411,10 +470,12 @@ QUERIES: dict[str, Query] = {
     for f in (
         normalise_answers, text_edges, image_paths, conversation_styles, vqa_prompts,
         lexicon_scan, scene_flags,
-        assemble_samples, caption_texts, sample_stats, unknown_categories, debug_head,
-        truncate_at_marker, evaluatee_turns, transcript_lists, transcript_turns, grader_prompts, grade_parse, grading_lists,
-        graph_entities, graph_relations, graph_endpoints, rule_entities, rule_relations, merged_entities,
+        assemble_samples, sample_parts, caption_texts, sample_stats, unknown_categories, debug_head, debug_samples,
+        truncate_at_marker, evaluatee_turns, transcript_lists, nested_parts, transcript_turns, grader_prompts,
+        grade_parse, grading_lists, grading_parts,
+        graph_entities, graph_relations, graph_endpoints, rule_entities, rule_relations, merged_entities, merged_table,
         judge_scores, metric_report, object_hallucination, relation_hallucination, probe_scores,
         batch_inference, result_round_trip, chat_replies, annotated_turns, dialogues, graded_samples,
+        graded_repeats, attached_images,
     )
 }

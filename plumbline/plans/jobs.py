@@ -50,13 +50,12 @@ def grade_conversations(
     outfile: str,
     make_client: Callable[[], inference.ChatClient],
     *,
-    key: str = "file_name",
     schema=None,
     **options,
 ) -> None:
     """Conversations -> the same samples with ``grading_results``; options as for ``grade_samples``."""
     samples = tasks.read_conversations(spark, infile, schema=schema)
-    tasks.write_gradings(grading.grade_samples(samples, key, make_client, **options), outfile)
+    tasks.write_gradings(grading.grade_samples(samples, make_client, **options), outfile)
 
 
 def judge_texts(

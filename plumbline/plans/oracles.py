@@ -18,13 +18,14 @@ def _list(values: list[str]) -> str:
 
 
 def _words(text: str) -> str:
-    return f"string_split(trim(regexp_replace(lower({text}), '[^a-z]+', ' ', 'g')), ' ')"
+    return f"string_split(trim(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{M}}]+', ' ', 'g')), ' ')"
 
 
 _TURNS = """
 turns AS (
-  SELECT conv_id, turn, CASE role WHEN 'user' THEN 'evaluator' ELSE 'evaluatee' END AS role, text AS content
-  FROM conversations WHERE role IN ('user', 'assistant')
+  SELECT conv_id, turn, CASE role WHEN 'user' THEN 'evaluator' WHEN 'assistant' THEN 'evaluatee' ELSE role END AS role,
+    text AS content
+  FROM conversations
 )"""
 
 
@@ -67,7 +68,8 @@ _DOCUMENT = "WITH " + _shallow("documents", "doc_id", "text")
 _CONVERSATION = (
     "WITH "
     + _TURNS
-    + ", said AS (SELECT conv_id, turn, CASE role WHEN 'evaluator' THEN 'gt' ELSE 'vlm' END AS side, content FROM turns),"
+    + ", said AS (SELECT conv_id, turn, CASE role WHEN 'evaluator' THEN 'gt' ELSE 'vlm' END AS side, content FROM turns
+    WHERE role IN ('evaluator', 'evaluatee')),"
     + _shallow("said", "conv_id, turn, side", "content")
     + """,
 heads AS (SELECT DISTINCT conv_id, side, head FROM chunk),
@@ -412,6 +414,53 @@ SELECT c.c_custkey,
   concat_ws(chr(10), said, CASE WHEN c.c_custkey % 4 < 3 THEN 'evaluator: END' END) AS conversation,
   CASE WHEN c.c_custkey % 4 < 3 THEN 'ended' ELSE 'max_turns' END AS status
 FROM customer c LEFT JOIN a USING (c_custkey)""",
+    "nested_parts": f"""WITH {_TURNS},
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS p FROM turns)
+SELECT conv_id, (p // 3)::INT AS part, min(p) AS first_position,
+  string_agg(role || ': ' || content, chr(10) ORDER BY turn) AS conversation
+FROM n GROUP BY conv_id, p // 3""",
+    "sample_parts": f"""WITH {_TURNS},
+a AS (
+  SELECT l_orderkey AS image_id, 0 AS kind, l_linenumber AS x, l_partkey AS y, NULL AS caption FROM lineitem
+  UNION ALL SELECT conv_id, 1, turn, 0, content FROM turns
+),
+n AS (SELECT *, (row_number() OVER (PARTITION BY image_id ORDER BY kind, x, y) - 1) // 2 AS part FROM a),
+g AS (
+  SELECT image_id, part, count(*) FILTER (kind = 0) AS n, string_agg(caption, '|' ORDER BY x) FILTER (kind = 1) AS captions
+  FROM n GROUP BY 1, 2
+)
+SELECT o_orderkey AS image_id, coalesce(part, 0)::INT AS part, coalesce(n, 0)::INT AS n_instances, coalesce(captions, '') AS captions
+FROM orders LEFT JOIN g ON g.image_id = o_orderkey""",
+    "grading_parts": """
+WITH k AS (
+  SELECT event_id, user_id, event_type, (props->>'$.k')::INT AS k,
+    (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 4 AS part FROM events
+),
+g AS (
+  SELECT *, CASE event_id % 6 WHEN 5 THEN NULL WHEN 3 THEN 'q:' || k ELSE event_type || ':' || k || ':r' || k END AS one FROM k
+)
+SELECT user_id, part::INT AS part,
+  coalesce(string_agg(CASE WHEN event_id % 6 = 0 THEN one || ',' || one ELSE one END, ',' ORDER BY event_id), '') AS grading_results
+FROM g GROUP BY user_id, part""",
+    "debug_samples": f"""WITH {_TURNS},
+few AS (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 30)
+SELECT o_orderkey AS image_id, o_orderkey || '.jpg' AS file_name,
+  (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey)::INT AS n_instances,
+  coalesce((SELECT string_agg(content, '|' ORDER BY turn) FROM turns WHERE conv_id = o_orderkey), '') AS captions
+FROM few""",
+    "merged_table": _DOCUMENT
+    + """,
+n AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, head ORDER BY k) - 1) // 3 AS part FROM chunk)
+SELECT doc_id, head, part::INT AS part, coalesce(string_agg(adj, ',' ORDER BY k), '') AS attributes FROM n GROUP BY doc_id, head, part""",
+    "graded_repeats": f"""WITH {_TURNS},
+g AS (SELECT *, role = 'evaluatee' AND length(content) % 11 <> 0 AS ok FROM turns)
+SELECT conv_id % 3 || '.jpg' AS file_name, count(*)::INT AS turns, count(*) FILTER (ok)::INT AS gradings,
+  count(*) FILTER (role = 'evaluatee' AND NOT ok) AS ungraded,
+  coalesce(string_agg(length(content) || ' letters', ',' ORDER BY turn) FILTER (ok), '') AS sentences
+FROM g GROUP BY conv_id""",
+    "attached_images": """
+SELECT page_id, coalesce(CASE WHEN a.p_partkey < 60 THEN a.p_name END, '-') || '|' || coalesce(CASE WHEN b.p_partkey < 60 THEN b.p_name END, '-') AS contents
+FROM pages LEFT JOIN part a ON a.p_partkey = page_id % 50 LEFT JOIN part b ON b.p_partkey = page_id * 7 % 90""",
     "graded_samples": f"""WITH {_TURNS},
 g AS (
   SELECT conv_id, turn, length(content) AS n, length(content) % 11 <> 0 AS ok FROM turns WHERE role = 'evaluatee'

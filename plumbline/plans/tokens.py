@@ -25,9 +25,9 @@ WINDOW = 12
 
 
 def words(text: Column | str) -> Column:
-    """Lower-cased runs of a-z."""
+    """Lower-cased runs of letters (of any script) and the marks on them."""
     text = F.col(text) if isinstance(text, str) else text
-    spaced = F.trim(F.regexp_replace(F.lower(text), "[^a-z]+", " "))
+    spaced = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}]+", " "))
     return F.filter(F.split(spaced, " "), lambda w: w != "")
 
 

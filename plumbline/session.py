@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -61,6 +62,8 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh path under the shared folder the cluster names in ``spark.checkpoint.dir``.
 
+    It is removed when the application ends.
+
     Only a local master may fall back to a temporary folder of its own: on a cluster a
     machine-local folder would vanish with its executor.
     """
@@ -71,7 +74,36 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="plumbline-")
-    return f"{base.rstrip('/')}/plumbline-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/plumbline-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    if app not in _scratch:
+        _scratch[app] = []
+        atexit.register(_clear, spark, app)
+    _scratch[app].append(path)
+    return path
+
+
+_scratch: dict[str, list[str]] = {}
+
+
+def _clear(spark: SparkSession, app: str) -> None:
+    """Remove an application's stages when it ends: results may read them until then."""
+    jvm = spark.sparkContext._jvm
+    for path in _scratch.pop(app, []):
+        if jvm is None:  # the session ended first
+            return
+        try:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001 - nothing is left to do about it at exit
+            return
+
+
+def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write a stage once and go on from the written table (lineage ends there)."""
+    path = path or shared_dir(df.sparkSession)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:

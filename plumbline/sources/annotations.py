@@ -1,7 +1,8 @@
 """COCO-style annotation files.
 
-One such JSON file is one document and thus one task, so it is read once and landed as
-Parquet; everything later reads the landed tables.
+One such JSON file is one document and thus one task. It is parsed once and landed as Parquet; the
+tables read the landed arrays, each only its own. Several files are read as one: ``ord`` goes on from
+file to file, by file name.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.session import materialise
+
 _IMAGES = "images array<struct<id:bigint,file_name:string>>"
 _INSTANCES = (
     f"{_IMAGES}, annotations array<struct<id:bigint,image_id:bigint,category_id:int,bbox:array<double>,area:double>>, "
@@ -17,12 +20,21 @@ _INSTANCES = (
 _CAPTIONS = f"{_IMAGES}, annotations array<struct<id:bigint,image_id:bigint,caption:string>>"
 
 
+# Places a file may hold before the next one's begin.
+_FILE_STRIDE = 1 << 40
+
+
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    """The files' documents, landed, with the number of each file in the order of their names."""
+    parsed = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    landed = materialise(parsed.withColumn("_file", F.input_file_name()))
+    names = [r["_file"] for r in landed.select("_file").distinct().orderBy("_file").collect()]  # one per annotation file
+    return landed.withColumn("_file", F.array_position(F.array(*map(F.lit, names)).cast("array<string>"), F.col("_file")) - 1)
 
 
 def _rows(doc: DataFrame, field: str) -> DataFrame:
-    return doc.select(F.posexplode(field).alias("ord", "x")).select(F.col("ord").cast("long"), "x.*")
+    place = F.col("_file") * _FILE_STRIDE + F.col("_pos")
+    return doc.select("_file", F.posexplode(field).alias("_pos", "x")).select(place.cast("long").alias("ord"), "x.*")
 
 
 def read_instances(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -31,7 +43,7 @@ def read_instances(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {
         "images": _rows(doc, "images").select(F.col("id").alias("image_id"), "file_name", "ord"),
         "instances": _rows(doc, "annotations").select("image_id", "category_id", "bbox", "area", "ord"),
-        "categories": _rows(doc, "categories").select(F.col("id").alias("category_id"), "name"),
+        "categories": _rows(doc, "categories").select(F.col("id").alias("category_id"), "name").distinct(),
     }
 
 

@@ -21,15 +21,16 @@ def image_references(tasks: DataFrame, image_dir: str = "", image: str = "image"
     return listed.withColumns({"path": path, "remote": is_remote("_name")}).drop("_name")
 
 
-def attach_images(tasks: DataFrame, images: DataFrame, key: str, image_dir: str = "", image: str = "image", sep: str = ",") -> DataFrame:
+def attach_images(tasks: DataFrame, images: DataFrame, image_dir: str = "", image: str = "image", sep: str = ",") -> DataFrame:
     """Tasks with ``contents``, the bytes of their images in order (NULL where there is no file).
 
+    Contents are looked up once for each distinct image list, so tasks may repeat, and need no key.
     Bytes are duplicated for every task that shows an image; passing the path column on to the
     predictor moves less and is the better choice when the executors can open it.
-    The grouping below is over the images named in one row.
     """
-    found = image_references(tasks.select(key, image), image_dir, image, sep).join(images, "path", "left")
-    contents = found.groupBy(key).agg(
+    lists = tasks.select(F.col(image).alias("_image")).where("_image IS NOT NULL").distinct()
+    found = image_references(lists, image_dir, "_image", sep).join(images, "path", "left")
+    contents = found.groupBy("_image").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("image_no", "content"))), lambda x: x["content"]).alias("contents")
     )
-    return tasks.join(contents, key, "left")
+    return tasks.join(contents, F.col(image) == F.col("_image"), "left").drop("_image")

@@ -3,7 +3,9 @@
 import pytest
 from compare import compare, oracle_connection
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry, queries
+from plumbline.plans.catalogue import QUERIES
+from plumbline.plans.oracles import ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -12,12 +14,12 @@ def con(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES) and set(QUERIES) <= set(queries())
 
 
-@pytest.mark.parametrize("name", queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, sf_dir, con, name):
-    same, message = compare(queries()[name](spark, sf_dir), con, oracle_sql()[name])
+    same, message = compare(QUERIES[name](spark, sf_dir), con, ORACLES[name])
     assert same, message
 
 

@@ -22,10 +22,10 @@ def test_dialogues_then_grades(spark, tmp_path):
     answer = lambda: lambda paths, questions: ["A dog."] * len(paths)
     grade = lambda: lambda messages, model: json.dumps([{"sentence": "a dog", "result_type": 1, "reason": "seen"}])
     samples = spark.createDataFrame([("1.jpg", ["a dog"]), ("2.jpg", [])], "file_name string, captions array<string>")
-    jobs.hold_dialogues(samples, str(tmp_path / "conv"), talk, answer, image_dir="d", backoff=0.0)
+    jobs.hold_dialogues(samples, str(tmp_path / "conv"), talk, answer, image_dir="d", max_turns=5, max_retries=0, backoff=0.0)
     held = tasks.read_conversations(spark, str(tmp_path / "conv"))
     assert [len(r.conversation) for r in held.collect()] == [3, 3]
-    jobs.grade_conversations(spark, str(tmp_path / "conv"), str(tmp_path / "graded"), grade, backoff=0.0)
+    jobs.grade_conversations(spark, str(tmp_path / "conv"), str(tmp_path / "graded"), grade, max_retries=0, backoff=0.0)
     rows = tasks.read_rows(spark, str(tmp_path / "graded"), "jsonl").orderBy("file_name").collect()
     assert [(r.file_name, r.status, r.grading_results[0].result_type, r.ungraded) for r in rows] == [
         ("1.jpg", "ended", 1, 0), ("2.jpg", "ended", 1, 0),

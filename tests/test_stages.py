@@ -152,14 +152,72 @@ def test_grade_samples(spark):
     say = lambda *answers: [m for a in answers for m in (("evaluator", "q"), ("evaluatee", a))]
     rows = [(1, "1.jpg", say("a,b", "later")), (2, "2.jpg", say("never", "c")), (3, "3.jpg", [])]
     df = spark.createDataFrame(rows, "id int, file_name string, conversation array<struct<role:string,content:string>>")
-    out = grading.grade_samples(df, "id", make, template="{}##{}", max_retries=1, backoff=0.0)
+    out = grading.grade_samples(df, make, template="{}##{}", max_retries=1, backoff=0.0)
     got = {r.id: ([g.sentence for g in r.grading_results], r.ungraded) for r in out.collect()}
     assert got == {1: (["a", "b", "later"], 0), 2: (["c"], 1), 3: ([], 0)}
 
 
-@pytest.mark.parametrize("reply, ok", [("[]", True), ("{}", True), ("```\n[]\n```", True), ("no", False), ("[1]", False), ("3", False)])
-def test_is_grading(reply, ok):
+@pytest.mark.parametrize("reply, ok", [
+    ("[]", True), ("{}", False), ("```\n[]\n```", True), ("no", False), ("[1]", False), ("3", False),
+    ('[{"sentence": "s", "result_type": 1}]', True), ('{"sentence": "s", "result_type": "2"}', True), ('[{"sentence": "s", "result_type": 1}] Done.', False),
+    ("[{'sentence': 's', 'result_type': 1}]", False), ('{"results": [{"sentence": "s", "result_type": 1}]}', False), ('[{"sentence": "s", "result_type": 0.9}]', False),
+])
+def test_one_rule_for_gradings(spark, reply, ok):
+    from plumbline.functions.replies import parse_gradings
+
     assert inference.is_grading(reply) is ok
+    parsed = spark.createDataFrame([(reply,)], "r string").select(parse_gradings("r")).first()[0]
+    assert (parsed is not None) is ok
+
+
+def test_samples_are_graded_by_row(spark):
+    """Two samples of one image, and one without a name."""
+    grade = lambda: lambda messages, model: json.dumps([{"sentence": messages[1]["content"].split("##")[1], "result_type": 1}])
+    talk = "array<struct<role:string,content:string>>"
+    rows = [("1.jpg", [("evaluatee", "a")]), ("1.jpg", [("evaluatee", "b"), ("evaluatee", "c")]), (None, [("evaluatee", "d")])]
+    out = grading.grade_samples(spark.createDataFrame(rows, f"file_name string, conversation {talk}"), grade, template="{}##{}", max_retries=0, backoff=0.0)
+    assert sorted((str(r.file_name), [g.sentence for g in r.grading_results], r.ungraded) for r in out.collect()) == [
+        ("1.jpg", ["a"], 0), ("1.jpg", ["b", "c"], 0), ("None", ["d"], 0),
+    ]
+
+
+def test_parses_leave_in_slices(spark):
+    seen = []
+
+    def make():
+        return lambda text: ([dict(i=i, text=w, lemma=w, pos="X", dep="ROOT", head_i=i, ws=True) for i, w in enumerate(text.split())], [])
+
+    df = spark.createDataFrame([("w " * 400,), ("v " * 300,), (None,)], "t string").coalesce(1)
+    got = inference.annotate(df, "t", make, slice_tokens=200).collect()
+    assert sorted(len(r.tokens) for r in got) == [0, 300, 400] and not seen
+
+
+def test_predictor_gets_bounded_batches(spark):
+    make = lambda: lambda paths, questions: [str(len(paths))] * len(paths)
+    df = spark.createDataFrame([("i", str(n)) for n in range(7)], "image string, question string").coalesce(1)
+    got = inference.batch_infer(df, make, batch_size=3).collect()
+    assert sorted(r.output for r in got) == ["1"] + ["3"] * 6
+
+
+def test_annotations_of_two_files(spark, tmp_path):
+    for n, names in (("a", "xy"), ("b", "z")):
+        (tmp_path / f"{n}.json").write_text(json.dumps({
+            "images": [{"id": ord(c), "file_name": c} for c in names], "annotations": [], "categories": [{"id": 1, "name": "one"}],
+        }))
+    tables = annotations.read_instances(spark, str(tmp_path / "*.json"))
+    assert [r.file_name for r in tables["images"].orderBy("ord").collect()] == ["x", "y", "z"]
+    assert tables["categories"].count() == 1
+
+
+def test_debug_samples(spark):
+    from plumbline.operators import samples
+
+    images_ = spark.createDataFrame([(n, f"{n}.jpg", 9 - n) for n in range(9)], "image_id bigint, file_name string, ord bigint")
+    boxes = spark.createDataFrame([(n, 1, [0.0], 1.0, n) for n in range(9)], "image_id bigint, category_id int, bbox array<double>, area double, ord bigint")
+    said = spark.createDataFrame([(n, f"c{n}", n) for n in range(9)], "image_id bigint, caption string, ord bigint")
+    kinds = spark.createDataFrame([(1, "dog")], "category_id int, name string")
+    got = samples.debug_samples(images_, boxes, said, kinds, n=2).collect()
+    assert sorted((r.file_name, len(r.instances), r.captions) for r in got) == [("7.jpg", 1, ["c7"]), ("8.jpg", 1, ["c8"])]
 
 
 def test_annotation_files(spark, tmp_path):
@@ -211,12 +269,12 @@ def test_conversation_and_grading_sinks(spark, tmp_path):
 def test_images(spark, tmp_path):
     (tmp_path / "a.jpg").write_bytes(b"A")
     (tmp_path / "b.jpg").write_bytes(b"B")
-    df = spark.createDataFrame([(1, "b.jpg,a.jpg"), (2, "c.jpg"), (3, "http://x/y.jpg")], "id int, image string")
+    df = spark.createDataFrame([(1, "b.jpg,a.jpg"), (2, "c.jpg"), (3, "http://x/y.jpg"), (4, "b.jpg,a.jpg"), (5, None)], "id int, image string")
     files = images.read_images(spark, str(tmp_path), "*.jpg")
-    got = {r.id: [None if c is None else bytes(c) for c in r.contents] for r in images.attach_images(df, files, "id", str(tmp_path)).collect()}
-    assert got == {1: [b"B", b"A"], 2: [None], 3: [None]}
+    got = {r.id: r.contents and [None if c is None else bytes(c) for c in r.contents] for r in images.attach_images(df, files, str(tmp_path)).collect()}
+    assert got == {1: [b"B", b"A"], 2: [None], 3: [None], 4: [b"B", b"A"], 5: None}
     refs = images.image_references(df, "d").collect()
-    assert [(r.path, r.remote) for r in refs] == [("d/b.jpg", False), ("d/a.jpg", False), ("d/c.jpg", False), ("http://x/y.jpg", True)]
+    assert [(r.path, r.remote) for r in refs][:4] == [("d/b.jpg", False), ("d/a.jpg", False), ("d/c.jpg", False), ("http://x/y.jpg", True)]
 
 
 def test_lexicons(spark, tmp_path):

@@ -58,25 +58,32 @@ def joined(nested):
     return {k: [v for r in g for v in r.vs] for k, g in itertools.groupby(parts, key=lambda r: r.k)}, parts
 
 
-@pytest.mark.parametrize("listed_keys", [1_000, 0])
-def test_nest_splits_hot_keys(spark, monkeypatch, listed_keys):
-    monkeypatch.setattr(nesting, "MAX_LISTED_KEYS", listed_keys)
+@pytest.mark.parametrize("part_rows", [3, 50, 10_000])
+def test_nest_cuts_all_keys_at_the_same_places(spark, part_rows):
     df, rows = numbers(spark)
-    got, parts = joined(nesting.nest_ordered(df, ["k"], ["n"], F.col("v"), "vs", part_rows=50))
+    got, parts = joined(nesting.nest_ordered(df, ["k"], ["n"], F.col("v"), "vs", part_rows=part_rows))
     want = {}
     for k, n, v in sorted(rows, key=lambda r: r[1]):
         want.setdefault(k, []).append(v)
     assert got == want
-    hot = [r for r in parts if r.k == 99]
-    assert len(hot) > 4 and max(len(r.vs) for r in hot) < 250
-    if listed_keys:
-        assert all(sum(1 for r in parts if r.k == k) == 1 for k in want if k != 99)
+    for k, rest in itertools.groupby(parts, key=lambda r: r.k):
+        rest = list(rest)
+        assert [(r.part, r.first_position) for r in rest] == [(i, i * part_rows) for i in range(-(-len(want[k]) // part_rows))]
+        assert all(len(r.vs) == part_rows for r in rest[:-1])
 
 
-def test_nest_without_hot_keys(spark):
-    df, rows = numbers(spark, hot=10)
-    _, parts = joined(nesting.nest_ordered(df, ["k"], ["n"], F.col("v"), "vs"))
-    assert len(parts) == 22 and {r.part for r in parts} == {0}
+def test_ordinary_keys_do_not_depend_on_hot_ones(spark):
+    def ordinary(hot):
+        df, _ = numbers(spark, hot)
+        nested = nesting.nest_ordered(df, ["k"], ["n"], F.col("v"), "vs", part_rows=4)
+        return sorted(map(repr, (tuple(r) for r in nested.collect() if r.k != 99)))
+
+    assert ordinary(0) == ordinary(3_000)
+
+
+def test_nest_of_nothing(spark):
+    df, _ = numbers(spark)
+    assert nesting.nest_ordered(df.limit(0), ["k"], ["n"], F.col("v"), "vs").count() == 0
 
 
 TURNS = "s bigint, turn int, role string, content string"
@@ -99,11 +106,14 @@ def test_truncate(spark):
 def test_nest_and_explode_transcripts(spark):
     rows = [(1, 2, "evaluator", "c"), (1, 0, "evaluator", "a"), (1, 1, "evaluatee", "b")]
     turns = spark.createDataFrame(rows, TURNS)
-    nested = transcripts.nest_transcripts(turns, "s").drop("part")
+    nested = transcripts.nest_transcripts(turns, "s")
     (row,) = nested.collect()
     assert [(m.role, m.content) for m in row.conversation] == [("evaluator", "a"), ("evaluatee", "b"), ("evaluator", "c")]
     assert sorted(tuple(r) for r in transcripts.explode_transcripts(nested).collect()) == sorted(rows)
     assert [r.content for r in transcripts.evaluatee_turns(turns).collect()] == ["b"]
+    parts = transcripts.nest_transcripts(turns, "s", part_rows=2)
+    assert parts.count() == 2
+    assert sorted(tuple(r) for r in transcripts.explode_transcripts(parts).collect()) == sorted(rows)
 
 
 def brute_scores(objects, relations):
@@ -189,6 +199,10 @@ def test_merge_entities(spark):
     )
     (row,) = scoring.merge_entities(df, ["doc_id"]).collect()
     assert (row["head"], row["attributes"]) == ("dog", ["red", "big", "big"])
+    one = df.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("entity_id", "head", "modifiers"))), lambda e: e).alias("entities"))
+    both = one.select(scoring.merged_in_row(F.col("entities")).alias("m"))
+    assert [(m["head"], m["attributes"]) for m in both.first()["m"]] == [("dog", ["red", "big", "big"])]
+    assert "Exchange" not in spark.range(1).select(scoring.merged_in_row(F.lit(None).cast(f"array<struct<head:string,modifiers:{mod}>>")))._jdf.queryExecution().executedPlan().toString()
 
 
 def test_probes(spark):
