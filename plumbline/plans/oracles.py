@@ -68,8 +68,10 @@ _DOCUMENT = "WITH " + _shallow("documents", "doc_id", "text")
 _CONVERSATION = (
     "WITH "
     + _TURNS
-    + ", said AS (SELECT conv_id, turn, CASE role WHEN 'evaluator' THEN 'gt' ELSE 'vlm' END AS side, content FROM turns
-    WHERE role IN ('evaluator', 'evaluatee')),"
+    + """, said AS (
+  SELECT conv_id, turn, CASE role WHEN 'evaluator' THEN 'gt' ELSE 'vlm' END AS side, content FROM turns
+  WHERE role IN ('evaluator', 'evaluatee')
+),"""
     + _shallow("said", "conv_id, turn, side", "content")
     + """,
 heads AS (SELECT DISTINCT conv_id, side, head FROM chunk),
