@@ -14,11 +14,11 @@ occur. Columns other than id and text are not read. No rows, no pieces.
 from __future__ import annotations
 
 import json
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +29,6 @@ LENGTH = 1024
 END_ID = 0
 DIMS = 4
 BITS = 10
-KNOWN_STRETCHES = 150_000
-_GAP = re.compile(r" (?=\S)")
 
 
 def byte_level_ranks(tokenizer: dict) -> dict[bytes, int]:
@@ -96,36 +94,13 @@ def curve_places(ids: list[np.ndarray], vectors: np.ndarray, bits: int = BITS) -
 
 
 class Tokens:
-    """Ids of whole texts, by stretches from gap to gap, which are remembered while room lasts."""
+    """Ids of whole texts."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        import tiktoken
-
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _new(self, stretch: str) -> bytes:
-        got = self.old.get(stretch)
-        if got is None:
-            got = np.array(self.encoding.encode_ordinary(" " + stretch), np.uint32).tobytes()
-        if len(stretch) <= 64:
-            if len(self.known) >= KNOWN_STRETCHES:
-                self.old, self.known = self.known, {}
-            self.known[stretch] = got
-        return got
 
     def ids(self, text: str | None) -> np.ndarray:
-        first, *rest = _GAP.split(text or "")
-        known, new = self.known, self._new
-        parts = [np.array(self.encoding.encode_ordinary(first), np.uint32).tobytes()]
-        for s in rest:
-            got = known.get(s)
-            if got is None:
-                got = new(s)
-                known = self.known
-            parts.append(got)
-        return np.frombuffer(b"".join(parts), np.uint32)
+        return np.array(self.encoding.encode_ordinary(text or ""), np.uint32)
 
 
 _tokens: dict[int, Tokens] = {}
