@@ -34,18 +34,24 @@ MOST_EPOCHS = 60
 # Labelled rows the model is fitted on, at most, by class.
 SAMPLE = {1: 1000, 0: 3000}
 # Words whose value a worker remembers.
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 150_000
 
 _WORD = re.compile(r"\w+")
 
 
-def subwords(word: str) -> np.ndarray:
-    """Buckets of the word and of its character n-grams, with marked ends."""
+def grams_of(word: str) -> list[bytes]:
+    """The word and its character n-grams, with marked ends."""
     marked = f"<{word}>"
-    grams = [marked]
-    for n in GRAMS:
-        grams += [marked[i : i + n] for i in range(len(marked) - n + 1)]
-    return np.array([zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams], dtype=np.int32)
+    if marked.isascii():
+        data = marked.encode()
+        return [data, *[data[i : i + n] for n in GRAMS for i in range(len(data) - n + 1)]]
+    grams = [marked, *[marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)]]
+    return [g.encode("utf-8", "surrogatepass") for g in grams]
+
+
+def subwords(word: str) -> np.ndarray:
+    """Buckets of the word and its n-grams."""
+    return np.array([zlib.crc32(g) % BUCKETS for g in grams_of(word)], dtype=np.int32)
 
 
 class _Subwords(dict):
@@ -133,16 +139,22 @@ def train(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int,
 
 
 class _Values(dict):
-    """Mean margin of a word's buckets."""
+    """Mean margin of a word's buckets; remembers two generations of KNOWN_WORDS words."""
 
     def __init__(self, margins):
         super().__init__()
-        self.margins = margins
+        self.margins = margins.tolist()
+        self.old: dict[str, float] = {}
 
     def __missing__(self, word):
+        got = self.old.get(word)
+        if got is None:
+            grams, margins, crc = grams_of(word), self.margins, zlib.crc32
+            got = sum([margins[crc(g) % BUCKETS] for g in grams]) / len(grams)
         if len(self) >= KNOWN_WORDS:
+            self.old = dict(self)
             self.clear()
-        got = self[word] = float(self.margins[subwords(word)].mean())
+        self[word] = got
         return got
 
 
