@@ -32,13 +32,14 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import texts_of
 
 # Pieces whose ids a worker remembers, and determinised states it keeps; both start anew when full.
-KNOWN_PIECES = 120_000
+KNOWN_PIECES = 80_000
 KNOWN_LENGTH = 64
-KNOWN_STATES = 150_000
+KNOWN_STATES = 180_000
+KNOWN_FITS = 400_000
 # Ids decoded at a step.
 STEP = 4096
 # A trie node with so few tokens from it on is looked through for one that may follow.
-FEW = 8
+FEW = 4
 
 
 NEVER = 1 << 62
@@ -85,10 +86,12 @@ class Transducer:
                     self.few[node] = (*self.few[node], rank) if len(self.few[node]) < FEW else None
             self.token[node] = rank
         self.spines: dict[int, tuple[list, list] | None] = {}
+        self.fits: dict[int, bool] = {}  # by both tokens
         self._reset()
 
     def _reset(self) -> None:
-        self.fits: dict[tuple[int, int], bool] = {}
+        if len(self.fits) > KNOWN_FITS:
+            self.fits.clear()
         self.states: dict[tuple, int] = {}
         self.sets: list[tuple] = []
         self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}  # by state and byte
@@ -131,7 +134,8 @@ class Transducer:
         They do unless, while both are being made, what stands at the right end of the one and at the
         left end of the other merges before either does so on its own side. Equal ranks go left to right.
         """
-        known = self.fits.get((last, token))
+        both = last << 32 | token
+        known = self.fits.get(both)
         if known is not None:
             return known
         spine = self._spine(token)
@@ -153,34 +157,51 @@ class Transducer:
                     i += 1
                 else:
                     j += 1
-        self.fits[last, token] = known
+        self.fits[both] = known
         return known
 
     def _alive(self, last: int, node: int) -> bool:
         """False if no token from this node on may follow the last one; runs with many ways on count as alive."""
         few = self.few[node]
-        own = self.token[node]
-        return few is None or any(t != own and self._may_follow(last, t) for t in few)
+        if few is None:
+            return True
+        own, fits, last_bits = self.token[node], self.fits, last << 32
+        for token in few:
+            if token != own:
+                known = fits.get(last_bits | token)
+                if known or (known is None and self._may_follow(last, token)):
+                    return True
+        return False
 
     def _arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         runs = []
+        children, tokens, fits = self.children, self.token, self.fits
         for last, node, owed in self.sets[state]:
-            following = self.children[node].get(byte)
+            following = children[node].get(byte)
             if following is None:
                 continue
-            if self.children[following] and self._alive(last, following):
+            if children[following] and self._alive(last, following):
                 runs.append((last, following, owed))
-            token = self.token[following]
-            if token >= 0 and self._may_follow(last, token):
-                runs.append((token, 0, (*owed, token)))
+            token = tokens[following]
+            if token >= 0:
+                known = fits.get(last << 32 | token)
+                if known or (known is None and self._may_follow(last, token)):
+                    runs.append((token, 0, (*owed, token)))
         if not runs:
             raise ValueError("bytes that no tokens cover")
-        shared = 0
-        shortest = min(len(owed) for _, _, owed in runs)
-        while shared < shortest and len({owed[shared] for _, _, owed in runs}) == 1:
-            shared += 1
-        emitted = runs[0][2][:shared]
-        target = self._state(tuple(sorted((last, node, owed[shared:]) for last, node, owed in runs)))
+        emitted = runs[0][2]
+        for _, _, owed in runs:
+            if not emitted or not owed or owed[0] != emitted[0]:
+                emitted = ()
+                break
+            shared = 1
+            while shared < len(emitted) and shared < len(owed) and owed[shared] == emitted[shared]:
+                shared += 1
+            emitted = emitted[:shared]
+        if emitted:
+            runs = [(last, node, owed[len(emitted) :]) for last, node, owed in runs]
+        runs.sort()
+        target = self._state(tuple(runs))
         arc = self.arcs[state << 8 | byte] = target, emitted
         return arc
 
