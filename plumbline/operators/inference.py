@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.text import normalise_answer
 from plumbline.operators.scenegraph import CHUNKS, TOKENS
 from plumbline.session import materialise as materialise
-from plumbline.session import ship_package
+from plumbline.session import exists, ship_package
 
 # (images, questions) -> answers, for one batch of rows
 Predictor = Callable[[list, list[str]], list[str]]
@@ -79,12 +79,24 @@ def chat_complete(
     check: Callable[[str], bool] | None = None,
     concurrency: int = 1,
     partitions: int | None = None,
+    store: str | None = None,
 ) -> DataFrame:
     """Send each row's chat messages; adds ``out`` and ``<out>_error``.
 
     A call that fails, or whose reply ``check`` refuses, is repeated after a pause, at most
     ``max_retries`` times; then the error column says why and the last reply, if any, is kept.
+
+    ``store`` names a folder of good replies by hash of model and messages. What it holds is not
+    asked again, equal requests are asked once, and new good replies are added before any row uses them.
     """
+    if store is not None:
+        return _stored(
+            df, messages, out, model, store,
+            lambda todo: chat_complete(
+                todo, messages, make_client, out=out, model=model, max_retries=max_retries, backoff=backoff,
+                check=check, concurrency=concurrency, partitions=partitions,
+            ),
+        )
 
     def one(client: ChatClient, text: str) -> tuple[str | None, str | None, int]:
         reply, error = None, None
@@ -120,6 +132,19 @@ def chat_complete(
     )
 
 
+def _stored(df: DataFrame, messages: str, out: str, model: str, store: str, ask: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    spark = df.sparkSession
+    error = f"{out}_error"
+    keyed = df.withColumn("_request", F.sha2(F.concat(F.lit(model), F.lit("\n"), F.to_json(messages)), 256))
+    schema = f"_request string, `{out}` string"
+    known = spark.read.schema(schema).parquet(store) if exists(spark, store) else spark.createDataFrame([], schema)
+    todo = keyed.select("_request", messages).dropDuplicates(["_request"]).join(known, "_request", "left_anti")
+    asked = materialise(ask(todo).select("_request", out, error))
+    held = materialise(known.withColumn(error, F.lit(None).cast("string")).unionByName(asked))
+    asked.where(F.col(error).isNull()).select("_request", out).write.mode("append").parquet(store)
+    return keyed.join(held.dropDuplicates(["_request"]), "_request", "left").drop("_request")
+
+
 def annotate(
     df: DataFrame,
     text: Column | str,

@@ -424,7 +424,7 @@ def dialogues(spark, sf_dir):
         "c_custkey", F.concat("c_custkey", F.lit(".jpg")).alias("file_name")
     )
     held = dialogue.run_dialogues(
-        customers, stubs.interviewer(4), stubs.interviewed, image_dir="data/val", template="{}", max_turns=3, backoff=0.0
+        customers, stubs.interviewer(4), stubs.interviewed, image_dir="data/val", template="{}", max_turns=3, max_retries=0, backoff=0.0
     )
     said = F.transform("conversation", lambda m: F.concat_ws(": ", m["role"], m["content"]))
     return held.select("c_custkey", F.array_join(said, "\n").alias("conversation"), "status")

@@ -1,4 +1,4 @@
-"""The four jobs from input files to output files."""
+"""The jobs from input files to output files."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import join_path
-from plumbline.operators import dialogue, grading, inference, scenegraph, scoring
-from plumbline.sources import tasks
+from plumbline.operators import dialogue, grading, inference, samples, scenegraph, scoring
+from plumbline.sources import annotations, tasks
 
 
 def answer_questions(
@@ -34,14 +34,14 @@ def answer_questions(
 
 
 def hold_dialogues(
-    samples: DataFrame,
+    rows: DataFrame,
     outfile: str,
     make_evaluator: Callable[[], inference.ChatClient],
     make_model: Callable[[], inference.Predictor],
     **options,
 ) -> None:
     """Samples -> samples with ``conversation`` and ``status``; options as for ``run_dialogues``."""
-    tasks.write_conversations(dialogue.run_dialogues(samples, make_evaluator, make_model, **options), outfile)
+    tasks.write_conversations(dialogue.run_dialogues(rows, make_evaluator, make_model, **options), outfile)
 
 
 def grade_conversations(
@@ -54,8 +54,24 @@ def grade_conversations(
     **options,
 ) -> None:
     """Conversations -> the same samples with ``grading_results``; options as for ``grade_samples``."""
-    samples = tasks.read_conversations(spark, infile, schema=schema)
-    tasks.write_gradings(grading.grade_samples(samples, make_client, **options), outfile)
+    held = tasks.read_conversations(spark, infile, schema=schema)
+    tasks.write_gradings(grading.grade_samples(held, make_client, **options), outfile)
+
+
+def assemble_files(spark: SparkSession, instances: str, captions: str, outfile: str, *, debug: int | None = None) -> None:
+    """Annotation files -> samples; with ``debug`` those of the first so many images only."""
+    tables = annotations.read_instances(spark, instances)
+    tables["captions"] = annotations.read_captions(spark, captions)
+    made = samples.assemble_samples(**tables) if debug is None else samples.debug_samples(**tables, n=debug)
+    tasks.write_rows(made, outfile)
+
+
+def judge_samples(
+    truth: DataFrame, answers: DataFrame, make_annotator: Callable[[], inference.Annotator], *, case: str = "file_name", **options
+) -> DataFrame:
+    """Hallucination counts of answers (case, text) against the joined captions of samples."""
+    texts = truth.select(case, samples.caption_text().alias("text"))
+    return judge_texts(texts, answers.select(case, "text"), make_annotator, case=case, **options)
 
 
 def judge_texts(

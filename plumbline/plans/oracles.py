@@ -452,8 +452,8 @@ SELECT o_orderkey AS image_id, o_orderkey || '.jpg' AS file_name,
 FROM few""",
     "merged_table": _DOCUMENT
     + """,
-n AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, head ORDER BY k) - 1) // 3 AS part FROM chunk)
-SELECT doc_id, head, part::INT AS part, coalesce(string_agg(adj, ',' ORDER BY k), '') AS attributes FROM n GROUP BY doc_id, head, part""",
+placed AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, head ORDER BY k) - 1) // 3 AS part FROM chunk)
+SELECT doc_id, head, part::INT AS part, coalesce(string_agg(adj, ',' ORDER BY k), '') AS attributes FROM placed GROUP BY doc_id, head, part""",
     "graded_repeats": f"""WITH {_TURNS},
 g AS (SELECT *, role = 'evaluatee' AND length(content) % 11 <> 0 AS ok FROM turns)
 SELECT conv_id % 3 || '.jpg' AS file_name, count(*)::INT AS turns, count(*) FILTER (ok)::INT AS gradings,

@@ -99,6 +99,18 @@ def _clear(spark: SparkSession, app: str) -> None:
             return
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def stage_once(df: DataFrame, path: str) -> DataFrame:
+    """Like ``materialise``, but a stage that an earlier run wrote whole is read, not made again."""
+    if not exists(df.sparkSession, f"{path}/_SUCCESS"):
+        df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write a stage once and go on from the written table (lineage ends there)."""
     path = path or shared_dir(df.sparkSession)

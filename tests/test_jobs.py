@@ -32,6 +32,20 @@ def test_dialogues_then_grades(spark, tmp_path):
     ]
 
 
+def test_files_to_samples(spark, tmp_path):
+    (tmp_path / "i.json").write_text(json.dumps({
+        "images": [{"id": n, "file_name": f"{n}.jpg"} for n in (5, 3, 4)],
+        "annotations": [{"id": n, "image_id": n, "category_id": 1, "bbox": [0, 0, 1, 1], "area": 1} for n in (3, 4, 5)],
+        "categories": [{"id": 1, "name": "dog"}],
+    }))
+    (tmp_path / "c.json").write_text(json.dumps({"images": [], "annotations": [{"id": n, "image_id": n, "caption": f"c{n}"} for n in (3, 4, 5)]}))
+    for debug, want in ((None, ["3.jpg", "4.jpg", "5.jpg"]), (2, ["3.jpg", "5.jpg"])):
+        out = str(tmp_path / f"out-{debug}")
+        jobs.assemble_files(spark, str(tmp_path / "i.json"), str(tmp_path / "c.json"), out, debug=debug)
+        rows = sorted(spark.read.parquet(out).collect(), key=lambda r: r.file_name)
+        assert [r.file_name for r in rows] == want and all(len(r.instances) == len(r.captions) == 1 for r in rows)
+
+
 def test_judge_texts(spark):
     parses = {}
     for name in ("active", "noun_preposition", "copula"):
@@ -46,3 +60,7 @@ def test_judge_texts(spark):
     got = {r.case_id: (r.object_hallucination_num, r.relation_hallucination_num) for r in jobs.judge_texts(truth, said, make).collect()}
     # 1: its own graph; 2: the woman and "playing", "in" from her; 3: both nouns known, their relation not
     assert got == {1: (0, 0), 2: (1, 2), 3: (0, 1)}
+    samples_ = spark.createDataFrame([("1.jpg", ["active"]), ("2.jpg", ["noun_preposition"])], "file_name string, captions array<string>")
+    answers = spark.createDataFrame([("1.jpg", "active"), ("2.jpg", "active")], "file_name string, text string")
+    scores = {r.file_name: r.object_hallucination_num for r in jobs.judge_samples(samples_, answers, make).collect()}
+    assert scores["1.jpg"] == 0 and scores["2.jpg"] >= 1

@@ -132,6 +132,57 @@ def test_dialogues(spark):
     assert out.columns == ["id", "file_name", "secret", "conversation", "status"]
 
 
+def counted_client(log, answer):
+    def make():
+        import os
+        import uuid
+
+        def client(messages, model):
+            open(os.path.join(log, uuid.uuid4().hex), "w").close()
+            return answer(messages)
+
+        return client
+
+    return make
+
+
+def test_replies_are_paid_for_once(spark, tmp_path):
+    calls, store = tmp_path / "calls", str(tmp_path / "store")
+    calls.mkdir()
+    make = counted_client(str(calls), lambda m: "bad" if m[1]["content"] == "c" else m[1]["content"] * 2)
+    df = spark.createDataFrame([(t,) for t in "aabc"], "t string").withColumn("messages", prompts.opening_messages("s", F.col("t")))
+    ask = lambda rows: sorted(
+        (r.t, r.reply, r.reply_error is None)
+        for r in inference.chat_complete(rows, "messages", make, model="m", max_retries=0, backoff=0.0, check=lambda r: r != "bad", store=store).collect()
+    )
+    want = [("a", "aa", True), ("a", "aa", True), ("b", "bb", True), ("c", "bad", False)]
+    assert ask(df) == want and len(list(calls.iterdir())) == 3
+    assert ask(df) == want and len(list(calls.iterdir())) == 4  # only the refused one is asked again
+
+
+def test_dialogues_go_on_where_they_died(spark, tmp_path):
+    calls, work = tmp_path / "calls", str(tmp_path / "work")
+    calls.mkdir()
+    talk = counted_client(str(calls), lambda m: "END" if len(m) > 6 else f"q{len(m)}")
+    df = spark.createDataFrame([(n, f"{n}.jpg") for n in range(3)], "id int, file_name string")
+    hold = lambda model: dialogue.run_dialogues(df, talk, model, template="{}", max_turns=9, work_dir=work, max_retries=0, backoff=0.0)
+
+    def dies():
+        def predict(paths, questions):
+            if questions[0] == "q4":
+                raise RuntimeError("killed")
+            return ["a"] * len(paths)
+
+        return predict
+
+    with pytest.raises(Exception):
+        hold(dies)
+    assert len(list(calls.iterdir())) == 6  # two rounds of three
+    got = hold(lambda: lambda paths, questions: ["a"] * len(paths)).collect()
+    assert [(len(r.conversation), r.status) for r in got] == [(7, "ended")] * 3
+    assert len(list(calls.iterdir())) == 12  # two more rounds, none twice
+
+
 def test_grade_samples(spark):
     def make():
         failed = set()
