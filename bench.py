@@ -17,7 +17,7 @@ from plumbline.session import builder  # noqa: E402
 HEADLINE = [
     "normalise_answers", "text_edges", "lexicon_scan", "scene_flags", "assemble_samples", "sample_stats",
     "truncate_at_marker", "transcript_lists", "grade_parse", "grading_lists", "graph_entities",
-    "rule_entities", "rule_relations", "merged_entities", "judge_scores", "probe_scores",
+    "graph_relations", "graph_endpoints", "rule_entities", "rule_relations", "merged_entities", "judge_scores", "relation_hallucination", "probe_scores",
     "batch_inference", "chat_replies", "annotated_turns", "dialogues", "graded_samples",
 ]
 

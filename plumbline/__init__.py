@@ -4,7 +4,6 @@
 ``operators``  DataFrame -> DataFrame steps (samples, transcripts, graphs, scores)
 ``sources``    annotation files, task files, lexicons, images, sinks
 ``plans``      whole jobs put together from the operators, and the query catalogue
-``streaming``  notes on running the stateless steps over a stream
 """
 
 __version__ = "0.1.0"

@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import re
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
@@ -45,16 +45,19 @@ def batch_infer(
     normalise: bool = True,
     partitions: int | None = None,
     batch_size: int | None = None,
+    options: Mapping[str, object] | None = None,
 ) -> DataFrame:
     """Answer every (image, question) row; all columns are kept and ``out`` is added.
 
+    ``options`` (see ``prompts.decoding_options``) are handed to ``make_predictor`` by name.
+
     ``partitions`` spreads the rows evenly over that many model instances first. The predictor gets
     ``batch_size`` rows at a time (default: an Arrow batch); give one where images come as bytes.
     """
 
     @F.pandas_udf("string")
     def answer(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        predict = make_predictor()
+        predict = make_predictor(**(options or {}))
         for images, questions in batches:
             step = batch_size or max(len(images), 1)
             for at in range(0, len(images), step):

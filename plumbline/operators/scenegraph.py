@@ -8,7 +8,8 @@ Input: one row per document with two arrays
 Output: the same rows with ``entities`` and ``relations`` arrays. A document never needs
 another document's rows, so the whole extraction is column work: no exchange, no join, no
 Python. Look-ups by token position go through ``keyed`` arrays, which keeps the cost per
-document linear (times a log for sorting) however long the text is.
+document linear (times a log for sorting) however long the text is - but for compounds above
+compounds, where each token below one climbs as many steps as the document has of them.
 """
 
 from __future__ import annotations
@@ -221,8 +222,8 @@ def _found(
     return F.filter(F.transform(F.transform(objects, ancestors), of_root), lambda x: x.isNotNull())
 
 
-def _kept(tokens: Column, chunks: Column, found: Column, drop_pronouns: bool) -> Column:
-    """Chunks that are entities: no pronouns, no nouns used up by a phrasal preposition."""
+def _kept(tokens: Column, chunks: Column, found: Column | None, drop_pronouns: bool) -> Column:
+    """Chunks that are entities: no pronouns, no nouns used up by a phrasal preposition (in ``found``)."""
 
     def is_pronoun(chunk: Column) -> Column:
         root = F.get(tokens, chunk["root_i"])
@@ -231,11 +232,13 @@ def _kept(tokens: Column, chunks: Column, found: Column, drop_pronouns: bool) ->
             hit = hit | (root["pos"] == "PRON")
         return F.coalesce(hit, F.lit(False))
 
-    def fake(marks: Column) -> Column:
-        return F.filter(chunks, lambda x: ~is_pronoun(x) & ~F.array_contains(marks, x["root_i"]))
+    def real(marks: Column) -> Column:
+        return F.filter(chunks, lambda x: ~is_pronoun(x) & (F.size(entries_of(marks, x["root_i"])) == 0))
 
-    marks = F.filter(F.transform(found, lambda x: x["fake"]), lambda x: x.isNotNull())
-    return let(marks, fake)
+    if found is None:
+        return F.filter(chunks, lambda x: ~is_pronoun(x))
+    marked = F.filter(found, lambda x: x["fake"].isNotNull())
+    return let(keyed(F.transform(marked, lambda x: F.struct(x["fake"].alias("k")))), real)
 
 
 def _entity(c: Column, tokens: Column, members: Column, conjuncts: Column, scene_nouns: list[str]) -> Column:
@@ -366,8 +369,9 @@ def extract_scene_graph(
     chunks: str = "chunks",
     drop_pronouns: bool = False,
     keep_tokens: bool = True,
+    want: tuple[str, ...] = ("entities", "relations"),
 ) -> DataFrame:
-    """Add ``entities`` and ``relations`` to token documents.
+    """Add ``entities`` and ``relations`` to token documents, or the one of them that is wanted.
 
     Pronoun chunks are dropped when their root has the placeholder lemma of older parsers;
     ``drop_pronouns`` also drops those tagged PRON. ``keep_tokens=False`` drops the parse.
@@ -377,19 +381,26 @@ def extract_scene_graph(
     subjects, conjuncts, members, found, kept, where = (
         F.col(n) for n in ("_subjects", "_conjuncts", "_members", "_found", "_kept", "_where")
     )
-    steps = computed(
-        df, {"_subjects": _subjects(t), "_conjuncts": _conjuncts(t), "_members": _phrase_members(t)}
-    )
-    steps = computed(steps, {"_found": _found(t, c, subjects, verbs, preps)}).drop("_subjects")
-    steps = computed(steps, {"_kept": _kept(t, c, found, drop_pronouns)})
-    steps = computed(steps, {"_where": _locations(kept)})
-    graph = computed(
-        steps,
-        {
-            "entities": F.transform(kept, lambda x: _entity(x, t, members, conjuncts, scenes)),
-            "relations": _located(found, conjuncts, where),
-        },
-    ).drop("_conjuncts", "_members", "_found", "_kept", "_where")
+    relations, named = "relations" in want, "entities" in want
+    # without phrasal prepositions no noun is used up, so entities alone need no relations
+    finding = relations or bool(preps)
+    first = {"_subjects": _subjects(t)} if finding else {}
+    if relations or named:
+        first["_conjuncts"] = _conjuncts(t)
+    if named:
+        first["_members"] = _phrase_members(t)
+    steps = computed(df, first)
+    if finding:
+        steps = computed(steps, {"_found": _found(t, c, subjects, verbs, preps)}).drop("_subjects")
+    steps = computed(steps, {"_kept": _kept(t, c, found if finding else None, drop_pronouns)})
+    if relations:
+        steps = computed(steps, {"_where": _locations(kept)})
+    made = {}
+    if named:
+        made["entities"] = F.transform(kept, lambda x: _entity(x, t, members, conjuncts, scenes))
+    if relations:
+        made["relations"] = _located(found, conjuncts, where)
+    graph = computed(steps, made).drop("_conjuncts", "_members", "_found", "_kept", "_where")
     return graph if keep_tokens else graph.drop(tokens, chunks)
 
 
@@ -403,15 +414,20 @@ def relation_table(graphs: DataFrame, *keys: str) -> DataFrame:
     return listed(graphs, keys, "relations", "relation_id")
 
 
-def graph_view(graphs: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
-    """Two lower-cased text tables for reading: entities and relations."""
-    entities = entity_table(graphs, *keys).select(
+def entity_view(graphs: DataFrame, *keys: str) -> DataFrame:
+    """Entities as a lower-cased text table for reading."""
+    return entity_table(graphs, *keys).select(
         *keys,
         "entity_id",
         F.lower("head").alias("head"),
         F.lower("span").alias("span"),
         F.array_join(F.transform("modifiers", lambda m: F.lower(m["span"])), ",").alias("modifiers"),
     )
+
+
+def graph_view(graphs: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """Two lower-cased text tables for reading: entities and relations."""
+    entities = entity_view(graphs, *keys)
     named = named_relations(F.col("entities"), F.col("relations"))
     relations = listed(graphs, keys, named, "relation_id")
     return entities, relations

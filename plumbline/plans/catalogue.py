@@ -76,12 +76,12 @@ def annotation_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-def document_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def document_graphs(spark: SparkSession, sf_dir: str, want=("entities", "relations")) -> DataFrame:
     docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return scenegraph.extract_scene_graph(shallow_tokens(docs, "text"), keep_tokens=False)
+    return scenegraph.extract_scene_graph(shallow_tokens(docs, "text"), keep_tokens=False, want=want)
 
 
-def hashed_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hashed_graphs(spark: SparkSession, sf_dir: str, want: tuple[str, ...]) -> DataFrame:
     docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return scenegraph.extract_scene_graph(
         hashed_tokens(docs, "text", "doc_id"),
@@ -89,6 +89,7 @@ def hashed_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
         phrasal_preps=PHRASAL_PREPS,
         scene_nouns=SCENE_WORDS,
         keep_tokens=False,
+        want=want,
     )
 
 
@@ -313,7 +314,7 @@ def grading_lists(spark, sf_dir):
 
 
 def graph_entities(spark, sf_dir):
-    return scenegraph.graph_view(document_graphs(spark, sf_dir), "doc_id")[0]
+    return scenegraph.entity_view(document_graphs(spark, sf_dir, ("entities",)), "doc_id")
 
 
 def graph_relations(spark, sf_dir):
@@ -328,7 +329,7 @@ def graph_endpoints(spark, sf_dir):
 
 
 def rule_entities(spark, sf_dir):
-    entities = scenegraph.entity_table(hashed_graphs(spark, sf_dir), "doc_id")
+    entities = scenegraph.entity_table(hashed_graphs(spark, sf_dir, ("entities",)), "doc_id")
     return entities.select(
         "doc_id", "entity_id", "span", "lemma_span", "head", "lemma_head",
         F.col("span_bounds.start").alias("span_start"), F.col("span_bounds.end").alias("span_end"),
@@ -337,18 +338,18 @@ def rule_entities(spark, sf_dir):
 
 
 def rule_relations(spark, sf_dir):
-    return scenegraph.relation_table(hashed_graphs(spark, sf_dir), "doc_id").drop("relation_id")
+    return scenegraph.relation_table(hashed_graphs(spark, sf_dir, ("relations",)), "doc_id").drop("relation_id")
 
 
 def merged_entities(spark, sf_dir):
-    merged = computed(document_graphs(spark, sf_dir).select("doc_id", "entities"), {"merged": scoring.merged_in_row(F.col("entities"))})
+    merged = computed(document_graphs(spark, sf_dir, ("entities",)).select("doc_id", "entities"), {"merged": scoring.merged_in_row(F.col("entities"))})
     heads = listed(merged, ["doc_id"], "merged", "n")
     return heads.select("doc_id", "head", F.array_join("attributes", ",").alias("attributes"))
 
 
 def merged_table(spark, sf_dir):
     """The same from an entity table, in parts of three entities."""
-    entities = scenegraph.entity_table(document_graphs(spark, sf_dir), "doc_id")
+    entities = scenegraph.entity_table(document_graphs(spark, sf_dir, ("entities",)), "doc_id")
     merged = scoring.merge_entities(entities, ["doc_id"], part_rows=3)
     return merged.select("doc_id", "head", "part", F.array_join("attributes", ",").alias("attributes"))
 

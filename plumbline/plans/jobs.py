@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.prompts import decoding_options
 from plumbline.functions.text import join_path
 from plumbline.operators import dialogue, grading, inference, samples, scenegraph, scoring
 from plumbline.sources import annotations, tasks
@@ -23,12 +24,17 @@ def answer_questions(
     out_format: str = "parquet",
     schema=None,
     partitions: int | None = None,
+    model: str | None = None,
 ) -> None:
-    """Question rows -> the same rows with a normalised ``output``. The image column stays as read."""
+    """Question rows -> the same rows with a normalised ``output``. The image column stays as read.
+
+    ``model`` names a family whose generation settings the predictor is made with.
+    """
     rows = tasks.read_tasks(spark, infile, format, schema)
     path = join_path(image_dir, F.col("image")) if image_dir else F.col("image")
     answered = inference.batch_infer(
-        rows.withColumn("_path", path), make_predictor, image="_path", partitions=partitions
+        rows.withColumn("_path", path), make_predictor, image="_path", partitions=partitions,
+        options=decoding_options(model) if model else None,
     )
     tasks.write_rows(answered.drop("_path"), outfile, out_format)
 

@@ -21,69 +21,68 @@ def document(doc_id, words, chunks):
 # doc_id -> (words, chunks, expected relations as (subject, relation, object) entity indexes)
 RULES = {
     "active": (
-        "A/DET/det/1 woman/NOUN/nsubj/3 is|be/AUX/aux/3 playing|play/VERB/ROOT/3 the/DET/det/5 piano/NOUN/dobj/3 "
-        "in/ADP/prep/3 the/DET/det/8 room/NOUN/pobj/6",
+        "Two/NUM/nummod/1 painters|painter/NOUN/nsubj/3 are|be/AUX/aux/3 repairing|repair/VERB/ROOT/3 a/DET/det/5 wall/NOUN/dobj/3 "
+        "under/ADP/prep/3 the/DET/det/8 bridge/NOUN/pobj/6",
         [(0, 2, 1), (4, 6, 5), (7, 9, 8)],
-        [(0, "playing", 1), (0, "in", 2)],
+        [(0, "repairing", 1), (0, "under", 2)],
     ),
     "clausal": (
-        "A/DET/det/1 woman/NOUN/ROOT/1 playing|play/VERB/acl/1 the/DET/det/4 piano/NOUN/dobj/2 "
-        "in/ADP/prep/2 the/DET/det/7 room/NOUN/pobj/5",
-        [(0, 2, 1), (3, 5, 4), (6, 8, 7)],
-        [(0, "playing", 1), (0, "in", 2)],
+        "Some/DET/det/1 tourists|tourist/NOUN/ROOT/1 feeding|feed/VERB/acl/1 pigeons|pigeon/NOUN/dobj/2 near/ADP/prep/2 "
+        "a/DET/det/6 fountain/NOUN/pobj/4",
+        [(0, 2, 1), (3, 4, 3), (5, 7, 6)],
+        [(0, "feeding", 1), (0, "near", 2)],
     ),
     "attribute": (
-        "The/DET/det/1 woman/NOUN/nsubj/2 is|be/AUX/ROOT/2 a/DET/det/4 pianist/NOUN/attr/2",
-        [(0, 2, 1), (3, 5, 4)],
-        [(0, "is", 1)],
+        "Our/PRON/poss/1 neighbour/NOUN/nsubj/2 became|become/VERB/ROOT/2 mayor/NOUN/attr/2",
+        [(0, 2, 1), (3, 4, 3)],
+        [(0, "became", 1)],
     ),
     "passive": (
-        "The/DET/det/1 piano/NOUN/nsubjpass/3 is|be/AUX/auxpass/3 played|play/VERB/ROOT/3 by/ADP/agent/3 "
-        "a/DET/det/6 woman/NOUN/pobj/4",
-        [(0, 2, 1), (5, 7, 6)],
-        [(1, "played", 0)],
+        "Both/DET/det/1 letters|letter/NOUN/nsubjpass/3 were|be/AUX/auxpass/3 signed|sign/VERB/ROOT/3 yesterday/NOUN/npadvmod/3 "
+        "by/ADP/agent/3 an/DET/det/7 officer/NOUN/pobj/5",
+        [(0, 2, 1), (6, 8, 7)],
+        [(1, "signed", 0)],
     ),
     "phrasal_verb": (
-        "A/DET/det/1 boy/NOUN/nsubj/3 is|be/AUX/aux/3 looking|look/VERB/ROOT/3 at/ADP/prep/3 the/DET/det/6 dog/NOUN/pobj/4",
-        [(0, 2, 1), (5, 7, 6)],
-        [(0, "looking at", 1)],
+        "travellers|traveller/NOUN/nsubj/1 wait/VERB/ROOT/1 for/ADP/prep/1 late/ADJ/amod/4 buses|bus/NOUN/pobj/2",
+        [(0, 1, 0), (3, 5, 4)],
+        [(0, "wait for", 1)],
     ),
     "verb_preposition": (
-        "A/DET/det/1 boy/NOUN/nsubj/3 is|be/AUX/aux/3 running|run/VERB/ROOT/3 across/ADP/prep/3 the/DET/det/6 road/NOUN/pobj/4",
-        [(0, 2, 1), (5, 7, 6)],
-        [(0, "across", 1)],
+        "The/DET/det/1 goat/NOUN/nsubj/2 climbed|climb/VERB/ROOT/2 over/ADP/prep/2 wet/ADJ/amod/5 rocks|rock/NOUN/pobj/3",
+        [(0, 2, 1), (4, 6, 5)],
+        [(0, "over", 1)],
     ),
     "phrasal_preposition": (
-        "A/DET/det/1 woman/NOUN/ROOT/1 in/ADP/prep/1 front/NOUN/pobj/2 of/ADP/prep/3 a/DET/det/6 piano/NOUN/pobj/4",
-        [(0, 2, 1), (3, 4, 3), (5, 7, 6)],
-        # "in" stands between nouns before the phrase is seen; "front" is no noun afterwards
-        [(0, "in front of", 1)],
+        "bicycles|bicycle/NOUN/ROOT/0 on/ADP/prep/0 top/NOUN/pobj/1 of/ADP/prep/2 a/DET/det/5 shed/NOUN/pobj/3",
+        [(0, 1, 0), (2, 3, 2), (4, 6, 5)],
+        # "on" stands between nouns before the phrase is seen; "top" is no noun afterwards
+        [(0, "on top of", 1)],
     ),
     "noun_preposition": (
-        "A/DET/det/1 piano/NOUN/ROOT/1 in/ADP/prep/1 the/DET/det/4 room/NOUN/pobj/2",
+        "Seven/NUM/nummod/1 apples|apple/NOUN/ROOT/1 from/ADP/prep/1 a/DET/det/4 basket/NOUN/pobj/2",
         [(0, 2, 1), (3, 5, 4)],
-        [(0, "in", 1)],
+        [(0, "from", 1)],
     ),
-    "next_to_noun": (
-        "A/DET/det/1 piano/NOUN/ROOT/1 next/ADJ/amod/1 to/ADP/prep/2 a/DET/det/5 woman/NOUN/pobj/3",
+    "modifier_of_noun": (
+        "A/DET/det/1 lighthouse/NOUN/ROOT/1 visible/ADJ/amod/1 across/ADP/prep/2 the/DET/det/5 bay/NOUN/pobj/3",
         [(0, 2, 1), (4, 6, 5)],
-        [(0, "next to", 1)],
+        [(0, "visible across", 1)],
     ),
-    "next_to_verb": (
-        "A/DET/det/1 woman/NOUN/ROOT/1 standing|stand/VERB/acl/1 next/ADV/advmod/2 to/ADP/prep/3 a/DET/det/6 piano/NOUN/pobj/4",
-        [(0, 2, 1), (5, 7, 6)],
-        [(0, "next to", 1)],
+    "modifier_of_verb": (
+        "children|child/NOUN/ROOT/0 sleeping|sleep/VERB/acl/0 far/ADV/advmod/1 from/ADP/prep/2 their/PRON/poss/5 parents|parent/NOUN/pobj/3",
+        [(0, 1, 0), (4, 6, 5)],
+        [(0, "far from", 1)],
     ),
     "copula": (
-        "A/DET/det/1 piano/NOUN/nsubj/2 is|be/AUX/ROOT/2 in/ADP/prep/2 the/DET/det/5 room/NOUN/pobj/3",
+        "Those/DET/det/1 keys|key/NOUN/nsubj/2 were|be/AUX/ROOT/2 behind/ADP/prep/2 the/DET/det/5 clock/NOUN/pobj/3",
         [(0, 2, 1), (4, 6, 5)],
-        [(0, "in", 1)],
+        [(0, "behind", 1)],
     ),
-    # the phrase hangs on a verb: the verb is in no chunk and "front" is dropped, so nothing is left
+    # the phrase hangs on a verb: the verb is in no chunk and "top" is dropped, so nothing is left
     "fake_noun_on_verb": (
-        "A/DET/det/1 woman/NOUN/ROOT/1 standing|stand/VERB/acl/1 in/ADP/prep/2 front/NOUN/pobj/3 of/ADP/prep/4 "
-        "a/DET/det/7 piano/NOUN/pobj/5",
-        [(0, 2, 1), (4, 5, 4), (6, 8, 7)],
+        "cats|cat/NOUN/ROOT/0 resting|rest/VERB/acl/0 on/ADP/prep/1 top/NOUN/pobj/2 of/ADP/prep/3 a/DET/det/6 car/NOUN/pobj/4",
+        [(0, 1, 0), (3, 4, 3), (5, 7, 6)],
         [],
     ),
     # two subjects for one verb: the later one decides
