@@ -97,5 +97,23 @@ QUERIES = {
     f.__name__: f for f in (op1_byte_bpe, op2_line_dedup, op3_toxicity, op4_compression_quality, op5_divergence_rules, op6_language_fusion, op7_hilbert_packing, op8_secret_scan, op9_simhash, op10_pca_tiles)
 }
 
-# Counterparts in SQL, where SQL can express an operator over its whole table.
-ORACLES: dict[str, str] = {}
+# Counterparts in SQL, where SQL can express an operator over its whole table. The others rest on hashes,
+# tokenizers, trained models or code point spans that the SQL engine lacks; tests hold them against brute force.
+ORACLES: dict[str, str] = {
+    "op10_pca_tiles": """
+WITH RECURSIVE
+v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+ok AS (
+  SELECT * FROM v WHERE vec_id IS NOT NULL AND len(e) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+),
+link AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+),
+reach(a, b) AS (SELECT vec_id, vec_id FROM ok UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+n AS (SELECT a, count(*) AS n FROM link GROUP BY a),
+c AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(c, vec_id) AS component_id, coalesce(coalesce(c, vec_id) = vec_id, false) AS kept
+FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id""",
+}

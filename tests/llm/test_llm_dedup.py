@@ -239,6 +239,17 @@ def test_vectors_against_brute_force(spark, group_rows):
     assert [tuple(r) for r in got if r["vec_id"] is None] == [(None, 0, None, False)]
 
 
+def test_vectors_query_against_sql(spark, sf_dir):
+    from compare import compare, oracle_connection
+
+    from plumbline.llm.queries import ORACLES
+
+    assert set(ORACLES) <= set(QUERIES)
+    for name, sql in ORACLES.items():
+        same, message = compare(QUERIES[name](spark, sf_dir), oracle_connection(sf_dir), sql)
+        assert same, message
+
+
 def test_vectors_query_and_empty(spark, sf_dir):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     got = QUERIES["op10_pca_tiles"](spark, sf_dir).collect()
