@@ -32,17 +32,19 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import texts_of
 
 # Pieces whose ids a worker remembers, and determinised states it keeps; both start anew when full.
-KNOWN_PIECES = 80_000
+KNOWN_PIECES = 140_000
 KNOWN_LENGTH = 64
-KNOWN_STATES = 180_000
+KNOWN_STATES = 200_000
 KNOWN_FITS = 400_000
 # Ids decoded at a step.
 STEP = 4096
+MARKS = tuple(".,;:!?")
 # A trie node with so few tokens from it on is looked through for one that may follow.
 FEW = 4
 
 
 NEVER = 1 << 62
+RUNS, END = -1, -2
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -92,20 +94,16 @@ class Transducer:
     def _reset(self) -> None:
         if len(self.fits) > KNOWN_FITS:
             self.fits.clear()
-        self.states: dict[tuple, int] = {}
-        self.sets: list[tuple] = []
-        self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}  # by state and byte
-        self.finals: list[tuple[int, ...] | None] = []
-        self._state(((-1, 0, ()),))
-
-    def _state(self, runs: tuple) -> int:
-        number = self.states.get(runs)
-        if number is None:
-            number = self.states[runs] = len(self.sets)
-            self.sets.append(runs)
+        # a state is a table: by byte the next state and what is emitted; its runs; what ends it, if it may
+        self.states: dict[tuple, dict] = {}
+        self.start = self._state(((-1, 0, ()),))
+
+    def _state(self, runs: tuple) -> dict:
+        state = self.states.get(runs)
+        if state is None:
             done = [owed for _, node, owed in runs if node == 0]
-            self.finals.append(done[0] if done else None)
-        return number
+            state = self.states[runs] = {RUNS: runs, END: done[0] if done else None}
+        return state
 
     def _spine(self, token: int) -> tuple[list, list] | None:
         """While the merges make this token: what stood at its left end, and at its right end, each with
@@ -173,10 +171,10 @@ class Transducer:
                     return True
         return False
 
-    def _arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def _arc(self, state: dict, byte: int) -> tuple[dict, tuple[int, ...]]:
         runs = []
         children, tokens, fits = self.children, self.token, self.fits
-        for last, node, owed in self.sets[state]:
+        for last, node, owed in state[RUNS]:
             following = children[node].get(byte)
             if following is None:
                 continue
@@ -201,8 +199,7 @@ class Transducer:
         if emitted:
             runs = [(last, node, owed[len(emitted) :]) for last, node, owed in runs]
         runs.sort()
-        target = self._state(tuple(runs))
-        arc = self.arcs[state << 8 | byte] = target, emitted
+        arc = state[byte] = self._state(tuple(runs)), emitted
         return arc
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
@@ -210,15 +207,14 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        if len(self.sets) > KNOWN_STATES:
+        if len(self.states) > KNOWN_STATES:
             self._reset()
-        state, out, arcs = 0, [], self.arcs
+        state, out = self.start, []
         for byte in piece:
-            arc = arcs.get(state << 8 | byte)
-            state, emitted = arc if arc is not None else self._arc(state, byte)
+            state, emitted = state.get(byte) or self._arc(state, byte)
             if emitted:
                 out += emitted
-        final = self.finals[state]
+        final = state[END]
         if final is None:
             raise ValueError("bytes that no tokens cover")
         return (*out, *final)
@@ -358,8 +354,18 @@ class Encoder:
         self.transducer = Transducer(ranks)
         self.pattern = regex.compile(pattern)
         self.gaps = gaps
+        self.letters = self.pattern.findall(" naïve, a.") == [" naïve", ",", " a", "."]
         self.pieces = Recent(lambda p: array("i", self.transducer.encode(p.encode("utf-8"))).tobytes())
-        self.stretches = Recent(lambda s: self._ids(" " + s))
+        self.stretches = Recent(self._after_space)
+
+    def _after_space(self, stretch: str) -> bytes:
+        # letters alone, or with one mark behind them, need no pattern to be taken apart
+        if self.letters:
+            if stretch.isalpha():
+                return self.pieces[" " + stretch]
+            if stretch[-1:] in MARKS and stretch[:-1].isalpha():
+                return self.pieces[" " + stretch[:-1]] + self.pieces[stretch[-1]]
+        return self._ids(" " + stretch)
 
     def _ids(self, stretch: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.pattern.findall(stretch)))
