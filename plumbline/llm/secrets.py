@@ -35,7 +35,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # a maximal run either way, so short runs need not be matched
 _ENCODED = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
 _ANY_HEX = re.compile(r"[0-9a-fA-F]{32,}")
-_SIGNED = re.compile(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+# only from where a run begins: a long run without dots is read once
+_SIGNED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 _ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----((?:[A-Za-z0-9+/=\s]|\\n)+)-----END \1-----")
 
 ASSIGN_LENGTH, ACCESS_LENGTH = 12, 18
