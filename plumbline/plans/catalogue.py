@@ -28,6 +28,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 PHRASAL_VERBS = [
     "of the", "in the", "to the", "and the", "that the", "the of", "for the", "on the", "de la", "is the",
     "a the", "the and", "the to", "der die", "que la", "the in", "en la", "the the", "and of", "of of",
+    "la la", "are the", "lich der", "the thedan", "the heorst", "ouelle par", "ra doñ", "eau éen", "ed lytionor", "thshat onan",
+    "ththwhan and", "erinnter ththth", "hehely hehely", "ingble anreblehe",
 ]
 PHRASAL_PREPS = [
     "of the", "in the", "to the", "and the", "the of", "de la", "the", "of", "and", "to", "a", "in", "en", "der",
