@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import texts_of
 
 # Pieces whose ids a worker remembers, and determinised states it keeps; both start anew when full.
-KNOWN_PIECES = 140_000
+KNOWN_PIECES = 100_000
 KNOWN_LENGTH = 64
-KNOWN_STATES = 200_000
+KNOWN_STATES = 120_000
 KNOWN_FITS = 400_000
 # Ids decoded at a step.
 STEP = 4096
