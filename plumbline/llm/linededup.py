@@ -17,7 +17,8 @@ key are made. Deletions are joined with the whole line of the same key, of which
 Every match is verified by edit distance on the words.
 
 Before that, lines that share neither their first nor their second half with any other line are set
-aside: one edit leaves one half as it is, so this loses nothing.
+aside: one edit leaves one half as it is, so this loses nothing. A line that shares one half only
+emits the deletions of the other.
 """
 
 from __future__ import annotations
@@ -157,7 +158,7 @@ _LINES = "doc_id long, text_key long, line_no int, line_key long, front long, fr
 def _picked(batches):
     """The listed lines of each text: its words, lower-cased and joined by one space."""
     for batch in batches:
-        keys, docs, hashes, numbers, words = [], [], [], [], []
+        keys, docs, hashes, numbers, fronts, backs, words = [], [], [], [], [], [], []
         for doc_id, text_key, text, wanted in zip(
             *(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "text", "wanted"))
         ):
@@ -167,24 +168,40 @@ def _picked(batches):
                 docs.append(doc_id)
                 hashes.append(text_key)
                 numbers.append(w["line_no"])
+                fronts.append(w["front_shared"])
+                backs.append(w["back_shared"])
                 words.append(b" ".join(lines[w["line_no"]].split()))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(hashes, pa.int64()), pa.array(numbers, pa.int32()), pa.array(words, pa.binary())],
-            ["line_key", "doc_id", "text_key", "line_no", "words"],
+            [pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(hashes, pa.int64()), pa.array(numbers, pa.int32()), pa.array(fronts, pa.bool_()), pa.array(backs, pa.bool_()), pa.array(words, pa.binary())],
+            ["line_key", "doc_id", "text_key", "line_no", "front", "back", "words"],
         )
 
 
+def _deleted_places(n: int, front: bool, back: bool) -> np.ndarray:
+    """-1 for the whole line of n words, then the places whose deletion can meet another line's.
+
+    With a front half in common the edit lies behind it, with a back half before it.
+    """
+    places = np.arange(-1, n)
+    middle = (n - 1) // 2
+    return places[(places < 0) | (front & (places >= middle)) | (back & (places <= middle))]
+
+
 def _variant_rows(batches):
     hasher = LineHasher()
     for batch in batches:
-        parts = [hasher.variants(w.split(b" ")) for w in batch.column("words").to_pylist()]
+        parts, places = [], []
+        for words, front, back in zip(*(batch.column(c).to_pylist() for c in ("words", "front", "back"))):
+            variants = hasher.variants(words.split(b" "))
+            at = _deleted_places(len(variants) - 1, front, back)
+            parts.append(variants[at + 1])
+            places.append(at.astype(np.int32))
         if not parts:
             continue
         counts = np.array(list(map(len, parts)))
         rows = pa.array(np.repeat(np.arange(len(parts)), counts))
-        places = np.concatenate([np.arange(-1, n - 1, dtype=np.int32) for n in counts])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(parts)), pa.array(places), *(batch.column(c).take(rows) for c in ("line_key", "doc_id", "text_key", "line_no"))],
+            [pa.array(np.concatenate(parts)), pa.array(np.concatenate(places)), *(batch.column(c).take(rows) for c in ("line_key", "doc_id", "text_key", "line_no"))],
             ["variant", "place", "line_key", "doc_id", "text_key", "line_no"],
         )
 
@@ -215,24 +232,29 @@ def near_lines(texts: DataFrame, firsts: DataFrame, edit_words: int) -> DataFram
     ``firsts`` has each distinct line once: line_key, its first position, the keys of its halves.
     """
     halves = firsts.select(
-        "line_key", F.explode(F.array("front", "front_less", "back", "back_less")).alias("half")
+        "line_key", F.posexplode(F.array("front", "front_less", "back", "back_less")).alias("side", "half")
     ).where("half IS NOT NULL")
     shared = halves.groupBy("half").agg(F.min("line_key").alias("lo"), F.max("line_key").alias("hi")).where("lo != hi")
-    screened = halves.join(shared.select("half"), "half", "left_semi").select("line_key").distinct()
+    screened = (
+        halves.join(shared.select("half"), "half", "left_semi")
+        .groupBy("line_key")
+        .agg(F.max(F.col("side") < 2).alias("front_shared"), F.max(F.col("side") >= 2).alias("back_shared"))
+    )
 
     wanted = (
-        firsts.join(screened, "line_key", "left_semi")
+        firsts.select("line_key", "first")
+        .join(screened, "line_key")
         .groupBy("first.doc_id", "first.text_key")
-        .agg(F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "line_key")).alias("wanted"))
+        .agg(F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "line_key", "front_shared", "back_shared")).alias("wanted"))
         .select(F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key"), "wanted")
     )
     found = texts.where(F.length("text") > 0).join(
         wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_key") == F.col("w_key"))
     )
     lines = land(
-        found.select("doc_id", "text_key", "text", "wanted")
-        .mapInArrow(_picked, "line_key long, doc_id long, text_key long, line_no int, words binary")
-        .dropDuplicates(["line_key"])
+        found.select("doc_id", "text_key", "text", "wanted").mapInArrow(
+            _picked, "line_key long, doc_id long, text_key long, line_no int, front boolean, back boolean, words binary"
+        )
     )
     long_enough = F.size(F.split(F.col("words").cast("string"), " "))
     variants = lines.mapInArrow(
