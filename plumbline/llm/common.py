@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,9 @@ def stage(df: DataFrame) -> tuple[DataFrame, str]:
         _landed[app] = []
         atexit.register(_clear, spark, app)
     _landed[app].append(path)
+    # Spark deletes shuffle files when the driver's JVM finds their stage unused: let it look now, before the next stage
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path), path
 
 
