@@ -14,6 +14,7 @@ occur. Columns other than id and text are not read. No rows, no pieces.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 
 import numpy as np
@@ -45,6 +46,14 @@ def byte_level_ranks(tokenizer: dict) -> dict[bytes, int]:
     return ranks
 
 
+def added_ids(tokenizer: dict) -> dict[str, int]:
+    """Added tokens of a tokenizer file and their ids; they are found in a text before it is split and merged."""
+    added = tokenizer.get("added_tokens", ())
+    if any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that depend on what is beside them")
+    return {t["content"]: t["id"] for t in added}
+
+
 def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Place on the Hilbert curve of points with integer coordinates below 2**bits (one point per row)."""
     x = points.astype(np.int64).T.copy()
@@ -94,13 +103,22 @@ def curve_places(ids: list[np.ndarray], vectors: np.ndarray, bits: int = BITS) -
 
 
 class Tokens:
-    """Ids of whole texts."""
+    """Ids of whole texts: those of added tokens, and of the stretches between them."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, added: dict[str, int]):
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.added = added
+        # where several begin, the longest is taken
+        self.ends = re.compile(f"({'|'.join(map(re.escape, sorted(added, key=len, reverse=True)))})")
 
     def ids(self, text: str | None) -> np.ndarray:
-        return np.array(self.encoding.encode_ordinary(text or ""), np.uint32)
+        text, encode = text or "", self.encoding.encode_ordinary
+        if not any(t in text for t in self.added):
+            return np.array(encode(text), np.uint32)
+        ids = []
+        for i, part in enumerate(self.ends.split(text)):
+            ids += [self.added[part]] if i % 2 else encode(part)
+        return np.array(ids, np.uint32)
 
 
 _tokens: dict[int, Tokens] = {}
@@ -110,15 +128,16 @@ def tokenise(docs: DataFrame, tokenizer_path: str, pattern: str) -> DataFrame:
     """(doc_id, text_key, place, ids) with ids as little-endian 16- or 32-bit integers, as the vocabulary needs."""
     with open(tokenizer_path, "rb") as f:
         data = f.read()
-    ranks = byte_level_ranks(json.loads(data))
+    tokenizer = json.loads(data)
+    ranks, added = byte_level_ranks(tokenizer), added_ids(tokenizer)
     shipped = docs.sparkSession.sparkContext.broadcast(data)  # a vocabulary: a few megabytes at most
-    stamp, vocabulary = zlib.crc32(data), max(ranks.values()) + 1
+    stamp, vocabulary = zlib.crc32(data), max(*ranks.values(), *added.values()) + 1
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
 
     def rows(batches):
         if stamp not in _tokens:
             _tokens.clear()
-            _tokens[stamp] = Tokens(byte_level_ranks(json.loads(shipped.value)), pattern)
+            _tokens[stamp] = Tokens(byte_level_ranks(json.loads(shipped.value)), pattern, added)
         coder, vectors = _tokens[stamp], projection(vocabulary)
         for batch in batches:
             ids = [coder.ids(t) for t in batch.column("text").to_pylist()]

@@ -314,6 +314,23 @@ def test_packing_odd_rows(spark):
     assert packing.pack(df.limit(0), path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_packing_finds_added_tokens(spark):
+    """Ids as the tokenizer file gives them, by the library's own settings."""
+    prepare(spark)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    end = "<|endoftext|>"
+    rows = list(enumerate([f"x {end} y", end, f"{end}{end}  b", f"a\n{end} \n{end[:-1]} {end[1:]}", f"{end} é日😀 \n\n  x", "none"]))
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), path, public_tokenizers.PATTERN).collect()
+    for doc_id, text in rows:
+        want = [*tokenizer.encode(text, add_special_tokens=False).ids, packing.END_ID]
+        pieces = sorted((r for r in got if r["doc_id"] == doc_id), key=lambda r: r["start"])
+        assert np.concatenate([np.frombuffer(r["ids"], "<u4") for r in pieces]).tolist() == want, text
+        assert {r["doc_tokens"] for r in pieces} == {len(want)}
+        for r in pieces:
+            assert r["ids_crc32"] == zlib.crc32(np.array(want[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
+
+
 # --- pipeline ---------------------------------------------------------------------------------
 
 
