@@ -5,7 +5,9 @@ Counts: words are runs without ASCII white space. A text fails the base rules wi
 passes is compared with references: a histogram of character classes and one of each language's
 ``COMMON`` most frequent words (and all others together), both summed over all documents of the
 language. The measure is the Jensen-Shannon distance (root of the divergence in bits, 0 to 1) to the nearest
-language. Texts too short for a histogram to mean anything pass it: see the two guards.
+language. Common words are a part of all words, so even a text without any stays well below 1 (0.49 where they
+are 41 %): distances of words are judged as shares of what such a text has from the same language. Texts too
+short for a histogram to mean anything pass: see the two guards.
 
 Null and empty texts have no words and fail the base rules. Rows without a language, or with one of too few
 words for a reference, are left out of the references but judged like all others. Without any reference
@@ -31,8 +33,8 @@ SYMBOLS = "#*$%&|<>"
 COMMON = 100
 # Words a text needs to be compared by character classes, and by common words.
 CLASS_GUARD, WORD_GUARD = 20, 60
-# Greatest distances of texts that are kept.
-CLASS_LIMIT, WORD_LIMIT = 0.32, 0.6
+# Greatest distance of classes of texts that are kept, and greatest share of the distance of a text without common words.
+CLASS_LIMIT, WORD_LIMIT = 0.32, 0.9
 # Words a language needs to be a reference.
 REFERENCE_WORDS = 1000
 
@@ -159,10 +161,13 @@ class Judge:
             self.words.append(np.array([*(r["word"][w] for w in listed), r["word"][None]], float))
             for j, w in enumerate(listed):
                 self.places.setdefault(w, []).append((i, j))
+        # distances of a text without any common word
+        self.reach = [distance(np.eye(len(w))[-1], w) for w in self.words]
 
-    def distances(self, data: bytes, words: list[bytes]) -> tuple[float, float]:
+    def distances(self, data: bytes, words: list[bytes]) -> tuple[float, float, float]:
+        """Of classes and of words, and the latter's least share of what a text without common words has."""
         if not self.classes:
-            return 0.0, 0.0
+            return 0.0, 0.0, 0.0
         own = class_counts(data)
         seen = [np.zeros(len(w)) for w in self.words]
         total = 0
@@ -173,18 +178,20 @@ class Judge:
                     seen[i][j] += n
         for s in seen:
             s[-1] = total - s[:-1].sum()
-        return min(distance(own, c) for c in self.classes), min(distance(s, w) for s, w in zip(seen, self.words))
+        by_word = [distance(s, w) for s, w in zip(seen, self.words)]
+        share = min(d / r if r else 0.0 for d, r in zip(by_word, self.reach))
+        return min(distance(own, c) for c in self.classes), min(by_word), share
 
 
 def measure(text: str | None, judge: Judge) -> tuple:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class distance, word distance."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class distance, word distance and its share."""
     text = text or ""
     data = text.encode("utf-8", "surrogatepass")
     words = data.split()
     if not words:
-        return 0, 0, sum(map(text.count, SYMBOLS)), 0, 0, 0.0, 0.0
+        return 0, 0, sum(map(text.count, SYMBOLS)), 0, 0, 0.0, 0.0, 0.0
     lines = [line for line in text.split("\n") if line.strip(_SPACES)]
-    by_class, by_word = judge.distances(data, data.lower().split())
+    by_class, by_word, share = judge.distances(data, data.lower().split())
     return (
         len(words),
         len(text) - sum(map(text.count, _SPACES)),
@@ -193,12 +200,16 @@ def measure(text: str | None, judge: Judge) -> tuple:
         repeated_window_words(words),
         by_class,
         by_word,
+        share,
     )
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _MEASURES = T.StructType(
-    [*(T.StructField(c, T.LongType()) for c in COUNTS), *(T.StructField(c, T.DoubleType()) for c in ("class_distance", "word_distance"))]
+    [
+        *(T.StructField(c, T.LongType()) for c in COUNTS),
+        *(T.StructField(c, T.DoubleType()) for c in ("class_distance", "word_distance", "word_share")),
+    ]
 )
 
 
@@ -218,6 +229,6 @@ def verdict(found: Column, class_limit: float = CLASS_LIMIT, word_limit: float =
     n = found["n_words"]
     failed = (n < LEAST_WORDS) | (100 * found["n_repeat_words"] > 20 * n)
     far = ((n >= CLASS_GUARD) & (found["class_distance"] > class_limit)) | (
-        (n >= WORD_GUARD) & (found["word_distance"] > word_limit)
+        (n >= WORD_GUARD) & (found["word_share"] > word_limit)
     )
     return failed, ~failed & ~far

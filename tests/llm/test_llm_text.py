@@ -205,6 +205,26 @@ def test_distance():
     assert rules.distance(same, np.zeros(3)) == 1
 
 
+def test_rules_reject_by_words_alone(spark):
+    """A text of ordinary letters without any common word; a second reference with rare words only changes nothing."""
+    prepare(spark)
+    rng = random.Random(6)
+    common = [f"{a}{b}" for a in "bcdfg" for b in ("al", "en", "or", "is")]
+    rare = lambda n: ["".join(rng.choices("aeioulnrst", k=6)) for _ in range(n)]
+    known = [" ".join(w for pair in zip(rng.choices(common, k=50), rare(50)) for w in pair) + "." for _ in range(60)]
+    flat = [" ".join(rare(200)) for _ in range(20)]
+    unknown = [" ".join(rare(100)) + "."]
+    rows = [(i, t, "aa" if i < 60 else "bb" if i < 80 else None) for i, t in enumerate([*known, *flat, *unknown])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for docs in (df.where("lang = 'aa'"), df):
+        failed, kept = rules.verdict(F.col("m"))
+        measured = df.select("doc_id", rules.measures("text", rules.references(docs)).alias("m"))
+        got = {r["doc_id"]: r for r in measured.select("doc_id", "m.*", failed.alias("f"), kept.alias("k")).collect()}
+        assert all(got[i]["k"] for i in range(60))
+        last = got[80]
+        assert not last["f"] and last["class_distance"] <= rules.CLASS_LIMIT and not last["k"]
+
+
 def test_rules_odd_rows(odd_docs, no_docs):
     found = rules.references(no_docs)
     assert found == {}
