@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -245,7 +245,10 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, shard_rows: int =
 
 
 def fingerprint_components(rows: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(print, component_id) of every fingerprint in ``rows`` (doc_id, print), which is read twice."""
+    """(print, component_id, component) of every fingerprint in ``rows`` (doc_id, print), which is read twice.
+
+    ``component`` is the smallest fingerprint linked: two components may share a ``component_id`` if an id has several texts.
+    """
     prints = land(rows.groupBy("print").agg(F.min("doc_id").alias("least")))
     parts = connected_components(fingerprint_links(prints.select("print"), radius, shard_rows))
     placed = prints.join(parts.withColumnRenamed("node", "print"), "print", "left")
@@ -253,8 +256,8 @@ def fingerprint_components(rows: DataFrame, radius: int = RADIUS, shard_rows: in
     least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     return (
         placed.where("component IS NULL")
-        .select("print", F.col("least").alias("component_id"))
-        .union(linked.join(least, "component").select("print", "component_id"))
+        .select("print", F.col("least").alias("component_id"), F.col("print").alias("component"))
+        .union(linked.join(least, "component").select("print", "component_id", "component"))
     )
 
 
@@ -266,14 +269,20 @@ def simhash_components(
     return rows.join(fingerprint_components(rows, radius, shard_rows), "print").select("doc_id", "print", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+def drop_near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shard_rows: int = SHARD_ROWS
+) -> DataFrame:
     """The row of the smallest id of each component, with all its columns.
 
-    Of several rows of that id the one whose text hashes least stays. Rows without an id stay.
+    Of several texts of that id in the component the one that hashes least stays, once. Rows without an id stay.
     """
-    of = simhash_components(docs, id_col, text_col, **settings)
-    chosen = of.where("doc_id = component_id").select(F.col("doc_id").alias("_sh_id")).distinct()
-    kept = docs.where(F.col(id_col).isNotNull()).join(chosen, F.col(id_col) == F.col("_sh_id"), "left_semi")
-    first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    kept = kept.withColumn("_sh_n", F.row_number().over(first)).where("_sh_n = 1").drop("_sh_n")
-    return kept.union(docs.where(F.col(id_col).isNull()))
+    key = F.xxhash64(text_col)
+    rows = land(texts_of(docs, id_col, text_col).select("doc_id", fingerprint("text").alias("print"), F.xxhash64("text").alias("text_key")))
+    placed = rows.where("doc_id IS NOT NULL").join(fingerprint_components(rows, radius, shard_rows), "print")
+    chosen = placed.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("first")).select(
+        F.col("first.doc_id").alias("_sh_id"), F.col("first.text_key").alias("_sh_key")
+    )
+    named = docs.where(F.col(id_col).isNotNull())
+    kept = named.join(chosen, (F.col(id_col) == F.col("_sh_id")) & (key == F.col("_sh_key")), "left_semi")
+    once = kept.withColumn("_sh_key", key).dropDuplicates([id_col, "_sh_key"]).drop("_sh_key")
+    return once.union(docs.where(F.col(id_col).isNull()))

@@ -199,6 +199,20 @@ def test_simhash_odd_rows(spark):
     assert simhash.simhash_components(df.limit(0)).count() == 0
 
 
+def test_near_copies_of_a_repeated_id(spark):
+    """Id 1 has texts of two groups, and one of them twice: a row of each group stays, whichever text hashes least."""
+    prepare(spark)
+    a, b = "one two three four five six seven", "red green blue black white brown grey"
+    for one, two in ((a, b), (b, a)):
+        rows = [(1, one), (1, one), (1, two), (2, one), (3, two), (None, one)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(7))
+        got = sorted((str(r["doc_id"]), r["text"], r["n"]) for r in simhash.drop_near_copies(docs).collect())
+        assert got == sorted([("1", one, 7), ("1", two, 7), ("None", one, 7)])
+    rows = [(1, a), (2, b), (1, b), (3, "x y z u v w"), (0, a)]
+    got = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted([(0, a), (1, b), (3, "x y z u v w")])
+
+
 # --- vectors ----------------------------------------------------------------------------------
 
 
