@@ -328,6 +328,17 @@ def test_images(spark, tmp_path):
     assert [(r.path, r.remote) for r in refs][:4] == [("d/b.jpg", False), ("d/a.jpg", False), ("d/c.jpg", False), ("http://x/y.jpg", True)]
 
 
+def test_attached_images_come_from_all_parts(spark, sf_dir):
+    from plumbline.plans.catalogue import attached_images
+
+    names = {r["p_partkey"]: r["p_name"] for r in spark.read.parquet(f"{sf_dir}/part.parquet").collect()}
+    pages = [r["page_id"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id").collect()]
+    want = {p: f"{names.get(p, '-')}|{names.get(9 * p, '-')}" for p in pages}
+    assert {r["page_id"]: r["contents"] for r in attached_images(spark, sf_dir).collect()} == want
+    asked = {9 * p for p in pages}
+    assert asked - names.keys() and any(k >= 90 for k in asked & names.keys())
+
+
 def test_lexicons(spark, tmp_path):
     (tmp_path / "l.txt").write_text("  sea \n\nblue sea\nsea\n")
     words = lexicons.read_lexicon(spark, str(tmp_path / "l.txt"))
