@@ -83,7 +83,7 @@ def training_sample(
 
     Which rows are taken depends on a hash of their id only. The labels alone are ordered to
     choose them, so the sample that is joined to the texts is bounded by ``per_class``. An id
-    labelled twice counts as its larger label.
+    labelled twice counts as its larger label, one with several texts as the one that hashes least.
     """
     known = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", folds, fold))
@@ -94,4 +94,6 @@ def training_sample(
     for value, n in per_class.items():
         part = known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         chosen = part if chosen is None else chosen.unionByName(part)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    least = F.struct(F.col("text").isNull(), F.xxhash64("text"))
+    return found.groupBy("doc_id", "label").agg(F.min_by("text", least).alias("text"))

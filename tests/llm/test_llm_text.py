@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from plumbline.llm import bpe, language, quality, rules, secrets, toxicity
-from plumbline.llm.common import prepare
+from plumbline.llm.common import prepare, training_sample
 from plumbline.llm.queries import QUERIES, _spans_text
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -133,6 +133,16 @@ def test_toxicity_odd_rows(spark, odd_docs, no_docs):
     assert no_docs.select(toxicity.score("text", model)).count() == 0
 
 
+def test_training_sample_has_one_row_an_id(spark):
+    """A labelled id with many rows comes once, by the text that hashes least, null only if there is no other."""
+    rows = [(1, "b"), (2, None), (2, "d"), (3, None), (4, "unlabelled")] + [(1, f"a {i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    got = training_sample(docs, labels, "toxic", 1000, 1, {1: 5, 0: 5}).collect()
+    least = docs.where("doc_id = 1").orderBy(F.xxhash64("text")).first()["text"]
+    assert sorted(map(tuple, got)) == [(1, 1, least), (2, 0, "d"), (3, 0, None)]
+
+
 def test_toxicity_is_read_from_the_text_alone(spark, sf_dir):
     got = QUERIES["op3_toxicity"](spark, sf_dir)
     assert got.columns == ["doc_id", "held_out", "score", "predicted"]
