@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, language, linededup, packing, quality, rules, secrets, simhash, toxicity, vectors
+from plumbline.llm import bpe, language, linededup, packing, phrases, quality, rules, secrets, simhash, toxicity, vectors, whitening
 from plumbline.llm.common import held_out, read
 
 TOXIC_FOLDS = (5, 0)
@@ -93,8 +93,17 @@ def op10_pca_tiles(spark, sf_dir):
     return vectors.near_vectors(read(spark, sf_dir, "embeddings"))
 
 
+def op11_whitening(spark, sf_dir):
+    found = whitening.whiten(read(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op13_phrases(spark, sf_dir):
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
-    f.__name__: f for f in (op1_byte_bpe, op2_line_dedup, op3_toxicity, op4_compression_quality, op5_divergence_rules, op6_language_fusion, op7_hilbert_packing, op8_secret_scan, op9_simhash, op10_pca_tiles)
+    f.__name__: f for f in (op1_byte_bpe, op2_line_dedup, op3_toxicity, op4_compression_quality, op5_divergence_rules, op6_language_fusion, op7_hilbert_packing, op8_secret_scan, op9_simhash, op10_pca_tiles, op11_whitening, op13_phrases)
 }
 
 # Counterparts in SQL, where SQL can express an operator over its whole table. The others rest on hashes,
@@ -116,4 +125,31 @@ n AS (SELECT a, count(*) AS n FROM link GROUP BY a),
 c AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(c, vec_id) AS component_id, coalesce(coalesce(c, vec_id) = vec_id, false) AS kept
 FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id""",
+    "op13_phrases": r"""
+WITH
+piece AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+  FROM documents
+),
+w AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM piece),
+run AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 6) t(k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM run GROUP BY ALL HAVING count(*) >= 100 OR k = 1),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+part AS (
+  SELECT lang, a, k, unnest(list_distinct(flatten(list_transform(range(2, k), lambda s: list_transform(range(1, k - s + 2), lambda i: array_to_string(w[i:i + s - 1], ' ')))))) AS phrase FROM c WHERE k > 2
+),
+longer AS (SELECT lang, phrase, max(a) AS m FROM part GROUP BY ALL),
+cut AS (
+  SELECT c.lang, c.phrase, c.a, j, array_to_string(w[1:j], ' ') AS head, array_to_string(w[j + 1:], ' ') AS tail
+  FROM c LEFT JOIN longer USING (lang, phrase), range(1, 5) t(j) WHERE j < k AND NOT coalesce(100 * m >= 100 * c.a, false)
+),
+scored AS (
+  SELECT cut.lang, cut.phrase, a, j, x.f AS l, y.f AS r, n.n, (1000::HUGEINT * a * n.n) // (x.f::HUGEINT * y.f) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = head JOIN f y ON y.lang = cut.lang AND y.phrase = tail JOIN n ON n.lang = cut.lang
+),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM worst QUALIFY rank <= 2000""",
 }
