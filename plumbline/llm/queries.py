@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, language, linededup, packing, phrases, quality, rules, secrets, simhash, toxicity, vectors, whitening
+from plumbline.llm import bpe, language, linededup, packing, pages, phrases, quality, rules, secrets, simhash, toxicity, vectors, whitening
 from plumbline.llm.common import held_out, read
 
 TOXIC_FOLDS = (5, 0)
@@ -98,12 +98,16 @@ def op11_whitening(spark, sf_dir):
     return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
 
 
+def op12_main_text(spark, sf_dir):
+    return pages.extract(read(spark, sf_dir, "pages"))
+
+
 def op13_phrases(spark, sf_dir):
     return phrases.collocations(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_byte_bpe, op2_line_dedup, op3_toxicity, op4_compression_quality, op5_divergence_rules, op6_language_fusion, op7_hilbert_packing, op8_secret_scan, op9_simhash, op10_pca_tiles, op11_whitening, op13_phrases)
+    f.__name__: f for f in (op1_byte_bpe, op2_line_dedup, op3_toxicity, op4_compression_quality, op5_divergence_rules, op6_language_fusion, op7_hilbert_packing, op8_secret_scan, op9_simhash, op10_pca_tiles, op11_whitening, op12_main_text, op13_phrases)
 }
 
 # Counterparts in SQL, where SQL can express an operator over its whole table. The others rest on hashes,
