@@ -287,7 +287,6 @@ def test_hilbert_curve_is_one_path():
 def check_packing(pieces, texts):
     """texts: (doc_id, text) rows; every id in one piece, sequences gapless, full or a power of two long."""
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     want = defaultdict(list)
     for doc_id, text in texts:
         want[doc_id].append([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0])
