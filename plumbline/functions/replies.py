@@ -25,7 +25,8 @@ def parse_gradings(c: Column | str) -> Column:
     """Reply text -> list of sentence gradings, NULL unless the reply is acceptable.
 
     Acceptable is a JSON list of objects, or one object, and nothing around it but a fence; each has a
-    sentence and a whole number as code. The retry test of graders follows the same rule.
+    sentence. A code that isn't a whole number is NULL and costs the other sentences nothing; ``grade_samples``
+    counts such codes. The retry test of graders follows the same rule.
     """
     body = F.trim(fenced_body(c))
     rows = F.transform(
@@ -37,5 +38,5 @@ def parse_gradings(c: Column | str) -> Column:
         ),
     )
     whole = body.rlike(r"(?s)^\s*(\[.*\]|\{.*\})\s*$")
-    usable = F.forall(rows, lambda x: x["sentence"].isNotNull() & x["result_type"].isNotNull())
+    usable = F.forall(rows, lambda x: x["sentence"].isNotNull())
     return F.when(whole & usable, rows)

@@ -71,7 +71,8 @@ def grade_samples(
     work_dir: str | None = None,
     **chat_options,
 ) -> DataFrame:
-    """Samples with ``grading_results`` and ``ungraded`` (answers without an acceptable reply).
+    """Samples with ``grading_results``, ``ungraded`` (answers without an acceptable reply) and ``uncoded``
+    (sentences whose code could not be read).
 
     Every row is graded by itself, whatever its columns hold: it gets an id of its own, which is written
     before the calls. The replies are written before they are used, so joining them back costs no
@@ -99,4 +100,5 @@ def grade_samples(
         *samples.columns,
         F.coalesce("grading_results", F.array().cast(GRADINGS)).alias("grading_results"),
         F.coalesce("ungraded", F.lit(0)).alias("ungraded"),
+        F.coalesce(F.size(F.filter("grading_results", lambda g: g["result_type"].isNull())), F.lit(0)).alias("uncoded"),
     )

@@ -216,8 +216,4 @@ def is_grading(reply: str) -> bool:
     except ValueError:
         return False
     rows = body if isinstance(body, list) else [body]
-    return all(isinstance(r, dict) and isinstance(r.get("sentence"), str) and _is_code(r.get("result_type")) for r in rows)
-
-
-def _is_code(value) -> bool:
-    return not isinstance(value, bool) and re.fullmatch(r"\s*[+-]?\d+\s*", str(value)) is not None
+    return all(isinstance(r, dict) and isinstance(r.get("sentence"), str) for r in rows)

@@ -461,8 +461,8 @@ SELECT conv_id % 3 || '.jpg' AS file_name, count(*)::INT AS turns, count(*) FILT
   coalesce(string_agg(length(content) || ' letters', ',' ORDER BY turn) FILTER (ok), '') AS sentences
 FROM g GROUP BY conv_id""",
     "attached_images": """
-SELECT page_id, coalesce(CASE WHEN a.p_partkey < 60 THEN a.p_name END, '-') || '|' || coalesce(CASE WHEN b.p_partkey < 60 THEN b.p_name END, '-') AS contents
-FROM pages LEFT JOIN part a ON a.p_partkey = page_id % 50 LEFT JOIN part b ON b.p_partkey = page_id * 7 % 90""",
+SELECT page_id, coalesce(a.p_name, '-') || '|' || coalesce(b.p_name, '-') AS contents
+FROM pages LEFT JOIN part a ON a.p_partkey = page_id LEFT JOIN part b ON b.p_partkey = page_id * 9""",
     "graded_samples": f"""WITH {_TURNS},
 g AS (
   SELECT conv_id, turn, length(content) AS n, length(content) % 11 <> 0 AS ok FROM turns WHERE role = 'evaluatee'

@@ -211,7 +211,8 @@ def test_grade_samples(spark):
 @pytest.mark.parametrize("reply, ok", [
     ("[]", True), ("{}", False), ("```\n[]\n```", True), ("no", False), ("[1]", False), ("3", False),
     ('[{"sentence": "s", "result_type": 1}]', True), ('{"sentence": "s", "result_type": "2"}', True), ('[{"sentence": "s", "result_type": 1}] Done.', False),
-    ("[{'sentence': 's', 'result_type': 1}]", False), ('{"results": [{"sentence": "s", "result_type": 1}]}', False), ('[{"sentence": "s", "result_type": 0.9}]', False),
+    ("[{'sentence': 's', 'result_type': 1}]", False), ('{"results": [{"sentence": "s", "result_type": 1}]}', False), ('[{"sentence": "s", "result_type": 0.9}]', True),
+    ('[{"sentence": "s", "result_type": "bad"}, {"sentence": "t", "result_type": 2}]', True), ('[{"result_type": 1}]', False), ('[{"sentence": null}]', False),
 ])
 def test_one_rule_for_gradings(spark, reply, ok):
     from plumbline.functions.replies import parse_gradings
@@ -221,6 +222,18 @@ def test_one_rule_for_gradings(spark, reply, ok):
     assert (parsed is not None) is ok
 
 
+def test_a_code_that_cant_be_read_costs_no_sentence(spark):
+    said = [{"sentence": "a", "result_type": "unsure"}, {"sentence": "b", "result_type": 1}, {"sentence": "c"}]
+    calls = []
+    def make():
+        return lambda messages, model: calls.append(1) or json.dumps(said)
+    talk = "array<struct<role:string,content:string>>"
+    df = spark.createDataFrame([("1.jpg", [("evaluatee", "x")])], f"file_name string, conversation {talk}")
+    (row,) = grading.grade_samples(df, make, template="{}##{}", max_retries=3, backoff=0.0).collect()
+    assert [(g.sentence, g.result_type) for g in row.grading_results] == [("a", None), ("b", 1), ("c", None)]
+    assert (row.ungraded, row.uncoded) == (0, 2)
+
+
 def test_samples_are_graded_by_row(spark):
     """Two samples of one image, and one without a name."""
     grade = lambda: lambda messages, model: json.dumps([{"sentence": messages[1]["content"].split("##")[1], "result_type": 1}])
