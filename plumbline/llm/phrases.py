@@ -6,12 +6,14 @@ with ``support`` occurrences or more. A shard is what a task holds at a time, so
 text, and is mined completely, level by level, at the support times its share of the language's words, rounded up.
 A phrase below that in every shard is below the support in all, so the union of what shards find
 misses none. The union is cut to phrases that can still reach the support if every shard that did not report
-them holds just too few. Then all are counted exactly over all shards.
+them holds just too few. Then all are counted exactly over all shards: what a shard has reported is known, so
+it adds its counts below its local support. That needs the same shards in all rounds, which is compared by
+their contents; were they not the same, everything would be counted anew.
 
 Rounds: words; phrases of two; longer ones; counts. What an earlier round found frequent restricts a later
 one through a Bloom filter of fixed size (``FILTER_BITS``) on hashes of phrases. A filter lets everything through that
 it should, and the same phrases in every shard, so counts are exact however full it is; only work grows.
-Where shards are so many that their support is one, the union is a count already and the filters alone prune.
+Where shards are so many that their support is one, the union is the count and the filters alone prune.
 
 Defined results: null and empty texts have no words; a null language is ``und``. Repeated rows count as often as
 they occur. An empty table gives no rows. Other columns are not read. Ties of rank end with the phrase, which is unique in
@@ -34,7 +36,7 @@ from plumbline.llm.common import land, prepare
 SUPPORT = 100
 LONGEST = 5
 UNKNOWN = "und"
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 32 << 20
 FILTER_BITS = 26
 # Parts a language's candidates are ranked in before its best of all parts are.
 RANK_PARTS = 256
@@ -75,6 +77,7 @@ class Shard:
         self.joined = piece[1:] == piece[:-1]
         self.lang = lang
         seed = xxhash.xxh64_intdigest(lang.encode())
+        self.content = np.array([xxhash.xxh64_intdigest(raw, seed)], dtype=np.uint64)
         self.hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in coded.dictionary.to_pylist()], dtype=np.uint64)
 
     def hash_at(self, at: np.ndarray, size: int) -> np.ndarray:
@@ -88,6 +91,10 @@ class Shard:
         parts = [self.forms.take(pa.array(self.codes[at + i])) for i in range(size)]
         return parts[0] if size == 1 else pc.binary_join_element_wise(*parts, " ")
 
+    def facts(self, least: int) -> Iterator[pa.RecordBatch]:
+        """A row without a phrase: the shard's content, and by how much a phrase it doesn't report may occur."""
+        yield from _rows(self.lang, 0, pa.array([""]), self.content, np.ones(1, np.int64), least - 1)
+
     def word_rows(self) -> Iterator[pa.RecordBatch]:
         counts = np.bincount(self.codes, minlength=len(self.forms))
         yield from _rows(self.lang, 1, self.forms, self.hashes, counts, 0)
@@ -213,44 +220,69 @@ def phrase_counts(
     frequent_words = words.where(F.col("n") >= support)
     filters = {1: _filter(frequent_words, filter_bits)}
 
-    def candidates(first: int, last: int) -> DataFrame:
-        """Phrases of ``first`` to ``last`` words that some shard found and that may reach the support."""
+    def over_shards(task) -> DataFrame:
+        """Sums over shards of what ``task(shard, least, filters)`` puts out, written."""
         shared = context.broadcast((sizes, dict(filters)))  # a filter's size is fixed
 
-        def mine(batches):
+        def run(batches):
             everywhere, wanted = shared.value
             for shard in _shards(batches, shard_bytes):
-                if shard.lang not in everywhere or not len(shard.codes):
-                    continue
-                least = _share(support, len(shard.codes), everywhere[shard.lang])
-                nothing = np.zeros(1, np.int64)
-                yield from _rows(shard.lang, 0, pa.array([""]), nothing, nothing, least - 1)
-                for size, at, counts in shard.mine(least, last, wanted):
-                    if size >= first:
-                        yield from _rows(shard.lang, size, shard.phrases_at(at, size), shard.hash_at(at, size), counts, least - 1)
-
-        found = land(texts.mapInArrow(mine, _ROWS).groupBy("lang", "words", "phrase", "h").agg(F.sum("n").alias("n"), F.sum("slack").alias("slack")))
-        unseen = found.where(F.col("words") == 0).select("lang", F.col("slack").alias("all_slack"))
+                if shard.lang in everywhere and len(shard.codes):
+                    least = _share(support, len(shard.codes), everywhere[shard.lang])
+                    yield from shard.facts(least)
+                    yield from task(shard, least, wanted)
+
+        sums = F.sum("n").alias("n"), F.sum("slack").alias("slack")
+        return land(texts.mapInArrow(run, _ROWS).groupBy("lang", "words", "phrase", "h").agg(*sums))
+
+    def mined(first: int, last: int) -> DataFrame:
+        def task(shard, least, wanted):
+            for size, at, counts in shard.mine(least, last, wanted):
+                if size >= first:
+                    yield from _rows(shard.lang, size, shard.phrases_at(at, size), shard.hash_at(at, size), counts, least - 1)
+
+        return over_shards(task)
+
+    def candidates(found: DataFrame) -> DataFrame:
+        """Phrases that some shard found and that may reach the support."""
+        unseen = found.where(F.col("words") == 0).groupBy("lang").agg(F.sum("slack").alias("all_slack"))
         # shards that did not report a phrase hold at most their slack of it
         may_reach = F.col("n") + F.col("all_slack") - F.col("slack") >= support
-        return found.where(F.col("words") > 0).join(unseen, "lang").where(may_reach).select("words", "h")
+        return found.where(F.col("words") > 0).join(unseen, "lang").where(may_reach).select("lang", "words", "phrase", "h", "n")
 
-    filters[2] = _filter(candidates(2, 2), filter_bits)
+    rounds = [mined(2, 2)]
+    reported = candidates(rounds[0])
+    filters[2] = _filter(reported, filter_bits)
     if longest > 2:
-        longer = land(candidates(3, longest))
+        rounds.append(mined(3, longest))
+        longer = land(candidates(rounds[1]))
         for size in range(3, longest + 1):
             filters[size] = _filter(longer.where(F.col("words") == size), filter_bits)
-    shared = context.broadcast((sizes, filters))
-
-    def count(batches):
-        everywhere, wanted = shared.value
-        for shard in _shards(batches, shard_bytes):
-            if shard.lang in everywhere:
-                for size, at, counts in shard.mine(1, longest, wanted):
-                    yield from _rows(shard.lang, size, shard.phrases_at(at, size), shard.hash_at(at, size), counts, 0)
-
-    counted = texts.mapInArrow(count, _ROWS).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= support)
-    return land(frequent_words.select("lang", "words", "phrase", "n").unionByName(counted)), totals
+        reported = reported.unionByName(longer)
+
+    def count(all_counts: bool) -> DataFrame:
+        def task(shard, least, wanted):
+            for size, at, counts in shard.mine(1, longest, wanted):
+                if not all_counts:
+                    at, counts = at[counts < least], counts[counts < least]
+                yield from _rows(shard.lang, size, shard.phrases_at(at, size), shard.hash_at(at, size), counts, 0)
+
+        return over_shards(task)
+
+    rest = count(all_counts=False)
+    if all(_same_shards(found, rest) for found in rounds):
+        added = rest.where(F.col("words") > 0).select("lang", "phrase", F.col("n").alias("more"))
+        counted = reported.join(added, ["lang", "phrase"], "left").withColumn("n", F.col("n") + F.coalesce("more", F.lit(0)))
+    else:
+        counted = count(all_counts=True).where(F.col("words") > 0)
+    columns = "lang", "words", "phrase", "n"
+    return land(frequent_words.select(*columns).unionByName(counted.where(F.col("n") >= support).select(*columns))), totals
+
+
+def _same_shards(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two rounds had the same shards, by their contents and supports."""
+    facts = [found.where(F.col("words") == 0).select("lang", "h", "n", "slack") for found in (a, b)]
+    return facts[0].exceptAll(facts[1]).isEmpty() and facts[1].exceptAll(facts[0]).isEmpty()
 
 
 # --- collocations ----------------------------------------------------------------------------------

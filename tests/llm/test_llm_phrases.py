@@ -83,6 +83,24 @@ def test_full_filters_change_nothing(spark):
     assert run(spark, docs, support=4, top=500, filter_bits=6, shard_bytes=1000) == brute(docs, 4, 500)
 
 
+def test_other_shards_in_another_round(spark, monkeypatch):
+    """If rounds had not the same shards, all is counted anew."""
+    prepare(spark)
+    docs = corpus(5)
+    asked = []
+    monkeypatch.setattr(phrases, "_same_shards", lambda a, b: asked.append(1))
+    assert run(spark, docs, support=4, top=30, shard_bytes=500) == brute(docs, 4, 30) and asked
+
+
+def test_shards_are_compared(spark):
+    prepare(spark)
+    rows = [("en", 0, 5, 2, 3), ("en", 0, 6, 1, 1), ("de", 0, 5, 1, 1), ("en", 2, 9, 50, 3)]
+    table = lambda rows: spark.createDataFrame(rows, "lang string, words int, h long, n long, slack long")
+    assert phrases._same_shards(table(rows), table(rows[2::-1]))
+    for other in (rows[:2], [*rows[:3], ("fr", 0, 1, 1, 0)], [("en", 0, 5, 2, 4), *rows[1:]], [("en", 0, 5, 1, 3), *rows[1:]]):
+        assert not phrases._same_shards(table(rows), table(other)) and not phrases._same_shards(table(other), table(rows))
+
+
 def test_partly_subsumed_phrases(spark):
     prepare(spark)
     docs = corpus(4)
