@@ -1,77 +1,108 @@
 """Ordered lists per key that survive a hot key.
 
-One path for all keys, whatever their sizes. Rows are sorted by key and order into as many ranges as
-there are shuffle partitions, so a key of any size is spread, and the stage is written: everything
-after it sees the same ranges. Each (range, key) is collected by itself. Only keys that a range boundary
-cuts need to know how many of their rows lie in earlier ranges; there is at most one such key at each
-boundary, so that table is bounded by the number of ranges.
+Keys are counted first: rows and bytes, an aggregation that is combined before its shuffle. A key whose list fits into
+one row (``part_rows`` items, ``part_bytes`` of them) is nested by one shuffle on the key. Lists of the others are cut
+into parts. Their rows are sorted by key and order into ranges, so a key is spread over as many tasks as it is
+large, and written with their place in the range. Rows per range and key, added up over the ranges before, turn that
+into the place in the whole list by addition. Rows then meet by key and part: nothing ever holds a key, or a range.
 
-Lists are cut at fixed positions: part n holds positions n * part_rows to (n + 1) * part_rows - 1.
+Part n of a list holds its positions n * part_rows to (n + 1) * part_rows - 1. If those are over ``part_bytes`` they
+are cut again by running bytes and parts are numbered on; an item larger than that is a part by itself.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.session import materialise
 
-# Longest list in one row: a layout parameter, the same for all keys.
+# Longest list in one row, in items and in bytes: layout parameters, the same for all keys.
 PART_ROWS = 10_000
+PART_BYTES = 64 << 20
+# Rows and bytes of a range of split keys.
+RANGE_ROWS = 200_000
+RANGE_BYTES = 128 << 20
+
+
+def item_bytes(c: Column, kind: T.DataType) -> Column:
+    """Size of a value: its text and bytes, 8 for everything else."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)).cast("long")
+    if isinstance(kind, T.StructType):
+        return reduce(lambda a, b: a + b, (item_bytes(c[f.name], f.dataType) for f in kind.fields), F.lit(8).cast("long"))
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.StructType, T.ArrayType, T.MapType)):
+            return F.coalesce(F.aggregate(c, F.lit(8).cast("long"), lambda n, x: n + item_bytes(x, kind.elementType)), F.lit(8).cast("long"))
+        return F.coalesce(F.size(c), F.lit(0)) * F.lit(8).cast("long") + 8
+    if isinstance(kind, T.MapType):
+        return item_bytes(F.map_keys(c), T.ArrayType(kind.keyType)) + item_bytes(F.map_values(c), T.ArrayType(kind.valueType))
+    return F.lit(8).cast("long")
+
+
+def _join(df: DataFrame, facts: DataFrame, columns: list[str], how: str = "inner") -> DataFrame:
+    """Join that takes null keys for equal and keeps one copy of them."""
+    names = {c: f"_f{n}" for n, c in enumerate(columns)}
+    renamed = facts.select(*[F.col(c).alias(names.get(c, c)) for c in facts.columns])
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(name)) for c, name in names.items()))
+    return df.join(renamed, same, how).drop(*names.values())
 
 
 def nest_ordered(
-    df: DataFrame, keys: list[str], order: list[str], item: Column, out: str, part_rows: int = PART_ROWS
-) -> DataFrame:
+    df: DataFrame, keys: list[str], order: list[str], item: Column, out: str,
+    part_rows: int = PART_ROWS, part_bytes: int = PART_BYTES, range_rows: int = RANGE_ROWS,
+) -> DataFrame:
     """(keys, part, first_position, out): ``out`` lists the items of the key in the given order.
 
-    A key of up to ``part_rows`` rows is one row with part 0. ``first_position`` is the place of the
-    part's first item in the whole list. Rows equal in keys and order are sorted by their items.
+    A key whose list fits is one row with part 0. ``first_position`` is the place of the part's first item in the
+    whole list. Rows equal in keys and order are sorted by their items; null keys are a key.
     """
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(*keys, *order, item.alias("_item")).repartitionByRange(ranges, *keys, *order)
-    ranged = materialise(rows.withColumn("_range", F.spark_partition_id()))
-
-    listed = F.sort_array(F.collect_list(F.struct(*order, F.col("_item"))))
-    lists = ranged.groupBy(*keys, "_range").agg(F.transform(listed, lambda x: x["_item"]).alias("_list"))
-
-    # at most two (range, key) pairs for each boundary: bounded by the number of ranges
-    sizes = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("n"))
-    spread = sizes.groupBy(*keys).agg(F.collect_list(F.struct("_range", "n")).alias("ranges")).where(F.size("ranges") > 1)
-    names = [f"_k{n}" for n in range(len(keys))]
-    before = F.transform(
-        "ranges",
-        lambda r: F.struct(
-            r["_range"].alias("r"),
-            F.aggregate(
-                F.filter("ranges", lambda o: o["_range"] < r["_range"]), F.lit(0).cast("long"), lambda s, o: s + o["n"]
-            ).alias("before"),
-        ),
-    )
-    offsets = F.broadcast(spread.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.explode(before).alias("_b")))
-    same = F.col("_range") == F.col("_b.r")
-    for key, name in zip(keys, names):
-        same = same & F.col(key).eqNullSafe(F.col(name))
-
-    def parts(lists: DataFrame, offset: Column) -> DataFrame:
-        """The lists cut at multiples of part_rows of the whole list."""
-        end = offset + F.size("_list")
-        numbers = F.sequence(F.floor(offset / part_rows), F.floor((end - 1) / part_rows))
-
-        def cut(part: Column) -> Column:
-            start = F.greatest(part * part_rows, offset)
-            stop = F.least((part + 1) * part_rows, end)
-            return F.struct(
-                part.cast("int").alias("part"), start.alias("at"), F.slice("_list", (start - offset + 1).cast("int"), (stop - start).cast("int")).alias("items")
-            )
-
-        return lists.select(*keys, F.explode(F.transform(numbers, cut)).alias("_p")).select(*keys, "_p.*")
-
-    whole = parts(lists.join(offsets, same, "left_anti"), F.lit(0).cast("long")).withColumnRenamed("items", out)
-    cut = (
-        parts(lists.join(offsets, same).drop(*names), F.col("_b.before"))
-        .groupBy(*keys, "part")
-        .agg(F.sort_array(F.collect_list(F.struct("at", "items"))).alias("_s"))
-        .select(*keys, "part", F.get("_s", F.lit(0))["at"].alias("at"), F.flatten(F.transform("_s", lambda s: s["items"])).alias(out))
+    rows = df.select(*keys, *order, item.alias("_item"))
+    size = item_bytes(F.col("_item"), rows.schema["_item"].dataType)
+    sized = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum(size).alias("_b"))
+    large = sized.where((F.col("_n") > part_rows) | (F.col("_b") > part_bytes))
+    n_rows, n_bytes = large.agg(F.sum("_n"), F.sum("_b")).first()
+    if n_rows is None:
+        return _whole(rows, keys, order, out)
+    # at most one key for each part_rows rows or part_bytes of the table
+    large = materialise(large.select(*keys))
+    ranges = max(-(-n_rows // range_rows), -(-n_bytes // RANGE_BYTES))
+    whole = _whole(_join(rows, large, keys, "left_anti"), keys, order, out)
+    split = _join(rows, large, keys, "left_semi")
+    return whole.unionByName(_split(split, keys, order, size, out, part_rows, part_bytes, ranges))
+
+
+def _whole(rows: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    listed = F.sort_array(F.collect_list(F.struct(*order, "_item")))
+    lists = rows.groupBy(*keys).agg(F.transform(listed, lambda x: x["_item"]).alias(out))
+    return lists.select(*keys, F.lit(0).alias("part"), F.lit(0).cast("long").alias("first_position"), out)
+
+
+def _split(
+    rows: DataFrame, keys: list[str], order: list[str], size: Column, out: str, part_rows: int, part_bytes: int, ranges: int
+) -> DataFrame:
+    by = [*keys, *order, "_item"]
+    ranged = rows.repartitionByRange(ranges, *by).sortWithinPartitions(*by)
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # in a range, rows are numbered in order
+    ranged = materialise(ranged.withColumn("_range", F.spark_partition_id()).withColumn("_row", row))
+
+    # as many rows as keys and ranges together: a range holds parts of two keys at most that others hold too
+    runs = ranged.groupBy(*keys, "_range").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_n")
+    bases = runs.select(*keys, "_range", (before - F.col("_first")).alias("_base"))
+    placed = _join(ranged, bases, [*keys, "_range"]).withColumn("_at", F.col("_base") + F.col("_row"))
+    placed = placed.withColumn("_part", F.floor(F.col("_at") / part_rows))
+
+    earlier = Window.partitionBy(*keys, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    sliced = placed.withColumn("_slice", F.floor(F.coalesce(F.sum(size).over(earlier), F.lit(0)) / part_bytes))
+    lists = materialise(
+        sliced.groupBy(*keys, "_part", "_slice")
+        .agg(F.min("_at").alias("first_position"), F.sort_array(F.collect_list(F.struct("_at", "_item"))).alias("_list"))
+        .select(*keys, "_part", "_slice", "first_position", F.transform("_list", lambda x: x["_item"]).alias(out))
     )
-    return whole.unionByName(cut).select(*keys, "part", F.col("at").alias("first_position"), out)
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("_part", "_slice")) - 1
+    numbers = lists.select(*keys, "_part", "_slice", number.alias("part"))
+    return _join(lists, numbers, [*keys, "_part", "_slice"]).select(*keys, "part", "first_position", out)

@@ -20,7 +20,7 @@ from plumbline.plans import stubs
 from plumbline.plans.tokens import hashed_tokens, shallow_tokens, words
 from plumbline.session import shared_dir, spread, tune
 from plumbline.sources import images as image_files
-from plumbline.sources import lexicons, tasks
+from plumbline.sources import annotations, jsonarrays, lexicons, tasks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -407,6 +407,47 @@ def result_round_trip(spark, sf_dir):
     return tasks.read_tasks(spark, path, "jsonl", answered.schema)
 
 
+def json_array_scan(spark, sf_dir):
+    """Question rows with outputs, written as one JSON array and read by many tasks."""
+    path = f"{shared_dir(spark)}/answers.json"
+    rows = turns(spark, sf_dir).select(
+        F.concat("conv_id", F.lit(".jpg")).alias("image"), F.col("content").alias("question"), "turn", F.array("role").alias("roles")
+    )
+    tasks.write_rows(inference.batch_infer(rows, stubs.word_count_model), path, "array")
+    return tasks.read_tasks(spark, path, "json", "image string, question string, turn bigint, roles array<string>, output string").select(
+        "image", "question", "turn", F.array_join("roles", ",").alias("roles"), "output"
+    )
+
+
+def _annotation_file(spark, sf_dir):
+    """The tables of an instance file of line items, written as one file and read by many tasks."""
+    path = f"{shared_dir(spark)}/instances.json"
+    tables = annotation_tables(spark, sf_dir)
+    jsonarrays.write_json_fields(
+        {
+            "images": tables["images"].select(F.col("image_id").alias("id"), "file_name"),
+            "annotations": tables["instances"].select(F.col("ord").alias("id"), "image_id", "category_id", "bbox", "area"),
+            "categories": tables["categories"].select(F.col("category_id").alias("id"), "name"),
+        },
+        path,
+        ["id"],
+    )
+    return annotations.read_instances(spark, path)
+
+
+def annotation_scan(spark, sf_dir):
+    """Instances with their place in the file and their category's name."""
+    tables = _annotation_file(spark, sf_dir)
+    box = F.array_join(F.transform("bbox", lambda x: F.round(x * 100).cast("long").cast("string")), ",")
+    return tables["instances"].join(tables["categories"], "category_id", "left").select(
+        "image_id", "category_id", "name", box.alias("bbox"), F.round(F.col("area") * 100).cast("long").alias("area")
+    )
+
+
+def image_id_scan(spark, sf_dir):
+    return annotations.image_ids(_annotation_file(spark, sf_dir)["images"])
+
+
 def chat_replies(spark, sf_dir):
     asked = turns(spark, sf_dir).withColumn("messages", prompts.opening_messages("s", F.col("content")))
     done = inference.chat_complete(
@@ -481,7 +522,7 @@ QUERIES: dict[str, Query] = {
         grade_parse, grading_lists, grading_parts,
         graph_entities, graph_relations, graph_endpoints, rule_entities, rule_relations, merged_entities, merged_table,
         judge_scores, metric_report, object_hallucination, relation_hallucination, probe_scores,
-        batch_inference, result_round_trip, chat_replies, annotated_turns, dialogues, graded_samples,
+        batch_inference, result_round_trip, json_array_scan, annotation_scan, image_id_scan, chat_replies, annotated_turns, dialogues, graded_samples,
         graded_repeats, attached_images,
     )
 }

@@ -393,6 +393,14 @@ SELECT doc_id, source, 'yes ' || doc_id || 'jpg has ' || length(text) || ' lette
     "result_round_trip": f"""WITH {_TURNS}
 SELECT conv_id || '.jpg' AS image, content AS question, turn,
   'yes ' || conv_id || 'jpg has ' || length(content) || ' letters' AS output FROM turns""",
+    "json_array_scan": f"""WITH {_TURNS}
+SELECT conv_id || '.jpg' AS image, content AS question, turn, role AS roles,
+  'yes ' || conv_id || 'jpg has ' || length(content) || ' letters' AS output FROM turns""",
+    "annotation_scan": """
+SELECT l_orderkey AS image_id, l_partkey::INT AS category_id, p_type AS name,
+  round(l_quantity * 100)::BIGINT || ',' || round(l_extendedprice * 100)::BIGINT AS bbox, round(l_extendedprice * 100)::BIGINT AS area
+FROM lineitem LEFT JOIN part ON p_partkey = l_partkey""",
+    "image_id_scan": "SELECT o_orderkey AS image_id, row_number() OVER (ORDER BY o_orderkey) - 1 AS ord FROM orders",
     "chat_replies": f"""WITH {_TURNS}
 SELECT conv_id, turn,
   CASE WHEN length(content) % 7 <> 0 THEN 'm got 2 messages, ' || length(content) || ' letters' END AS reply,

@@ -1,55 +1,48 @@
 """COCO-style annotation files.
 
-One such JSON file is one document and thus one task. It is parsed once and landed as Parquet; the
-tables read the landed arrays, each only its own. Several files are read as one: ``ord`` goes on from
-file to file, by file name.
+Such a file is one object with an array for each table. Its text is landed in chunks once; many tasks cut the
+chunks into objects (``jsonarrays``), so no row holds an array. Several files are read as one: ``ord`` goes on
+from file to file, by file name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.session import materialise
-
-_IMAGES = "images array<struct<id:bigint,file_name:string>>"
-_INSTANCES = (
-    f"{_IMAGES}, annotations array<struct<id:bigint,image_id:bigint,category_id:int,bbox:array<double>,area:double>>, "
-    "categories array<struct<id:int,name:string>>"
-)
-_CAPTIONS = f"{_IMAGES}, annotations array<struct<id:bigint,image_id:bigint,caption:string>>"
+from plumbline.sources.jsonarrays import elements, land_chunks
 
+_IMAGE = "id bigint, file_name string"
+_INSTANCE = "id bigint, image_id bigint, category_id int, bbox array<double>, area double"
+_CATEGORY = "id int, name string"
+_CAPTION = "id bigint, image_id bigint, caption string"
 
 # Places a file may hold before the next one's begin.
 _FILE_STRIDE = 1 << 40
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The files' documents, landed, with the number of each file in the order of their names."""
-    parsed = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    landed = materialise(parsed.withColumn("_file", F.input_file_name()))
-    names = [r["_file"] for r in landed.select("_file").distinct().orderBy("_file").collect()]  # one per annotation file
-    return landed.withColumn("_file", F.array_position(F.array(*map(F.lit, names)).cast("array<string>"), F.col("_file")) - 1)
-
-
-def _rows(doc: DataFrame, field: str) -> DataFrame:
-    place = F.col("_file") * _FILE_STRIDE + F.col("_pos")
-    return doc.select("_file", F.posexplode(field).alias("_pos", "x")).select(place.cast("long").alias("ord"), "x.*")
+def _rows(chunks: DataFrame, field: str, schema: str) -> DataFrame:
+    """The objects of a field's array with their place (``ord``) in all files."""
+    found = elements(chunks, field)
+    names = found.select("file").distinct().withColumn("_file", F.row_number().over(Window.orderBy("file")) - 1)  # a row an annotation file
+    place = F.col("_file") * _FILE_STRIDE + F.col("position")
+    parsed = F.from_json("json", schema, {"mode": "FAILFAST"})
+    return found.join(names, "file").select(place.cast("long").alias("ord"), parsed.alias("x")).select("ord", "x.*")
 
 
 def read_instances(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """``images``, ``instances`` and ``categories`` of an instance file, in file order (``ord``)."""
-    doc = _read(spark, path, _INSTANCES)
+    """``images``, ``instances`` and ``categories`` of instance files, in file order (``ord``)."""
+    chunks = land_chunks(spark, path)
     return {
-        "images": _rows(doc, "images").select(F.col("id").alias("image_id"), "file_name", "ord"),
-        "instances": _rows(doc, "annotations").select("image_id", "category_id", "bbox", "area", "ord"),
-        "categories": _rows(doc, "categories").select(F.col("id").alias("category_id"), "name").distinct(),
+        "images": _rows(chunks, "images", _IMAGE).select(F.col("id").alias("image_id"), "file_name", "ord"),
+        "instances": _rows(chunks, "annotations", _INSTANCE).select("image_id", "category_id", "bbox", "area", "ord"),
+        "categories": _rows(chunks, "categories", _CATEGORY).select(F.col("id").alias("category_id"), "name").distinct(),
     }
 
 
 def read_captions(spark: SparkSession, path: str) -> DataFrame:
-    """``captions`` of a caption file, in file order."""
-    return _rows(_read(spark, path, _CAPTIONS), "annotations").select("image_id", "caption", "ord")
+    """``captions`` of caption files, in file order."""
+    return _rows(land_chunks(spark, path), "annotations", _CAPTION).select("image_id", "caption", "ord")
 
 
 def image_ids(images: DataFrame) -> DataFrame:

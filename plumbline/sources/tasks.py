@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from plumbline.operators.transcripts import explode_transcripts
+from plumbline.sources.jsonarrays import read_json_array, write_json_array
 
 
 def read_rows(spark: SparkSession, path: str, format: str = "json", schema: StructType | str | None = None) -> DataFrame:
-    """Rows from ``json`` (a file holding one array), ``jsonl`` or ``parquet``.
+    """Rows from ``json`` (files holding an array each, read by many tasks), ``jsonl`` or ``parquet``.
 
     Keys beyond the required ones are kept as columns. Give a schema for large inputs: without
     one the JSON text is read once more to find it.
     """
-    reader = spark.read if schema is None else spark.read.schema(schema)
     if format == "json":
-        return reader.option("multiLine", True).json(path)
+        return read_json_array(spark, path, schema)
+    reader = spark.read if schema is None else spark.read.schema(schema)
     if format == "jsonl":
         return reader.json(path)
     if format == "parquet":
@@ -35,7 +36,12 @@ def read_tasks(spark: SparkSession, path: str, format: str = "json", schema: Str
 
 
 def write_rows(df: DataFrame, path: str, format: str = "parquet") -> None:
-    """Write a directory of part files; every task writes its own rows, so a crash loses one task."""
+    """Write a directory of part files; every task writes its own rows, so a crash loses one task.
+
+    ``array`` writes one file that holds one JSON array, for readers that expect that; its rows have no fixed order.
+    """
+    if format == "array":
+        return write_json_array(df, path)
     if format not in ("parquet", "json"):
         raise ValueError(f"unknown format {format!r}")
     df.write.mode("overwrite").format(format).save(path)

@@ -72,6 +72,41 @@ def test_nest_cuts_all_keys_at_the_same_places(spark, part_rows):
         assert all(len(r.vs) == part_rows for r in rest[:-1])
 
 
+def test_a_key_over_many_ranges(spark):
+    """One key fills ten ranges and more; equal places in the order, and null keys."""
+    rows = [(None if n % 50 == 0 else n % 3, n // 4, f"{n:04}") for n in range(900)] + [(7, 1, "same")] * 40
+    df = spark.createDataFrame(random.Random(2).sample(rows, len(rows)), "k int, n int, v string").repartition(6)
+    got, parts = joined(nesting.nest_ordered(df, ["k"], ["n"], F.col("v"), "vs", part_rows=3, range_rows=25))
+    want = {}
+    for k, _, v in sorted(rows, key=lambda r: r[1:]):
+        want.setdefault(k, []).append(v)
+    assert got == want and max(len(r.vs) for r in parts) == 3
+    for k, rest in itertools.groupby(parts, key=lambda r: r.k):
+        assert [(r.part, r.first_position) for r in rest] == [(i, 3 * i) for i in range(-(-len(want[k]) // 3))]
+
+
+def test_parts_are_cut_by_bytes(spark):
+    """Items of very different lengths: no part holds more than the limit and one item."""
+    rng = random.Random(3)
+    rows = [(k, n, "x" * rng.choice([0, 1, 5, 300, 2000])) for k in range(4) for n in range(200 if k else 30)]
+    rows += [(9, 0, "y" * 5000), (10, 0, "z" * 10)]
+    df = spark.createDataFrame(rows, "k int, n int, v string").repartition(5)
+    item = F.struct(F.col("v").alias("a"), F.array("v").alias("b"), F.create_map("v", "n").alias("m")["none"])
+    got, parts = joined(nesting.nest_ordered(df, ["k"], ["n"], F.col("v"), "vs", part_rows=50, part_bytes=3000, range_rows=64))
+    want = {}
+    for k, _, v in sorted(rows):
+        want.setdefault(k, []).append(v)
+    assert got == want
+    for k, rest in itertools.groupby(parts, key=lambda r: r.k):
+        rest, at = list(rest), 0
+        assert [r.part for r in rest] == list(range(len(rest)))
+        for r in rest:
+            assert r.first_position == at and len(r.vs) <= 50 and sum(map(len, r.vs[:-1])) <= 3000
+            at += len(r.vs)
+    sizes = df.where("k = 10").select(nesting.item_bytes(item, df.select(item.alias("i")).schema["i"].dataType))
+    assert sizes.first()[0] > 20
+
+
 def test_ordinary_keys_do_not_depend_on_hot_ones(spark):
     def ordinary(hot):
         df, _ = numbers(spark, hot)
