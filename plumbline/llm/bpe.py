@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import texts_of
 
 # Pieces whose ids a worker remembers, and determinised states it keeps; both start anew when full.
-KNOWN_PIECES = 100_000
+KNOWN_PIECES = 200_000
 KNOWN_LENGTH = 64
-KNOWN_STATES = 120_000
-KNOWN_FITS = 400_000
+KNOWN_STATES = 400_000
+KNOWN_FITS = 800_000
 # Ids decoded at a step.
 STEP = 4096
 MARKS = tuple(".,;:!?")
