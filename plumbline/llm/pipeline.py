@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import linededup, packing, secrets, simhash, toxicity
+from plumbline.llm import linededup, nearcopies, packing, secrets, toxicity
 from plumbline.llm.common import prepare, read
 from plumbline.llm.queries import TOXIC_FOLDS
 
@@ -19,7 +19,11 @@ def _documents(rows: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, trained on the labelled ones among them, doesn't reject."""
+    """Documents that the toxicity model, trained on the labelled ones among them, doesn't reject.
+
+    Null and empty texts have the score of the bias alone; without labelled rows every score is 0.5 and goes, as toxic
+    as not. Equal texts, and rows that are repeated, are all kept or all rejected. An empty table stays empty.
+    """
     prepare(spark)
     model = toxicity.train(docs, read(spark, sf_dir, "labels"), "toxic", *TOXIC_FOLDS)
     return docs.select(*COLUMNS).where(toxicity.score("text", model) < 0.5)
@@ -34,19 +38,22 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, see ``nearcopies``: that of the smallest id, null ids stay.
+
+    Null texts and texts without words are copies of each other. An empty table stays empty.
+    """
     prepare(spark)
-    return simhash.drop_near_copies(docs.select(*COLUMNS))
+    return nearcopies.drop_near_copies(docs.select(*COLUMNS))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their secrets masked."""
+    """Documents with their secrets masked. Null texts stay null; rows stay as many as they are, equal ones equal."""
     prepare(spark)
     return _documents(docs.withColumn("text", secrets.redacted("text")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences."""
+    """Pieces of training sequences. Null and empty texts are the closing id alone; repeated rows are packed each."""
     prepare(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
