@@ -14,14 +14,14 @@ compounds, where each token below one climbs as many steps as the document has o
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.arrays import computed, entries_of, first_of, indices, keyed, last, last_of, let, listed
 from plumbline.functions.text import last_word
-from plumbline.sources.lexicons import lexicon_values
+from plumbline.sources.lexicons import document_hits, lexicon_table, lexicon_values
 
 TOKEN = "struct<i:int,text:string,lemma:string,pos:string,dep:string,head_i:int,ws:boolean>"
 TOKENS = f"array<{TOKEN}>"
@@ -141,9 +141,47 @@ def _subjects(tokens: Column) -> Column:
     return keyed(F.filter(F.transform(triggers, entry), lambda e: e.isNotNull()))
 
 
-def _found(
-    tokens: Column, chunks: Column, subjects: Column, phrasal_verbs: list[str], phrasal_preps: list[str]
-) -> Column:
+# Whether a phrase is listed.
+Listed = Callable[[Column], Column]
+
+
+def _object_ancestors(tokens: Column, chunks: Column) -> Column:
+    """Roots of the chunks that are objects, with the three positions above each."""
+
+    def ancestors(c: Column) -> Column:
+        def above(i: Column) -> Column:
+            return F.get(tokens, i)["head_i"]
+
+        i1 = above(c["root_i"])
+        return F.struct(
+            c["root_i"].alias("i0"), i1.alias("i1"), above(i1).alias("i2"), above(above(i1)).alias("i3")
+        )
+
+    objects = F.filter(
+        chunks, lambda c: F.get(tokens, c["root_i"])["dep"].isin("dobj", "attr", "nsubjpass", "pobj")
+    )
+    return F.transform(objects, ancestors)
+
+
+def _asked_phrases(tokens: Column, chunks: Column) -> dict[str, Column]:
+    """The phrases that ``_found`` looks up: verbs with a particle, and prepositions around a noun."""
+
+    def of_prepositions(phrase: Callable[[Column], Column]) -> Column:
+        ups = F.filter(_object_ancestors(tokens, chunks), lambda up: F.get(tokens, up["i0"])["dep"] == "pobj")
+        return F.filter(F.transform(ups, phrase), lambda x: x.isNotNull())
+
+    def verb(up: Column) -> Column:
+        h1, h2 = F.get(tokens, up["i1"]), F.get(tokens, up["i2"])
+        return F.when((h2["pos"] == "VERB") & (up["i2"] + 1 == up["i1"]), F.concat(h2["lemma"], F.lit(" "), h1["lemma"]))
+
+    def preposition(up: Column) -> Column:
+        h2 = F.get(tokens, up["i2"])
+        return F.when(h2["dep"] == "pobj", F.lower(span_text(tokens, up["i3"], up["i1"] + 1)))
+
+    return {"verbs": of_prepositions(verb), "preps": of_prepositions(preposition)}
+
+
+def _found(tokens: Column, chunks: Column, subjects: Column, is_phrasal_verb: Listed, is_phrasal_prep: Listed) -> Column:
     """The relation each chunk's root takes part in as object, by token position.
 
     The order of the branches matters.
@@ -185,7 +223,7 @@ def _found(
             .when(
                 (h2["pos"] == "VERB")
                 & (up["i2"] + 1 == up["i1"])
-                & both("lemma").isin(phrasal_verbs)
+                & is_phrasal_verb(both("lemma"))
                 & subject.isNotNull(),
                 by(subject, *by_two_words),
             )
@@ -194,7 +232,7 @@ def _found(
                 by(subject, *by_preposition),
             )
             .when(
-                (h2["dep"] == "pobj") & F.lower(phrase).isin(phrasal_preps),
+                (h2["dep"] == "pobj") & is_phrasal_prep(F.lower(phrase)),
                 # the lemma stops one token short of the text
                 by(h3["head_i"], phrase, span_text(tokens, up["i3"], up["i1"], "lemma"), fake=up["i2"]),
             )
@@ -207,19 +245,7 @@ def _found(
             .when((h2["pos"] == "AUX") & subject.isNotNull(), by(subject, *by_preposition))
         )
 
-    def ancestors(c: Column) -> Column:
-        def above(i: Column) -> Column:
-            return F.get(tokens, i)["head_i"]
-
-        i1 = above(c["root_i"])
-        return F.struct(
-            c["root_i"].alias("i0"), i1.alias("i1"), above(i1).alias("i2"), above(above(i1)).alias("i3")
-        )
-
-    objects = F.filter(
-        chunks, lambda c: F.get(tokens, c["root_i"])["dep"].isin("dobj", "attr", "nsubjpass", "pobj")
-    )
-    return F.filter(F.transform(F.transform(objects, ancestors), of_root), lambda x: x.isNotNull())
+    return F.filter(F.transform(_object_ancestors(tokens, chunks), of_root), lambda x: x.isNotNull())
 
 
 def _kept(tokens: Column, chunks: Column, found: Column | None, drop_pronouns: bool) -> Column:
@@ -241,7 +267,7 @@ def _kept(tokens: Column, chunks: Column, found: Column | None, drop_pronouns: b
     return let(keyed(F.transform(marked, lambda x: F.struct(x["fake"].alias("k")))), real)
 
 
-def _entity(c: Column, tokens: Column, members: Column, conjuncts: Column, scene_nouns: list[str]) -> Column:
+def _entity(c: Column, tokens: Column, members: Column, conjuncts: Column, is_scene: Listed) -> Column:
     root = F.get(tokens, c["root_i"])
 
     def modifier(i: Column, dep: Column) -> Column:
@@ -278,9 +304,7 @@ def _entity(c: Column, tokens: Column, members: Column, conjuncts: Column, scene
             name(mine, "lemma").alias("lemma_head"),
             F.struct(c["start"].alias("start"), c["end"].alias("end")).alias("span_bounds"),
             modifiers(mine).alias("modifiers"),
-            F.when(is_scene_noun(name(mine, "lemma"), scene_nouns), F.lit("scene"))
-            .otherwise(F.lit("unknown"))
-            .alias("type"),
+            _type(name(mine, "lemma"), is_scene).alias("type"),
         )
 
     return let(entries_of(members, c["root_i"]), build)
@@ -290,7 +314,15 @@ def is_scene_noun(noun: Column, scene_nouns: list[str]) -> Column:
     """The whole noun or its last word is listed; case matters."""
     if not scene_nouns:
         return F.lit(False)
-    return F.coalesce(noun.isin(scene_nouns) | last_word(noun).isin(scene_nouns), F.lit(False))
+    return _is_scene(noun, lambda c: c.isin(scene_nouns))
+
+
+def _is_scene(noun: Column, listed_: Listed) -> Column:
+    return F.coalesce(listed_(noun) | listed_(last_word(noun)), F.lit(False))
+
+
+def _type(noun: Column, is_scene: Listed) -> Column:
+    return F.when(is_scene(noun), F.lit("scene")).otherwise(F.lit("unknown"))
 
 
 def _locations(kept: Column) -> Column:
@@ -333,6 +365,15 @@ def _locations(kept: Column) -> Column:
 
 def _located(found: Column, conjuncts: Column, where: Column) -> Column:
     """Spread each relation over the conjuncts of its ends and map positions to entities."""
+    ends = F.transform(
+        _spread(found, conjuncts),
+        lambda r: r.withField("subject", F.get(where, r["subject"])).withField("object", F.get(where, r["object"])),
+    )
+    return F.filter(ends, lambda r: r["subject"].isNotNull() & r["object"].isNotNull())
+
+
+def _spread(found: Column, conjuncts: Column) -> Column:
+    """Each relation once for every pair of its ends and their conjuncts, by token position."""
 
     def with_conjuncts(i: Column) -> Column:
         return F.concat(F.array(i), F.transform(entries_of(conjuncts, i), lambda y: y["i"]))
@@ -344,8 +385,8 @@ def _located(found: Column, conjuncts: Column, where: Column) -> Column:
                 lambda s: F.transform(
                     with_conjuncts(x["object"]),
                     lambda o: F.struct(
-                        F.get(where, s).alias("subject"),
-                        F.get(where, o).alias("object"),
+                        s.alias("subject"),
+                        o.alias("object"),
                         x["relation"].alias("relation"),
                         x["lemma_relation"].alias("lemma_relation"),
                     ),
@@ -353,10 +394,7 @@ def _located(found: Column, conjuncts: Column, where: Column) -> Column:
             )
         )
 
-    return F.filter(
-        F.flatten(F.transform(found, spread)),
-        lambda r: r["subject"].isNotNull() & r["object"].isNotNull(),
-    )
+    return F.flatten(F.transform(found, spread))
 
 
 def extract_scene_graph(
@@ -370,38 +408,73 @@ def extract_scene_graph(
     drop_pronouns: bool = False,
     keep_tokens: bool = True,
     want: tuple[str, ...] = ("entities", "relations"),
+    inline_entries: int | None = None,
 ) -> DataFrame:
     """Add ``entities`` and ``relations`` to token documents, or the one of them that is wanted.
 
     Pronoun chunks are dropped when their root has the placeholder lemma of older parsers;
     ``drop_pronouns`` also drops those tagged PRON. ``keep_tokens=False`` drops the parse.
+
+    Word lists of up to ``inline_entries`` are part of the expressions. A longer one is joined: the phrases that
+    a document asks for meet the list by hash, and the document gets those that are listed.
     """
-    verbs, preps, scenes = (lexicon_values(x) for x in (phrasal_verbs, phrasal_preps, scene_nouns))
+    verbs, preps, scenes = (lexicon_values(x, inline_entries) for x in (phrasal_verbs, phrasal_preps, scene_nouns))
     t, c = F.col(tokens), F.col(chunks)
+    spark = df.sparkSession
+    given = {"verbs": (verbs, phrasal_verbs), "preps": (preps, phrasal_preps)}
+    if not {"relations", "positions"} & set(want):  # verbs decide about relations alone
+        given.pop("verbs")
+    long_lists = {k: lexicon_table(spark, x) for k, (values, x) in given.items() if values is None}
+    if long_lists:
+        asked = _asked_phrases(t, c)
+        df = document_hits(df, {f"_{k}": (asked[k], table) for k, table in long_lists.items()})
+
+    def member(name: str, values: list[str] | None) -> Listed:
+        if values is None and name in long_lists:
+            return lambda phrase: F.array_contains(f"_{name}", phrase)
+        return lambda phrase: phrase.isin(values or [])
+
+    scene = (lambda noun: is_scene_noun(noun, scenes)) if scenes is not None else (lambda noun: F.lit(False))
     subjects, conjuncts, members, found, kept, where = (
         F.col(n) for n in ("_subjects", "_conjuncts", "_members", "_found", "_kept", "_where")
     )
+    columns = [col for col in df.columns if col not in ("_verbs", "_preps")]
     relations, named = "relations" in want, "entities" in want
     # without phrasal prepositions no noun is used up, so entities alone need no relations
-    finding = relations or bool(preps)
+    finding = relations or "positions" in want or preps is None or bool(preps)
     first = {"_subjects": _subjects(t)} if finding else {}
-    if relations or named:
+    if relations or named or "positions" in want:
         first["_conjuncts"] = _conjuncts(t)
     if named:
         first["_members"] = _phrase_members(t)
     steps = computed(df, first)
     if finding:
-        steps = computed(steps, {"_found": _found(t, c, subjects, verbs, preps)}).drop("_subjects")
+        steps = computed(steps, {"_found": _found(t, c, subjects, member("verbs", verbs), member("preps", preps))}).drop("_subjects")
     steps = computed(steps, {"_kept": _kept(t, c, found if finding else None, drop_pronouns)})
     if relations:
         steps = computed(steps, {"_where": _locations(kept)})
+    if "positions" in want:
+        spread_out = {"relation_positions": _spread(found, conjuncts), "entity_spans": _spans(kept)}
+        return computed(steps, spread_out).select(*columns, *spread_out).drop(*([] if keep_tokens else [tokens, chunks]))
     made = {}
     if named:
-        made["entities"] = F.transform(kept, lambda x: _entity(x, t, members, conjuncts, scenes))
+        made["entities"] = F.transform(kept, lambda x: _entity(x, t, members, conjuncts, scene))
     if relations:
         made["relations"] = _located(found, conjuncts, where)
-    graph = computed(steps, made).drop("_conjuncts", "_members", "_found", "_kept", "_where")
-    return graph if keep_tokens else graph.drop(tokens, chunks)
+    graph = computed(steps, made).drop("_conjuncts", "_members", "_found", "_kept", "_where", "_verbs", "_preps")
+    graph = graph if keep_tokens else graph.drop(tokens, chunks)
+    if not named or scenes is not None:
+        return graph
+    nouns = F.transform("entities", lambda e: e["lemma_head"])
+    asked = F.concat(nouns, F.transform(nouns, last_word))
+    hits = document_hits(graph, {"_scenes": (asked, lexicon_table(spark, scene_nouns))})
+    listed_noun = lambda noun: _is_scene(noun, lambda x: F.array_contains("_scenes", x))
+    typed = F.transform("entities", lambda e: e.withField("type", _type(e["lemma_head"], listed_noun)))
+    return computed(hits, {"entities": typed}).select(*graph.columns)
+
+
+def _spans(kept: Column) -> Column:
+    return F.transform(kept, lambda c, n: F.struct(n.alias("entity_id"), c["start"].alias("start"), c["end"].alias("end")))
 
 
 def entity_table(graphs: DataFrame, *keys: str) -> DataFrame:

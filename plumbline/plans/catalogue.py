@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import prompts, replies
 from plumbline.functions import text as tx
 from plumbline.functions.arrays import computed, listed
-from plumbline.operators import dialogue, grading, inference, probes, samples, scenegraph, scoring, transcripts
+from plumbline.operators import dialogue, grading, inference, locate as locating, probes, samples, scenegraph, scoring, transcripts
 from plumbline.plans import stubs
 from plumbline.plans.tokens import hashed_tokens, shallow_tokens, words
 from plumbline.session import shared_dir, spread, tune
@@ -83,15 +83,15 @@ def document_graphs(spark: SparkSession, sf_dir: str, want=("entities", "relatio
     return scenegraph.extract_scene_graph(shallow_tokens(docs, "text"), keep_tokens=False, want=want)
 
 
-def hashed_graphs(spark: SparkSession, sf_dir: str, want: tuple[str, ...]) -> DataFrame:
+def hashed_graphs(spark: SparkSession, sf_dir: str, want: tuple[str, ...], joined: bool = False) -> DataFrame:
+    """Graphs of made-up parses; ``joined`` with the word lists as tables, among an entry for every line item."""
     docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    lists = {"phrasal_verbs": PHRASAL_VERBS, "phrasal_preps": PHRASAL_PREPS, "scene_nouns": SCENE_WORDS}
+    if joined:
+        more = read(spark, sf_dir, "lineitem").select(F.concat_ws(" ", F.lit("item"), "l_orderkey", "l_linenumber", "l_partkey"))
+        lists = {k: spark.createDataFrame([(x,) for x in v], "entry string").union(more) for k, v in lists.items()}
     return scenegraph.extract_scene_graph(
-        hashed_tokens(docs, "text", "doc_id"),
-        phrasal_verbs=PHRASAL_VERBS,
-        phrasal_preps=PHRASAL_PREPS,
-        scene_nouns=SCENE_WORDS,
-        keep_tokens=False,
-        want=want,
+        hashed_tokens(docs, "text", "doc_id"), **lists, keep_tokens=False, want=want, inline_entries=0 if joined else None
     )
 
 
@@ -343,6 +343,26 @@ def rule_relations(spark, sf_dir):
     return scenegraph.relation_table(hashed_graphs(spark, sf_dir, ("relations",)), "doc_id").drop("relation_id")
 
 
+def rule_relations_joined(spark, sf_dir):
+    """The same with word lists that are joined."""
+    graphs = hashed_graphs(spark, sf_dir, ("relations",), joined=True)
+    return scenegraph.relation_table(graphs, "doc_id").drop("relation_id")
+
+
+def rule_types_joined(spark, sf_dir):
+    """Types of the entities' nouns by a list that is joined."""
+    graphs = hashed_graphs(spark, sf_dir, ("entities",), joined=True)
+    return scenegraph.entity_table(graphs, "doc_id").select("doc_id", "entity_id", "lemma_head", "type")
+
+
+def located_relations(spark, sf_dir):
+    """The same relations, their ends found by an interval join of positions and spans as tables."""
+    graphs = inference.materialise(hashed_graphs(spark, sf_dir, ("positions",)).select("doc_id", "relation_positions", "entity_spans"))
+    relations = listed(graphs, ["doc_id"], "relation_positions", "relation_id").drop("relation_id")
+    spans = listed(graphs, ["doc_id"], "entity_spans", "at").drop("at")
+    return locating.locate_relations(relations, spans, ["doc_id"])
+
+
 def merged_entities(spark, sf_dir):
     merged = computed(document_graphs(spark, sf_dir, ("entities",)).select("doc_id", "entities"), {"merged": scoring.merged_in_row(F.col("entities"))})
     heads = listed(merged, ["doc_id"], "merged", "n")
@@ -385,6 +405,13 @@ def probe_scores(spark, sf_dir):
     return probes.score_probes(rows, ["probe_set", "model"], prediction=F.col("prediction"))
 
 
+def probe_sets(spark, sf_dir):
+    """Probes of orders for the types of their line items' parts."""
+    parts = read(spark, sf_dir, "part").select("p_partkey", "p_type")
+    shown = read(spark, sf_dir, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    return probes.probe_sets(shown, "l_orderkey", "p_type", start=F.col("image") * 48271)
+
+
 # --- stages that call out -------------------------------------------------------------------
 
 
@@ -522,6 +549,7 @@ QUERIES: dict[str, Query] = {
         grade_parse, grading_lists, grading_parts,
         graph_entities, graph_relations, graph_endpoints, rule_entities, rule_relations, merged_entities, merged_table,
         judge_scores, metric_report, object_hallucination, relation_hallucination, probe_scores,
+        rule_relations_joined, rule_types_joined, located_relations, probe_sets,
         batch_inference, result_round_trip, json_array_scan, annotation_scan, image_id_scan, chat_replies, annotated_turns, dialogues, graded_samples,
         graded_repeats, attached_images,
     )

@@ -482,3 +482,26 @@ s AS (
 SELECT t.conv_id, coalesce(gr, '') AS grading_results, coalesce(ungraded, 0)::BIGINT AS ungraded
 FROM (SELECT DISTINCT conv_id FROM turns) t LEFT JOIN s USING (conv_id)""",
 }
+
+# the same rows by other means
+ORACLES["rule_relations_joined"] = ORACLES["located_relations"] = ORACLES["rule_relations"]
+ORACLES["rule_types_joined"] = f"SELECT doc_id, entity_id, lemma_head, type FROM ({ORACLES['rule_entities']})"
+ORACLES["probe_sets"] = """
+WITH own AS (SELECT DISTINCT l_orderkey AS image, p_type AS object FROM lineitem JOIN part ON p_partkey = l_partkey),
+rk AS (SELECT object, row_number() OVER (ORDER BY count(*) DESC, object) AS rank FROM own GROUP BY object),
+p AS (SELECT image, rank FROM own JOIN rk USING (object)),
+lacking AS (SELECT image, rk.rank FROM (SELECT DISTINCT image FROM p) i, rk ANTI JOIN p ON p.image = i.image AND p.rank = rk.rank),
+beside AS (SELECT a.rank, b.rank AS other, count(*) AS n FROM p a JOIN p b ON a.image = b.image AND a.rank <> b.rank WHERE b.rank <= 1000 GROUP BY ALL),
+near AS (
+  SELECT p.image, other AS rank, max(n) AS n FROM p JOIN beside USING (rank) JOIN lacking l ON l.image = p.image AND l.rank = other GROUP BY ALL
+),
+chosen AS (
+  SELECT image, s AS probe_set, 'yes' AS label, row_number() OVER (PARTITION BY image, s ORDER BY rank) - 1 AS place, rank
+  FROM p, (VALUES ('random'), ('popular'), ('adversarial')) v(s)
+  UNION ALL SELECT image, 'popular', 'no', row_number() OVER (PARTITION BY image ORDER BY rank) - 1, rank FROM lacking
+  UNION ALL SELECT image, 'random', 'no', row_number() OVER (PARTITION BY image ORDER BY (rank - 1 + c - image * 48271 % c) % c) - 1, rank
+  FROM lacking, (SELECT count(*) AS c FROM rk)
+  UNION ALL SELECT image, 'adversarial', 'no', row_number() OVER (PARTITION BY image ORDER BY n DESC, rank) - 1, rank FROM near
+)
+SELECT image AS l_orderkey, probe_set, place::INT AS place, object, label, 'Is there a ' || object || ' in the image?' AS question
+FROM chosen JOIN rk USING (rank) WHERE place < 3"""

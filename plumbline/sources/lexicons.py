@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import last_word, strip
+from plumbline.session import materialise
 
-# A word list up to this size is compiled into the expressions as a hash set.
+# A word list up to this size is compiled into the expressions as a hash set; longer ones are joined.
 MAX_INLINE_ENTRIES = 50_000
 
 
@@ -23,19 +24,54 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     return lexicon_entries(spark.read.text(path))
 
 
-def lexicon_values(lexicon: DataFrame | Iterable[str]) -> list[str]:
-    """Entries of a word list whose size has been checked, for use inside expressions.
+def lexicon_values(lexicon: DataFrame | Iterable[str], most: int | None = None) -> list[str] | None:
+    """Entries of a word list for use inside expressions, or None if they are more than ``most``.
 
-    A longer list belongs in a table and is matched with ``flag_members`` instead.
+    A longer list is a table: ``document_hits`` and ``flag_members`` join it.
     """
+    most = MAX_INLINE_ENTRIES if most is None else most
     if isinstance(lexicon, DataFrame):
-        rows = lexicon.limit(MAX_INLINE_ENTRIES + 1).collect()
+        rows = lexicon.limit(most + 1).collect()
         values = [r[0] for r in rows]
     else:
         values = list(lexicon)
-    if len(values) > MAX_INLINE_ENTRIES:
-        raise ValueError(f"word list exceeds {MAX_INLINE_ENTRIES} entries; join it with flag_members")
-    return sorted(set(values))
+    return sorted(set(values)) if len(values) <= most else None
+
+
+def lexicon_table(spark: SparkSession, lexicon: DataFrame | Iterable[str]) -> DataFrame:
+    """A word list as a table with the one column ``entry``."""
+    if isinstance(lexicon, DataFrame):
+        return lexicon.select(F.col(lexicon.columns[0]).alias("entry"))
+    return spark.createDataFrame([(x,) for x in lexicon], "entry string")
+
+
+def document_hits(df: DataFrame, phrases: dict[str, tuple[Column, DataFrame]]) -> DataFrame:
+    """Add, under each name, which of a row's phrases its word list holds, for lists of any size.
+
+    ``phrases`` gives by name an array of phrases and the list as a table. The rows are written once with a number;
+    each phrase of a row goes out once and meets the lists by hash, and only hits come back. A phrase that is in
+    many rows is a hot key of a join that AQE splits.
+    """
+    candidates = [F.array_distinct(c).alias(f"_asked{n}") for n, (c, _) in enumerate(phrases.values())]
+    held = materialise(df.select("*", *candidates, F.monotonically_increasing_id().alias("_row")))
+
+    def of_list(n: int) -> Column:
+        return F.transform(f"_asked{n}", lambda x: F.struct(F.lit(n).alias("list"), x.alias("entry")))
+
+    # a null array would make the whole concatenation null
+    asked = F.concat(*[F.coalesce(of_list(n), F.array().cast("array<struct<list:int,entry:string>>")) for n in range(len(phrases))])
+    offered = held.select("_row", F.explode(asked).alias("x")).select("_row", "x.*")
+    entries = None
+    for n, (_, lexicon) in enumerate(phrases.values()):
+        part = lexicon.select(F.lit(n).alias("list"), F.col(lexicon.columns[0]).alias("entry")).distinct()
+        entries = part if entries is None else entries.unionByName(part)
+    hits = offered.join(entries, ["list", "entry"], "left_semi")
+    found = hits.groupBy("_row").agg(
+        *[F.collect_list(F.when(F.col("list") == n, F.col("entry"))).alias(f"_hits{n}") for n in range(len(phrases))]
+    )
+    nothing = F.array().cast("array<string>")
+    named = [F.coalesce(f"_hits{n}", nothing).alias(name) for n, name in enumerate(phrases)]
+    return held.join(found, "_row", "left").select(*df.columns, *named)
 
 
 def flag_members(df: DataFrame, phrase: str, lexicon: DataFrame, out: str, *, or_last_word: bool = False) -> DataFrame:
