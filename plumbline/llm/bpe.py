@@ -355,16 +355,19 @@ class Encoder:
         self.pattern = regex.compile(pattern)
         self.gaps = gaps
         self.letters = self.pattern.findall(" naïve, a.") == [" naïve", ",", " a", "."]
-        self.pieces = Recent(lambda p: array("i", self.transducer.encode(p.encode("utf-8"))).tobytes())
+        self.pieces = Recent(self._piece)
         self.stretches = Recent(self._after_space)
 
+    def _piece(self, piece: str) -> bytes:
+        return array("i", self.transducer.encode(piece.encode("utf-8"))).tobytes()
+
     def _after_space(self, stretch: str) -> bytes:
-        # letters alone, or with one mark behind them, need no pattern to be taken apart
+        # letters alone, or with one mark behind them, need no pattern to be taken apart, and are remembered once
         if self.letters:
             if stretch.isalpha():
-                return self.pieces[" " + stretch]
+                return self._piece(" " + stretch)
             if stretch[-1:] in MARKS and stretch[:-1].isalpha():
-                return self.pieces[" " + stretch[:-1]] + self.pieces[stretch[-1]]
+                return self.stretches[stretch[:-1]] + self.pieces[stretch[-1]]
         return self._ids(" " + stretch)
 
     def _ids(self, stretch: str) -> bytes:
