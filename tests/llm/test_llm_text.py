@@ -168,6 +168,34 @@ def test_quality_tells_texts_apart():
     assert sizes.difference(None) == sizes.difference("") == 0
 
 
+def test_quality_uses_whole_texts(spark):
+    """What tells the classes apart stands at the texts' ends, far behind their middle; and null, empty and very long texts."""
+    prepare(spark)
+    rng = random.Random(4)
+    same = " ".join(rng.choices("the calm river ran past old stone houses and green fields".split(), k=3000))
+    ends = {1: "quiet gardens and paper windows in the morning light ", 0: "BUY!! NOW!! $$$ FREE!! CLICK!! WIN!! "}
+    rows = [(i, same[: rng.randrange(9000, 16000)] + ends[i % 2] * 60, i % 2) for i in range(120)]
+    rows += [(200, None, 1), (201, "", 0), (202, same * 40 + ends[0] * 30_000, 0), (203, ends[1] * 30_000, 1)]
+    docs = spark.createDataFrame([(i, t, 7, "x") for i, t, _ in rows], "doc_id long, text string, label int, piece string")
+    marks = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    model = quality.train(docs, marks, "quality", 3, 1)
+    got = {r["doc_id"]: r["s"] for r in docs.select("doc_id", quality.score("text", model).alias("s")).collect()}
+    for i, _, q in rows[:120]:
+        assert (got[i] > 0.5) == (q == 1)
+    assert got[200] == got[201] and got[202] < 0.5 < got[203]
+    # the scores by plain zstandard
+    import zstandard
+
+    def size(data, known):
+        packer = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(known), level=3, write_content_size=False, write_dict_id=False, write_checksum=False)
+        return sum(len(packer.compress(data[i : i + 1024])) for i in range(0, len(data), 1024))
+
+    for i in (0, 1, 203):
+        data = rows[i if i < 120 else 123][1].encode()
+        good, bad = size(data, model.good), size(data, model.bad)
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-(model.slope * (bad - good) / (bad + good) + model.offset))), rel=1e-9)
+
+
 def test_quality_odd_rows(spark, odd_docs, no_docs):
     model = quality.train(odd_docs, no_docs.select("doc_id", F.lit(1).alias("quality")), "quality", 3, 1)
     assert {r["s"] for r in odd_docs.select(quality.score("text", model).alias("s")).collect()} == {0.5}
