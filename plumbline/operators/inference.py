@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 import time
+import uuid
 from collections.abc import Callable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
 
@@ -34,6 +35,29 @@ Annotator = Callable[[str], tuple[list[dict], list[dict]]]
 REPLY = "struct<reply:string,error:string,attempts:int>"
 PARSE = f"struct<tokens:{TOKENS},chunks:{CHUNKS}>"
 
+# Rows that are put in order of their size before they are cut into batches.
+WINDOW_ROWS = 4096
+
+
+def row_size(image, question: str | None) -> int:
+    """Words of the question, and bytes of the image where it comes as bytes."""
+    return len((question or "").split()) + (len(image) if isinstance(image, (bytes, bytearray)) else 0)
+
+
+def sized_batches(sizes: list[int], budget: int, most: int | None = None) -> list[list[int]]:
+    """Places of rows in batches of alike sizes: the number of rows times the largest size stays within the budget.
+
+    Largest first, rows of equal size in their order; a row beyond the budget is a batch by itself.
+    """
+    batches: list[list[int]] = []
+    for place in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        held = batches[-1] if batches else None
+        if held and (len(held) + 1) * max(sizes[held[0]], 1) <= budget and (most is None or len(held) < most):
+            held.append(place)
+        else:
+            batches.append([place])
+    return batches
+
 
 def batch_infer(
     df: DataFrame,
@@ -45,6 +69,8 @@ def batch_infer(
     normalise: bool = True,
     partitions: int | None = None,
     batch_size: int | None = None,
+    batch_budget: int | None = None,
+    size: Callable[[object, str], int] = row_size,
     options: Mapping[str, object] | None = None,
 ) -> DataFrame:
     """Answer every (image, question) row; all columns are kept and ``out`` is added.
@@ -53,17 +79,40 @@ def batch_infer(
 
     ``partitions`` spreads the rows evenly over that many model instances first. The predictor gets
     ``batch_size`` rows at a time (default: an Arrow batch); give one where images come as bytes.
+
+    With ``batch_budget``, rows of alike ``size`` go together, so little is padded: a task orders up to ``WINDOW_ROWS``
+    rows by size and cuts them into batches whose padded size (rows times the largest) is within the budget.
+    Answers come out in the order of the rows.
     """
 
     @F.pandas_udf("string")
     def answer(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         predict = make_predictor(**(options or {}))
+        if batch_budget is not None:
+            yield from by_size(predict, batches)
+            return
         for images, questions in batches:
             step = batch_size or max(len(images), 1)
             for at in range(0, len(images), step):
                 part = predict(images[at : at + step].tolist(), questions[at : at + step].tolist())
                 yield pd.Series(part, dtype="object")
 
+    def by_size(predict: Predictor, batches) -> Iterator[pd.Series]:
+        images, questions = [], []
+        for more_images, more_questions in (*batches, (None, None)):
+            if more_images is not None:
+                images += more_images.tolist()
+                questions += more_questions.tolist()
+                if len(images) < WINDOW_ROWS:
+                    continue
+            answers: list = [None] * len(images)
+            for places in sized_batches([size(i, q) for i, q in zip(images, questions)], batch_budget, batch_size):
+                for place, said in zip(places, predict([images[p] for p in places], [questions[p] for p in places])):
+                    answers[place] = said
+            if answers:
+                yield pd.Series(answers, dtype="object")
+            images, questions = [], []
+
     ship_package(df.sparkSession)
     rows = df if partitions is None else df.repartition(partitions)
     answered = rows.withColumn(out, answer.asNondeterministic()(image, question))
@@ -89,8 +138,9 @@ def chat_complete(
     A call that fails, or whose reply ``check`` refuses, is repeated after a pause, at most
     ``max_retries`` times; then the error column says why and the last reply, if any, is kept.
 
-    ``store`` names a folder of good replies by hash of model and messages. What it holds is not
-    asked again, equal requests are asked once, and new good replies are added before any row uses them.
+    ``store`` names a folder of replies by hash of model and messages. What it holds a good one for is not
+    asked again, and equal requests are asked once. Each task adds its replies when it ends, whatever becomes of the
+    job: a run that dies leaves what its finished tasks were told, and the next one asks for the rest.
     """
     if store is not None:
         return _stored(
@@ -139,13 +189,19 @@ def _stored(df: DataFrame, messages: str, out: str, model: str, store: str, ask:
     spark = df.sparkSession
     error = f"{out}_error"
     keyed = df.withColumn("_request", F.sha2(F.concat(F.lit(model), F.lit("\n"), F.to_json(messages)), 256))
-    schema = f"_request string, `{out}` string"
+    schema = f"_request string, `{out}` string, `{error}` string, run string"
     known = spark.read.schema(schema).parquet(store) if exists(spark, store) else spark.createDataFrame([], schema)
-    todo = keyed.select("_request", messages).dropDuplicates(["_request"]).join(known, "_request", "left_anti")
-    asked = materialise(ask(todo).select("_request", out, error))
-    held = materialise(known.withColumn(error, F.lit(None).cast("string")).unionByName(asked))
-    asked.where(F.col(error).isNull()).select("_request", out).write.mode("append").parquet(store)
-    return keyed.join(held.dropDuplicates(["_request"]), "_request", "left").drop("_request")
+    good = known.where(F.col(error).isNull()).select("_request")
+    todo = keyed.select("_request", messages).dropDuplicates(["_request"]).join(good, "_request", "left_anti")
+    run = uuid.uuid4().hex
+    # the second algorithm moves a task's files into the folder when the task commits, not when the job does
+    asked = ask(todo).select("_request", out, error, F.lit(run).alias("run"))
+    asked.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(store)
+    # failures count for the run that met them; of several answers to a request a good one is taken
+    usable = spark.read.schema(schema).parquet(store).where(F.col(error).isNull() | (F.col("run") == run))
+    one = F.min_by(F.struct(out, error), F.struct(F.col(error).isNotNull(), F.xxhash64(out))).alias("_one")
+    held = usable.groupBy("_request").agg(one).select("_request", "_one.*")
+    return keyed.join(held, "_request", "left").drop("_request")
 
 
 def annotate(

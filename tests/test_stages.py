@@ -1,6 +1,11 @@
 """Stages that call out, with stand-ins; sources and sinks."""
 
 import json
+import os
+import random
+import time
+import uuid
+from collections import Counter
 
 import pytest
 from parses import RULES, document
@@ -256,6 +261,70 @@ def test_parses_leave_in_slices(spark):
     assert sorted(len(r.tokens) for r in got) == [0, 300, 400] and not seen
 
 
+def test_replies_of_finished_tasks_survive_the_job(spark, tmp_path):
+    """A job dies in one of its tasks: the next run asks only for what the tasks that ended have not been told."""
+    calls, store, broken = tmp_path / "calls", str(tmp_path / "store"), tmp_path / "broken"
+    calls.mkdir()
+    broken.write_text("")
+
+    def make():
+        def client(messages, model):
+            said = messages[0]["content"]
+            if said == "7" and broken.exists():
+                for _ in range(200):  # until the other tasks have written theirs
+                    if len(os.listdir(calls)) >= 35 and len([f for f in os.listdir(store) if f.endswith(".parquet")]) >= 7:
+                        break
+                    time.sleep(0.1)
+                os._exit(1)
+            (calls / f"{said}-{uuid.uuid4()}").write_text("")
+            return "re " + said
+
+        return client
+
+    rows = spark.range(0, 40, 1, 8).select("id", F.array(F.struct(F.lit("user").alias("role"), F.col("id").cast("string").alias("content"))).alias("messages"))
+    ask = lambda: inference.chat_complete(rows, "messages", make, model="m", max_retries=0, partitions=8, store=store)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        with pytest.raises(Exception):
+            ask().collect()
+        first = {f.split("-")[0] for f in os.listdir(calls)}
+        kept = {r.reply for r in spark.read.parquet(store).collect()}
+        assert len(kept) >= 20 and "re 7" not in kept
+        broken.unlink()
+        assert {r.id: r.reply for r in ask().collect()} == {i: f"re {i}" for i in range(40)}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    counts = Counter(f.split("-")[0] for f in os.listdir(calls))
+    assert all(counts[reply.removeprefix("re ")] == 1 for reply in kept) and counts.keys() == {str(i) for i in range(40)} and first
+    assert ask().count() == 40 and Counter(f.split("-")[0] for f in os.listdir(calls)) == counts
+
+
+def test_batches_of_alike_sizes(spark):
+    """The same answers in the same rows; what a batch is padded to stays within the budget."""
+    rng = random.Random(5)
+    rows = [(n, f"{n}.jpg", " ".join(["w"] * rng.choice([0, 1, 3, 20, 60, 500]))) for n in range(3000)]
+    df = spark.createDataFrame(rows, "n int, image string, question string").repartition(3)
+
+    def make():
+        return lambda images, questions: [f"{i} {len(q.split())} {len(images) * max(len(x.split()) for x in questions)}" for i, q in zip(images, questions)]
+
+    for limit in (None, 7):
+        got = inference.batch_infer(df, make, batch_budget=120, batch_size=limit, normalise=False).collect()
+        assert len(got) == 3000
+        for r in got:
+            name, words, padded = r.output.split()
+            assert name == r.image and int(words) == len(r.question.split())
+            assert int(padded) <= 120 or int(padded) == int(words) == 500
+    sizes = [rng.randrange(50) for _ in range(400)]
+    batches = inference.sized_batches(sizes, 100)
+    assert sorted(p for b in batches for p in b) == list(range(400))
+    assert all(len(b) * max(sizes[p] for p in b) <= 100 or len(b) == 1 for b in batches)
+    assert sum(len(b) * max(sizes[p] for p in b) for b in batches) < 1.2 * sum(sizes)
+    assert inference.sized_batches([], 5) == [] and inference.sized_batches([0, 9, 0], 5) == [[1], [0, 2]]
+    assert inference.row_size(b"abc", "x y") == 5 and inference.row_size("a.jpg", None) == 0
+    assert inference.batch_infer(df.limit(0), make, batch_budget=10).collect() == []
+
+
 def test_predictor_gets_bounded_batches(spark):
     make = lambda: lambda paths, questions: [str(len(paths))] * len(paths)
     df = spark.createDataFrame([("i", str(n)) for n in range(7)], "image string, question string").coalesce(1)
