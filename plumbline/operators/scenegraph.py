@@ -8,8 +8,7 @@ Input: one row per document with two arrays
 Output: the same rows with ``entities`` and ``relations`` arrays. A document never needs
 another document's rows, so the whole extraction is column work: no exchange, no join, no
 Python. Look-ups by token position go through ``keyed`` arrays, which keeps the cost per
-document linear (times a log for sorting) however long the text is - but for compounds above
-compounds, where each token below one climbs as many steps as the document has of them.
+document linear (times logs for sorting and for chains of compounds) however long the text is.
 """
 
 from __future__ import annotations
@@ -66,56 +65,138 @@ def _conjuncts(tokens: Column) -> Column:
     )
 
 
-def _phrase_members(tokens: Column) -> Column:
-    """Per position, its modifiers and compounds, reached directly or through compounds.
+def _phrase_members(tokens: Column, chunks: Column) -> Column:
+    """Per chunk root, its modifiers and compounds, reached directly or through compounds, depth first.
 
-    Every such token climbs to its head and on for as long as the head is itself a compound.
-    It belongs to each position passed; the way back down is the sort key, so a position's
-    members come out in depth-first order.
+    A token hangs on its head and, if that is a compound, on what the compound hangs on. Where nothing hangs on a
+    compound, members are the children in their order; else see ``_ranked_members``.
     """
     relevant = _children(tokens, (*_MODIFIER_DEPS, "compound"))
 
-    def is_compound(i: Column) -> Column:
-        t = F.get(tokens, i)
-        return (t["dep"] == "compound") & (t["head_i"] != i)
+    def entry(t: Column) -> Column:
+        return _member(t["head_i"], t["i"], t)
+
+    return F.when(
+        F.exists(relevant, lambda t: _is_compound(tokens, t["head_i"])), keyed(_ranked_members(tokens, chunks, relevant))
+    ).otherwise(keyed(F.transform(relevant, entry)))
+
+
+def _member(root: Column, rank: Column, t: Column) -> Column:
+    return F.struct(root.alias("k"), rank.cast("long").alias("rank"), t["i"].alias("i"), (t["dep"] == "compound").alias("compound"))
+
+
+def _is_compound(tokens: Column, i: Column) -> Column:
+    t = F.get(tokens, i)
+    return F.coalesce((t["dep"] == "compound") & (t["head_i"] != i), F.lit(False))
+
+
+def _rounds(steps: Column) -> Column:
+    """An array as long as doublings that reach the given number of steps."""
+    return F.array_repeat(F.lit(0), F.ceil(F.log2(F.greatest(steps, F.lit(1)) + 1)).cast("int"))
 
-    # the longest possible chain of compounds above compounds bounds the climb
-    chained = F.size(
-        F.filter(_children(tokens, ("compound",)), lambda t: is_compound(t["head_i"]))
-    )
 
-    def climb(t: Column, bound: Column) -> Column:
-        return F.aggregate(
-            F.array_repeat(F.lit(0), bound + 1),
-            F.array(t["head_i"]),
-            lambda way, _: F.when(
-                is_compound(last(way)), F.concat(way, F.array(F.get(tokens, last(way))["head_i"]))
-            ).otherwise(way),
+def _ranked_members(tokens: Column, chunks: Column, relevant: Column) -> Column:
+    """Members of chunk roots through chains of compounds of any length, each with its rank depth first.
+
+    Everything goes by pointer doubling: after round n every token knows what lies 2^n compounds above it, so the rounds
+    are the logarithm of the longest chain and each is linear (with a sort). A token's subtree is counted by adding, round by
+    round, the counts of those whose pointer arrives at it; the counts of earlier siblings give its place below its
+    parent, and places added up along the way its rank. Roots above a token are found by the same doubling.
+    """
+    def pointer(t: Column) -> Column:
+        return F.when(_is_compound(tokens, t["head_i"]) & (t["head_i"] != t["i"]), t["head_i"]).otherwise(F.lit(-1))
+
+    def counts(t: Column) -> Column:
+        return (t["dep"].isin(*_MODIFIER_DEPS, "compound") & (t["head_i"] != t["i"])).cast("int")
+
+    # no chain is longer than there are compounds above compounds
+    chain = F.size(F.filter(_children(tokens, ("compound",)), lambda t: _is_compound(tokens, t["head_i"]))) + 1
+    doublings = _rounds(chain)
+
+    def jumped(jump: Column) -> Column:
+        return F.transform(jump, lambda j: F.when(j >= 0, F.get(jump, j)).otherwise(F.lit(-1)))
+
+    def counted(state: Column) -> Column:
+        arrived = F.filter(
+            F.transform(state["jump"], lambda j, u: F.struct(j.alias("k"), F.get(state["n"], u).alias("n"))), lambda x: x["k"] >= 0
+        )
+        more = let(
+            keyed(arrived),
+            lambda index: F.transform(state["n"], lambda n, i: n + F.aggregate(entries_of(index, i), F.lit(0), lambda s, x: s + x["n"])),
         )
+        return F.struct(jumped(state["jump"]).alias("jump"), more.alias("n"))
+
+    def sizes(pointers: Column) -> Column:
+        start = F.struct(pointers.alias("jump"), F.transform(tokens, counts).alias("n"))
+        return F.aggregate(doublings, start, lambda state, _: counted(state))["n"]
+
+    def siblings(size: Column) -> Column:
+        return F.sort_array(F.transform(relevant, lambda t: F.struct(t["head_i"].alias("k"), t["i"].alias("i"), F.get(size, t["i"]).alias("n"))))
+
+    def offsets(held: Column) -> Column:
+        """Per position, one more than the tokens below earlier siblings: running sums within equal keys, by doubling."""
 
-    def entry(t: Column, key: Column, path: Column) -> Column:
-        return F.struct(key.alias("k"), path.alias("path"), (t["dep"] == "compound").alias("compound"))
+        def step(state: Column) -> Column:
+            def added(n: Column, j: Column) -> Column:
+                back = j - state["step"]
+                return F.when((back >= 0) & (F.get(held, back)["k"] == F.get(held, j)["k"]), n + F.get(state["sum"], back)).otherwise(n)
 
-    def passed(t: Column, way: Column) -> Column:
-        return F.transform(
-            way, lambda a, j: entry(t, a, F.concat(F.reverse(F.slice(way, F.lit(1), j)), F.array(t["i"])))
+            return F.struct((state["step"] * 2).alias("step"), F.transform(state["sum"], added).alias("sum"))
+
+        start = F.struct(F.lit(1).alias("step"), F.transform(held, lambda x: x["n"]).alias("sum"))
+        sums = F.aggregate(_rounds(F.size(held)), start, lambda state, _: step(state))["sum"]
+        placed = let(sums, lambda total: F.transform(held, lambda x, j: F.struct(x["i"].alias("k"), (F.get(total, j) - x["n"] + 1).alias("off"))))
+        return let(keyed(placed), lambda index: F.transform(indices(tokens), lambda i: F.coalesce(first_of(index, i)["off"], F.lit(0))))
+
+    def climbed(state: Column) -> Column:
+        def added(n: Column, i: Column) -> Column:
+            j = F.get(state["jump"], i)
+            return n + F.when(j >= 0, F.get(state["rank"], j)).otherwise(F.lit(0))
+
+        return F.struct(
+            jumped(state["jump"]).alias("jump"),
+            F.transform(state["rank"], added).alias("rank"),
+            F.transform(state["root"], lambda r: F.get(state["root"], r)).alias("root"),
         )
 
-    # nearly all hang on their phrase's root directly
-    direct = F.transform(
-        F.filter(relevant, lambda t: ~is_compound(t["head_i"])),
-        lambda t: entry(t, t["head_i"], F.array(t["i"])),
-    )
-    through_compounds = let(
-        chained,
-        lambda bound: F.flatten(
-            F.transform(
-                F.filter(relevant, lambda t: is_compound(t["head_i"])),
-                lambda t: let(climb(t, bound), lambda way: passed(t, way)),
-            )
-        ),
-    )
-    return keyed(F.concat(direct, through_compounds))
+    def with_roots(roots: Column) -> Column:
+        def is_root(i: Column) -> Column:
+            return F.size(entries_of(roots, i)) > 0
+
+        def next_root(t: Column) -> Column:
+            # where a climb from here stops at once: at a chunk's root, and above the last compound
+            return F.when(is_root(t["i"]) | ~_is_compound(tokens, t["i"]), t["i"]).otherwise(t["head_i"])
+
+        def members(state: Column) -> Column:
+            def root_at(i: Column) -> Column:
+                found = F.get(state["root"], i)
+                return F.when(is_root(found), found)
+
+            # roots that are compounds themselves pass members on: a step for each
+            passing = F.size(F.filter(tokens, lambda t: _is_compound(tokens, t["i"]) & is_root(t["i"])))
+
+            def above(t: Column, steps: Column) -> Column:
+                def on(way: Column) -> Column:
+                    top = last(way)
+                    return F.when(_is_compound(tokens, top), F.concat(way, F.array(root_at(F.get(tokens, top)["head_i"])))).otherwise(way)
+
+                return F.aggregate(steps, F.array(root_at(t["head_i"])), lambda way, _: on(way))
+
+            def entries(t: Column, steps: Column) -> Column:
+                ways = F.filter(F.array_distinct(above(t, steps)), lambda r: r.isNotNull())
+                return F.transform(ways, lambda r: _member(r, F.get(state["rank"], t["i"]), t))
+
+            # counted once, not for every token
+            return let(F.array_repeat(F.lit(0), passing), lambda steps: F.flatten(F.transform(relevant, lambda t: entries(t, steps))))
+
+        def ranked(pointers: Column) -> Column:
+            places = let(let(sizes(pointers), siblings), offsets)
+            start = F.struct(pointers.alias("jump"), places.alias("rank"), F.transform(tokens, next_root).alias("root"))
+            return let(F.aggregate(doublings, start, lambda state, _: climbed(state)), members)
+
+        return let(F.transform(tokens, pointer), ranked)
+
+    return let(keyed(F.transform(chunks, lambda c: F.struct(c["root_i"].alias("k")))), with_roots)
 
 
 def _subjects(tokens: Column) -> Column:
@@ -284,13 +365,13 @@ def _entity(c: Column, tokens: Column, members: Column, conjuncts: Column, is_sc
         plain = F.filter(mine, lambda m: ~m["compound"])
         return F.when(
             F.size(conjuncts["entries"]) == 0,
-            F.transform(plain, lambda m: modifier(last(m["path"]), F.get(tokens, last(m["path"]))["dep"])),
-        ).otherwise(F.flatten(F.transform(plain, lambda m: with_conjuncts(last(m["path"])))))
+            F.transform(plain, lambda m: modifier(m["i"], F.get(tokens, m["i"])["dep"])),
+        ).otherwise(F.flatten(F.transform(plain, lambda m: with_conjuncts(m["i"]))))
 
     def name(mine: Column, field: str) -> Column:
         # each compound is put in front of what is there, so they end up reversed
         compounds = F.filter(mine, lambda m: m["compound"])
-        texts = F.transform(compounds, lambda m: F.get(tokens, last(m["path"]))[field])
+        texts = F.transform(compounds, lambda m: F.get(tokens, m["i"])[field])
         return F.when(
             F.exists(mine, lambda m: m["compound"]),
             F.array_join(F.concat(F.reverse(texts), F.array(root[field])), " "),
@@ -446,7 +527,7 @@ def extract_scene_graph(
     if relations or named or "positions" in want:
         first["_conjuncts"] = _conjuncts(t)
     if named:
-        first["_members"] = _phrase_members(t)
+        first["_members"] = _phrase_members(t, c)
     steps = computed(df, first)
     if finding:
         steps = computed(steps, {"_found": _found(t, c, subjects, member("verbs", verbs), member("preps", preps))}).drop("_subjects")

@@ -1,6 +1,11 @@
+import random
+import time
+
 import pytest
 from parses import ENTITIES, RULES, document
+from pyspark.sql import functions as F
 
+from plumbline.operators import scenegraph
 from plumbline.operators.scenegraph import (
     CHUNKS,
     TOKENS,
@@ -100,3 +105,66 @@ def test_tables_and_view(spark):
     assert [(r.subject, r.relation, r.object) for r in rels.collect()] == [
         ("painters", "repairing", "wall"), ("painters", "under", "bridge"),
     ]
+
+
+def brute_members(tokens, root):
+    """Members of a chunk root depth first, by recursion."""
+    kinds = ("det", "nummod", "amod", "compound")
+    out = []
+    for t in tokens:
+        if t["dep"] in kinds and t["head_i"] == root and t["i"] != root:
+            out.append(t["i"])
+            if t["dep"] == "compound":
+                out += brute_members(tokens, t["i"])
+    return out
+
+
+def test_members_of_random_trees(spark):
+    """Chains, fans and trees of compounds; several chunk roots above and inside each other."""
+    rng = random.Random(8)
+    rows, want = [], {}
+    for doc in range(120):
+        n = rng.randrange(1, 40)
+        order = rng.sample(range(n), n)  # heads come earlier in this order, so there is no circle
+        tokens = []
+        for i in range(n):
+            at = order.index(i)
+            head = order[rng.randrange(max(0, at - rng.choice([1, 3, 40])), at)] if at else i
+            dep = "ROOT" if head == i else rng.choice(["compound"] * 5 + ["det", "amod", "nummod", "prep", "conj"])
+            tokens.append({"i": i, "text": f"t{i}", "lemma": f"l{i}", "pos": "NOUN", "dep": dep, "head_i": head, "ws": True})
+        roots = rng.sample(range(n), rng.randrange(1, n + 1))
+        chunks = [{"chunk_id": c, "start": r, "end": r + 1, "root_i": r, "text": f"t{r}", "lemma": f"l{r}"} for c, r in enumerate(sorted(roots))]
+        rows.append((doc, tokens, chunks))
+        for c, r in enumerate(sorted(roots)):
+            members = brute_members(tokens, r)
+            names = [f"t{i}" for i in members if tokens[i]["dep"] == "compound"]
+            conjuncts = lambda i: [t["text"] for t in tokens if t["dep"] == "conj" and t["head_i"] == i and t["i"] != i] if tokens[i]["dep"] == "amod" else []  # noqa: B023,E731
+            want[doc, c] = (" ".join([*names[::-1], f"t{r}"]), [x for i in members if tokens[i]["dep"] != "compound" for x in [f"t{i}", *conjuncts(i)]])
+    df = spark.createDataFrame(rows, f"doc int, tokens {scenegraph.TOKENS}, chunks {scenegraph.CHUNKS}")
+    got = scenegraph.entity_table(scenegraph.extract_scene_graph(df, want=("entities",)), "doc").collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert (r["head"], [m["span"] for m in r["modifiers"]]) == want[r["doc"], r["entity_id"]]
+
+
+def test_a_chain_of_many_compounds(spark, tmp_path):
+    """20,000 compounds, each hanging on the next: time grows as the text, not as its square."""
+    def seconds(n):
+        tokens = F.transform(
+            F.sequence(F.lit(0), F.lit(n)),
+            lambda i: F.struct(
+                i.alias("i"), F.lit("t").alias("text"), i.cast("string").alias("lemma"), F.lit("NOUN").alias("pos"),
+                F.when(i < n, "compound").otherwise("ROOT").alias("dep"), F.least(i + 1, F.lit(n)).alias("head_i"), F.lit(True).alias("ws"),
+            ),
+        )
+        chunk = F.struct(F.lit(0).alias("chunk_id"), F.lit(0).alias("start"), F.lit(n + 1).alias("end"), F.lit(n).alias("root_i"), F.lit("c").alias("text"), F.lit("c").alias("lemma"))
+        spark.range(1).select(tokens.alias("tokens"), F.array(chunk).alias("chunks")).write.parquet(str(tmp_path / str(n)))
+        df = spark.read.parquet(str(tmp_path / str(n)))
+        begin = time.perf_counter()
+        (row,) = scenegraph.extract_scene_graph(df, want=("entities",)).select(F.col("entities")[0]["lemma_head"].alias("h")).collect()
+        assert row["h"] == " ".join(map(str, range(n + 1)))  # the nearest compound stands last
+        return time.perf_counter() - begin
+
+    seconds(500)
+    small, large = seconds(5_000), seconds(20_000)
+    assert large < 60 and large < 8 * small + 5
