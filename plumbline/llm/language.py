@@ -4,7 +4,7 @@ The posterior of a language multiplies, in logarithms: the likelihood of the pag
 language's byte trigrams; the likelihood of what the markup declares and of the address suffix, each learned from
 how often pages that read as the language declare it or have it; and a prior of the page's host, which
 is smoothed towards its domain's, that one towards its suffix's and that one towards all pages'. A page's
-own share is taken out of its host's counts, so no page is its own evidence.
+own share is taken out of all counts that it is judged by, so no page is its own evidence.
 
 All tables come from grouped aggregation over all rows: trigram counts by language over all texts with a
 language, then over all pages. A text's likelihood is per trigram, times at most ``TEXT_WEIGHT`` trigrams, since
@@ -141,16 +141,22 @@ def identify(
     found = evidence(F.col(url_col), F.col(html_col))
     rows = land(pages.select(F.col(id_col).alias("page_id"), found.alias("e")).select("page_id", "e.*").withColumn("read", _posterior(F.col("text"))))
 
-    def clue(key: str) -> DataFrame:
-        """Log likelihood of each value of a clue under each language, each language's total smoothed by one page."""
-        sums = _sums(rows.where(F.col(key).isNotNull()), [key], "read", n, "s")
-        totals = sums.agg(F.array(*(F.sum(F.col("s")[k]) for k in range(n))).alias("t"), F.count(F.lit(1)).alias("values"))
-        logged = F.zip_with("s", "t", lambda s, t: F.log((s + 1.0 / F.col("values")) / (t + 1.0)))
-        return sums.crossJoin(F.broadcast(totals)).select(key, logged.alias(f"log_{key}"))
-
     none = F.array(*[F.lit(0.0)] * n)
-    told = rows.join(clue("declared"), "declared", "left").join(clue("suffix"), "suffix", "left")
-    told = told.withColumn("log_clues", _plus(F.coalesce("log_declared", none), F.coalesce("log_suffix", none)))
+
+    def with_clue(told: DataFrame, key: str) -> DataFrame:
+        """Log likelihood of a clue's value under each language, by the other pages; each total is smoothed by one page."""
+        sums = _sums(rows.where(F.col(key).isNotNull()), [key], "read", n, "_s")
+        totals = sums.agg(F.array(*(F.sum(F.col("_s")[k]) for k in range(n))).alias("_t"), F.count(F.lit(1)).alias("_values"))
+
+        def others(counts: str, k: int):
+            return F.greatest(F.col(counts)[k] - F.col("read")[k], F.lit(0.0))
+
+        logged = F.array(*[F.log((others("_s", k) + 1.0 / F.col("_values")) / (others("_t", k) + 1.0)) for k in range(n)])
+        joined = told.join(sums, key, "left").crossJoin(F.broadcast(totals))  # one row
+        return joined.withColumn(f"log_{key}", F.when(F.col(key).isNotNull(), logged).otherwise(none)).drop("_s", "_t", "_values")
+
+    told = with_clue(with_clue(rows, "declared"), "suffix")
+    told = told.withColumn("log_clues", _plus(F.col("log_declared"), F.col("log_suffix")))
     told = land(
         told.withColumn("own", _posterior(_plus(F.col("text"), F.col("log_clues")))).select(
             "page_id", "host", "domain", "suffix", "declared", "text", "log_clues", "own"

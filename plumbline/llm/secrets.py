@@ -2,9 +2,11 @@
 
 Base kinds are found by pattern: ``assign`` (a name such as password or token, and its value),
 ``access`` (cloud access ids) and ``hex`` (long runs of hex digits). On top of these, every base64 or
-hex run is decoded and reported only if what comes out parses: ``der`` (ASN.1 keys, whose nested
-lengths must add up), ``ssh`` (length-prefixed key blobs), ``pem`` (an armoured block whose body is one of
-these), ``jwt`` (a signed token whose header is a JSON object that names its algorithm).
+hex run is decoded and reported only if what comes out parses: ``der`` (ASN.1 private keys, whose nested
+lengths must add up), ``ssh`` (private key files of length-prefixed fields), ``pem`` (an armoured block whose body is one of
+these), ``jwt`` (a signed token whose header is a JSON object that names its algorithm). Public keys and certificates are
+no secrets. A base64 run is tried as a whole, joined over line ends if its lines are full ones, and from each place in it
+where such a key may begin, for as long as its own length says.
 
 Spans are (kind, start, end) in code points, end exclusive, ordered by start and then by kind as
 listed in ``KINDS``. Null and empty texts have none. Repeated rows give the same spans each; other columns
@@ -40,7 +42,9 @@ _SIGNED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+\.[A-Z
 _ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----((?:[A-Za-z0-9+/=\s]|\\n)+)-----END \1-----")
 
 ASSIGN_LENGTH, ACCESS_LENGTH = 12, 18
-_SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
+# Lines of an encoder that wraps, and where in a run a key may begin: a sequence of 128 bytes or more.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{60,76}\r?\n[ \t]*)+[A-Za-z0-9+/]{1,76}={0,2}")
+_BEGINS = re.compile(r"MI[GHI]")
 
 
 def _decode64(run: str) -> bytes | None:
@@ -70,15 +74,19 @@ def _element(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
 
 
 def is_der_key(data: bytes) -> bool:
-    """A sequence that ends where the data ends, whose elements nest exactly and name a key: an
-    integer of 16 bytes or more, or an object identifier beside a bit or octet string."""
+    """A private key: a sequence that ends where the data ends, whose elements nest exactly.
+
+    It holds an octet string of 16 bytes or more behind a version number or an algorithm, or five numbers or more, one
+    of them long. Public keys are two numbers, or an algorithm and a bit string; certificates end with one.
+    """
     top = _element(data, 0, len(data))
     if top is None or top[0] != 0x30 or top[2] != len(data) or top[1] == top[2]:
         return False
-    long_number = identifier = string = False
     todo = [(top[1], top[2])]
+    own: list[tuple[int, int]] = []  # tags and lengths of what the sequence itself holds
     while todo:
         at, end = todo.pop()
+        outermost = not own
         while at < end:
             found = _element(data, at, end)
             if found is None:
@@ -86,23 +94,25 @@ def is_der_key(data: bytes) -> bool:
             tag, start, at = found
             if tag in (0x30, 0x31) or tag & 0xE0 == 0xA0:
                 todo.append((start, at))
-            long_number |= tag == 0x02 and at - start >= 16
-            identifier |= tag == 0x06 and at - start >= 3
-            string |= tag in (0x03, 0x04) and at - start >= 16
-    return long_number or (identifier and string)
+            if outermost:
+                own.append((tag, at - start))
+    if not own:
+        return False
+    secret = any(tag == 0x04 and size >= 16 for tag, size in own[1:]) and own[0][0] in (0x02, 0x30)
+    numbers = [size for tag, size in own if tag == 0x02]
+    return secret or (len(numbers) >= 5 and max(numbers) >= 16)
 
 
 def is_ssh_key(data: bytes) -> bool:
-    """Length-prefixed fields to the very end, the first a key type; or an OpenSSH private key file."""
-    if data.startswith(b"openssh-key-v1\0"):
-        data = data[15:]
-        first = None
-    else:
-        first = _SSH_TYPES
+    """An OpenSSH private key file: length-prefixed fields to the very end. Public keys, which are fields that begin with a
+    key type, are no secret."""
+    if not data.startswith(b"openssh-key-v1\0"):
+        return False
+    data = data[15:]
     at, fields = 0, []
     while at + 4 <= len(data):
         size = int.from_bytes(data[at : at + 4], "big")
-        if first is None and len(fields) == 3 and size < 256:  # the number of keys, not a length
+        if len(fields) == 3 and size < 256:  # the number of keys, not a length
             at += 4
             fields.append(b"")
             continue
@@ -110,9 +120,7 @@ def is_ssh_key(data: bytes) -> bool:
             return False
         fields.append(data[at + 4 : at + 4 + size])
         at += 4 + size
-    if at != len(data) or len(fields) < 2:
-        return False
-    return first is None or fields[0] in first
+    return at == len(data) and len(fields) >= 2
 
 
 def is_signed_token(run: str) -> bool:
@@ -134,27 +142,52 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", *m.span()) for m in _HEX.finditer(text)]
 
 
+def _key_kind(data: bytes | None) -> str | None:
+    return None if data is None else "der" if is_der_key(data) else "ssh" if is_ssh_key(data) else None
+
+
+def _keys_within(run: str) -> list[tuple[str, int, int]]:
+    """Keys that begin within a run: the header says where they must end."""
+    out, end = [], 0
+    for m in _BEGINS.finditer(run):
+        at = m.start()
+        if at < end:
+            continue
+        head = _decode64(run[at : at + 8]) or b""
+        if len(head) < 4 or head[0] != 0x30:
+            continue
+        size = head[2] + 3 if head[1] == 0x81 else int.from_bytes(head[2:4], "big") + 4 if head[1] == 0x82 else 0
+        stop = at + -(-size * 4 // 3)
+        if size and stop <= len(run) and is_der_key(_decode64(run[at:stop]) or b""):
+            out.append(("der", at, stop))
+            end = stop
+    return out
+
+
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     out = []
     for m in _ENCODED.finditer(text):
-        data = _decode64(m.group())
-        if data is not None:
-            if is_der_key(data):
-                out.append(("der", *m.span()))
-            elif is_ssh_key(data):
-                out.append(("ssh", *m.span()))
+        kind = _key_kind(_decode64(m.group()))
+        if kind:
+            out.append((kind, *m.span()))
+        else:
+            out += [(kind, m.start() + a, m.start() + b) for kind, a, b in _keys_within(m.group())]
+    if "\n" in text:
+        for m in _WRAPPED.finditer(text):
+            kind = _key_kind(_decode64(re.sub(r"\s", "", m.group())))
+            if kind:
+                out.append((kind, *m.span()))
     for m in _ANY_HEX.finditer(text):
         if m.end() - m.start() & 1 == 0:
             data = bytes.fromhex(m.group())
-            if is_der_key(data):
-                out.append(("der", *m.span()))
-            elif is_ssh_key(data):
-                out.append(("ssh", *m.span()))
+            kind = _key_kind(data)
+            if kind:
+                out.append((kind, *m.span()))
     out += [("jwt", *m.span()) for m in _SIGNED.finditer(text) if is_signed_token(m.group())]
     if "-----BEGIN " in text:
         for m in _ARMOUR.finditer(text):
             data = _decode64(re.sub(r"\s", "", m.group(2).replace("\\n", "")))
-            if data is not None and (is_der_key(data) or is_ssh_key(data)):
+            if _key_kind(data):
                 out.append(("pem", *m.span()))
     return out
 

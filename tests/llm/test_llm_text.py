@@ -282,6 +282,63 @@ def test_language_query(spark, sf_dir):
     assert np.mean([r["lang"] == r["declared"] for r in got if r["declared"]]) > 0.95
 
 
+def brute_language(rows, langs, logs):
+    """The posterior of every page by plain loops, each page's own share taken out of all counts."""
+    n = range(len(langs))
+    seen = [language.evidence_of(u, m, logs) for _, u, m in rows]  # host, domain, suffix, declared, text
+
+    def normal(x):
+        w = [np.exp(v - max(x)) for v in x]
+        return [v / sum(w) for v in w]
+
+    read = [normal(e[4]) for e in seen]
+    clues = [[0.0] * len(langs) for _ in rows]
+    for field in (3, 2):
+        values = {e[field] for e in seen} - {None}
+        for i, e in enumerate(seen):
+            if e[field] is not None:
+                for k in n:
+                    same = sum(read[j][k] for j, o in enumerate(seen) if j != i and o[field] == e[field])
+                    total = sum(read[j][k] for j, o in enumerate(seen) if j != i and o[field] is not None)
+                    clues[i][k] += np.log((same + 1 / len(values)) / (total + 1))
+    own = [normal([e[4][k] + c[k] for k in n]) for e, c in zip(seen, clues)]
+    out = {}
+    for i, e in enumerate(seen):
+        prior = [1 / len(langs)] * len(langs)
+        for field in (None, 2, 1, 0):
+            here = [j for j, o in enumerate(seen) if j != i and (field is None or e[field] is not None and o[field] == e[field])]
+            counts = [sum(own[j][k] for j in here) for k in n]
+            prior = [(counts[k] + language.SMOOTH * prior[k]) / (sum(counts) + language.SMOOTH) for k in n]
+        best = normal([e[4][k] + clues[i][k] + np.log(prior[k]) for k in n])
+        out[rows[i][0]] = (langs[int(np.argmax(best))], max(best))
+    return out
+
+
+def test_language_equals_brute_force(spark):
+    prepare(spark)
+    said = {"en": "the river and the house are in the north of the land ", "de": "der fluss und das haus sind im norden von dem land ", "fr": "la rivière et la maison sont au nord de ce pays "}
+    texts = spark.createDataFrame([(lang, t * 20, 1) for lang, t in said.items()] * 4, "lang string, text string, page_id int")
+    rng = random.Random(6)
+    rows = []
+    for i in range(70):
+        lang = rng.choice([*said, *said, None])
+        host = rng.choice(["a.example.de", "b.example.de", "x.fr", "www.x.fr", "y.org", "127.0.0.1", ""])
+        words = " ".join(rng.choices((said[lang] if lang else "zzz qqq").split(), k=rng.randrange(0, 12)))
+        tag = rng.choice(["", f'<html lang="{lang or "xx"}">', '<html lang="en-GB">'])
+        rows.append((i, f"http://{host}/p" if host else rng.choice([None, "", "nonsense"]), f"{tag}<p>{words}</p>"))
+    rows += [(100, None, None), (101, "http://x.fr/", ""), (102, "http://only.once.se/", '<html lang="sv"><p>the house</p>'), (103, "http://y.org", "<p>" + said["de"] * 4000)]
+    pages = spark.createDataFrame([(*r, "clash", 2.0) for r in rows], "page_id int, url string, html string, lang string, probability double")
+    langs, logs = language.trigram_model(texts, "text", "lang")
+    want = brute_language(rows, langs, logs)
+    got = language.identify(pages.repartition(4), texts).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["lang"] == want[r["page_id"]][0] and r["probability"] == pytest.approx(want[r["page_id"]][1], rel=1e-9)
+    assert language.identify(pages.limit(0), texts).collect() == []
+    twice = language.identify(pages.where("page_id = 100").union(pages.where("page_id = 100")), texts).collect()
+    assert len(twice) == 2 and twice[0] == twice[1]
+
+
 def test_language_weighs_evidence(spark):
     prepare(spark)
     texts = spark.createDataFrame(
@@ -326,8 +383,28 @@ def der(tag, body):
     return bytes([tag]) + head + body
 
 
-KEY = der(0x30, der(2, b"\0") + der(2, b"\x01" + bytes(range(64))) + der(2, b"\1\0\1"))
-SSH = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", bytes(range(32))))
+LONG = der(2, b"\x01" + bytes(range(64)))
+KEY = der(0x30, der(2, b"\0") + LONG + der(2, b"\1\0\1") + LONG + LONG + LONG)
+ALGORITHM = der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01") + der(5, b""))
+OTHER_KEYS = [
+    der(0x30, der(2, b"\0") + ALGORITHM + der(4, KEY)),  # an algorithm and a wrapped key
+    der(0x30, der(2, b"\1") + der(4, bytes(range(32))) + der(0xA0, der(6, b"\x2a\x86\x48\xce"))),  # a curve's
+    der(0x30, ALGORITHM + der(4, bytes(range(200)))),  # an encrypted one
+]
+PUBLIC = [
+    der(0x30, der(2, b"\x01" + bytes(range(128))) + der(2, b"\1\0\1")),
+    der(0x30, ALGORITHM + der(3, b"\0" + bytes(range(140)))),
+    der(0x30, der(0x30, der(2, b"\1" * 20) + ALGORITHM + der(0x30, b"")) + ALGORITHM + der(3, b"\0" + bytes(range(140)))),  # a certificate
+    b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", bytes(range(32)))),
+    b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-rsa", b"\1\0\1", bytes(range(129)))),
+]
+
+
+def fields(*parts):
+    return b"".join(len(x).to_bytes(4, "big") + x for x in parts)
+
+
+SSH = b"openssh-key-v1\0" + fields(b"none", b"none", b"") + (1).to_bytes(4, "big") + fields(PUBLIC[3], bytes(range(120)))
 TOKEN = ".".join(base64.urlsafe_b64encode(x).rstrip(b"=").decode() for x in (json.dumps({"alg": "HS256"}).encode(), b'{"sub":1}', b"sig" * 8))
 
 
@@ -348,6 +425,33 @@ def test_structural_confirmation():
     assert kinds(TOKEN.replace("eyJ", "eyX", 1)) == []
 
 
+def test_private_keys_alone_are_secrets():
+    for key in OTHER_KEYS:
+        text = f"see {base64.b64encode(key).decode()} there"
+        assert kinds(text) == ["der"] and "der" in kinds(f"x {key.hex()}")
+        assert secrets.redact(text) == "see [REDACTED] there"
+    for key in PUBLIC:
+        b64 = base64.b64encode(key).decode()
+        assert kinds(f"ssh-rsa {b64} me@host") == [] and "der" not in kinds(key.hex()) and "ssh" not in kinds(key.hex())
+        assert kinds(f"-----BEGIN PUBLIC KEY-----\n{b64}\n-----END PUBLIC KEY-----") == []
+
+
+@pytest.mark.parametrize("width", [60, 64, 76])
+def test_keys_over_lines_and_within_runs(width):
+    for key, kind in ((KEY, "der"), (OTHER_KEYS[0], "der"), (SSH, "ssh")):
+        b64 = base64.b64encode(key).decode()
+        lines = "\n".join(b64[i : i + width] for i in range(0, len(b64), width))
+        for text, body in ((f"key:\n{lines}\nend", lines), (f"key:\r\n{lines}".replace("\n", "\r\n  "), None)):
+            ((got, a, b),) = [s for s in secrets.find_secrets(text) if s[0] == kind]
+            assert got == kind and (body is None or text[a:b].rstrip("=") == body.rstrip("="))
+    b64 = base64.b64encode(KEY).decode().rstrip("=")
+    for text in (f"key/{b64}", f"dir/MII/{b64}", f"a/b+{b64}AAAAMIIx/tail"):
+        ((kind, a, b),) = secrets.find_secrets(text)
+        assert kind == "der" and text[a:b] == b64
+    assert kinds("MII" * 200_000) == []  # in a moment, not in a square of it
+    assert kinds("\n".join(["A" * 64] * 20_000)) == []
+
+
 def test_secrets_query(spark, sf_dir):
     texts = documents(spark, sf_dir)
     for r in QUERIES["op8_secret_scan"](spark, sf_dir).collect():
