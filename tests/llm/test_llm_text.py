@@ -4,6 +4,7 @@ import base64
 import hashlib
 import json
 import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -114,15 +115,54 @@ def test_bpe_odd_rows(odd_docs, no_docs, library):
 # --- toxicity and quality ---------------------------------------------------------------------
 
 
-def test_toxicity_learns_and_shares_subwords():
-    rng = random.Random(1)
-    plain = ["table", "river", "window", "green", "walks", "paper", "stone", "light", "garden", "music"]
-    texts = [" ".join(rng.choices(plain, k=40) + rng.choices(["stupid", "moronic"], k=2) * (i % 4 == 0)) for i in range(400)]
-    known = toxicity._Subwords()
-    model = toxicity.fit([toxicity.bag(t, known) for t in texts], [int(i % 4 == 0) for i in range(400)])
-    values = toxicity._Values(model.margins)
-    assert values["stupiid"] > 5 * abs(values["gardens"])  # a misspelling that training never saw
-    assert values["stupid"] > values["window"]
+def _toxic_corpus(rows, seed, plain, bad, length):
+    """(doc_id, text, label): every fourth text has two bad words."""
+    rng = random.Random(seed)
+    return [(i, " ".join(rng.sample(rng.choices(plain, k=length) + rng.choices(bad, k=2) * (i % 4 == 0), length + 2 * (i % 4 == 0))), int(i % 4 == 0)) for i in range(rows)]
+
+
+PLAIN = ["table", "river", "window", "green", "walks", "paper", "stone", "light", "garden", "music"]
+
+
+def _toxicity_of(spark, rows):
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    return toxicity.train(docs, labels, "toxic", 1000, 1)
+
+
+def test_toxicity_learns_and_shares_subwords(spark):
+    values = toxicity._Values(_toxicity_of(spark, _toxic_corpus(400, 1, PLAIN, ["stupid", "moronic"], 40)))
+    assert values["stupiid"].real > 5 * abs(values["gardens"].real)  # a misspelling that training never saw
+    assert values["stupid"].imag > 100 * values["window"].imag
+    assert values["stupid"].real > values["window"].real
+
+
+def test_two_bad_words_in_three_hundred_are_found(spark):
+    """Held-out texts of spellings that training had, and of some it had not."""
+    plain = [a + b for a in ("ta", "ri", "wi", "gre", "wal", "pa", "sto", "li", "gar", "mu") for b in ("ble", "ver", "ndow", "en", "king", "per", "ne", "ght", "den", "sic")]
+    model = _toxicity_of(spark, _toxic_corpus(800, 2, plain, ["stupid", "moronic", "idiot", "stup1d"], 300))
+    held = _toxic_corpus(400, 3, plain, ["stupid", "moron1c", "idiots", "stupiid"], 300)
+    got = spark.createDataFrame(held, "doc_id long, text string, toxic int").select("toxic", toxicity.score("text", model).alias("s")).collect()
+    found = [r["s"] >= 0.5 for r in got if r["toxic"]]
+    assert np.mean(found) >= 0.9
+    assert np.mean([r["s"] >= 0.5 for r in got if not r["toxic"]]) <= 0.02
+
+
+def test_toxicity_score_by_brute_force(spark, odd_docs):
+    """The weighted average of the vectors' margins, word by word in numpy."""
+    model = _toxicity_of(spark, _toxic_corpus(200, 4, PLAIN, ["stupid", "moronic"], 30))
+    mean, spread = model.first.weights()
+    got = odd_docs.select("text", toxicity.score("text", model).alias("s")).collect()
+    more = [(" ".join(PLAIN) + " stupidly stupid",), ("stupid",), ("river river window",)]
+    got += spark.createDataFrame(more, "text string").select("text", toxicity.score("text", model).alias("s")).collect()
+    for r in got:
+        words = re.findall(r"\w+", (r["text"] or "").lower())
+        margin = 0.0
+        if words:
+            by = [toxicity.subwords(w) for w in words]
+            heavy = np.array([(toxicity.LEAST_WEIGHT + max(model.first.margins[b].mean() - mean, 0) / spread) ** 2 for b in by])
+            margin = np.average([model.second.margins[b].mean() for b in by], weights=heavy)
+        assert abs(r["s"] - 1 / (1 + np.exp(-np.clip(margin + model.bias, -500, 500)))) < 1e-9
 
 
 def test_toxicity_odd_rows(spark, odd_docs, no_docs):
