@@ -114,11 +114,11 @@ def weight(margin: float, mean: float, spread: float) -> float:
     return (LEAST_WEIGHT + max(margin - mean, 0.0) / spread) ** 2
 
 
-def fit(passes: Callable[[int], Iterable[tuple[np.ndarray, np.ndarray, int]]], n: int, positive: int, rate: float = 0.3) -> Model:
+def fit(rows: Callable[[], Iterable[tuple[np.ndarray, np.ndarray, int]]], n: int, positive: int, rate: float = 0.3) -> Model:
     """Train embeddings and softmax jointly by stochastic gradients with row-wise step sizes.
 
-    ``passes(k)`` gives the (buckets, weights, label) of all n rows, ``positive`` of them of class 1, in the order of
-    the k-th pass; one row is held at a time.
+    ``rows()`` gives the (buckets, weights, label) of all n rows in a mixed order, ``positive`` of them of class 1. It is
+    called for each pass; one row is held at a time.
     """
     rng = np.random.default_rng(7)
     vectors = rng.normal(0, 0.1, (BUCKETS, DIM))
@@ -126,8 +126,8 @@ def fit(passes: Callable[[int], Iterable[tuple[np.ndarray, np.ndarray, int]]], n
     bias = np.array([0.0, np.log((positive + 1) / (n - positive + 1))])
     seen = np.full(BUCKETS, 1e-8)
     seen_output = 1e-8
-    for k in range(EPOCHS):
-        for buckets, weights, label in passes(k):
+    for _ in range(EPOCHS):
+        for buckets, weights, label in rows():
             if not len(buckets):
                 continue
             hidden = weights @ vectors[buckets]
@@ -155,14 +155,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int,
     n, positive = sum(counts.values()), counts.get(1, 0)
 
     def fitted(first: Model | None) -> Model:
-        bags = land(chosen.mapInPandas(_bags(first), "doc_id long, label int, buckets binary, weights binary"))
+        bags = land(chosen.select("label", "text").mapInPandas(_bags(first), "label int, buckets binary, weights binary"))
 
-        def passes(k: int):
-            rows = bags.orderBy(F.xxhash64("doc_id", F.lit(k)), "doc_id").select("label", "buckets", "weights")
-            for r in rows.toLocalIterator():
+        def rows():
+            for r in bags.toLocalIterator():
                 yield np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["weights"], np.float32), r["label"]
 
-        return fit(passes, n, positive)
+        return fit(rows, n, positive)
 
     first = fitted(None)
     return Pair(first, fitted(first))
@@ -181,7 +180,6 @@ def _bags(first: Model | None):
             pairs = [bag(t, known, weigh) for t in rows["text"]]
             yield pd.DataFrame(
                 {
-                    "doc_id": rows["doc_id"],
                     "label": rows["label"],
                     "buckets": [a.tobytes() for a, _ in pairs],
                     "weights": [b.tobytes() for _, b in pairs],
