@@ -157,11 +157,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int,
     def fitted(first: Model | None) -> Model:
         bags = land(chosen.select("label", "text").mapInPandas(_bags(first), "label int, buckets binary, weights binary"))
 
-        def rows():
-            for r in bags.toLocalIterator():
-                yield np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["weights"], np.float32), r["label"]
-
-        return fit(rows, n, positive)
+        rows = [
+            (np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["weights"], np.float32), r["label"])
+            for r in bags.toLocalIterator()
+        ]
+        return fit(lambda: rows, n, positive)
 
     first = fitted(None)
     return Pair(first, fitted(first))
