@@ -99,7 +99,7 @@ def _ranked_members(tokens: Column, chunks: Column, relevant: Column) -> Column:
     """Members of chunk roots through chains of compounds of any length, each with its rank depth first.
 
     Everything goes by pointer doubling: after round n every token knows what lies 2^n compounds above it, so the rounds
-    are the logarithm of the longest chain and each is linear (with a sort). A token's subtree is counted by adding, round by
+    that do anything are the logarithm of the longest chain and each is linear (with a sort). A token's subtree is counted by adding, round by
     round, the counts of those whose pointer arrives at it; the counts of earlier siblings give its place below its
     parent, and places added up along the way its rank. Roots above a token are found by the same doubling.
     """
@@ -113,6 +113,12 @@ def _ranked_members(tokens: Column, chunks: Column, relevant: Column) -> Column:
     chain = F.size(F.filter(_children(tokens, ("compound",)), lambda t: _is_compound(tokens, t["head_i"]))) + 1
     doublings = _rounds(chain)
 
+    def doubled(start: Column, step: Callable[[Column], Column]) -> Column:
+        # no pointer left: nothing changes any more
+        return F.aggregate(
+            doublings, start, lambda state, _: F.when(F.exists(state["jump"], lambda j: j >= 0), step(state)).otherwise(state)
+        )
+
     def jumped(jump: Column) -> Column:
         return F.transform(jump, lambda j: F.when(j >= 0, F.get(jump, j)).otherwise(F.lit(-1)))
 
@@ -128,7 +134,7 @@ def _ranked_members(tokens: Column, chunks: Column, relevant: Column) -> Column:
 
     def sizes(pointers: Column) -> Column:
         start = F.struct(pointers.alias("jump"), F.transform(tokens, counts).alias("n"))
-        return F.aggregate(doublings, start, lambda state, _: counted(state))["n"]
+        return doubled(start, counted)["n"]
 
     def siblings(size: Column) -> Column:
         return F.sort_array(F.transform(relevant, lambda t: F.struct(t["head_i"].alias("k"), t["i"].alias("i"), F.get(size, t["i"]).alias("n"))))
@@ -141,27 +147,35 @@ def _ranked_members(tokens: Column, chunks: Column, relevant: Column) -> Column:
                 back = j - state["step"]
                 return F.when((back >= 0) & (F.get(held, back)["k"] == F.get(held, j)["k"]), n + F.get(state["sum"], back)).otherwise(n)
 
-            return F.struct((state["step"] * 2).alias("step"), F.transform(state["sum"], added).alias("sum"))
+            # a round that adds nothing is the last one: no key has as many entries
+            return let(
+                F.transform(state["sum"], added),
+                lambda sums: F.struct((state["step"] * 2).alias("step"), (sums != state["sum"]).alias("more"), sums.alias("sum")),
+            )
 
-        start = F.struct(F.lit(1).alias("step"), F.transform(held, lambda x: x["n"]).alias("sum"))
-        sums = F.aggregate(_rounds(F.size(held)), start, lambda state, _: step(state))["sum"]
+        start = F.struct(F.lit(1).alias("step"), F.lit(True).alias("more"), F.transform(held, lambda x: x["n"]).alias("sum"))
+        sums = F.aggregate(_rounds(F.size(held)), start, lambda state, _: F.when(state["more"], step(state)).otherwise(state))["sum"]
         placed = let(sums, lambda total: F.transform(held, lambda x, j: F.struct(x["i"].alias("k"), (F.get(total, j) - x["n"] + 1).alias("off"))))
         return let(keyed(placed), lambda index: F.transform(indices(tokens), lambda i: F.coalesce(first_of(index, i)["off"], F.lit(0))))
 
     def climbed(state: Column) -> Column:
-        def added(n: Column, i: Column) -> Column:
-            j = F.get(state["jump"], i)
-            return n + F.when(j >= 0, F.get(state["rank"], j)).otherwise(F.lit(0))
+        def added(field: str) -> Column:
+            def add(n: Column, i: Column) -> Column:
+                j = F.get(state["jump"], i)
+                return F.when(j >= 0, n + F.get(state[field], j)).otherwise(n)
+
+            return F.transform(state[field], add)
 
         return F.struct(
             jumped(state["jump"]).alias("jump"),
-            F.transform(state["rank"], added).alias("rank"),
+            added("rank").alias("rank"),
+            added("passed").alias("passed"),
             F.transform(state["root"], lambda r: F.get(state["root"], r)).alias("root"),
         )
 
-    def with_roots(roots: Column) -> Column:
+    def with_roots(is_chunk_root: Column) -> Column:
         def is_root(i: Column) -> Column:
-            return F.size(entries_of(roots, i)) > 0
+            return F.coalesce(F.get(is_chunk_root, i), F.lit(False))
 
         def next_root(t: Column) -> Column:
             # where a climb from here stops at once: at a chunk's root, and above the last compound
@@ -172,31 +186,35 @@ def _ranked_members(tokens: Column, chunks: Column, relevant: Column) -> Column:
                 found = F.get(state["root"], i)
                 return F.when(is_root(found), found)
 
-            # roots that are compounds themselves pass members on: a step for each
-            passing = F.size(F.filter(tokens, lambda t: _is_compound(tokens, t["i"]) & is_root(t["i"])))
-
-            def above(t: Column, steps: Column) -> Column:
+            def above(t: Column) -> Column:
+                # roots that are compounds themselves pass members on: a step for each of those above the token
                 def on(way: Column) -> Column:
                     top = last(way)
                     return F.when(_is_compound(tokens, top), F.concat(way, F.array(root_at(F.get(tokens, top)["head_i"])))).otherwise(way)
 
+                steps = F.array_repeat(F.lit(0), F.get(state["passed"], t["i"]))
                 return F.aggregate(steps, F.array(root_at(t["head_i"])), lambda way, _: on(way))
 
-            def entries(t: Column, steps: Column) -> Column:
-                ways = F.filter(F.array_distinct(above(t, steps)), lambda r: r.isNotNull())
+            def entries(t: Column) -> Column:
+                ways = F.filter(F.array_distinct(above(t)), lambda r: r.isNotNull())
                 return F.transform(ways, lambda r: _member(r, F.get(state["rank"], t["i"]), t))
 
-            # counted once, not for every token
-            return let(F.array_repeat(F.lit(0), passing), lambda steps: F.flatten(F.transform(relevant, lambda t: entries(t, steps))))
+            return F.flatten(F.transform(relevant, entries))
 
         def ranked(pointers: Column) -> Column:
             places = let(let(sizes(pointers), siblings), offsets)
-            start = F.struct(pointers.alias("jump"), places.alias("rank"), F.transform(tokens, next_root).alias("root"))
-            return let(F.aggregate(doublings, start, lambda state, _: climbed(state)), members)
+            start = F.struct(
+                pointers.alias("jump"), places.alias("rank"), F.transform(pointers, lambda j: is_root(j).cast("int")).alias("passed"),
+                F.transform(tokens, next_root).alias("root"),
+            )
+            return let(doubled(start, climbed), members)
 
         return let(F.transform(tokens, pointer), ranked)
 
-    return let(keyed(F.transform(chunks, lambda c: F.struct(c["root_i"].alias("k")))), with_roots)
+    def flags(roots: Column) -> Column:
+        return F.transform(indices(tokens), lambda i: F.size(entries_of(roots, i)) > 0)
+
+    return let(let(keyed(F.transform(chunks, lambda c: F.struct(c["root_i"].alias("k")))), flags), with_roots)
 
 
 def _subjects(tokens: Column) -> Column:
@@ -348,6 +366,25 @@ def _kept(tokens: Column, chunks: Column, found: Column | None, drop_pronouns: b
     return let(keyed(F.transform(marked, lambda x: F.struct(x["fake"].alias("k")))), real)
 
 
+def _name(tokens: Column, root: Column, mine: Column, field: str) -> Column:
+    # each compound is put in front of what is there, so they end up reversed
+    compounds = F.filter(mine, lambda m: m["compound"])
+    texts = F.transform(compounds, lambda m: F.get(tokens, m["i"])[field])
+    return F.when(
+        F.exists(mine, lambda m: m["compound"]),
+        F.array_join(F.concat(F.reverse(texts), F.array(root[field])), " "),
+    ).otherwise(root[field])
+
+
+def _asked_nouns(tokens: Column, chunks: Column, members: Column) -> Column:
+    """The nouns that ``_type`` looks up, and their last words, of all chunks, also those that become no entities."""
+
+    def noun(c: Column) -> Column:
+        return let(entries_of(members, c["root_i"]), lambda mine: _name(tokens, F.get(tokens, c["root_i"]), mine, "lemma"))
+
+    return let(F.array_distinct(F.transform(chunks, noun)), lambda nouns: F.concat(nouns, F.transform(nouns, last_word)))
+
+
 def _entity(c: Column, tokens: Column, members: Column, conjuncts: Column, is_scene: Listed) -> Column:
     root = F.get(tokens, c["root_i"])
 
@@ -369,13 +406,7 @@ def _entity(c: Column, tokens: Column, members: Column, conjuncts: Column, is_sc
         ).otherwise(F.flatten(F.transform(plain, lambda m: with_conjuncts(m["i"]))))
 
     def name(mine: Column, field: str) -> Column:
-        # each compound is put in front of what is there, so they end up reversed
-        compounds = F.filter(mine, lambda m: m["compound"])
-        texts = F.transform(compounds, lambda m: F.get(tokens, m["i"])[field])
-        return F.when(
-            F.exists(mine, lambda m: m["compound"]),
-            F.array_join(F.concat(F.reverse(texts), F.array(root[field])), " "),
-        ).otherwise(root[field])
+        return _name(tokens, root, mine, field)
 
     def build(mine: Column) -> Column:
         return F.struct(
@@ -490,6 +521,7 @@ def extract_scene_graph(
     keep_tokens: bool = True,
     want: tuple[str, ...] = ("entities", "relations"),
     inline_entries: int | None = None,
+    parse: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Add ``entities`` and ``relations`` to token documents, or the one of them that is wanted.
 
@@ -497,30 +529,44 @@ def extract_scene_graph(
     ``drop_pronouns`` also drops those tagged PRON. ``keep_tokens=False`` drops the parse.
 
     Word lists of up to ``inline_entries`` are part of the expressions. A longer one is joined: the phrases that
-    a document asks for meet the list by hash, and the document gets those that are listed.
+    a document asks for meet the list by hash, and the document gets those that are listed. Rows are written for that.
+    A parse is many times the size of its text: with ``parse``, which adds it to the rows of ``df``, rows are
+    written and joined without it, and parsed again. ``parse`` gives equal parses for equal rows.
     """
     verbs, preps, scenes = (lexicon_values(x, inline_entries) for x in (phrasal_verbs, phrasal_preps, scene_nouns))
     t, c = F.col(tokens), F.col(chunks)
     spark = df.sparkSession
-    given = {"verbs": (verbs, phrasal_verbs), "preps": (preps, phrasal_preps)}
+    relations, named = "relations" in want, "entities" in want
+    given = {"verbs": (verbs, phrasal_verbs), "preps": (preps, phrasal_preps), "scenes": (scenes, scene_nouns)}
     if not {"relations", "positions"} & set(want):  # verbs decide about relations alone
         given.pop("verbs")
+    if not named:
+        given.pop("scenes")
     long_lists = {k: lexicon_table(spark, x) for k, (values, x) in given.items() if values is None}
     if long_lists:
-        asked = _asked_phrases(t, c)
-        df = document_hits(df, {f"_{k}": (asked[k], table) for k, table in long_lists.items()})
+
+        def asking(rows: DataFrame) -> DataFrame:
+            rows = rows if parse is None else parse(rows)
+            if "scenes" in long_lists:
+                rows = computed(rows, {"_members": _phrase_members(t, c)})
+                rows = computed(rows, {"_nouns": _asked_nouns(t, c, F.col("_members"))})
+            return rows
+
+        asked = {**_asked_phrases(t, c), "scenes": F.col("_nouns")}
+        df = document_hits(df, {f"_{k}": (asked[k], table) for k, table in long_lists.items()}, asking, even=parse is not None)
+    if parse is not None:
+        df = parse(df)
 
     def member(name: str, values: list[str] | None) -> Listed:
         if values is None and name in long_lists:
             return lambda phrase: F.array_contains(f"_{name}", phrase)
         return lambda phrase: phrase.isin(values or [])
 
-    scene = (lambda noun: is_scene_noun(noun, scenes)) if scenes is not None else (lambda noun: F.lit(False))
+    scene = (lambda noun: is_scene_noun(noun, scenes)) if scenes is not None else (lambda noun: _is_scene(noun, member("scenes", scenes)))
     subjects, conjuncts, members, found, kept, where = (
         F.col(n) for n in ("_subjects", "_conjuncts", "_members", "_found", "_kept", "_where")
     )
-    columns = [col for col in df.columns if col not in ("_verbs", "_preps")]
-    relations, named = "relations" in want, "entities" in want
+    columns = [col for col in df.columns if col not in ("_verbs", "_preps", "_scenes")]
     # without phrasal prepositions no noun is used up, so entities alone need no relations
     finding = relations or "positions" in want or preps is None or bool(preps)
     first = {"_subjects": _subjects(t)} if finding else {}
@@ -542,16 +588,8 @@ def extract_scene_graph(
         made["entities"] = F.transform(kept, lambda x: _entity(x, t, members, conjuncts, scene))
     if relations:
         made["relations"] = _located(found, conjuncts, where)
-    graph = computed(steps, made).drop("_conjuncts", "_members", "_found", "_kept", "_where", "_verbs", "_preps")
-    graph = graph if keep_tokens else graph.drop(tokens, chunks)
-    if not named or scenes is not None:
-        return graph
-    nouns = F.transform("entities", lambda e: e["lemma_head"])
-    asked = F.concat(nouns, F.transform(nouns, last_word))
-    hits = document_hits(graph, {"_scenes": (asked, lexicon_table(spark, scene_nouns))})
-    listed_noun = lambda noun: _is_scene(noun, lambda x: F.array_contains("_scenes", x))
-    typed = F.transform("entities", lambda e: e.withField("type", _type(e["lemma_head"], listed_noun)))
-    return computed(hits, {"entities": typed}).select(*graph.columns)
+    graph = computed(steps, made).drop("_conjuncts", "_members", "_found", "_kept", "_where", "_verbs", "_preps", "_scenes")
+    return graph if keep_tokens else graph.drop(tokens, chunks)
 
 
 def _spans(kept: Column) -> Column:

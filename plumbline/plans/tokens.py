@@ -140,23 +140,26 @@ def hashed_tokens(df: DataFrame, text: str, key: str) -> DataFrame:
         number = i * by_place + F.ascii(word) * by_letter + F.length(word) * by_length + F.col(key) * by_key
         return (number % modulus).cast("int")
 
+    def centre(i: Column) -> Column:
+        base = i - i % WINDOW
+        return base + (F.col(key) + base) % F.least(F.lit(WINDOW), F.size(w) - base)
+
     def draw(word: Column, i: Column) -> Column:
         return F.struct(
             drawn(word, i, 31, 17, 7, 1, 101).alias("dep"),
             drawn(word, i, 57, 5, 29, 3, 103).alias("pos"),
             drawn(word, i, 11, 41, 3, 7, 107).alias("chunk"),
+            centre(i).alias("centre"),
         )
 
     def lemma(x: Column) -> Column:
         return F.when(x == "it", "-PRON-").when(x.endswith("s"), F.substr(x, F.lit(1), F.length(x) - 1)).otherwise(x)
 
     def head(i: Column) -> Column:
-        base = i - i % WINDOW
-        centre = base + (F.col(key) + base) % F.least(F.lit(WINDOW), F.size(w) - base)
-        turn = F.get(draws, i)["pos"]
+        turn, middle = F.get(draws, i)["pos"], F.get(draws, i)["centre"]
         return (
-            F.when(i < centre, i + 1 + turn % (centre - i))
-            .when(i > centre, i - 1 - turn % (i - centre))
+            F.when(i < middle, i + 1 + turn % (middle - i))
+            .when(i > middle, i - 1 - turn % (i - middle))
             .otherwise(i)
         )
 

@@ -119,11 +119,11 @@ def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a small scan over all cores before heavy column work.
+    """Deal the rows of a scan out evenly before heavy column work.
 
-    A table in a handful of splits would keep most cores idle. A scan with enough splits - any
-    large table - is returned as it is, without an exchange. Texts differ much in length, so
-    there are a few tasks per core.
+    Splits say little about rows: a file's row groups, not its bytes, decide which tasks get any, and texts differ much in
+    length. So there are a few tasks per core, or as many as splits if these are more. The exchange of the texts costs a
+    small part of the work on them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(3 * cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(max(3 * cores, df.rdd.getNumPartitions()))

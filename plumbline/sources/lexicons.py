@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.arrays import listed
 from plumbline.functions.text import last_word, strip
-from plumbline.session import materialise
+from plumbline.session import materialise, spread
 
 # A word list up to this size is compiled into the expressions as a hash set; longer ones are joined.
 MAX_INLINE_ENTRIES = 50_000
@@ -45,32 +46,39 @@ def lexicon_table(spark: SparkSession, lexicon: DataFrame | Iterable[str]) -> Da
     return spark.createDataFrame([(x,) for x in lexicon], "entry string")
 
 
-def document_hits(df: DataFrame, phrases: dict[str, tuple[Column, DataFrame]]) -> DataFrame:
+def document_hits(
+    df: DataFrame, phrases: dict[str, tuple[Column, DataFrame]], parse: Callable[[DataFrame], DataFrame] | None = None,
+    even: bool = False,
+) -> DataFrame:
     """Add, under each name, which of a row's phrases its word list holds, for lists of any size.
 
     ``phrases`` gives by name an array of phrases and the list as a table. The rows are written once with a number;
     each phrase of a row goes out once and meets the lists by hash, and only hits come back. A phrase that is in
-    many rows is a hot key of a join that AQE splits.
+    many rows is a hot key of a join that AQE splits. With ``parse`` the phrases are columns of ``parse(df)``, which keeps
+    all columns: the rows are written and meet the hits as they are before it. ``even`` deals the written rows out evenly
+    before costly column work.
     """
-    candidates = [F.array_distinct(c).alias(f"_asked{n}") for n, (c, _) in enumerate(phrases.values())]
-    held = materialise(df.select("*", *candidates, F.monotonically_increasing_id().alias("_row")))
+    held = materialise(df.withColumn("_row", F.monotonically_increasing_id()))
+    held = spread(held) if even else held
+    asking = held if parse is None else parse(held)
 
-    def of_list(n: int) -> Column:
-        return F.transform(f"_asked{n}", lambda x: F.struct(F.lit(n).alias("list"), x.alias("entry")))
+    def of_list(n: int, phrase: Column) -> Column:
+        return F.transform(F.array_distinct(phrase), lambda x: F.struct(F.lit(n).alias("list"), x.alias("entry")))
 
     # a null array would make the whole concatenation null
-    asked = F.concat(*[F.coalesce(of_list(n), F.array().cast("array<struct<list:int,entry:string>>")) for n in range(len(phrases))])
-    offered = held.select("_row", F.explode(asked).alias("x")).select("_row", "x.*")
+    nothing = F.array().cast("array<struct<list:int,entry:string>>")
+    asked = F.concat(*[F.coalesce(of_list(n, phrase), nothing) for n, (phrase, _) in enumerate(phrases.values())])
+    offered = listed(asking, ["_row"], asked, "_at").drop("_at")
     entries = None
     for n, (_, lexicon) in enumerate(phrases.values()):
-        part = lexicon.select(F.lit(n).alias("list"), F.col(lexicon.columns[0]).alias("entry")).distinct()
+        part = lexicon.select(F.lit(n).alias("list"), F.col(lexicon.columns[0]).alias("entry"))
         entries = part if entries is None else entries.unionByName(part)
     hits = offered.join(entries, ["list", "entry"], "left_semi")
     found = hits.groupBy("_row").agg(
         *[F.collect_list(F.when(F.col("list") == n, F.col("entry"))).alias(f"_hits{n}") for n in range(len(phrases))]
     )
-    nothing = F.array().cast("array<string>")
-    named = [F.coalesce(f"_hits{n}", nothing).alias(name) for n, name in enumerate(phrases)]
+    none = F.array().cast("array<string>")
+    named = [F.coalesce(f"_hits{n}", none).alias(name) for n, name in enumerate(phrases)]
     return held.join(found, "_row", "left").select(*df.columns, *named)
 
 

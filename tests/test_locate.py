@@ -64,6 +64,21 @@ def test_long_word_lists_are_joined(spark):
     assert {r.doc_id: r for r in plain} != rows[0]
 
 
+def test_long_lists_write_rows_without_their_parse(spark, monkeypatch):
+    """Two lists that are joined: one written stage, of texts and a number."""
+    written = []
+    monkeypatch.setattr(lexicons, "materialise", lambda df: written.append(df.columns) or df.localCheckpoint())
+    texts = [(n, " ".join(f"w{chr(97 + (n * i * 7) % 23)}" for i in range(60))) for n in range(20)] + [(3, None), (4, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, t string")
+    lists = {"phrasal_preps": ["wa", "w", "wb wc"], "scene_nouns": ["wa", "w", "wd"], "keep_tokens": False, "want": ("entities",)}
+    parse = lambda rows: hashed_tokens(rows, "t", "doc_id")
+    joined = scenegraph.extract_scene_graph(docs, **lists, inline_entries=0, parse=parse)
+    plain = scenegraph.extract_scene_graph(parse(docs), **lists)
+    assert joined.columns == plain.columns and sorted(map(str, joined.collect())) == sorted(map(str, plain.collect()))
+    assert any(e.type == "scene" for r in plain.collect() for e in r.entities or [])
+    assert written == [["doc_id", "t", "_row"]]
+
+
 def test_long_list_in_python(spark, monkeypatch):
     monkeypatch.setattr(lexicons, "MAX_INLINE_ENTRIES", 3)
     df = spark.createDataFrame([(1, ["a", "b", "a", None]), (2, None), (3, ["z"])], "k int, p array<string>")
