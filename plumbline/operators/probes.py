@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.session import materialise
+
 
 def yes_no(answer: Column | str) -> Column:
     """Read a free answer: the words "no" and "not" in its first sentence mean no, all else yes."""
@@ -71,14 +73,18 @@ def probe_sets(
 
     An image that leaves fewer objects over gets fewer. Absent ranks are found within the row, as whole numbers that
     aren't in the image's list, so images never meet the table of objects; the number of objects must fit an array.
+
+    What is read several times is written once: the ranks and what is beside an object (a row for each object), and each image's
+    ranks. A window over all rows has one partition, which a join with it would bring all other rows to; written, it hasn't.
     """
-    own = shown.select(F.col(image).alias("image"), F.col(name).alias("object")).where("image IS NOT NULL AND object IS NOT NULL").distinct()
+    own = shown.select(F.col(image).alias("image"), F.col(name).alias("object")).where("image IS NOT NULL AND object IS NOT NULL")
+    own = materialise(own.distinct())
     counts = own.groupBy("object").agg(F.count(F.lit(1)).alias("n"))
     # ranks of all objects: a window over a table that has a row for each
-    ranks = counts.select("object", F.row_number().over(Window.orderBy(F.desc("n"), "object")).alias("rank"))
-    placed = own.join(ranks, "object").select("image", "rank")
+    ranks = materialise(counts.select("object", F.row_number().over(Window.orderBy(F.desc("n"), "object")).alias("rank")))
     objects = ranks.count()
-    images = placed.groupBy("image").agg(F.sort_array(F.collect_list("rank")).alias("own"))
+    placed = own.join(ranks, "object").select("image", "rank")
+    images = materialise(placed.groupBy("image").agg(F.sort_array(F.collect_list("rank")).alias("own")))
     size = F.size("own")
     first = F.pmod(F.xxhash64("image") if start is None else start, F.lit(max(objects, 1)))
 
@@ -93,10 +99,11 @@ def probe_sets(
     )
 
     # neighbours: objects of the pool beside an object, most frequent first; a list as long as the pool at most
-    beside = placed.join(placed.where(F.col("rank") <= pool).withColumnRenamed("rank", "other"), "image").where("rank <> other")
+    known = images.select(F.explode("own").alias("rank"), F.filter("own", lambda x: x <= pool).alias("known"))
+    beside = known.select("rank", F.explode("known").alias("other")).where("rank <> other")
     pairs = beside.groupBy("rank", "other").agg(F.count(F.lit(1)).alias("n"))
     order = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "other")))
-    neighbours = pairs.groupBy("rank").agg(order.alias("near"))
+    neighbours = materialise(pairs.groupBy("rank").agg(order.alias("near")))
     # of each list, what the image lacks: the first ``per_image`` of them hold all that can be chosen
     lists = chosen.select("image", "own", F.explode("own").alias("rank")).join(neighbours, "rank")
     lacking = F.slice(F.filter("near", lambda x: ~F.array_contains(F.col("own"), x["other"])), 1, per_image)
