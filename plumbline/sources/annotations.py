@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.session import materialise
 from plumbline.sources.jsonarrays import elements, land_chunks
 
 _IMAGE = "id bigint, file_name string"
@@ -24,7 +25,8 @@ _FILE_STRIDE = 1 << 40
 def _rows(chunks: DataFrame, field: str, schema: str) -> DataFrame:
     """The objects of a field's array with their place (``ord``) in all files."""
     found = elements(chunks, field)
-    names = found.select("file").distinct().withColumn("_file", F.row_number().over(Window.orderBy("file")) - 1)  # a row an annotation file
+    # a row an annotation file; written, since a window over all rows has one partition, which a join would bring all elements to
+    names = materialise(found.select("file").distinct().withColumn("_file", F.row_number().over(Window.orderBy("file")) - 1))
     place = F.col("_file") * _FILE_STRIDE + F.col("position")
     parsed = F.from_json("json", schema, {"mode": "FAILFAST"})
     return found.join(names, "file").select(place.cast("long").alias("ord"), parsed.alias("x")).select("ord", "x.*")

@@ -15,6 +15,8 @@ but are still read in chunks. Elements that aren't objects are left out. Text af
 from __future__ import annotations
 
 import json
+import os
+import shutil
 
 import numpy as np
 import pyarrow as pa
@@ -226,7 +228,7 @@ def elements(chunks: DataFrame, field: str | None = None) -> DataFrame:
     )
     counts = pieces.groupBy("file", "chunk").agg(F.count_if(F.col("item") >= 0).alias("n"))
     upto = Window.partitionBy("file").orderBy("chunk")
-    before = counts.select("file", "chunk", (F.sum("n").over(upto) - F.col("n")).alias("before"))
+    before = materialise(counts.select("file", "chunk", (F.sum("n").over(upto) - F.col("n")).alias("before")))  # a row a chunk
     found = whole.unionByName(joined).join(before, ["file", "chunk"])
     return found.select("file", (F.col("before") + F.col("item")).alias("position"), "json")
 
@@ -266,18 +268,91 @@ def _framed(batches, names: list[str] | None):
     yield pa.RecordBatch.from_arrays([pa.array([end])], names=["value"])
 
 
+def _text(df: DataFrame) -> Column:
+    return F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+
+
 def _write(tables: list[DataFrame], names: list[str] | None, path: str, order: list[Column | str]) -> None:
     spark = tables[0].sparkSession
     ship_package(spark)
+    made = shared_dir(spark)
+    folder = _local_path(spark, made)
+    if folder is None:
+        _write_by_one(tables, names, path, order, made)
+        return
+    for n, df in enumerate(tables):
+        keys = [F.struct(*order).alias("_order")] if order else []
+        rows = df.select(*keys, F.concat(F.lit(","), _text(df)).alias("value"))
+        if order:
+            rows = rows.repartitionByRange("_order").sortWithinPartitions("_order")
+        rows.select("value").write.text(f"{made}/{n}")
+    parts = [_parts(f"{folder}/{n}") for n in range(len(tables))]
+    _assemble(spark, parts, names, f"{folder}/array")
+    for n in range(len(tables)):
+        shutil.rmtree(f"{folder}/{n}", ignore_errors=True)  # their text is in the file now
+    _name(spark, f"{made}/array", path)
+
+
+def _local_path(spark: SparkSession, path: str) -> str | None:
+    """A path as the operating system knows it, if it lies in a file system that can be written at any place."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
+
+
+def _parts(folder: str) -> list[tuple[str, int]]:
+    """The part files that hold anything, in the order of their tasks, with their sizes."""
+    files = [x for x in os.scandir(folder) if x.name.startswith("part-") and x.stat().st_size > 0]
+    return [(x.path, x.stat().st_size) for x in sorted(files, key=lambda x: int(x.name.split("-")[1]))]
+
+
+def _assemble(spark: SparkSession, parts: list[list[tuple[str, int]]], names: list[str] | None, path: str) -> None:
+    """Put sorted parts, in which each line begins with a comma, into one file: their sizes tell each its place."""
+    frame, copies, at = [], [], 0
+    for n, files in enumerate(parts):
+        opening = "[" if names is None else ("{" if n == 0 else "],") + json.dumps(names[n]) + ":["
+        frame.append((at, opening.encode()))
+        at += len(opening.encode())
+        for i, (file, size) in enumerate(files):
+            skipped = int(i == 0)  # the comma before the first element
+            copies.append((file, skipped, at))
+            at += size - skipped
+    frame.append((at, b"]\n" if names is None else b"]}\n"))
+    with open(path, "wb") as out:
+        for place, text in frame:
+            out.seek(place)
+            out.write(text)
+    if not copies:
+        return
+
+    def copy(batches):
+        for batch in batches:
+            for file, skipped, place in zip(*(batch.column(c).to_pylist() for c in ("file", "skipped", "at"))):
+                with open(file, "rb") as source, open(path, "r+b") as target:
+                    source.seek(skipped)
+                    target.seek(place)
+                    shutil.copyfileobj(source, target, 4 << 20)
+                    done = target.tell() - place
+                yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], names=["done"])
+
+    tasks = min(len(copies), 4 * spark.sparkContext.defaultParallelism)
+    rows = spark.createDataFrame(copies, "file string, skipped long, at long").repartition(tasks)
+    done = rows.mapInArrow(copy, "done long").agg(F.sum("done")).first()[0]
+    if done != sum(size for files in parts for _, size in files) - sum(map(bool, parts)):
+        raise OSError(f"cannot write {path}")
+
+
+def _write_by_one(tables: list[DataFrame], names: list[str] | None, path: str, order: list[Column | str], scratch: str) -> None:
+    """For file systems that only append: one task streams the sorted texts."""
+    spark = tables[0].sparkSession
     texts = None
     for n, df in enumerate(tables):
         keys = F.struct(*order) if order else F.lit(None).cast("string")
-        text = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
-        part = df.select(F.lit(n).alias("_field"), keys.alias("_order"), text.alias("value"))
+        part = df.select(F.lit(n).alias("_field"), keys.alias("_order"), _text(df).alias("value"))
         texts = part if texts is None else texts.unionByName(part)
     sorting = ["_field", "_order"] if order else ["_field"]
     held = texts.repartition(1).sortWithinPartitions(*sorting).select("_field", "value")
-    made = f"{shared_dir(spark)}/array"
+    made = f"{scratch}/array"
     held.mapInArrow(lambda batches: _framed(batches, names), "value string").write.text(made)
     (nothing,) = _framed([], names)
     _name_single_part(spark, made, path, nothing.column("value")[0].as_py())
@@ -286,8 +361,9 @@ def _write(tables: list[DataFrame], names: list[str] | None, path: str, order: l
 def write_json_array(df: DataFrame, path: str, order: list[Column | str] | None = None) -> None:
     """Write rows as one file that holds one JSON array.
 
-    Rows become text in parallel. One file has one writer: a single task streams the texts, sorted by ``order`` with
-    spilling, and adds what makes them an array; the driver only names the result. An empty table is an empty array.
+    Rows become text in parallel, sorted by ``order`` into ranges; many tasks then copy the ranges to their places in the
+    file, and the driver only adds what makes them an array and names the result. Where the shared folder is no file system
+    that can be written at any place, a single task streams the sorted texts. An empty table is an empty array.
     """
     _write([df], None, path, order or [])
 
@@ -314,6 +390,16 @@ def _name_single_part(spark: SparkSession, folder: str, path: str, empty: str) -
         out.close()
         return
     (part,) = parts
+    _name(spark, part.toString(), path)
+
+
+def _name(spark: SparkSession, made: str, path: str) -> None:
+    """Move a file to ``path``."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    part, target = jvm.org.apache.hadoop.fs.Path(made), jvm.org.apache.hadoop.fs.Path(path)
+    files, home = part.getFileSystem(conf), target.getFileSystem(conf)
+    home.mkdirs(target.getParent())
+    home.delete(target, False)
     same = files.getUri().equals(home.getUri())
     moved = files.rename(part, target) if same else jvm.org.apache.hadoop.fs.FileUtil.copy(files, part, home, target, True, conf)
     if not moved:

@@ -152,3 +152,26 @@ def test_annotations_over_many_chunks(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert [(r.image_id, r.category_id, r.bbox, r.area, r.ord) for r in boxes] == [(i % 300, i % 5, [i, 1, 2, 3.5], i / 2, i) for i in range(2000)]
     assert tables["categories"].count() == 5
+
+
+def test_one_file_has_many_writers(spark, tmp_path, monkeypatch):
+    put = []
+    whole = jsonarrays._assemble
+    monkeypatch.setattr(jsonarrays, "_assemble", lambda spark, parts, names, path: put.append([len(p) for p in parts]) or whole(spark, parts, names, path))
+    tables = {"a": spark.range(60_000).selectExpr("id", "repeat(sha2(string(id), 256), 3) AS t"), "none": spark.range(0), "b": spark.range(7)}
+    path = tmp_path / "f.json"
+    jsonarrays.write_json_fields({k: t.orderBy(F.desc("id")) for k, t in tables.items()}, str(path), ["id"])
+    assert put[0][0] > 1 and put[0][1:] == [0, 1]
+    held = json.loads(path.read_text())
+    assert {k: [x["id"] for x in v] for k, v in held.items()} == {"a": list(range(60_000)), "none": [], "b": list(range(7))}
+    monkeypatch.setattr(jsonarrays, "_local_path", lambda *_: None)  # a file system that only appends
+    jsonarrays.write_json_fields(tables, str(tmp_path / "g.json"), ["id"])
+    assert json.loads((tmp_path / "g.json").read_text()) == held
+
+
+def test_annotations_are_not_brought_to_one_task(spark, tmp_path):
+    path = tmp_path / "i.json"
+    path.write_text(json.dumps({"images": [{"id": 1, "file_name": "a"}], "annotations": [], "categories": []}))
+    images = annotations.read_instances(spark, str(path))["images"]
+    assert "SinglePartition" not in images._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in images.select("image_id", "ord").collect()] == [(1, 0)]

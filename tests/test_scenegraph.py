@@ -168,3 +168,23 @@ def test_a_chain_of_many_compounds(spark, tmp_path):
     seconds(500)
     small, large = seconds(5_000), seconds(20_000)
     assert large < 60 and large < 8 * small + 5
+
+
+def test_many_compounds_that_are_roots(spark):
+    """A text of 30,000 words; work that grows with its square would take minutes."""
+    def token(i):
+        kind, head = F.when(i % 3 == 2, "ROOT").otherwise("compound"), F.when(i % 3 == 2, i).otherwise(i + 1)
+        word = F.concat(F.lit("w"), i % 3)
+        named = [("i", i), ("text", word), ("lemma", word), ("pos", F.lit("NOUN")), ("dep", kind), ("head_i", head), ("ws", F.lit(True))]
+        return F.struct(*[c.alias(n) for n, c in named])
+
+    def chunk(i):
+        named = [("chunk_id", i), ("start", i), ("end", i + 1), ("root_i", i), ("text", F.lit("w")), ("lemma", F.lit("w"))]
+        return F.struct(*[c.alias(n) for n, c in named])
+
+    places = F.sequence(F.lit(0), F.lit(29_999))
+    df = spark.range(1).select("id", F.transform(places, token).alias("tokens"), F.transform(places, chunk).alias("chunks"))
+    begun = time.monotonic()
+    heads = scenegraph.entity_table(extract_scene_graph(df, want=("entities",)), "id").groupBy("head").count().collect()
+    assert dict(map(tuple, heads)) == {"w0": 10_000, "w0 w1": 10_000, "w0 w1 w2": 10_000}
+    assert time.monotonic() - begun < 60
