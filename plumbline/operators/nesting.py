@@ -1,8 +1,8 @@
 """Ordered lists per key that survive a hot key.
 
-Keys are counted first: rows and bytes, an aggregation that is combined before its shuffle. A key whose list fits into
-one row (``part_rows`` items, ``part_bytes`` of them) is nested by one shuffle on the key. Lists of the others are cut
-into parts. Their rows are sorted by key and order into ranges, so a key is spread over as many tasks as it is
+Keys are counted first: rows and bytes, an aggregation that is combined before its shuffle. A key whose list a task can
+hold (``LIST_ROWS`` or ``part_rows`` items, ``part_bytes`` of them) is nested by one shuffle on the key, and its list cut
+into parts of ``part_rows`` within the row. Rows of the others are sorted by key and order into ranges, so a key is spread over as many tasks as it is
 large, and written with their place in the range. Rows per range and key, added up over the ranges before, turn that
 into the place in the whole list by addition. Rows then meet by key and part: nothing ever holds a key, or a range.
 
@@ -23,6 +23,8 @@ from plumbline.session import materialise
 # Longest list in one row, in items and in bytes: layout parameters, the same for all keys.
 PART_ROWS = 10_000
 PART_BYTES = 64 << 20
+# Longest list that is nested whole before it is cut into parts.
+LIST_ROWS = 10_000
 # Rows and bytes of a range of split keys.
 RANGE_ROWS = 200_000
 RANGE_BYTES = 128 << 20
@@ -63,16 +65,28 @@ def nest_ordered(
     rows = df.select(*keys, *order, item.alias("_item"))
     size = item_bytes(F.col("_item"), rows.schema["_item"].dataType)
     sized = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum(size).alias("_b"))
-    large = sized.where((F.col("_n") > part_rows) | (F.col("_b") > part_bytes))
-    n_rows, n_bytes = large.agg(F.sum("_n"), F.sum("_b")).first()
+    n, b, held_rows = F.col("_n"), F.col("_b"), max(part_rows, min(range_rows, LIST_ROWS))
+    large = (n > held_rows) | (b > part_bytes) | ((n > part_rows) & (b >= part_bytes))
+    longest, n_rows, n_bytes = sized.agg(F.max(n), F.sum(F.when(large, n)), F.sum(F.when(large, b))).first()
+
+    def nested(some: DataFrame) -> DataFrame:
+        whole = _whole(some, keys, order, out)
+        return whole if (longest or 0) <= part_rows else _cut(whole, keys, out, part_rows)
+
     if n_rows is None:
-        return _whole(rows, keys, order, out)
+        return nested(rows)
     # at most one key for each part_rows rows or part_bytes of the table
-    large = materialise(large.select(*keys))
+    large_keys = materialise(sized.where(large).select(*keys))
     ranges = max(-(-n_rows // range_rows), -(-n_bytes // RANGE_BYTES))
-    whole = _whole(_join(rows, large, keys, "left_anti"), keys, order, out)
-    split = _join(rows, large, keys, "left_semi")
-    return whole.unionByName(_split(split, keys, order, size, out, part_rows, part_bytes, ranges))
+    split = _join(rows, large_keys, keys, "left_semi")
+    return nested(_join(rows, large_keys, keys, "left_anti")).unionByName(_split(split, keys, order, size, out, part_rows, part_bytes, ranges))
+
+
+def _cut(lists: DataFrame, keys: list[str], out: str, part_rows: int) -> DataFrame:
+    """Lists in parts of ``part_rows``; none is empty."""
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(out) - 1) / part_rows).cast("int")), lambda n: F.slice(out, n * part_rows + 1, part_rows))
+    cut = lists.select(*keys, F.posexplode_outer(parts).alias("part", "_items"))
+    return cut.select(*keys, F.coalesce("part", F.lit(0)).alias("part"), (F.col("part").cast("long") * part_rows).alias("first_position"), F.col("_items").alias(out))
 
 
 def _whole(rows: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:

@@ -91,7 +91,7 @@ def hashed_graphs(spark: SparkSession, sf_dir: str, want: tuple[str, ...], joine
         more = read(spark, sf_dir, "lineitem").select(F.concat_ws(" ", F.lit("item"), "l_orderkey", "l_linenumber", "l_partkey"))
         lists = {k: spark.createDataFrame([(x,) for x in v], "entry string").union(more) for k, v in lists.items()}
     return scenegraph.extract_scene_graph(
-        hashed_tokens(docs, "text", "doc_id"), **lists, keep_tokens=False, want=want, inline_entries=0 if joined else None
+        docs, **lists, keep_tokens=False, want=want, inline_entries=0 if joined else None, parse=lambda rows: hashed_tokens(rows, "text", "doc_id")
     )
 
 
@@ -370,8 +370,9 @@ def merged_entities(spark, sf_dir):
 
 
 def merged_table(spark, sf_dir):
-    """The same from an entity table, in parts of three entities."""
+    """The same from an entity table, in parts of three entities. Nesting reads its rows twice, so the table is written first."""
     entities = scenegraph.entity_table(document_graphs(spark, sf_dir, ("entities",)), "doc_id")
+    entities = inference.materialise(entities.select("doc_id", "entity_id", "head", "modifiers"))
     merged = scoring.merge_entities(entities, ["doc_id"], part_rows=3)
     return merged.select("doc_id", "head", "part", F.array_join("attributes", ",").alias("attributes"))
 

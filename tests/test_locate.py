@@ -122,3 +122,8 @@ def test_probe_sets(spark, per_image, pool):
     assert probes.probe_sets(df.limit(0), "img", "what").collect() == []
     scored = probes.score_probes(got.withColumn("output", F.lit("Yes, it is.")), ["probe_set"]).collect()
     assert {r.probe_set for r in scored} == {"random", "popular", "adversarial"} and all(r.recall == 1 for r in scored)
+
+
+def test_probes_are_not_brought_to_one_task(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "img int, what string")
+    assert "SinglePartition" not in probes.probe_sets(df, "img", "what")._jdf.queryExecution().executedPlan().toString()

@@ -6,7 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline import session
 from plumbline.operators import nesting, probes, samples, scoring, transcripts
+from plumbline.plans import catalogue
 
 
 @pytest.fixture(scope="module")
@@ -249,3 +251,28 @@ def test_probes(spark):
     assert (p.accuracy, p.precision, p.recall, p.f1, p.yes_ratio) == (0.5, 0.5, 0.5, 0.5, 0.5)
     assert (q.tn, q.precision, q.recall, q.f1) == (1, None, None, None)
     assert (r.tp, r.yes_ratio) == (1, 1.0)
+
+
+def test_short_lists_are_cut_in_their_row(spark, monkeypatch):
+    """Keys that a task can hold take one shuffle, however short the parts; nothing is written or ranged."""
+    rows = [(k, n, f"{k}.{n}") for k in (None, *range(40)) for n in range((k or 3) % 9 + 1)]
+    df = spark.createDataFrame(rows, "k int, n int, v string").repartition(5)
+    monkeypatch.setattr(nesting, "materialise", lambda df: pytest.fail("written"))
+    got = {(r.k, r.part, r.first_position): r.vs for r in nesting.nest_ordered(df, ["k"], ["n"], F.col("v"), "vs", part_rows=2).collect()}
+    want = {}
+    for k, n, v in rows:
+        want.setdefault((k, n // 2, n // 2 * 2), []).append(v)
+    assert got == want
+
+
+def test_merged_table_parses_once(spark, tmp_path):
+    spark.createDataFrame([(1, "red dog of a dog on dog with blue dog"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    merged = catalogue.merged_table(spark, str(tmp_path))
+    assert not [f for f in merged.inputFiles() if "documents.parquet" in f]
+    assert sorted(map(tuple, merged.collect())) == [(1, "dog", 0, "red"), (1, "dog", 1, "blue")]
+
+
+def test_spread_goes_by_rows(spark):
+    """As many splits as cores, but rows in one of them."""
+    uneven = spark.range(0, 2000, 1, 16).where("id < 125")
+    assert session.spread(uneven).select(F.spark_partition_id().alias("p")).distinct().count() >= 8
