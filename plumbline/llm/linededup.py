@@ -248,6 +248,8 @@ def near_lines(texts: DataFrame, firsts: DataFrame, edit_words: int) -> DataFram
         .agg(F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "line_key", "front_shared", "back_shared")).alias("wanted"))
         .select(F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key"), "wanted")
     )
+    # written, as are links and results below, so that shuffles of an earlier step are gone when a later one begins
+    wanted = land(wanted)
     found = texts.where(F.length("text") > 0).join(
         wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_key") == F.col("w_key"))
     )
@@ -285,11 +287,11 @@ def near_lines(texts: DataFrame, firsts: DataFrame, edit_words: int) -> DataFram
             F.when(F.col("at") > F.col("w_at"), F.col("w_line")).otherwise(F.col("line_key")).alias("earlier"),
         )
     )
-    links = replaced.union(inserted).distinct()
+    links = land(replaced.union(inserted).distinct())
     a = lines.where(long_enough >= edit_words).select(F.col("line_key").alias("later"), F.col("words").alias("later_words"))
     b = lines.where(long_enough >= edit_words).select(F.col("line_key").alias("earlier"), F.col("words").alias("earlier_words"))
     checked = links.join(a, "later").join(b, "earlier")
-    return checked.where(_verified("later_words", "earlier_words")).select(F.col("later").alias("line_key")).distinct()
+    return land(checked.where(_verified("later_words", "earlier_words")).select(F.col("later").alias("line_key")).distinct())
 
 
 def repeated_lines(
@@ -297,7 +299,7 @@ def repeated_lines(
 ) -> DataFrame:
     """(doc_id, text_key, equal_lines, near_lines): line numbers that go, of texts that lose any.
 
-    ``text_key`` is Spark's xxhash64 of the text.
+    ``text_key`` is Spark's xxhash64 of the text. The result is a written table.
     """
     texts = texts_of(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
     lines = land(texts.select("doc_id", "text_key", "text").mapInArrow(_line_rows(exact_words, edit_words), _LINES))
@@ -316,9 +318,11 @@ def repeated_lines(
     )
     going = lines.select(*_POSITION, "line_key").join(judged, "line_key").where(F.col("near") | (F.struct(*_POSITION) != F.col("first")))
     equal = F.when(F.struct(*_POSITION) != F.col("first"), F.col("line_no"))
-    return going.groupBy("doc_id", "text_key").agg(
-        F.sort_array(F.collect_set(equal)).alias("equal_lines"),
-        F.sort_array(F.collect_set(F.when(equal.isNull(), F.col("line_no")))).alias("near_lines"),
+    return land(
+        going.groupBy("doc_id", "text_key").agg(
+            F.sort_array(F.collect_set(equal)).alias("equal_lines"),
+            F.sort_array(F.collect_set(F.when(equal.isNull(), F.col("line_no")))).alias("near_lines"),
+        )
     )
 
 

@@ -113,6 +113,15 @@ def test_line_dedup_against_brute_force(spark):
     assert linededup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_ends_with_one_join(spark):
+    """Earlier steps are written: while the texts are shuffled no shuffle of theirs takes disk."""
+    rows = [(1, "a b c d e f\nx y z"), (2, "a b c d e g\nx y z"), (3, None)]
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") <= 2, plan
+    assert sorted(got.collect(), key=lambda r: r["doc_id"])[1]["text"] == ""
+
+
 def test_within_one_edit():
     rng = random.Random(9)
     for _ in range(3_000):
