@@ -60,15 +60,15 @@ def keyed(entries: Column) -> Column:
     """array<struct<k,...>> -> struct<entries, starts>: the entries sorted, and per key from 0
     to one past the last the place where its entries start. Keys are non-negative ints.
     """
+    return let(F.sort_array(entries), index_of)
 
-    def starts(e: Column) -> Column:
-        # entry j opens every key above its predecessor's up to its own
-        opened = F.transform(
-            e, lambda x, j: F.array_repeat(j, x["k"] - F.coalesce(F.get(e, j - 1)["k"], F.lit(-1)))
-        )
-        return F.concat(F.flatten(opened), F.array(F.size(e)))
 
-    return let(F.sort_array(entries), lambda e: F.struct(e.alias("entries"), starts(e).alias("starts")))
+def index_of(e: Column) -> Column:
+    """What ``keyed`` gives, of a column of entries that are sorted already."""
+    firsts = F.filter(indices(e), lambda j: F.coalesce(F.get(e, j)["k"] != F.get(e, j - 1)["k"], F.lit(True)))
+    # the first entry of a key opens every key above its predecessor's up to its own
+    opened = F.transform(firsts, lambda j: F.array_repeat(j, F.get(e, j)["k"] - F.coalesce(F.get(e, j - 1)["k"], F.lit(-1))))
+    return F.struct(e.alias("entries"), F.concat(F.flatten(opened), F.array(F.size(e))).alias("starts"))
 
 
 def _bounds(index: Column, key: Column) -> tuple[Column, Column]:

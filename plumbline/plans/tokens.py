@@ -6,10 +6,13 @@ come from ``annotate``. Both work inside the row, linear in the number of words.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.arrays import computed, indices
+from plumbline.operators.scenegraph import CHUNKS
 
 # The word classes of the shallow rule; every other word is a noun-like N.
 DETERMINERS = ["a", "an", "the"]
@@ -28,7 +31,7 @@ def words(text: Column | str) -> Column:
     """Lower-cased runs of letters (of any script) and the marks on them."""
     text = F.col(text) if isinstance(text, str) else text
     spaced = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}]+", " "))
-    return F.filter(F.split(spaced, " "), lambda w: w != "")
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def _token(i: Column, text: Column, lemma: Column, pos: Column, dep: Column, head: Column) -> Column:
@@ -55,76 +58,76 @@ def shallow_tokens(df: DataFrame, text: str) -> DataFrame:
     just before its determiner. A preposition directly between two chunks hangs on the first
     root and governs the second.
     """
-    w, c, starts, ends, run = (F.col(n) for n in ("_w", "_c", "_starts", "_ends", "_run"))
-
-    # classes as numbers: they are compared several times for every word
-    n_word, d_word, p_word = 0, 1, 2
-
-    def is_n(i: Column) -> Column:
-        return F.coalesce(F.get(c, i) == n_word, F.lit(False))
+    w, codes, governing, runs = (F.col(n) for n in ("_w", "_codes", "_governing", "_runs"))
 
-    def is_d(i: Column) -> Column:
-        return F.coalesce(F.get(c, i) == d_word, F.lit(False))
-
-    def governs(i: Column) -> Column:
-        chunk_follows = is_n(i + 1) | (is_d(i + 1) & is_n(i + 2))
-        return F.coalesce(F.get(c, i) == p_word, F.lit(False)) & is_n(i - 1) & chunk_follows
+    # function words are short; the lists need not be searched for longer words
+    longest = max(map(len, DETERMINERS + PREPOSITIONS))
+
+    def code(x: Column, i: Column) -> Column:
+        """Twice a function word's position, plus one for a preposition."""
+        found = F.when(x.isin(DETERMINERS), i * 2).when(x.isin(PREPOSITIONS), i * 2 + 1)
+        return F.when(F.octet_length(x) <= longest, found)
+
+    def place(code_: Column) -> Column:
+        return F.shiftright(code_, 1)
+
+    def is_p(code_: Column) -> Column:
+        return code_.bitwiseAND(F.lit(1)) == 1
+
+    def behind_n(x: Column, j: Column) -> Column:
+        return F.coalesce(is_p(x) & (place(F.get(codes, j - 1)) < place(x) - 1), F.lit(False))
+
+    def run(x: Column, j: Column) -> Column:
+        """A function word and the N words up to the next one."""
+        at, following, after = place(x), F.get(codes, j + 1), F.get(codes, j + 2)
+        n, end = place(following) - at - 1, place(following) - 1
+        chunk_follows = (n > 0) | (~is_p(following) & F.coalesce(place(after) > place(following) + 1, F.lit(False)))
+        governs = F.get(governing, j) & chunk_follows
+        start = F.when(is_p(x), at + 1).otherwise(at)
+        governed = F.when(is_p(x), F.get(governing, j)).otherwise(
+            F.coalesce(F.get(governing, j - 1) & (place(F.get(codes, j - 1)) == at - 1), F.lit(False))
+        )
+        return F.struct(
+            n.alias("n"), start.alias("start"), end.alias("end"),
+            F.when(is_p(x), "ADP").otherwise("DET").alias("pos"),
+            F.when(is_p(x), F.when(governs, "prep").otherwise("ROOT")).when(n > 0, "det").otherwise("ROOT").alias("dep"),
+            F.when(is_p(x), F.when(governs, at - 1).otherwise(at)).when(n > 0, end).otherwise(at).alias("head"),
+            F.when(governed, start - 1).alias("governor"),
+            F.when(n > 0, F.array_join(F.slice(w, start + 1, end + 1 - start), " ")).alias("span"),
+        )
 
-    def start_of(k: Column) -> Column:
-        s = F.get(starts, k)
-        return s - F.when(is_d(s - 1), 1).otherwise(0)
+    def by_word(first: Callable[[Column], Column], others: Callable[[Column], Column], root: Callable[[Column], Column]) -> Column:
+        """A value for each word: for a function word, for the N words behind it but the last, and for the last."""
 
-    def token(text: Column, i: Column) -> Column:
-        before = start_of(F.get(run, i)) - 1
-        root = F.get(ends, F.get(run, i))
+        def laid_out(r: Column) -> Column:
+            return F.concat(F.array(first(r)), F.array_repeat(others(r), r["n"] - 1), F.array_repeat(root(r), F.least(r["n"], F.lit(1))))
 
-        def labelled(pos: str, dep: str, head: Column) -> Column:
-            return _token(i, text, text, F.lit(pos), F.lit(dep), head)
+        return F.slice(F.flatten(F.transform(runs, laid_out)), F.lit(2), F.size(w))
 
-        return (
-            F.when(is_n(i) & (i != root), labelled("ADJ", "amod", root))
-            .when(is_n(i) & governs(before), labelled("NOUN", "pobj", before))
-            .when(is_n(i), labelled("NOUN", "ROOT", i))
-            .when(is_d(i) & is_n(i + 1), labelled("DET", "det", F.get(ends, F.get(run, i + 1))))
-            .when(is_d(i), labelled("DET", "ROOT", i))
-            .when(governs(i), labelled("ADP", "prep", i - 1))
-            .otherwise(labelled("ADP", "ROOT", i))
-        )
-
-    def chunk(_: Column, k: Column) -> Column:
-        return _chunk(k, start_of(k), F.get(ends, k) + 1, F.get(ends, k), w, w)
+    def chunk(r: Column, k: Column) -> Column:
+        return F.struct(
+            k.alias("chunk_id"), r["start"].alias("start"), (r["end"] + 1).alias("end"), r["end"].alias("root_i"),
+            r["span"].alias("text"), r["span"].alias("lemma"),
+        )
 
-    # function words are short; the lists need not be searched for longer words
-    classes = F.transform(
-        w,
-        lambda x: F.when(F.length(x) > max(map(len, DETERMINERS + PREPOSITIONS)), n_word)
-        .when(x.isin(DETERMINERS), d_word)
-        .when(x.isin(PREPOSITIONS), p_word)
-        .otherwise(n_word),
-    )
-    # per position up to the last N, the number of its run
-    runs = F.flatten(
-        F.transform(
-            starts,
-            lambda s, k: F.concat(
-                F.array_repeat(F.lit(None).cast("int"), s - F.coalesce(F.get(ends, k - 1), F.lit(-1)) - 1),
-                F.array_repeat(k, F.get(ends, k) - s + 1),
-            ),
-        )
-    )
     steps = computed(df, {"_w": words(text)}).drop(text)
-    steps = computed(steps, {"_c": classes})
-    steps = computed(
-        steps,
-        {
-            "_starts": F.filter(indices(c), lambda i: is_n(i) & ~is_n(i - 1)),
-            "_ends": F.filter(indices(c), lambda i: is_n(i) & ~is_n(i + 1)),
-        },
-    )
-    steps = computed(steps, {"_run": runs})
-    return computed(steps, {"tokens": F.transform(w, token), "chunks": F.transform(starts, chunk)}).drop(
-        "_w", "_c", "_starts", "_ends", "_run"
-    )
+    found = F.filter(F.transform(w, code), lambda x: x.isNotNull())
+    # as if a preposition stood before the first word and an article behind the last one
+    steps = computed(steps, {"_codes": F.concat(F.array(F.lit(-1)), found, F.array(F.size(w) * 2))})
+    steps = computed(steps, {"_governing": F.transform(codes, behind_n)})
+    steps = computed(steps, {"_runs": F.transform(F.slice(codes, F.lit(1), F.size(codes) - 1), run)})
+    parts = {
+        "i": indices(w), "text": w, "lemma": w,
+        "pos": by_word(lambda r: r["pos"], lambda r: F.lit("ADJ"), lambda r: F.lit("NOUN")),
+        "dep": by_word(lambda r: r["dep"], lambda r: F.lit("amod"), lambda r: F.when(r["governor"].isNull(), "ROOT").otherwise("pobj")),
+        "head_i": by_word(lambda r: r["head"], lambda r: r["end"], lambda r: F.coalesce(r["governor"], r["end"])),
+        "ws": F.array_repeat(F.lit(True), F.size(w)),
+    }
+    chunks = F.coalesce(F.transform(F.filter(runs, lambda r: r["n"] > 0), chunk), F.array().cast(CHUNKS))
+    steps = computed(steps, {"_parts": F.struct(*[c.alias(name) for name, c in parts.items()]), "chunks": chunks})
+    # no lambda for each word: the parts are zipped
+    tokens = F.arrays_zip(*[F.col(f"_parts.{name}") for name in parts])
+    return steps.withColumn("tokens", tokens).drop("_w", "_codes", "_governing", "_runs", "_parts")
 
 
 def hashed_tokens(df: DataFrame, text: str, key: str) -> DataFrame:
