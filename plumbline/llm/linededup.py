@@ -26,27 +26,18 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import land, texts_of
+from plumbline.llm.common import land, remove, stage, texts_of
 
 EXACT_WORDS = 2
 EDIT_WORDS = 5
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_KNOWN = 200_000
-
-
-class _WordHashes(dict):
-    def __missing__(self, word):
-        if len(self) >= _KNOWN:
-            self.clear()
-        got = self[word] = xxhash.xxh64_intdigest(word, 11)
-        return got
 
 
 class _Powers:
@@ -72,28 +63,56 @@ def _mix(x: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
 
 
 _WHOLE, _FRONT, _BACK = 1, 2, 3
+_WHITE = np.zeros(256, bool)
+_WHITE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def _word_hashes(words: pa.Array) -> np.ndarray:
+    """64 bits of each word (none is empty): its groups of eight bytes, scattered by their place and added up."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    ends = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1)
+    sizes = np.diff(ends)
+    groups = (sizes + 7) // 8
+    starts = np.cumsum(groups) - groups
+    padded = np.zeros(8 * int(groups.sum()), np.uint8)
+    padded[np.arange(ends[-1]) + np.repeat(8 * starts - ends[:-1], sizes)] = np.frombuffer(words.buffers()[2], np.uint8, ends[-1])
+    place = np.arange(len(padded) // 8) - np.repeat(starts, groups)
+    with np.errstate(over="ignore"):
+        scattered = _mix(padded.view("<u8").astype(np.uint64), place + 1).view(np.uint64)
+        return _mix(np.add.reduceat(scattered, starts), sizes).view(np.uint64)
 
 
 class LineHasher:
     """Keys of all lines of a text from one running polynomial over its word hashes."""
 
     def __init__(self):
-        self.words = _WordHashes()
         self.powers = _Powers()
 
-    def _sums(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        n = len(words)
+    def _sums(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the words of some lower-cased bytes begin, the running polynomial and the inverse powers."""
+        word = ~_WHITE[raw]
+        edges = np.diff(word.view(np.int8), prepend=0, append=0)
+        starts = np.flatnonzero(edges == 1)
+        n = len(starts)
+        offsets = np.zeros(n + 1, np.int64)
+        np.cumsum(np.flatnonzero(edges == -1) - starts, out=offsets[1:])
+        listed = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(raw[word])])
+        coded = listed.dictionary_encode()
         up, down = self.powers.of(n + 1)
-        hashes = np.fromiter(map(self.words.__getitem__, words), np.uint64, n)
-        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[:n])]), down
-
-    def lines(self, text: str, edit_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Words per line, key per line, and four keys of halves per line (0: none)."""
-        split = [line.split() for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n")]
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        sums, down = self._sums([w for line in split for w in line])
-        ends = np.cumsum(sizes)
-        starts = ends - sizes
+        hashes = _word_hashes(coded.dictionary)[coded.indices.to_numpy()]
+        return starts, np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[:n])]), down
+
+    def lines(self, texts: list[bytes], edit_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of all lines of some texts, one after another: lines per text; words per line, key per line, and four
+        keys of halves per line (0: none).
+        """
+        raw = np.frombuffer(b"\n".join(texts).lower(), np.uint8)
+        per_text = np.fromiter((text.count(b"\n") + 1 for text in texts), np.int64, len(texts))
+        begins, sums, down = self._sums(raw)
+        ends = np.append(np.searchsorted(begins, np.flatnonzero(raw == 10)), len(begins))
+        starts = np.concatenate([np.zeros(1, np.int64), ends[:-1]])
+        sizes = ends - starts
 
         def key(a, b, kind):
             with np.errstate(over="ignore"):
@@ -111,15 +130,20 @@ class LineHasher:
             axis=1,
         )
         halves[sizes < edit_words] = 0
-        return sizes, key(starts, ends, _WHOLE), halves
-
-    def variants(self, words: list[bytes]) -> np.ndarray:
-        """Key of the line as it is, then of the line without each of its words in turn."""
-        n = len(words)
-        sums, down = self._sums(words)
+        return per_text, sizes, key(starts, ends, _WHOLE), halves
+
+    def variants(self, lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words per line and key per line as it is; key of its line without it, word by word."""
+        raw = np.frombuffer(b"\n".join(lines), np.uint8)
+        begins, sums, down = self._sums(raw)
+        ends = np.append(np.searchsorted(begins, np.flatnonzero(raw == 10)), len(begins))
+        starts = np.concatenate([np.zeros(1, np.int64), ends[:-1]])
+        sizes = ends - starts
+        first, last, at = np.repeat(starts, sizes), np.repeat(ends, sizes), np.arange(len(begins))
         with np.errstate(over="ignore"):
-            without = sums[:-1] + (sums[-1] - sums[1:]) * np.uint64(_INVERSE)
-        return np.concatenate([_mix(sums[-1:], _WHOLE + 8 * n), _mix(without, _WHOLE + 8 * (n - 1))])
+            whole = (sums[ends] - sums[starts]) * down[starts]
+            without = (sums[at] - sums[first] + (sums[last] - sums[at + 1]) * np.uint64(_INVERSE)) * down[first]
+        return sizes, _mix(whole, _WHOLE + 8 * sizes), _mix(without, _WHOLE + 8 * (last - first - 1))
 
 
 def _line_rows(exact_words: int, edit_words: int):
@@ -128,23 +152,18 @@ def _line_rows(exact_words: int, edit_words: int):
     def rows(batches):
         hasher = LineHasher()
         for batch in batches:
-            parts = []
-            for doc_id, text_key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "text"))):
-                if not text:
-                    continue
-                sizes, keys, halves = hasher.lines(text, edit_words)
-                at = np.flatnonzero(sizes >= exact_words)
-                parts.append((doc_id, text_key, at, keys[at], halves[at]))
-            if not parts:
+            batch = batch.filter(pc.greater(pc.binary_length(batch.column("text")), 0))
+            if not batch.num_rows:
                 continue
-            counts = np.array([len(p[2]) for p in parts])
-            ids = pa.array([p[0] for p in parts], pa.int64()).take(pa.array(np.repeat(np.arange(len(parts)), counts)))
-            halves = np.concatenate([p[4] for p in parts])
+            per_text, sizes, keys, halves = hasher.lines(batch.column("text").cast(pa.binary()).to_pylist(), edit_words)
+            at = np.flatnonzero(sizes >= exact_words)
+            row = np.repeat(np.arange(batch.num_rows), per_text)[at]
+            line_no = at - (np.cumsum(per_text) - per_text)[row]
+            halves = halves[at]
             columns = [
-                ids,
-                pa.array(np.repeat(np.array([p[1] for p in parts], np.int64), counts)),
-                pa.array(np.concatenate([p[2] for p in parts]).astype(np.int32)),
-                pa.array(np.concatenate([p[3] for p in parts])),
+                *(batch.column(c).cast(pa.int64()).take(pa.array(row)) for c in ("doc_id", "text_key")),
+                pa.array(line_no.astype(np.int32)),
+                pa.array(keys[at]),
                 *(pa.array(halves[:, i], mask=halves[:, i] == 0) for i in range(4)),
             ]
             yield pa.RecordBatch.from_arrays(columns, names)
@@ -177,31 +196,25 @@ def _picked(batches):
         )
 
 
-def _deleted_places(n: int, front: bool, back: bool) -> np.ndarray:
-    """-1 for the whole line of n words, then the places whose deletion can meet another line's.
+def _variant_rows(batches):
+    """A row for each whole line (place -1) and for each place whose deletion can meet another line's.
 
     With a front half in common the edit lies behind it, with a back half before it.
     """
-    places = np.arange(-1, n)
-    middle = (n - 1) // 2
-    return places[(places < 0) | (front & (places >= middle)) | (back & (places <= middle))]
-
-
-def _variant_rows(batches):
     hasher = LineHasher()
     for batch in batches:
-        parts, places = [], []
-        for words, front, back in zip(*(batch.column(c).to_pylist() for c in ("words", "front", "back"))):
-            variants = hasher.variants(words.split(b" "))
-            at = _deleted_places(len(variants) - 1, front, back)
-            parts.append(variants[at + 1])
-            places.append(at.astype(np.int32))
-        if not parts:
+        if not batch.num_rows:
             continue
-        counts = np.array(list(map(len, parts)))
-        rows = pa.array(np.repeat(np.arange(len(parts)), counts))
+        sizes, whole, without = hasher.variants(batch.column("words").to_pylist())
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        front, back = (batch.column(c).to_numpy(zero_copy_only=False).astype(bool)[row] for c in ("front", "back"))
+        middle = (sizes[row] - 1) // 2
+        at = np.flatnonzero((front & (place >= middle)) | (back & (place <= middle)))
+        rows = pa.array(np.concatenate([np.arange(len(sizes)), row[at]]))
+        places = np.concatenate([np.full(len(sizes), -1), place[at]]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(parts)), pa.array(np.concatenate(places)), *(batch.column(c).take(rows) for c in ("line_key", "doc_id", "text_key", "line_no"))],
+            [pa.array(np.concatenate([whole, without[at]])), pa.array(places), *(batch.column(c).take(rows) for c in ("line_key", "doc_id", "text_key", "line_no"))],
             ["variant", "place", "line_key", "doc_id", "text_key", "line_no"],
         )
 
@@ -248,20 +261,23 @@ def near_lines(texts: DataFrame, firsts: DataFrame, edit_words: int) -> DataFram
         .agg(F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "line_key", "front_shared", "back_shared")).alias("wanted"))
         .select(F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key"), "wanted")
     )
-    # written, as are links and results below, so that shuffles of an earlier step are gone when a later one begins
-    wanted = land(wanted)
+    # written, as are links and results below, so that shuffles of an earlier step are gone when a later one begins;
+    # what no later step reads is removed
+    wanted, wanted_path = stage(wanted)
     found = texts.where(F.length("text") > 0).join(
-        wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_key") == F.col("w_key"))
+        wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_key") == F.col("w_key"))
     )
-    lines = land(
+    lines, lines_path = stage(
         found.select("doc_id", "text_key", "text", "wanted").mapInArrow(
             _picked, "line_key long, doc_id long, text_key long, line_no int, front boolean, back boolean, words binary"
         )
     )
+    remove(texts.sparkSession, wanted_path)
     long_enough = F.size(F.split(F.col("words").cast("string"), " "))
-    variants = lines.mapInArrow(
-        _variant_rows, "variant long, place int, line_key long, doc_id long, text_key long, line_no int"
-    ).select("variant", "place", "line_key", F.struct(*_POSITION).alias("at"))
+    variants, variants_path = stage(
+        lines.mapInArrow(_variant_rows, "variant long, place int, line_key long, doc_id long, text_key long, line_no int")
+    )
+    variants = variants.select("variant", "place", "line_key", F.struct(*_POSITION).alias("at"))
 
     # replaced words: the earliest line of the same key and place
     firsts_of = (
@@ -287,11 +303,15 @@ def near_lines(texts: DataFrame, firsts: DataFrame, edit_words: int) -> DataFram
             F.when(F.col("at") > F.col("w_at"), F.col("w_line")).otherwise(F.col("line_key")).alias("earlier"),
         )
     )
-    links = land(replaced.union(inserted).distinct())
+    links, links_path = stage(replaced.union(inserted).distinct())
+    remove(texts.sparkSession, variants_path)
     a = lines.where(long_enough >= edit_words).select(F.col("line_key").alias("later"), F.col("words").alias("later_words"))
     b = lines.where(long_enough >= edit_words).select(F.col("line_key").alias("earlier"), F.col("words").alias("earlier_words"))
     checked = links.join(a, "later").join(b, "earlier")
-    return land(checked.where(_verified("later_words", "earlier_words")).select(F.col("later").alias("line_key")).distinct())
+    near = land(checked.where(_verified("later_words", "earlier_words")).select(F.col("later").alias("line_key")).distinct())
+    for path in (lines_path, links_path):
+        remove(texts.sparkSession, path)
+    return near
 
 
 def repeated_lines(
@@ -302,8 +322,8 @@ def repeated_lines(
     ``text_key`` is Spark's xxhash64 of the text. The result is a written table.
     """
     texts = texts_of(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
-    lines = land(texts.select("doc_id", "text_key", "text").mapInArrow(_line_rows(exact_words, edit_words), _LINES))
-    firsts = land(
+    lines, lines_path = stage(texts.select("doc_id", "text_key", "text").mapInArrow(_line_rows(exact_words, edit_words), _LINES))
+    firsts, firsts_path = stage(
         lines.groupBy("line_key").agg(
             F.min(F.struct(*_POSITION)).alias("first"),
             F.max(F.struct(*_POSITION)).alias("last"),
@@ -318,12 +338,15 @@ def repeated_lines(
     )
     going = lines.select(*_POSITION, "line_key").join(judged, "line_key").where(F.col("near") | (F.struct(*_POSITION) != F.col("first")))
     equal = F.when(F.struct(*_POSITION) != F.col("first"), F.col("line_no"))
-    return land(
+    gone = land(
         going.groupBy("doc_id", "text_key").agg(
             F.sort_array(F.collect_set(equal)).alias("equal_lines"),
             F.sort_array(F.collect_set(F.when(equal.isNull(), F.col("line_no")))).alias("near_lines"),
         )
     )
+    for path in (lines_path, firsts_path):
+        remove(docs.sparkSession, path)
+    return gone
 
 
 @F.pandas_udf(T.StringType())
@@ -344,7 +367,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     gone = repeated_lines(docs, id_col, text_col, **settings).toDF("_ld_gone", "_ld_gone_key", "_ld_equal", "_ld_near")
     rows = docs.withColumn("_ld_key", F.xxhash64(text_col)).withColumn("_ld_id", F.col(id_col))
-    joined = rows.join(gone, F.col("_ld_id").eqNullSafe(F.col("_ld_gone")) & (F.col("_ld_key") == F.col("_ld_gone_key")), "left")
+    # texts are sorted by key however few lose lines: the plan, and the disk it takes, don't hinge on sizes
+    joined = rows.join(gone.hint("merge"), F.col("_ld_id").eqNullSafe(F.col("_ld_gone")) & (F.col("_ld_key") == F.col("_ld_gone_key")), "left")
     counted = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("int")
     shown = [
         _without(F.col(text_col), F.col("_ld_equal"), F.col("_ld_near")).alias(text_col) if c == text_col else F.col(c)

@@ -1,5 +1,6 @@
 """Operators over many rows, against brute force on small tables."""
 
+import os
 import random
 import zlib
 from collections import defaultdict
@@ -122,6 +123,31 @@ def test_line_dedup_ends_with_one_join(spark):
     assert sorted(got.collect(), key=lambda r: r["doc_id"])[1]["text"] == ""
 
 
+def test_line_dedup_removes_what_it_wrote(spark, monkeypatch):
+    """Written steps go once nothing reads them: only near lines and the result are left."""
+    prepare(spark)
+    written = []
+    for name in ("land", "stage"):
+        monkeypatch.setattr(linededup, name, lambda df, real=getattr(linededup, name): written.append(real(df)) or written[-1])
+    rows = [(1, "a b c d e f\nx y z"), (2, "a b c d e g\nx y z"), (3, None)]
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: (r["n_equal"], r["n_near"]) for r in got.collect()} == {1: (0, 0), 2: (1, 1), 3: (0, 0)}
+    folders = [(w[0] if isinstance(w, tuple) else w).inputFiles() for w in written]
+    there = [any(os.path.exists(f.removeprefix("file://")) for f in files) for files in folders]
+    assert len(there) >= 7 and sum(there) <= 2, there
+
+
+def test_line_keys_of_many_texts():
+    """Keys of a line are those of its words, wherever and in whichever batch it stands; deletions have the shorter line's key."""
+    texts = ["A b\tc  d e\n\n x", "", "a B c d e", "b c d e\na c d e\na b d e\na b c e\na b c d", "longer\x0bthan_eight_bytes é É\r\n"]
+    hasher = linededup.LineHasher()
+    per_text, sizes, keys, halves = hasher.lines([t.encode() for t in texts], 5)
+    assert per_text.tolist() == [3, 1, 1, 5, 2] and sizes.tolist() == [5, 0, 1, 0, 5, 4, 4, 4, 4, 4, 4, 0]
+    assert keys[0] == keys[4] and (halves[0] == halves[4]).all() and len(set(keys.tolist())) == 9 and not halves[1].any()
+    sizes, whole, without = linededup.LineHasher().variants([b"a b c d e", b"x"])
+    assert sizes.tolist() == [5, 1] and whole.tolist() == keys[[0, 2]].tolist() and without[:5].tolist() == keys[5:10].tolist()
+
+
 def test_within_one_edit():
     rng = random.Random(9)
     for _ in range(3_000):
