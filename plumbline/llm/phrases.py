@@ -3,7 +3,7 @@ r"""Phrase collocations by SON partitioning.
 A text's ASCII capitals are lowered, it is split at ``[.,;:!?\x0A-\x0D]`` into pieces and those into words
 ``[^\x20\x09]+``; a phrase is a run of words within a piece. Counts are per language. A phrase is frequent
 with ``support`` occurrences or more. A shard is what a task holds at a time, some ``SHARD_BYTES`` of
-text, and is mined completely, level by level, at the support times its share of the language's words, rounded up.
+text, held as codes of its words, and is mined completely, level by level, at the support times its share of the language's words, rounded up.
 A phrase below that in every shard is below the support in all, so the union of what shards find
 misses none. The union is cut to phrases that can still reach the support if every shard that did not report
 them holds just too few. Then all are counted exactly over all shards: what a shard has reported is known, so
@@ -31,16 +31,19 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import land, prepare
+from plumbline.llm.common import land, prepare, remove, stage
 
 SUPPORT = 100
 LONGEST = 5
 UNKNOWN = "und"
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 120 << 20
 FILTER_BITS = 26
 # Parts a language's candidates are ranked in before its best of all parts are.
 RANK_PARTS = 256
 _EMIT_ROWS = 50_000
+# What a shard is coded by, and how many places of phrases are counted at once: temporary arrays stay this small.
+_CHUNK_BYTES = 4 << 20
+_COUNTED = 1 << 18
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -55,30 +58,69 @@ _ROWS = "lang string, words int, phrase string, h bigint, n bigint, slack bigint
 # --- a shard -----------------------------------------------------------------------------------
 
 
-class Shard:
-    """The words of some texts of one language: codes in reading order, and which stand in one piece with the next."""
+class _Coded:
+    """Texts of a language as they come, of which only codes of words are held."""
+
+    def __init__(self, lang: str):
+        self.lang, self.size, self.held, self.waiting = lang, 0, [], 0
+        self.seed = xxhash.xxh64_intdigest(lang.encode())
+        self.content = xxhash.xxh64(seed=self.seed)
+        self.words: list[pa.DictionaryArray] = []
+        self.joined: list[np.ndarray] = []
+
+    def add(self, text: bytes) -> None:
+        self.held.append(text)
+        self.size += len(text) + 1
+        self.waiting += len(text) + 1
+        if self.waiting >= _CHUNK_BYTES:
+            self.code()
 
-    def __init__(self, texts: list[bytes], lang: str):
-        raw = np.frombuffer(b"\n".join(texts), np.uint8)  # the line break keeps texts apart
+    def code(self) -> None:
+        raw = np.frombuffer(b"\n".join([*self.held, b""]), np.uint8)  # the line break keeps texts apart
+        self.held, self.waiting = [], 0
+        self.content.update(raw)
         kind = _KIND[raw]
         word = kind == _WORD
         edges = np.diff(word.view(np.int8), prepend=0, append=0)
         starts = np.flatnonzero(edges == 1)
-        lengths = np.flatnonzero(edges == -1) - starts
-        del edges
         offsets = np.zeros(len(starts) + 1, np.int64)
-        np.cumsum(lengths, out=offsets[1:])
+        np.cumsum(np.flatnonzero(edges == -1) - starts, out=offsets[1:])
         letters = _LOWER[raw[word]]
         listed = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
-        coded = listed.dictionary_encode()
-        self.codes = coded.indices.to_numpy()
-        self.forms = coded.dictionary.cast(pa.binary()).cast(pa.string())
+        self.words.append(listed.dictionary_encode())
         piece = np.searchsorted(np.flatnonzero(kind == _BREAK), starts)
-        self.joined = piece[1:] == piece[:-1]
+        self.joined.append(np.append(piece[1:] == piece[:-1], False)[: len(starts)])
+
+
+class Shard:
+    """The words of some texts of one language: codes in reading order, and which stand in one piece with the next."""
+
+    def __init__(self, texts: list[bytes] | _Coded, lang: str):
+        coded = texts
+        if not isinstance(coded, _Coded):
+            coded = _Coded(lang)
+            for text in texts:
+                coded.add(text)
+        coded.code()
+        words, coded.words = pa.chunked_array(coded.words).unify_dictionaries(), []
+        self.codes = np.concatenate([c.indices.to_numpy() for c in words.chunks])
+        self.joined, coded.joined = np.concatenate(coded.joined)[:-1], []
+        forms = words.chunk(0).dictionary
+        self.forms = forms.cast(pa.binary()).cast(pa.string())
         self.lang = lang
-        seed = xxhash.xxh64_intdigest(lang.encode())
-        self.content = np.array([xxhash.xxh64_intdigest(raw, seed)], dtype=np.uint64)
-        self.hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in coded.dictionary.to_pylist()], dtype=np.uint64)
+        self.content = np.array([coded.content.intdigest()], dtype=np.uint64)
+        self.hashes = np.empty(len(forms), np.uint64)
+        for i in range(0, len(forms), _EMIT_ROWS):
+            some = forms.slice(i, _EMIT_ROWS).to_pylist()
+            self.hashes[i : i + len(some)] = [xxhash.xxh64_intdigest(w, coded.seed) for w in some]
+
+    def counts(self) -> np.ndarray:
+        """Occurrences of each word."""
+        counts = np.zeros(len(self.forms), np.int64)
+        for i in range(0, len(self.codes), _COUNTED):
+            some = np.bincount(self.codes[i : i + _COUNTED])
+            counts[: len(some)] += some
+        return counts
 
     def hash_at(self, at: np.ndarray, size: int) -> np.ndarray:
         """Hashes of the phrases of ``size`` words that begin at the given words."""
@@ -96,40 +138,51 @@ class Shard:
         yield from _rows(self.lang, 0, pa.array([""]), self.content, np.ones(1, np.int64), least - 1)
 
     def word_rows(self) -> Iterator[pa.RecordBatch]:
-        counts = np.bincount(self.codes, minlength=len(self.forms))
+        counts = self.counts()
         yield from _rows(self.lang, 1, self.forms, self.hashes, counts, 0)
 
     def mine(self, least: int, longest: int, wanted: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(size, places, counts) of phrases of 2 words and more that occur ``least`` times or more here.
 
         ``wanted``: filters by size that a phrase must pass; sizes without one are not filtered. A phrase
-        is only looked at if both its parts that lack one word were found on the level before.
+        is only looked at if both its parts that lack one word were found on the level before. Phrases are
+        counted by their first part, some ``_COUNTED`` at a time, so a size may come several times.
         """
-        ids = self.codes.astype(np.int64)
-        counts = np.bincount(self.codes, minlength=len(self.forms))
+        counts = self.counts()
         fine = counts >= least
         if 1 in wanted:
             fine &= passes(wanted[1], self.hashes)
-        ids[~fine[ids]] = -1
+        ids = np.where(fine[self.codes], self.codes, np.int32(-1))
         kinds = len(counts)
         for size in range(2, longest + 1):
             both = (ids[:-1] >= 0) & (ids[1:] >= 0)
             if size == 2:
                 both &= self.joined
-            at = np.flatnonzero(both)
-            if not len(at):
+            found = int(both.sum())
+            if not found:
                 return
-            _, inverse, counts = np.unique(ids[at] * kinds + ids[at + 1], return_inverse=True, return_counts=True)
-            places = np.empty(len(counts), np.int64)
-            places[inverse] = at
-            fine = counts >= least
-            if size in wanted:
-                fine &= passes(wanted[size], self.hash_at(places, size))
-            yield size, places[fine], counts[fine]
-            kinds = int(fine.sum())
-            number = np.where(fine, np.cumsum(fine) - 1, -1)
-            ids = np.full(len(both), -1, np.int64)
-            ids[at] = number[inverse]
+            turns = min(1 + found // _COUNTED, 255)
+            turn = np.full(len(both), 255, np.uint8)
+            for i in range(0, len(both), _COUNTED):
+                np.copyto(turn[i : i + _COUNTED], ids[i : i + _COUNTED][: len(both) - i] % turns, casting="unsafe", where=both[i : i + _COUNTED])
+            following, kept = np.full(len(both), -1, np.int32), 0
+            del both
+            for i in range(turns):
+                at = np.flatnonzero(turn == i)
+                if not len(at):
+                    continue
+                coded = pa.array(ids[at].astype(np.int64) * kinds + ids[at + 1]).dictionary_encode()
+                inverse = coded.indices.to_numpy()
+                counts = np.bincount(inverse)
+                places = np.empty(len(counts), np.int64)
+                places[inverse] = at
+                fine = counts >= least
+                if size in wanted:
+                    fine &= passes(wanted[size], self.hash_at(places, size))
+                yield size, places[fine], counts[fine]
+                following[at] = np.where(fine, np.cumsum(fine) - 1 + kept, -1)[inverse]
+                kept += int(fine.sum())
+            ids, kinds = following, kept
 
 
 def _rows(lang, size, phrases, hashes, counts, slack) -> Iterator[pa.RecordBatch]:
@@ -159,22 +212,19 @@ def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def _shards(batches, most: int) -> Iterator[Shard]:
-    """The shards of a task's texts: by language, of all that ``most`` bytes of text hold."""
-    held: dict[str, list[bytes]] = {}
-    size = 0
+    """The shards of a task's texts: when these pass ``most`` bytes, the language that holds most of them is one."""
+    held: dict[str, _Coded] = {}
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
             data = text.encode("utf-8", "surrogatepass")
-            if size and size + len(data) > most:
-                while held:
-                    name, texts = held.popitem()
-                    yield Shard(texts, name)
-                size = 0
-            held.setdefault(lang, []).append(data)
-            size += len(data) + 1
+            while held and sum(c.size for c in held.values()) + len(data) > most:
+                largest = max(held, key=lambda name: held[name].size)
+                yield Shard(held.pop(largest), largest)
+            if lang not in held:
+                held[lang] = _Coded(lang)
+            held[lang].add(data)
     while held:
-        name, texts = held.popitem()
-        yield Shard(texts, name)
+        yield Shard(*held.popitem()[::-1])
 
 
 # --- rounds over all shards ----------------------------------------------------------------------
@@ -193,6 +243,18 @@ def _filter(found: DataFrame, bits: int) -> np.ndarray:
     return table
 
 
+def by_language(texts: DataFrame, shard_bytes: int) -> tuple[DataFrame, str]:
+    """(lang, text) written anew, a language's texts side by side, and the path.
+
+    A shard then holds one language, and as much of it as it may: the fewer shards, the higher is the support they mine
+    at and the fewer report the same phrase. Texts of a language are dealt at random. Files are smaller than shards, as
+    the rest of a larger one would be a small shard, which reports much.
+    """
+    total = texts.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    parts = 1 + int(total) // max(shard_bytes - shard_bytes // 4, 1)
+    return stage(texts.repartitionByRange(parts, "lang", F.rand(1)))
+
+
 def _share(support: int, here: int, everywhere: int) -> int:
     """The support times a shard's share of the words, rounded up."""
     return -(-support * here // everywhere)
@@ -208,6 +270,7 @@ def phrase_counts(
     spark = prepare(docs.sparkSession)
     context = spark.sparkContext
     texts = docs.where(F.length(text_col) > 0).select(F.coalesce(F.col(lang_col), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).alias("text"))
+    texts, texts_path = by_language(texts, shard_bytes)
 
     def count_words(batches):
         for shard in _shards(batches, shard_bytes):
@@ -276,7 +339,9 @@ def phrase_counts(
     else:
         counted = count(all_counts=True).where(F.col("words") > 0)
     columns = "lang", "words", "phrase", "n"
-    return land(frequent_words.select(*columns).unionByName(counted.where(F.col("n") >= support).select(*columns))), totals
+    counts = land(frequent_words.select(*columns).unionByName(counted.where(F.col("n") >= support).select(*columns)))
+    remove(spark, texts_path)
+    return counts, totals
 
 
 def _same_shards(a: DataFrame, b: DataFrame) -> bool:

@@ -92,6 +92,33 @@ def test_other_shards_in_another_round(spark, monkeypatch):
     assert run(spark, docs, support=4, top=30, shard_bytes=500) == brute(docs, 4, 30) and asked
 
 
+def test_shards_hold_one_language(spark, monkeypatch):
+    """Texts of all languages in every partition: as many shards as their bytes need, not one of each language a partition."""
+    prepare(spark)
+    docs = [(t, lang) for t, _ in corpus(6, 400) for lang in ("en", "de", "fr", "es")]
+    seen = []
+    same = phrases._same_shards
+    monkeypatch.setattr(phrases, "_same_shards", lambda a, b: seen.append(b.where("words = 0").groupBy("lang").agg({"n": "sum"}).collect()) or same(a, b))
+    most = sum(len(t.encode()) for t, _ in docs) // 4
+    assert run(spark, docs, parts=16, support=30, top=20, shard_bytes=most) == brute(docs, 30, 20)
+    shards = {r[0]: r[1] for r in seen[0]}
+    assert len(shards) == 4 and sum(shards.values()) <= 16, shards
+
+
+def test_shards_of_any_turns(spark, monkeypatch):
+    """Phrases counted a few at a time, and texts coded a few at a time, are counted alike."""
+    texts = [t.encode() for t, _ in corpus(8, 60)]
+
+    def mined():
+        shard = phrases.Shard(texts, "en")
+        return {(size, p, n) for size, at, counts in shard.mine(2, 5, {}) for p, n in zip(shard.phrases_at(at, size).to_pylist(), counts.tolist())}
+
+    want = mined()
+    monkeypatch.setattr(phrases, "_COUNTED", 7)
+    monkeypatch.setattr(phrases, "_CHUNK_BYTES", 50)
+    assert mined() == want and len(want) > 100
+
+
 def test_shards_are_compared(spark):
     prepare(spark)
     rows = [("en", 0, 5, 2, 3), ("en", 0, 6, 1, 1), ("de", 0, 5, 1, 1), ("en", 2, 9, 50, 3)]
