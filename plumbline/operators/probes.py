@@ -51,12 +51,10 @@ def score_probes(
 
 
 RANDOM, POPULAR, ADVERSARIAL = "random", "popular", "adversarial"
-# Objects, by popularity, that adversarial probes are chosen from.
-POOL = 1000
 
 
 def probe_sets(
-    shown: DataFrame, image: str, name: str, *, per_image: int = 3, pool: int = POOL, start: Column | None = None,
+    shown: DataFrame, image: str, name: str, *, per_image: int = 3, pool: int | None = None, start: Column | None = None,
     question: str = "Is there a {} in the image?",
 ) -> DataFrame:
     """(image, probe_set, place, object, label, question): the probes of every image, from what is shown in it.
@@ -69,7 +67,7 @@ def probe_sets(
       by default a hash of the image),
     * popular: the first ranks,
     * adversarial: by the number of images that show it together with one of the image's objects, for the one
-      with most; ties by rank. Chosen from the first ``pool`` ranks.
+      with most; ties by rank. Chosen from all ranks, or from the first ``pool`` if the caller wants that.
 
     An image that leaves fewer objects over gets fewer. Absent ranks are found within the row, as whole numbers that
     aren't in the image's list, so images never meet the table of objects; the number of objects must fit an array.
@@ -98,15 +96,20 @@ def probe_sets(
         absent(around).alias(RANDOM), absent(F.sequence(F.lit(1), last)).alias(POPULAR),
     )
 
-    # neighbours: objects of the pool beside an object, most frequent first; a list as long as the pool at most
-    known = images.select(F.explode("own").alias("rank"), F.filter("own", lambda x: x <= pool).alias("known"))
-    beside = known.select("rank", F.explode("known").alias("other")).where("rank <> other")
+    # neighbours: objects beside an object, most frequent first. An image has all but one of its own objects in such a list at
+    # most, so behind as many entries and ``per_image`` more nothing can be chosen, and no list is longer than the largest image needs
+    known = F.col("own") if pool is None else F.filter("own", lambda x: x <= pool)
+    beside = images.select(F.explode("own").alias("rank"), known.alias("known")).select("rank", F.explode("known").alias("other")).where("rank <> other")
     pairs = beside.groupBy("rank", "other").agg(F.count(F.lit(1)).alias("n"))
+    most = (images.agg(F.max(size)).first()[0] or 0) - 1 + per_image
+    by_frequency = F.row_number().over(Window.partitionBy("rank").orderBy(F.desc("n"), "other"))
+    foremost = pairs.withColumn("at", by_frequency).where(F.col("at") <= most)
     order = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "other")))
-    neighbours = materialise(pairs.groupBy("rank").agg(order.alias("near")))
+    neighbours = materialise(foremost.groupBy("rank").agg(order.alias("near")))
     # of each list, what the image lacks: the first ``per_image`` of them hold all that can be chosen
     lists = chosen.select("image", "own", F.explode("own").alias("rank")).join(neighbours, "rank")
-    lacking = F.slice(F.filter("near", lambda x: ~F.array_contains(F.col("own"), x["other"])), 1, per_image)
+    needed = F.slice("near", F.lit(1), size - 1 + per_image)
+    lacking = F.slice(F.filter(needed, lambda x: ~F.array_contains(F.col("own"), x["other"])), 1, per_image)
     offered = lists.select("image", F.explode(lacking).alias("x")).groupBy("image", F.col("x.other").alias("other")).agg(F.min("x.n").alias("n"))
     by_count = F.row_number().over(Window.partitionBy("image").orderBy("n", "other"))
     adversarial = offered.withColumn("place", by_count - 1).where(F.col("place") < per_image)

@@ -491,7 +491,7 @@ WITH own AS (SELECT DISTINCT l_orderkey AS image, p_type AS object FROM lineitem
 rk AS (SELECT object, row_number() OVER (ORDER BY count(*) DESC, object) AS rank FROM own GROUP BY object),
 p AS (SELECT image, rank FROM own JOIN rk USING (object)),
 lacking AS (SELECT image, rk.rank FROM (SELECT DISTINCT image FROM p) i, rk ANTI JOIN p ON p.image = i.image AND p.rank = rk.rank),
-beside AS (SELECT a.rank, b.rank AS other, count(*) AS n FROM p a JOIN p b ON a.image = b.image AND a.rank <> b.rank WHERE b.rank <= 1000 GROUP BY ALL),
+beside AS (SELECT a.rank, b.rank AS other, count(*) AS n FROM p a JOIN p b ON a.image = b.image AND a.rank <> b.rank GROUP BY ALL),
 near AS (
   SELECT p.image, other AS rank, max(n) AS n FROM p JOIN beside USING (rank) JOIN lacking l ON l.image = p.image AND l.rank = other GROUP BY ALL
 ),

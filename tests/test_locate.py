@@ -127,3 +127,21 @@ def test_probe_sets(spark, per_image, pool):
 def test_probes_are_not_brought_to_one_task(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "img int, what string")
     assert "SinglePartition" not in probes.probe_sets(df, "img", "what")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_adversarial_objects_of_any_rank(spark):
+    """More than 1,000 objects: what is beside an image's objects is offered though it is rarer than all others."""
+    rows = [(2 * n + copy, f"a{n:04}") for n in range(1_100) for copy in (0, 1)] + [(-1, "x"), (-1, "y"), (-2, "x")]
+    df = spark.createDataFrame(rows, "img long, what string")
+    got = probes.probe_sets(df, "img", "what").where("probe_set = 'adversarial' AND label = 'no'").collect()
+    assert [(r.img, r.place, r.object) for r in got] == [(-2, 0, "y")]
+
+
+@pytest.mark.parametrize("per_image", [1, 4])
+def test_probe_sets_of_all_ranks(spark, per_image):
+    """Images of very different sizes; lists of neighbours are as long as each of them needs."""
+    rng = random.Random(per_image)
+    rows = [(image, f"o{int(rng.expovariate(0.05))}") for image in range(60) for _ in range(rng.choice([1, 1, 2, 5, 40]))]
+    df = spark.createDataFrame(rows, "img int, what string")
+    got = probes.probe_sets(df, "img", "what", per_image=per_image, start=F.col("image") * 7, question="{}?")
+    assert sorted(map(tuple, got.collect())) == sorted(brute_probes(rows, per_image, 10**9))
