@@ -77,9 +77,9 @@ def _bounds(index: Column, key: Column) -> tuple[Column, Column]:
 
 
 def entries_of(index: Column, key: Column) -> Column:
-    """All entries of a key, in order."""
-    begin, end = _bounds(index, key)
-    return F.slice(index["entries"], begin + 1, end - begin)
+    """All entries of a key, in order. Most look-ups find none, so that is decided first."""
+    begin, end = F.get(index["starts"], key), F.get(index["starts"], key + 1)
+    return F.when(end > begin, F.slice(index["entries"], begin + 1, end - begin)).otherwise(F.slice(index["entries"], 1, 0))
 
 
 def first_of(index: Column, key: Column) -> Column:

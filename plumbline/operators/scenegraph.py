@@ -76,15 +76,44 @@ def _phrase_members(df: DataFrame, tokens: Column, chunks: Column) -> DataFrame:
     and ``_compounds``: whether there are compounds at all.
 
     A token hangs on its head and, if that is a compound, on what the compound hangs on. Where nothing hangs on a
-    compound, members are the children in their order; else see ``_ranked_members``.
+    compound, members are the children in their order. Where chains have up to ``CHAIN`` compounds, as nearly everywhere, what hangs
+    on a compound is put in behind it; for longer ones see ``_ranked_members``.
     """
     relevant = _children(tokens, (*_MODIFIER_DEPS, "compound"))
-    children = F.col("_children")
+    children, direct = F.col("_children"), F.col("_direct")
     steps = computed(df, {"_children": F.sort_array(F.transform(relevant, lambda t: _member(t["head_i"], t["i"], t)))})
-    steps = computed(steps, {"_compounds": F.coalesce(F.exists(children, lambda m: m["compound"]), F.lit(False))})
-    hangs = F.exists(children, lambda m: _is_compound(tokens, m["k"]))
-    members = F.when(F.col("_compounds") & hangs, keyed(_ranked_members(tokens, chunks, relevant))).otherwise(index_of(children))
-    return computed(steps, {"_members": members}).drop("_children")
+    compounds = F.coalesce(F.exists(children, lambda m: m["compound"]), F.lit(False))
+    steps = computed(steps, {"_compounds": compounds, "_direct": index_of(children)})
+    # compounds on which something hangs
+    above = F.filter(children, lambda m: m["compound"] & (F.size(entries_of(direct, m["i"])) > 0))
+    steps = computed(steps, {"_above": F.when(F.col("_compounds"), above)})
+    members = (
+        F.when(F.coalesce(F.size("_above"), F.lit(0)) == 0, direct)
+        .when(F.exists("_above", lambda m: _is_deep(tokens, m["i"], CHAIN)), keyed(_ranked_members(tokens, chunks, relevant)))
+        .otherwise(let(F.flatten(F.transform(children, lambda m: _with_hanging(direct, m, None, CHAIN))), index_of))
+    )
+    return computed(steps, {"_members": members}).drop("_children", "_direct", "_above")
+
+
+# Chains of so many compounds are followed step by step.
+CHAIN = 3
+
+
+def _is_deep(tokens: Column, compound: Column, steps: int) -> Column:
+    """Whether more than so many compounds follow each other from this one up."""
+    head = F.get(tokens, compound)["head_i"]
+    above = _is_compound(tokens, head)
+    return above if steps == 1 else above & _is_deep(tokens, head, steps - 1)
+
+
+def _with_hanging(direct: Column, m: Column, root: Column | None, steps: int) -> Column:
+    """A member and, if it is a compound, behind it what hangs on it, depth first, all as members of ``root`` (its own if None)."""
+    own = F.array(m if root is None else m.withField("k", root))
+    if steps == 0:
+        return own
+    top = m["k"] if root is None else root
+    below = F.flatten(F.transform(entries_of(direct, m["i"]), lambda x: _with_hanging(direct, x, top, steps - 1)))
+    return F.when(m["compound"], F.concat(own, below)).otherwise(own)
 
 
 def _member(root: Column, rank: Column, t: Column) -> Column:
@@ -382,18 +411,27 @@ def _name(tokens: Column, root: Column, mine: Column, compounded: Column, field:
     ).otherwise(root[field])
 
 
+def _head(c: Column, mine: Column, tokens: Column, compounded: Column, field: str) -> Column:
+    """The name of a chunk with the members ``mine``. Most chunks have none."""
+    root = F.get(tokens, c["root_i"])
+    return F.when(F.size(mine) == 0, root[field]).otherwise(_name(tokens, root, mine, compounded, field))
+
+
+def _names(c: Column, mine: Column, tokens: Column, compounded: Column) -> Column:
+    return F.struct(*[_head(c, mine, tokens, compounded, field).alias(field) for field in ("text", "lemma")])
+
+
 def _asked_nouns(tokens: Column, chunks: Column, members: Column, compounded: Column) -> Column:
     """The nouns that ``_type`` looks up, and their last words, of all chunks, also those that become no entities."""
 
     def noun(c: Column) -> Column:
-        return let(entries_of(members, c["root_i"]), lambda mine: _name(tokens, F.get(tokens, c["root_i"]), mine, compounded, "lemma"))
+        return let(entries_of(members, c["root_i"]), lambda mine: _head(c, mine, tokens, compounded, "lemma"))
 
     return let(F.array_distinct(F.transform(chunks, noun)), lambda nouns: F.concat(nouns, F.transform(nouns, last_word)))
 
 
-def _entity(c: Column, mine: Column, tokens: Column, compounded: Column, conjuncts: Column, is_scene: Listed) -> Column:
+def _entity(c: Column, mine: Column, names: Column, tokens: Column, compounded: Column, conjuncts: Column, is_scene: Listed) -> Column:
     """The entity of a chunk with the members ``mine``; ``compounded``: whether the document has compounds."""
-    root = F.get(tokens, c["root_i"])
 
     def modifier(i: Column, dep: Column) -> Column:
         t = F.get(tokens, i)
@@ -412,18 +450,17 @@ def _entity(c: Column, mine: Column, tokens: Column, compounded: Column, conjunc
         ).otherwise(F.flatten(F.transform(plain, lambda m: with_conjuncts(m["i"]))))
 
     plain = F.when(compounded, F.filter(mine, lambda m: ~m["compound"])).otherwise(mine)
-
-    def name(field: str) -> Column:
-        return _name(tokens, root, mine, compounded, field)
+    # most chunks have no members
+    modifiers = F.when(F.size(mine) == 0, F.array().cast(f"array<{MODIFIER}>")).otherwise(listed_(plain))
 
     return F.struct(
         c["text"].alias("span"),
         c["lemma"].alias("lemma_span"),
-        name("text").alias("head"),
-        name("lemma").alias("lemma_head"),
+        names["text"].alias("head"),
+        names["lemma"].alias("lemma_head"),
         F.struct(c["start"].alias("start"), c["end"].alias("end")).alias("span_bounds"),
-        listed_(plain).alias("modifiers"),
-        _type(name("lemma"), is_scene).alias("type"),
+        modifiers.alias("modifiers"),
+        _type(names["lemma"], is_scene).alias("type"),
     )
 
 
@@ -435,7 +472,8 @@ def is_scene_noun(noun: Column, scene_nouns: list[str]) -> Column:
 
 
 def _is_scene(noun: Column, listed_: Listed) -> Column:
-    return F.coalesce(listed_(noun) | listed_(last_word(noun)), F.lit(False))
+    # a noun without a space is its own last word
+    return F.coalesce(listed_(noun) | (noun.contains(" ") & listed_(last_word(noun))), F.lit(False))
 
 
 def _type(noun: Column, is_scene: Listed) -> Column:
@@ -591,10 +629,12 @@ def extract_scene_graph(
     made = {}
     if named:
         steps = computed(steps, {"_mine": F.transform(kept, lambda x: entries_of(members, x["root_i"]))}).drop("_members")
-        made["entities"] = F.transform(kept, lambda x, n: _entity(x, F.get("_mine", n), t, F.col("_compounds"), conjuncts, scene))
+        # names are used several times
+        steps = computed(steps, {"_names": F.transform(kept, lambda x, n: _names(x, F.get("_mine", n), t, F.col("_compounds")))})
+        made["entities"] = F.transform(kept, lambda x, n: _entity(x, F.get("_mine", n), F.get("_names", n), t, F.col("_compounds"), conjuncts, scene))
     if relations:
         made["relations"] = _located(found, conjuncts, where)
-    graph = computed(steps, made).drop("_conjuncts", "_mine", "_compounds", "_found", "_kept", "_where", "_verbs", "_preps", "_scenes")
+    graph = computed(steps, made).drop("_conjuncts", "_mine", "_names", "_compounds", "_found", "_kept", "_where", "_verbs", "_preps", "_scenes")
     return graph if keep_tokens else graph.drop(tokens, chunks)
 
 

@@ -188,3 +188,27 @@ def test_many_compounds_that_are_roots(spark):
     heads = scenegraph.entity_table(extract_scene_graph(df, want=("entities",)), "id").groupBy("head").count().collect()
     assert dict(map(tuple, heads)) == {"w0": 10_000, "w0 w1": 10_000, "w0 w1 w2": 10_000}
     assert time.monotonic() - begun < 60
+
+
+def test_short_chains_need_no_ranks(spark, monkeypatch):
+    """What hangs on compounds is put in behind them; ranks by doubling are for chains of more than three."""
+    words = "red/ADJ/amod/1 a/NOUN/compound/2 b/NOUN/compound/4 two/NUM/nummod/2 c/NOUN/ROOT/4 d/NOUN/compound/4"
+    case = {"short": (words, [(0, 6, 4), (1, 3, 2)], None)}
+    want = [("d a b c", ["red", "two"]), ("a b", ["red", "two"])]
+    for ranked in (scenegraph._ranked_members, lambda tokens, chunks, relevant: F.transform(F.slice(relevant, 1, 0), lambda t: scenegraph._member(t["i"], t["i"], t))):
+        monkeypatch.setattr(scenegraph, "_ranked_members", ranked)
+        (row,) = graphs(spark, case, want=("entities",)).collect()
+        assert [(e.head, [m.span for m in e.modifiers]) for e in row.entities] == want
+
+
+@pytest.mark.parametrize("chain", [2, 3, 4, 5, 6])
+def test_chains_around_the_limit(spark, chain):
+    """A chain of compounds with an adjective on each."""
+    words = " ".join(f"j{n}/ADJ/amod/{2 * n + 1} c{n}/NOUN/compound/{2 * n + 3}" for n in range(chain)) + f" z/ADJ/amod/{2 * chain + 1} r/NOUN/ROOT/{2 * chain + 1}"
+    (row,) = graphs(spark, {"chain": (words, [(0, 2 * chain + 2, 2 * chain + 1)], None)}, want=("entities",)).collect()
+    (entity,) = row.entities
+    tokens = document("chain", words, [])[1]
+    members = brute_members([{"dep": t[4], "head_i": t[5], "i": t[0]} for t in tokens], 2 * chain + 1)
+    names = [f"c{(i - 1) // 2}" for i in members if i % 2]
+    assert entity.head == " ".join([*names[::-1], "r"])
+    assert [m.span for m in entity.modifiers] == [tokens[i][1] for i in members if i % 2 == 0]
