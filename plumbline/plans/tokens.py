@@ -6,13 +6,18 @@ come from ``annotate``. Both work inside the row, linear in the number of words.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from plumbline.functions.arrays import computed, indices
-from plumbline.operators.scenegraph import CHUNKS
+from plumbline.operators.scenegraph import CHUNKS, TOKENS
+from plumbline.session import ship_package
 
 # The word classes of the shallow rule; every other word is a noun-like N.
 DETERMINERS = ["a", "an", "the"]
@@ -26,6 +31,12 @@ HASHED_DEPS = [
 HASHED_POS = ["NOUN", "NOUN", "VERB", "VERB", "AUX", "ADP"]
 WINDOW = 12
 
+# Words that are parsed at a time, and a text.
+WORDS_AT_A_TIME = 50_000
+
+_TOKEN_NAMES = ["i", "text", "lemma", "pos", "dep", "head_i", "ws"]
+_CHUNK_NAMES = ["chunk_id", "start", "end", "root_i", "text", "lemma"]
+
 
 def words(text: Column | str) -> Column:
     """Lower-cased runs of letters (of any script) and the marks on them."""
@@ -34,23 +45,6 @@ def words(text: Column | str) -> Column:
     return F.array_remove(F.split(spaced, " "), "")
 
 
-def _token(i: Column, text: Column, lemma: Column, pos: Column, dep: Column, head: Column) -> Column:
-    return F.struct(
-        i.cast("int").alias("i"), text.alias("text"), lemma.alias("lemma"), pos.alias("pos"),
-        dep.alias("dep"), head.cast("int").alias("head_i"), F.lit(True).alias("ws"),
-    )
-
-
-def _chunk(k: Column, start: Column, end: Column, root: Column, texts: Column, lemmas: Column) -> Column:
-    def joined(a: Column) -> Column:
-        return F.array_join(F.slice(a, start + 1, end - start), " ")
-
-    return F.struct(
-        k.cast("int").alias("chunk_id"), start.cast("int").alias("start"), end.cast("int").alias("end"),
-        root.cast("int").alias("root_i"), joined(texts).alias("text"), joined(lemmas).alias("lemma"),
-    )
-
-
 def shallow_tokens(df: DataFrame, text: str) -> DataFrame:
     """Add ``tokens`` and ``chunks``; the text is dropped.
 
@@ -135,55 +129,82 @@ def hashed_tokens(df: DataFrame, text: str, key: str) -> DataFrame:
 
     Tags, labels and heads are drawn by a hash of word and place. Every stretch of WINDOW words
     is one tree around its centre word: words before it hang on a later word, words behind it
-    on an earlier one.
+    on an earlier one. The words of many texts are parsed at a time, in numpy.
     """
-    w, lemmas, draws = F.col("_w"), F.col("_l"), F.col("_d")
-
-    def drawn(word: Column, i: Column, by_place: int, by_letter: int, by_length: int, by_key: int, modulus: int) -> Column:
-        number = i * by_place + F.ascii(word) * by_letter + F.length(word) * by_length + F.col(key) * by_key
-        return (number % modulus).cast("int")
-
-    def centre(i: Column) -> Column:
-        base = i - i % WINDOW
-        return base + (F.col(key) + base) % F.least(F.lit(WINDOW), F.size(w) - base)
-
-    def draw(word: Column, i: Column) -> Column:
-        return F.struct(
-            drawn(word, i, 31, 17, 7, 1, 101).alias("dep"),
-            drawn(word, i, 57, 5, 29, 3, 103).alias("pos"),
-            drawn(word, i, 11, 41, 3, 7, 107).alias("chunk"),
-            centre(i).alias("centre"),
-        )
-
-    def lemma(x: Column) -> Column:
-        return F.when(x == "it", "-PRON-").when(x.endswith("s"), F.substr(x, F.lit(1), F.length(x) - 1)).otherwise(x)
-
-    def head(i: Column) -> Column:
-        turn, middle = F.get(draws, i)["pos"], F.get(draws, i)["centre"]
-        return (
-            F.when(i < middle, i + 1 + turn % (middle - i))
-            .when(i > middle, i - 1 - turn % (i - middle))
-            .otherwise(i)
-        )
-
-    def token(text: Column, i: Column) -> Column:
-        deps, tags = F.array(*map(F.lit, HASHED_DEPS)), F.array(*map(F.lit, HASHED_POS))
-        d = F.get(draws, i)
-        return _token(
-            i, text, F.get(lemmas, i),
-            F.get(tags, d["pos"] % len(HASHED_POS)), F.get(deps, d["dep"] % len(HASHED_DEPS)), head(i),
-        )
-
-    def is_root(i: Column) -> Column:
-        return F.coalesce(F.get(draws, i)["chunk"] % 3 == 0, F.lit(False))
-
-    def chunk(r: Column, k: Column) -> Column:
-        two_words = (r > 0) & ~is_root(r - 1) & (F.get(draws, r)["pos"] % 2 == 0)
-        start = r - F.when(two_words, 1).otherwise(0)
-        return _chunk(k, start, r + 1, r, w, lemmas)
-
-    steps = computed(df, {"_w": words(text)}).drop(text)
-    steps = computed(steps, {"_l": F.transform(w, lemma), "_d": F.transform(w, draw)})
-    return computed(
-        steps, {"tokens": F.transform(w, token), "chunks": F.transform(F.filter(indices(w), is_root), chunk)}
-    ).drop("_w", "_l", "_d")
+    ship_package(df.sparkSession)
+    rows = df.withColumn("_w", words(text)).withColumn("_key", F.col(key).cast("long")).drop(text)
+    kept = [f for f in rows.schema if f.name not in ("_w", "_key")]
+    schema = StructType([*kept, *StructType.fromDDL(f"tokens {TOKENS}, chunks {CHUNKS}")])
+    return rows.mapInArrow(hashed_batches, schema)
+
+
+def hashed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Record batches with the columns ``_w`` (words) and ``_key`` -> the others, with their parses, few texts at a time."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.list_value_length(batch.column("_w")), 0).to_numpy()
+        turns = np.cumsum(sizes) // WORDS_AT_A_TIME
+        edges = [0, *(np.flatnonzero(np.diff(turns)) + 1), batch.num_rows]
+        for begin, end in zip(edges, edges[1:]):
+            part = batch.slice(begin, end - begin)
+            kept = [n for n in part.schema.names if n not in ("_w", "_key")]
+            tokens, chunks = _hashed(part.column("_w"), part.column("_key"))
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), tokens, chunks], names=[*kept, "tokens", "chunks"])
+
+
+def _hashed(texts: pa.ListArray, keys: pa.Array) -> tuple[pa.ListArray, pa.ListArray]:
+    w = texts.flatten()
+    sizes = pc.fill_null(pc.list_value_length(texts), 0).to_numpy().astype(np.int64)
+    ends = np.cumsum(sizes)
+    i = np.arange(len(w)) - np.repeat(ends - sizes, sizes)
+    size, known = np.repeat(sizes, sizes), np.repeat(pc.is_valid(keys).to_numpy(zero_copy_only=False), sizes)
+    key = np.repeat(pc.fill_null(keys, 0).to_numpy().astype(np.int64), sizes)
+    letter, length = _first_letters(w), pc.utf8_length(w).to_numpy().astype(np.int64)
+
+    def drawn(by_place: int, by_letter: int, by_length: int, by_key: int, modulus: int) -> np.ndarray:
+        return np.fmod(i * by_place + letter * by_letter + length * by_length + key * by_key, modulus)
+
+    dep, pos, chunk = drawn(31, 17, 7, 1, 101), drawn(57, 5, 29, 3, 103), drawn(11, 41, 3, 7, 107)
+    base = i - i % WINDOW
+    # without a key nothing is drawn: no labels, no chunks, and every word heads itself
+    centre = np.where(known, base + np.fmod(key + base, np.minimum(WINDOW, size - base)), i)
+    away = np.abs(centre - i)
+    step = 1 + np.fmod(pos, np.maximum(away, 1))
+    head = i + np.sign(centre - i) * step
+
+    def label(draw: np.ndarray, labels: list[str]) -> pa.Array:
+        at = np.fmod(draw, len(labels))
+        return pa.array(labels).take(pa.array(at, mask=~known | (at < 0)))
+
+    cut = pc.if_else(pc.ends_with(w, "s"), pc.utf8_slice_codeunits(w, 0, -1), w)
+    lemmas = pc.if_else(pc.equal(w, "it"), "-PRON-", cut)
+    values = [i.astype(np.int32), w, lemmas, label(pos, HASHED_POS), label(dep, HASHED_DEPS), head.astype(np.int32), np.ones(len(i), bool)]
+    tokens = _lists(sizes, pa.StructArray.from_arrays([pa.array(v) if isinstance(v, np.ndarray) else v for v in values], _TOKEN_NAMES), texts.is_null())
+
+    is_root = (chunk % 3 == 0) & known
+    roots = np.flatnonzero(is_root)
+    two = (i[roots] > 0) & ~is_root[roots - 1] & (pos[roots] % 2 == 0)
+
+    def joined(a: pa.Array) -> pa.Array:
+        last = a.take(pa.array(roots))
+        return pc.if_else(pa.array(two), pc.binary_join_element_wise(a.take(pa.array(np.maximum(roots - 1, 0))), last, " "), last)
+
+    counts = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[roots], minlength=len(sizes))
+    number = np.arange(len(roots)) - np.repeat(np.cumsum(counts) - counts, counts)
+    places = (number, i[roots] - two, i[roots] + 1, i[roots])
+    values = [*(pa.array(x.astype(np.int32)) for x in places), joined(w), joined(lemmas)]
+    return tokens, _lists(counts, pa.StructArray.from_arrays(values, _CHUNK_NAMES))
+
+
+def _lists(sizes: np.ndarray, values: pa.Array, missing: pa.Array | None = None) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), values, mask=missing)
+
+
+def _first_letters(w: pa.Array) -> np.ndarray:
+    """The first character of each word (none is empty) as a number."""
+    at = np.frombuffer(w.buffers()[1], np.int32)[w.offset : w.offset + len(w)].astype(np.int64) if len(w) else np.zeros(0, np.int64)
+    data = np.concatenate([np.frombuffer(w.buffers()[2] or b"", np.uint8), np.zeros(4, np.uint8)])
+    lead, more = data[at].astype(np.int64), [data[at + n].astype(np.int64) & 0x3F for n in (1, 2, 3)]
+    two, three = (lead & 0x1F) << 6 | more[0], (lead & 0x0F) << 12 | more[0] << 6 | more[1]
+    four = (lead & 0x07) << 18 | more[0] << 12 | more[1] << 6 | more[2]
+    return np.select([lead < 0x80, lead < 0xE0, lead < 0xF0], [lead, two, three], four)
